@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumentrack.llm import bpe, exact_dedup, mixing, quality_rules, sharding
+from lumentrack.llm import bpe, exact_dedup, langid, mixing, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(_table(spark, sf_dir, "documents"), stable=True)
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
+    "op9_langid": op9_langid,
     "op10_quality_rules": op10_quality_rules,
 }
 
