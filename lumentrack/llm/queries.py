@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumentrack.llm import bpe, exact_dedup, langid, mixing, quality_pu, quality_rules, sharding
+from lumentrack.llm import bpe, exact_dedup, langid, mixing, packing, quality_pu, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,38 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+#: Three captures of each page: a full response, a revisit, and a later revisit by another spelling of the URL. Every
+#: fifth page has changed its entity tag, every seventh sends dates instead of tags, every eleventh sends neither.
+_CAPTURES = """
+    SELECT concat(page_id, '-', k) AS record_id,
+           CASE WHEN k = 2 THEN concat(url, '#top') ELSE url END AS url,
+           page_id * 37 % 100003 * 60 + k * 50000 AS ts,
+           CASE WHEN k = 0 THEN 'response' ELSE 'revisit' END AS kind,
+           CASE WHEN k = 0 THEN 200 ELSE 304 END AS status,
+           CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN NULL WHEN k = 2 THEN concat('W/"', md5(html), '"')
+                WHEN k = 1 AND page_id % 5 = 0 THEN '"changed"' ELSE concat('"', md5(html), '"') END AS etag,
+           CASE WHEN page_id % 7 = 0 THEN concat('day ', page_id % 3) END AS last_modified,
+           CASE WHEN k = 0 THEN 'text/html' ELSE 'text/plain' END AS content_type,
+           concat('age ', k) AS cache_control,
+           CASE WHEN k = 0 THEN concat('server ', page_id % 4) END AS server,
+           CASE WHEN k = 0 THEN md5(html) END AS payload_digest
+    FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS captures"""
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    records = spark.sql(_CAPTURES.replace("FROM pages", "FROM {pages}"), pages=pages)
+    headers = F.create_map(F.lit("Content-Type"), "content_type", F.lit("Cache-Control"), "cache_control", F.lit("Server"), "server")
+    records = records.withColumn("headers", F.map_filter(headers, lambda k, v: v.isNotNull()))
+    found = warc.resolve_revisits(records)
+    return found.withColumn("headers", warc.header_text(F.col("headers")))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.packing_digests(rows)
+
+
 def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,6 +76,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_warc_revisits": op3_warc_revisits,
+    "op5_packing": op5_packing,
     "op6_quality_pu": op6_quality_pu,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
@@ -71,6 +106,27 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY t)""",
+    "op3_warc_revisits": rf"""
+        WITH pages AS (SELECT page_id, url, coalesce(html, '') AS html FROM main.pages),
+        captures AS ({_CAPTURES}),
+        parts AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM captures),
+        cut AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^(?:[^/?]*@)?([^/?]*)', 1)), ':(80|443)$', '') AS host,
+                regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                regexp_extract(bare, '\?(.*)$', 1) AS query FROM parts),
+        queries AS (SELECT record_id, string_agg(p, '&' ORDER BY p) AS q FROM (
+            SELECT record_id, unnest(string_split(query, '&')) AS p FROM cut) WHERE p <> '' AND NOT regexp_matches(p, '^{warc.TRACKING}(=|$)') GROUP BY record_id),
+        r AS (SELECT cut.*, host || path || coalesce('?' || q, '') AS u FROM cut LEFT JOIN queries USING (record_id)),
+        pairs AS (
+            SELECT v.record_id, v.u AS canonical_url, v.etag AS v_etag, v.last_modified AS v_date, v.cache_control AS v_cache, f.*  EXCLUDE (record_id, u),
+                   f.record_id AS response_id, row_number() OVER (PARTITION BY v.record_id ORDER BY f.ts DESC, f.record_id DESC) AS n
+            FROM r AS v LEFT JOIN r AS f ON f.u = v.u AND f.kind = 'response' AND f.ts < v.ts WHERE v.kind = 'revisit'),
+        judged AS (SELECT *, CASE WHEN response_id IS NULL THEN 'no_response'
+                WHEN v_etag IS NOT NULL AND etag IS NOT NULL THEN CASE WHEN replace(v_etag, 'W/', '') = etag THEN 'resolved' ELSE 'validator_mismatch' END
+                WHEN v_date IS NOT NULL AND last_modified IS NOT NULL THEN CASE WHEN v_date = last_modified THEN 'resolved' ELSE 'validator_mismatch' END
+                ELSE 'no_validator' END AS verdict FROM pairs WHERE n = 1)
+        SELECT record_id, canonical_url, response_id, verdict, CASE WHEN verdict = 'resolved' THEN payload_digest END AS payload_digest,
+               CASE WHEN verdict = 'resolved' THEN 'cache-control: ' || v_cache || chr(10) || 'content-type: ' || content_type || chr(10) || 'server: ' || server END AS headers
+        FROM judged""",
     "op10_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         words AS (
