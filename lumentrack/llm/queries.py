@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrack.llm import bpe, exact_dedup, langid, mixing, packing, quality_pu, quality_rules, sharding, warc
+from lumentrack.llm import bpe, exact_dedup, langid, mixing, near_dedup, packing, quality_pu, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", warc.header_text(F.col("headers")))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return packing.packing_digests(rows)
@@ -77,6 +81,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_warc_revisits": op3_warc_revisits,
+    "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_quality_pu": op6_quality_pu,
     "op7_bpe": op7_bpe,
