@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder. Unlike a checkpoint's, its true size is known to the
+    planner, which broadcasts it only below spark.sql.autoBroadcastJoinThreshold."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """``name``, with underscores added until no column of ``taken`` bears it (case is ignored, as Spark does)."""
     have = {c.lower() for c in taken}
