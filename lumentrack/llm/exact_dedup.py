@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumentrack.session import cut, fresh
+from lumentrack.session import cut, fresh, written
 
 #: A chunk has at least this many characters and ends after the next line feed, or at the longest after MAX_CHARS.
 MIN_CHARS, MAX_CHARS = 512, 2048
@@ -84,7 +84,8 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
     dropped ids and text digests are few, and ``docs`` is read once more against them.
     """
     digest = fresh(docs.columns, "_digest")
-    dropped = exact_groups(docs, id_col=id_col, text=text).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_digest")).distinct()
+    dropped = exact_groups(docs, id_col=id_col, text=text).filter(~F.col("kept"))
+    dropped = written(dropped.select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_digest")).distinct())
     rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     gone = rows[id_col].eqNullSafe(dropped["_drop_id"]) & (rows[digest] == dropped["_drop_digest"])
     return rows.join(dropped, gone, "left_anti").drop(digest)
