@@ -22,6 +22,8 @@ from lumentrack.session import cut
 #: Bound of each of the two samples, positives and unlabelled, that the classifier is fitted on.
 SAMPLE_ROWS = 20_000
 CUTOFF = 0.3
+#: Texts are measured in pieces of a batch of about so many bytes; the arrays over its bytes take some forty times that.
+PIECE_BYTES = 4_000_000
 STEPS, RATE, DECAY = 500, 0.05, 1e-4
 
 _CLASSES = ("other", "lower", "upper", "digit", "space", "line", "symbol", "exclaim", "stop", "comma", "beyond", "quote")
@@ -39,21 +41,31 @@ FEATURES = (
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+_BYTE_VALUES = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64)
+_kept_powers: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd number and of its inverse, from 0 to n at least; kept for the next batch."""
+    if not _kept_powers or len(_kept_powers[0]) <= n:
+        _kept_powers.clear()
+        for base in (int(_ODD), pow(int(_ODD), -1, 2**64)):
+            p = np.full(max(n + 1, 1 << 20), np.uint64(base))
+            p[0] = 1
+            _kept_powers.append(np.multiply.accumulate(p, out=p))
+    return _kept_powers[0], _kept_powers[1]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from running sums of byte x power of an odd number."""
+    """A 64-bit hash of each word's bytes, from running sums of the bytes' values x powers of an odd number."""
     n = len(data)
     if not n:
         return np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        power = np.full(n + 1, _ODD)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        inverse = np.full(n + 1, np.uint64(pow(int(_ODD), -1, 2**64)))
-        inverse[0] = 1
-        inverse = np.multiply.accumulate(inverse)
-        mixed = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(mixed * power[:-1])])
+        power, inverse = _powers(n)
+        total = np.zeros(n + 1, np.uint64)
+        np.multiply(_BYTE_VALUES[data], power[:n], out=total[1:])
+        np.add.accumulate(total, out=total)
         h = (total[ends] - total[starts]) * inverse[starts]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -98,7 +110,7 @@ def feature_table(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            per = max(1, int(whole.num_rows * 16_000_000 / max(1, whole.nbytes)))
+            per = max(1, int(whole.num_rows * PIECE_BYTES / max(1, whole.nbytes)))
             for i in range(0, whole.num_rows, per):
                 batch = whole.slice(i, per)
                 f = features(batch.column(1))
