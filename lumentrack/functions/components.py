@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrack.session import cut
+from lumentrack.session import written
 
 
 def _renamed(edges: DataFrame, up: DataFrame) -> DataFrame:
@@ -24,18 +24,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes with edges falls at least by half in each. Null ends are ignored; loops make their node a component.
     """
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    labels = cut(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn("component", F.col("node")))
-    left = cut(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = written(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().withColumn("component", F.col("node")))
+    left = written(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while not left.isEmpty():
-        up = cut(left.groupBy("b").agg(F.min("a").alias("to")))
+        up = written(left.groupBy("b").agg(F.min("a").alias("to")))
         while True:
             further = up.select(F.col("b").alias("_of"), F.col("to").alias("_to"))
-            up = cut(up.join(further, F.col("to") == F.col("_of"), "left").select("b", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")))
+            up = written(up.join(further, F.col("to") == F.col("_of"), "left").select("b", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")))
             moving = not up.filter("moved").isEmpty()
             up = up.select("b", "to")
             if not moving:
                 break
         hung = up.select(F.col("b").alias("_of"), F.col("to").alias("_to"))
-        labels = cut(labels.join(hung, F.col("component") == F.col("_of"), "left").select("node", F.coalesce("_to", "component").alias("component")))
-        left = cut(_renamed(left, up))
+        labels = written(labels.join(hung, F.col("component") == F.col("_of"), "left").select("node", F.coalesce("_to", "component").alias("component")))
+        left = written(_renamed(left, up))
     return labels

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentrack.functions.scalars import box_common, boxes_meet
-from lumentrack.session import cut
+from lumentrack.session import written
 
 BOX = ("xmin", "xmax", "ymin", "ymax")
 
@@ -89,15 +89,15 @@ def without_close(points: DataFrame, d: float, keys: Sequence[str], quality: str
     if both:
         return points.join(edges.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
     rank = points.select("id", F.struct(F.col(quality).alias("q"), (-F.col("id")).alias("i")).alias("rank"))
-    edges = cut(edges.join(rank.withColumnsRenamed({"id": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"id": "b", "rank": "rb"}), "b"))
+    edges = written(edges.join(rank.withColumnsRenamed({"id": "a", "rank": "ra"}), "a").join(rank.withColumnsRenamed({"id": "b", "rank": "rb"}), "b"))
     dropped = None
     while not edges.isEmpty():
         stay = edges.groupBy("a").agg(F.bool_and(F.col("ra") > F.col("rb")).alias("top")).filter("top").select("a")
-        gone = cut(edges.join(stay, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        gone = written(edges.join(stay, "a", "left_semi").select(F.col("b").alias("id")).distinct())
         dropped = gone if dropped is None else dropped.union(gone)
         stay_b = stay.withColumnRenamed("a", "b")
         left = edges.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
-        edges = cut(left.join(stay, "a", "left_anti").join(stay_b, "b", "left_anti"))
+        edges = written(left.join(stay, "a", "left_anti").join(stay_b, "b", "left_anti"))
     return points if dropped is None else points.join(dropped, "id", "left_anti")
 
 

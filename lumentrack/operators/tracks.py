@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrack.session import cut
+from lumentrack.session import written
 
 
 def _order(track: str, by: Sequence[str]):
@@ -178,10 +178,10 @@ def track_heads(objects: DataFrame, links: DataFrame) -> DataFrame:
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     into = links.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"))
     single = links.join(out, "src").join(into, "dst").filter("n_out = 1 and n_in = 1").select(F.col("dst").alias("id"), F.col("src").alias("up"))
-    rows = cut(objects.select("id").join(single, "id", "left").select("id", F.coalesce("up", "id").alias("head")))
+    rows = written(objects.select("id").join(single, "id", "left").select("id", F.coalesce("up", "id").alias("head")))
     while True:
         up = rows.select(F.col("id").alias("_i"), F.col("head").alias("_h"))
-        rows = cut(rows.join(up, F.col("head") == F.col("_i"), "left").select("id", F.coalesce("_h", "head").alias("head"), (F.coalesce("_h", "head") != F.col("head")).alias("moved")))
+        rows = written(rows.join(up, F.col("head") == F.col("_i"), "left").select("id", F.coalesce("_h", "head").alias("head"), (F.coalesce("_h", "head") != F.col("head")).alias("moved")))
         if rows.filter("moved").isEmpty():
             return rows.select("id", F.col("head").alias("track_head"))
         rows = rows.drop("moved")
@@ -189,9 +189,9 @@ def track_heads(objects: DataFrame, links: DataFrame) -> DataFrame:
 
 def pruned(objects: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     """TR-17: objects less ``roots`` (id) and all that descends from them in time. Rounds end when nothing more is reached."""
-    gone = cut(roots.select("id").distinct())
+    gone = written(roots.select("id").distinct())
     front = gone
     while not front.isEmpty():
-        front = cut(links.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(gone, "id", "left_anti"))
-        gone = cut(gone.union(front))
+        front = written(links.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(gone, "id", "left_anti"))
+        gone = written(gone.union(front))
     return objects.join(gone, "id", "left_anti")

@@ -31,12 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder. Unlike a checkpoint's, its true size is known to the
-    planner, which broadcasts it only below spark.sql.autoBroadcastJoinThreshold."""
+    """``df`` as a Parquet table in the shared checkpoint folder.
+
+    Unlike a checkpoint's, its true size is known to the planner, which broadcasts it only below
+    spark.sql.autoBroadcastJoinThreshold; and what was known of the rows that it was made from is forgotten, which
+    in loops would otherwise grow from turn to turn until planning takes longer than running.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fresh(taken: list[str], name: str) -> str:
