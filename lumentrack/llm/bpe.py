@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -19,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Memory bound of a worker's memo: so many pieces of at most so many bytes.
-MEMO_PIECES, MEMO_BYTES = 400_000, 48
+MEMO_PIECES, MEMO_BYTES = 800_000, 48
+#: And so many prefixes of at most so many bytes.
+MEMO_PREFIXES, PREFIX_BYTES = 800_000, 32
 
 
 class Vocabulary:
@@ -32,8 +35,7 @@ class Vocabulary:
         self.ending: dict[bytes, list[int]] = {}
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-            lengths = self.ending.setdefault(token[-2:], [])
-            if len(token) not in lengths:
+            if len(token) > 2 and len(token) not in (lengths := self.ending.setdefault(token[-3:], [])):
                 lengths.append(len(token))
         for lengths in self.ending.values():
             lengths.sort(reverse=True)
@@ -41,6 +43,7 @@ class Vocabulary:
         self.pieces = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})"))
         self._fits: dict[tuple[int, int], bool] = {}
         self._memo: dict[str, bytes] = {}
+        self._prefixes: dict[bytes, int] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, the leftmost of equals, until none is a token."""
@@ -61,22 +64,50 @@ class Vocabulary:
             known = self._fits[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
+    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
+        """The valid last token of data[:end], where ``last`` has those of all shorter prefixes."""
+        ranks = self.ranks
+        for n in (*self.ending.get(data[max(0, end - 3) : end], ()), 2, 1):
+            if n <= end and (rank := ranks.get(data[end - n : end])) is not None and (n == end or self.fits(last[end - n - 1], rank)):
+                return rank
+        raise ValueError(f"no token ends the prefix {data[:end]!r}")
+
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """``last`` has the last token of each prefix of data[: len(last)]; it grows to all of ``data``."""
-        ranks, ending, tokens = self.ranks, self.ending, self.tokens
         for end in range(len(last) + 1, len(data) + 1):
-            found = -1
-            for ends in (data[max(0, end - 2) : end], data[end - 1 : end]) if end > 1 else (data[:1],):
-                for n in ending.get(ends, ()):
-                    if n <= end and (rank := ranks.get(data[end - n : end])) is not None and (n == end or self.fits(last[end - n - 1], rank)):
-                        found = rank
-                        break
-                if found >= 0:
+            last.append(self.last_token(data, end, last))
+        return last
+
+    def short(self, data: bytes) -> list[int]:
+        """The encoding of a short piece. Pieces share their beginnings, so every prefix's last token is kept for the next piece."""
+        known, fitting, ranks, tokens, ending, n = self._prefixes, self._fits, self.ranks, self.tokens, self.ending, len(data)
+        if len(known) > MEMO_PREFIXES:
+            known.clear()
+        low, high = 0, n  # the longest known prefix; those of a known prefix are known
+        while low < high:
+            middle = (low + high + 1) // 2
+            if data[:middle] in known:
+                low = middle
+            else:
+                high = middle - 1
+        for end in range(low + 1, n + 1):
+            for m in (*ending.get(data[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1):
+                if m <= end and (token := ranks.get(data[end - m : end])) is not None:
+                    if m < end:
+                        before = known[data[: end - m]]
+                        fits = fitting.get((before, token))
+                        if not (self.fits(before, token) if fits is None else fits):
+                            continue
+                    known[data[:end]] = token
                     break
-            if found < 0:
+            else:
                 raise ValueError(f"no token ends the prefix {data[:end]!r}")
-            last.append(found)
-        return last
+        out = []
+        while n:
+            token = known[data[:n]]
+            out.append(token)
+            n -= len(tokens[token])
+        return out[::-1]
 
     def walk(self, last: list[int]) -> list[int]:
         """The encoding that the last tokens of all prefixes spell, read backwards."""
@@ -92,7 +123,8 @@ class Vocabulary:
         if packed is None:
             data = piece.encode()
             rank = self.ranks.get(data)
-            packed = np.array([rank] if rank is not None else self.walk(self.extend(data, [])), "<u4").tobytes()
+            ids = [rank] if rank is not None else self.short(data) if len(data) <= PREFIX_BYTES else self.walk(self.extend(data, []))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
             if len(data) <= MEMO_BYTES:
                 if len(self._memo) >= MEMO_PIECES:
                     self._memo.clear()
