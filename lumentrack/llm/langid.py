@@ -182,7 +182,7 @@ class Parser:
 
 
 _parsers: dict[int, Parser] = {}
-_BATCH_BYTES = 32_000_000
+_BATCH_BYTES = 16_000_000
 
 
 def identify(docs: DataFrame, model: Model, columns: list[Column], *, text: str = "text") -> DataFrame:
