@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrack.functions.ranking import global_rank
 from lumentrack.llm.texts import word_count
 from lumentrack.session import cut, fresh
 
@@ -22,18 +23,6 @@ BUCKET_ROWS = 4096
 TOLERANCE, MAX_STEPS = 1e-6, 60
 
 
-def global_rank(df: DataFrame, order: Column, name: str) -> DataFrame:
-    """``df`` with the 0-based rank of each row in ``order``: sorted by ranges, with no task over all rows."""
-    p, i = fresh(df.columns, "_p"), fresh(df.columns, "_i")
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = df.repartitionByRange(n, order).sortWithinPartitions(order)
-    ordered = cut(ordered.withColumn(p, F.spark_partition_id()).withColumn(i, F.monotonically_increasing_id().bitwiseAND(2**33 - 1)))
-    before = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each of at most n partitions.
-    starts = ordered.groupBy(p).count().select(F.col(p), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    return ordered.join(F.broadcast(starts), p).withColumn(name, F.col(i) + F.col("_start")).drop(p, i, "_start")
-
-
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """``sources`` (source, total) with ``target``: by the weights in code point order (null last), none above cap x total.
 
@@ -128,7 +117,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", text
     more = F.col("copies") % F.col("docs")
     n_buckets = F.ceil(F.col("docs") / BUCKET_ROWS)
     rows = rows.select("doc_id", "key", "size", "row_key", F.xxhash64("row_key").alias("h")).join(cells, ["key", "size"])
-    rows = rows.withColumn("bucket", F.pmod("h", n_buckets).cast("int"))
+    # Written here so that nothing above the join needs a cell's rows together, and a hot cell can be split.
+    rows = cut(rows.withColumn("bucket", F.pmod("h", n_buckets).cast("int")))
     filled = rows.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = filled.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
