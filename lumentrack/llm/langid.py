@@ -166,7 +166,8 @@ class Parser:
             np.bitwise_and(step, mask, out=now)
             position[:n] += 1
         out = np.empty_like(count)
-        out[:, order] = count + (lengths > 0)
+        # After a symbol that is a phrase alone, no other has begun.
+        out[:, order] = count + ((lengths > 0) & (state != np.array(self.roots, np.int32)[:, None]))
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -182,7 +183,7 @@ class Parser:
 
 
 _parsers: dict[int, Parser] = {}
-_BATCH_BYTES = 16_000_000
+_BATCH_BYTES = 8_000_000
 
 
 def identify(docs: DataFrame, model: Model, columns: list[Column], *, text: str = "text") -> DataFrame:
