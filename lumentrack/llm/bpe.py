@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Memory bound of a worker's memo: so many pieces of at most so many bytes.
-MEMO_PIECES, MEMO_BYTES = 800_000, 48
+MEMO_PIECES, MEMO_BYTES = 300_000, 48
 #: And so many prefixes of at most so many bytes.
-MEMO_PREFIXES, PREFIX_BYTES = 800_000, 32
+MEMO_PREFIXES, PREFIX_BYTES = 300_000, 32
 
 
 class Vocabulary:
@@ -59,7 +59,7 @@ class Vocabulary:
         """Whether b may follow a."""
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             known = self._fits[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return known

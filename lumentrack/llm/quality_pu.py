@@ -23,7 +23,7 @@ from lumentrack.session import cut
 SAMPLE_ROWS = 20_000
 CUTOFF = 0.3
 #: Texts are measured in pieces of a batch of about so many bytes; the arrays over its bytes take some forty times that.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
 STEPS, RATE, DECAY = 500, 0.05, 1e-4
 
 _CLASSES = ("other", "lower", "upper", "digit", "space", "line", "symbol", "exclaim", "stop", "comma", "beyond", "quote")
