@@ -6,7 +6,9 @@
    picks, so that two documents agree in a sample with the probability of their weighted Jaccard similarity.
 4. Documents that agree in a band of samples meet, and are candidates if enough of all samples agree.
 5. Candidates are verified by the weighted Jaccard similarity of their whole texts. Classes are the components of
-   the verified links. Where a bucket is too large for all its members to meet, its components meet again in turns.
+   the verified links. Where a bucket is too large for all its members to meet, a few stand for its largest component
+   in turns, which joins most of what is near; then every pair of different components meets that shares a shingle
+   without which it can't be similar enough. So no pair is left out.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +32,11 @@ BANDS, BAND_ROWS = 16, 4
 #: A shingle in fewer than one of so many documents has the full weight; commoner ones weigh less. So the table of
 #: common shingles has at most IDF_CEILING x (mean shingles of a document) rows, however many documents there are.
 IDF_CEILING = 16
-#: All members of a bucket of at most so many meet each other. See ``meetings`` and ``further_meetings`` for larger ones.
+#: All members of a bucket of at most so many meet each other. See ``further_meetings`` and ``last_meetings`` for larger ones.
 SMALL_BUCKET = 24
 #: So many members stand for a component in a large bucket.
 STANDS = 16
-#: Turns end with the first that links so small a share of the members of large buckets.
+#: Turns end with the first that links so small a share of the members of large buckets; what is left is left to ``last_meetings``.
 TURN_YIELD = 0.002
 #: Of the 64 samples so many agree in a candidate pair: five standard deviations below the mean of a pair at the threshold.
 LEAST_AGREE = 35
@@ -265,36 +267,72 @@ def meetings(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def further_meetings(large: DataFrame, named: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components within large buckets.
+    """Pairs (a, b) of the largest component of each large bucket with the bucket's others.
 
-    Up to STANDS members stand for a component in each bucket, others in each turn. All others meet those of the
-    bucket's largest component. Of the others, where few components share a bucket, all meet; where many do, those
-    meet that share two large buckets, or failing that one taken at random.
+    Up to STANDS members stand for a component in each bucket, others in each turn. This only saves ``last_meetings``
+    work: components that are joined here don't meet there.
     """
-    of = named.select(F.col("node"), "component")
-    members = large.join(of, F.col("rid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rid"))
     chance = F.xxhash64("rid", F.lit(turn))
-    stands = written(members.groupBy("key", "c", F.pmod(chance, F.lit(STANDS)).alias("slot")).agg(F.min_by("rid", chance).alias("rid"), F.count(F.lit(1)).alias("m")))
+    stands = written(_in_components(large, named).groupBy("key", "c", F.pmod(chance, F.lit(STANDS)).alias("slot")).agg(F.min_by("rid", chance).alias("rid"), F.count(F.lit(1)).alias("m")))
     parts = stands.groupBy("key", "c").agg(F.sum("m").alias("m"))
     tops = parts.groupBy(F.col("key").alias("key2")).agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = written(stands.join(tops, (F.col("key") == F.col("key2")) & (F.hash("key") == F.hash("key2"))).drop("key2"))
     largest = mixed.filter("c = top").select(F.col("key").alias("k"), F.col("rid").alias("other"))  # STANDS a bucket at most
     met = mixed.filter("c <> top").join(largest, F.col("key") == F.col("k"))
-    pairs = met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"))
-
-    ones = mixed.filter("c <> top").groupBy("key", "c").agg(F.min_by("rid", "slot").alias("rid"), (F.first("parts") - 1).alias("n"))
-    ones = written(ones.filter("n > 1"))
-    pairs = pairs.unionByName(_all_pairs(ones))
-    many = ones.filter(F.col("n") > SMALL_BUCKET)
-    if not many.isEmpty():
-        keys = many.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("key", "rid"))).alias("k"))  # the large buckets of a component
-        twos = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.struct(F.xxhash64(x["key"], y["key"]).alias("key"), x["rid"].alias("rid")))))
-        both = written(keys.select(F.explode(twos).alias("t")).select("t.key", "t.rid").distinct())
-        counts = both.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("n"), F.min_by("rid", chance).alias("low")).filter("n > 1")
-        finer = both.join(counts, (F.col("key") == F.col("key2")) & (F.hash("key") == F.hash("key2"))).drop("key2")
-        star = finer.filter(F.col("n") > SMALL_BUCKET).filter("rid <> low").select(F.least("rid", "low").alias("a"), F.greatest("rid", "low").alias("b"))
-        pairs = pairs.unionByName(_all_pairs(finer)).unionByName(star)
-    return pairs.distinct()
+    return met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
+
+
+def _in_components(large: DataFrame, named: DataFrame) -> DataFrame:
+    """``large`` with the component ``c`` of each member; one without a link is its own."""
+    return large.join(named.select("node", "component"), F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("component", "rid").alias("c"))
+
+
+def prefixes(texts: DataFrame, weights: Callable[[], Weights], similarity: float) -> DataFrame:
+    """(h, rid, whole, light): the shingles of each text (rid, text) that similar texts must share one of.
+
+    Shingles are ordered by the number of texts with them, rarest first. Two texts of weights x <= y that are similar
+    enough have s (x + y) / (1 + s) in common, which is at least 2 s x / (1 + s) and at least s y. The rarest shingle
+    that they share has all of it at or after its place, so in the lighter text it is ``light`` and in the other it is
+    among the rows. ``whole`` is the text's weight. Shingles of a single text are left out.
+    """
+    least = similarity - 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights()
+        for batch in _pieces(batches):
+            s, n, at = counted(batch.column(1))
+            weight = np.exp(w.levels(s, n) * _STEP)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            whole = np.bincount(row, weight, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(s.astype(np.int64)), pa.array(weight), pa.array(whole[row])], names=["rid", "h", "weight", "whole"])
+
+    each = written(texts.select("rid", "text").mapInArrow(run, "rid binary, h long, weight double, whole double"))
+    having = each.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = each.join(having, (F.col("h") == F.col("h2")) & (F.hash("h") == F.hash("h2"))).drop("h2")
+    rest = F.sum("weight").over(Window.partitionBy("rid").orderBy(F.desc("n"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = shared.withColumn("rest", rest).filter(F.col("rest") >= least * F.col("whole"))
+    return placed.select("h", "rid", "whole", (F.col("rest") >= 2 * least / (1 + least) * F.col("whole")).alias("light"))
+
+
+def last_meetings(large: DataFrame, named: DataFrame, texts: DataFrame, weights: Callable[[], Weights], similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components among the members of large buckets that hold several, all that can be similar enough.
+
+    The members meet by ``prefixes``. Within a shingle, those of its largest component meet only those outside of it.
+    """
+    members = _in_components(large, named)
+    several = members.groupBy(F.col("key").alias("key2")).agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key2")
+    left = written(members.join(several, (F.col("key") == F.col("key2")) & (F.hash("key") == F.hash("key2"))).select(F.col("rid").alias("r"), "c").distinct())
+    found = prefixes(texts.join(left, F.col("rid") == F.col("r"), "left_semi"), weights, similarity)
+    marks = written(found.join(left, F.col("rid") == F.col("r")).select("h", "rid", "whole", "light", "c"))
+    parts = marks.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"))
+    tops = parts.groupBy(F.col("h").alias("h2")).agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    mixed = written(marks.join(tops, (F.col("h") == F.col("h2")) & (F.hash("h") == F.hash("h2"))).drop("h2"))
+    light = mixed.filter("light").select("h", F.col("rid").alias("a"), F.col("whole").alias("x"), F.col("c").alias("ca"), (F.col("c") == F.col("top")).alias("in_top"))
+    other = mixed.select(F.col("h").alias("k"), F.col("rid").alias("b"), F.col("whole").alias("y"), "c", (F.col("c") == F.col("top")).alias("top_too"))
+    fits = (F.col("h") == F.col("k")) & (F.col("ca") != F.col("c")) & (F.col("x") <= F.col("y") * (1 + 1e-9)) & (F.col("x") >= F.col("y") * (similarity - 1e-6))
+    pairs = light.filter("not in_top").join(other, fits).select("a", "b")
+    pairs = pairs.unionByName(light.filter("in_top").join(other.filter("not top_too"), fits).select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -385,6 +423,11 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
             named = _joined(named, more)
         if n_more <= TURN_YIELD * n_large:
             break
+    if n_large:
+        last = last_meetings(large, named, texts, weights, similarity)
+        more = written(verified(alike(last, sketches), texts, weights, similarity))
+        if not more.isEmpty():
+            named = _joined(named, more)
 
     classes = equal.join(named, F.col("rid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rid"))
     whole = classes.groupBy(F.col("component").alias("c")).agg(F.max("top").alias("class_id"), F.sum("n").alias("class_size")).filter("class_size > 1")

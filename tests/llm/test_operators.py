@@ -226,6 +226,34 @@ def test_near_classes_against_brute_force(spark):
         assert [i for i in ids if got[i].kept] == [max(ids)]
 
 
+def test_near_pairs_among_many_unlike_templates(spark):
+    """2,000 texts about 0.73 alike fill large buckets; pairs about 0.81 alike must all be found among them."""
+    n = 2000
+    common = [f"c{i}" for i in range(400)]
+    body = []
+    for i in range(n):
+        pair = i // 2 if i < 400 else i  # the first 400 texts are 200 pairs
+        body.append(" ".join([*common, *[f"p{pair}x{k}" for k in range(6)], *[f"o{i}x{k}" for k in range(12)]]))
+    s, count, at = near_dedup.counted(pa.array(body))
+    assert (count == 1).all()
+    values, column, having = np.unique(s, return_inverse=True, return_counts=True)
+    shared = having > 1  # shingles of one text count for its weight alone
+    w = np.exp(near_dedup.Weights(n, list(zip(values[having * near_dedup.IDF_CEILING >= n].tolist(), having[having * near_dedup.IDF_CEILING >= n].tolist(), strict=True))).levels(s, count) * 0.02)
+    row = np.repeat(np.arange(n), np.diff(at))
+    place, both = np.cumsum(shared) - 1, shared[column]
+    has = np.zeros((n, shared.sum()), np.float32)
+    has[row[both], place[column[both]]] = np.sqrt(w[both])
+    in_common, whole = has @ has.T, np.bincount(row, w, n)
+    sim = in_common / (whole[:, None] + whole[None, :] - in_common)
+    near = {(int(a), int(b)) for a, b in np.argwhere(sim >= 0.8) if a < b}
+    assert near == {(i, i + 1) for i in range(0, 400, 2)} and np.median(sim) > 0.7
+    got = near_dedup.near_classes(spark.createDataFrame(rows_of(*body), SCHEMA)).collect()
+    found = defaultdict(list)
+    for r in got:
+        found[r.class_id].append(r.doc_id)
+    assert {tuple(sorted(ids)) for ids in found.values() if len(ids) > 1} == near
+
+
 def test_common_shingles_are_counted_exactly(spark, docs):
     texts_ = docs.select("text").repartition(5)
     counts = Counter()
