@@ -389,6 +389,11 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     class; texts without words are near no other text. Rows that repeat id and text share their verdict. Null ids
     are ignored when the class is named. An empty table gives an empty result; other columns aren't read.
     """
+    return _judged(docs, id_col, text, similarity).drop("rid")
+
+
+def _judged(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataFrame:
+    """``near_classes`` with the key of each row's text, rid."""
     body = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text)).alias("rid"), body.alias("text"))
     rows = written(source.select("doc_id", "rid"))
@@ -434,7 +439,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     of_text = written(classes.join(whole, (F.col("component") == F.col("c")) & (F.hash("component") == F.hash("c"))).select(F.col("rid").alias("r"), "class_id", "class_size"))
     out = rows.join(of_text, F.col("rid") == F.col("r"), "left")
     class_id = F.when(F.col("r").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    return out.select("doc_id", "rid", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
 def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
@@ -454,9 +459,12 @@ def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with all its columns, less the rows that aren't the kept ones of their classes.
 
-    Rows that repeat both id and text all stay if one does. Ids are taken to name documents: only the dropped ids move.
+    Rows that repeat both id and text all stay if one does. Only ids and text keys move: what goes is named by both, so
+    other texts of the same id, or without one, stay.
     """
     key = fresh(docs.columns, "_key")
-    gone = fresh([*docs.columns, key], "_gone")
-    dropped = written(near_classes(docs, id_col=id_col, text=text, similarity=similarity).filter("not kept").select(F.col("doc_id").alias(gone)).distinct())
-    return docs.withColumn(key, F.col(id_col)).join(dropped, F.col(key).eqNullSafe(F.col(gone)), "left_anti").drop(key)
+    dropped = _judged(docs, id_col, text, similarity).filter("not kept")
+    dropped = written(dropped.select(F.col("doc_id").alias("_drop_id"), F.col("rid").alias("_drop_rid")).distinct())
+    rows = docs.withColumn(key, text_key(F.col(text)))
+    gone = rows[id_col].eqNullSafe(dropped["_drop_id"]) & (rows[key] == dropped["_drop_rid"])
+    return rows.join(dropped, gone, "left_anti").drop(key)

@@ -282,6 +282,16 @@ def test_near_edges(odd, none):
     assert near_dedup.near_classes(none).count() == 0
 
 
+def test_only_the_near_copy_of_an_id_goes(spark):
+    """Null ids, and an id with two texts: the clean text stays where another of the same id is a near copy."""
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(200))
+    near = words("a") + " end"
+    rows = [(9, words("a")), (None, near), (None, words("b")), (None, words("c")), (None, None), (5, words("a") + " more"), (5, words("d"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in near_dedup.one_of_each(df).collect())
+    assert left == Counter(r for r in rows if r not in ((None, near), (5, words("a") + " more")))
+
+
 # --- packing ---
 
 
