@@ -1,7 +1,7 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 1. Equal texts are collapsed. What follows sees one document for each text.
-2. The document frequency of every shingle common enough to matter is counted over all documents.
+2. The document frequency of every shingle common enough to matter is counted over all distinct texts.
 3. Each document is sketched: sample k is the shingle (and its level) that consistent weighted sampling number k
    picks, so that two documents agree in a sample with the probability of their weighted Jaccard similarity.
 4. Documents that agree in a band of samples meet, and are candidates if enough of all samples agree.
@@ -399,7 +399,9 @@ def _judged(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataF
     rows = written(source.select("doc_id", "rid"))
     equal = written(rows.groupBy("rid").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")))
 
-    common = common_shingles(source.select("text"))
+    # From here on there is one document for each text, so that copies don't make a text's shingles common.
+    distinct = written(source.select("rid", "text").dropDuplicates(["rid"]))
+    common = common_shingles(distinct.select("text"))
     shared = docs.sparkSession.sparkContext.broadcast((equal.count(), common))  # bounded by IDF_CEILING x mean shingles
     made: list[Weights] = []
 
@@ -408,14 +410,11 @@ def _judged(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataF
             made.append(Weights(*shared.value))
         return made[0]
 
-    sketches = written(sketched(source.select("rid", "text"), weights).groupBy("rid").agg(F.first("sketch").alias("sketch")))
+    sketches = written(sketched(distinct, weights))
     pairs, large = meetings(banded(sketches))
     candidates = written(alike(pairs, sketches))
     ends = candidates.select(F.explode(F.array("a", "b")).alias("r")).union(large.select("rid")).distinct()
-    wanted = equal.join(ends, F.col("rid") == F.col("r")).select(F.col("rid").alias("r"), "top")
-    # One row stands for each text, by id too, so that many copies of one text don't meet in one task.
-    chosen = source.join(wanted, (F.col("rid") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")), "left_semi")
-    texts = written(chosen.select("rid", "text").dropDuplicates(["rid"]))
+    texts = written(distinct.join(ends, F.col("rid") == F.col("r"), "left_semi"))
 
     named = connected_components(written(verified(candidates, texts, weights, similarity)), "a", "b")
     turn = 0

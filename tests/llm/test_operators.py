@@ -254,6 +254,18 @@ def test_near_pairs_among_many_unlike_templates(spark):
     assert {tuple(sorted(ids)) for ids in found.values() if len(ids) > 1} == near
 
 
+def test_copies_of_a_text_leave_its_near_copies_near(spark):
+    """A text has nine tenths of all rows. Its near copies are linked as they are with one row of each text."""
+    hot = [f"h{i}" for i in range(200)]
+    near = [" ".join(hot[:at] + ["edit"] + hot[at + 1 :]) for at in (50, 150)]
+    others = [" ".join(f"o{i}x{k}" for k in range(60)) for i in range(37)]
+    for copies in (1, 360):
+        df = spark.createDataFrame(rows_of(*others, *near, *[" ".join(hot)] * copies), SCHEMA)
+        got = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_classes(df).collect()}
+        assert {got[i] for i in range(37, 39 + copies)} == {(38 + copies, 2 + copies)}
+        assert all(got[i] == (i, 1) for i in range(37))
+
+
 def test_common_shingles_are_counted_exactly(spark, docs):
     texts_ = docs.select("text").repartition(5)
     counts = Counter()
