@@ -773,5 +773,5 @@ def me_24(s, d):
 
 @query("cc_01_components")
 def cc_01(s, d):
-    items = D.table(s, d, "lineitem").filter("l_quantity > 48")
+    items = D.table(s, d, "lineitem")
     return L.clusters(items.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")))
