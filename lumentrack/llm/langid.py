@@ -1,8 +1,9 @@
 """Language identification by cross-parsing entropy.
 
 A text is cut, from left to right, into the longest phrases that occur in a language's labelled text. The suffix
-automaton of that text finds them in one walk. The language that needs the fewest phrases, in bits of a phrase's
-pointer for each letter, wins.
+automaton of that text finds them in one walk. The language that needs the fewest phrases wins. Its bits for each
+letter charge every phrase a pointer into the longest sample, whichever language's it is: a shorter sample finds
+shorter phrases, and must not make them cheaper.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ class Parser:
         """Language, score and bits a letter of the best language for each text."""
         s, at = symbols(texts)
         n = np.diff(at)
-        bits = self.phrases(s, at) * np.log2(np.array(self.model.lengths, float))[:, None] / np.maximum(n, 1)
+        bits = self.phrases(s, at) * np.log2(float(max(self.model.lengths))) / np.maximum(n, 1)
         best = bits.argmin(axis=0)
         low = bits[best, np.arange(len(n))]
         second = np.partition(bits, 1, axis=0)[1] if len(bits) > 1 else np.full(len(n), np.inf)

@@ -476,6 +476,19 @@ def test_language_of_held_out_documents(spark, docs):
     assert all(bool(r.held_out) == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in langid.predicted(docs).limit(40).collect())
 
 
+def test_a_label_with_one_short_text_takes_nothing(spark, docs):
+    stray = [i for i in range(10**6, 10**6 + 50) if zlib.crc32(str(i).encode()) % 3 != 1][:1]  # learnt from
+    rng = random.Random(4)
+    junk = [(2 * 10**6 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)), "zz") for i in range(20)]
+    texts_ = docs.select("doc_id", "text", "lang")
+    more = texts_.union(spark.createDataFrame([(i, "ok", "xx") for i in stray], texts_.schema))
+    with_stray = {r.doc_id: r.lang_pred for r in langid.predicted(more).collect() if r.doc_id < 10**6}
+    assert with_stray == {r.doc_id: r.lang_pred for r in langid.predicted(texts_).collect()} and "xx" not in with_stray.values()
+    model = langid.train(more)
+    bits = lambda m: [r.bits for r in langid.identify(spark.createDataFrame(junk, texts_.schema), m, [F.col("doc_id")]).orderBy("doc_id").collect()]
+    assert bits(model) == bits(langid.train(texts_))
+
+
 def test_language_edges(spark, docs, odd, none):
     model = langid.train(docs)
     got = {r.doc_id: r for r in langid.identify(odd, model, [F.col("doc_id")]).collect()}
