@@ -119,11 +119,11 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, *, seed: int = 1, sta
 
 
 def shard_digests(docs: DataFrame, n_shards: int = 16, *, seed: int = 1, stable: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 1; null has none), text_crc32, law, shard, slot, grown_shard. Texts don't move."""
+    """doc_id, size (UTF-8 bytes of the text plus 1; null has none), text_crc32, law, shard, slot, grown_shard, of the whole documents as they are shuffled."""
+    out = shuffle_into_shards(docs, n_shards, seed=seed, stable=stable)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
-    out = shuffle_into_shards(rows, n_shards, seed=seed, stable=stable)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32")
+    return out.select(F.col(id_col).alias("doc_id"), size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 16, *, seed: int = 1) -> None:

@@ -443,6 +443,13 @@ def test_shards_are_even_gapless_and_uniform(spark, odd, none):
     assert sharding.shard_digests(none).count() == 0
 
 
+def test_whole_documents_are_shuffled(monkeypatch, odd):
+    shuffle, given = sharding.shuffle_into_shards, []
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda df, *a, **k: given.append(df.columns) or shuffle(df, *a, **k))
+    assert sharding.shard_digests(odd, 4).count() == odd.count()
+    assert given == [odd.columns]
+
+
 # --- language ---
 
 
