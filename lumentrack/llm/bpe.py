@@ -2,16 +2,17 @@
 
 Each prefix of a piece has one valid encoding, and so one valid last token. A token may follow the last token of
 the prefix before it only if the merges, run on the two tokens' bytes alone, give back the same two tokens. Keeping
-every prefix's last token makes appending exact, and lets an edit reuse all that stands before it.
+every prefix's last token makes appending exact, and lets an edit reuse all that stands before it. The pieces of a
+batch that weren't met before take a byte at a time together.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Memory bound of a worker's memo: so many pieces of at most so many bytes.
-MEMO_PIECES, MEMO_BYTES = 300_000, 48
-#: And so many prefixes of at most so many bytes.
-MEMO_PREFIXES, PREFIX_BYTES = 300_000, 32
+#: Pieces of up to so many bytes are encoded together, longer ones alone.
+SHORT_BYTES = 48
+#: Memory bounds of a worker: so many short pieces are known in each of two generations, and of so many pairs whether they fit.
+MEMO_PIECES, MEMO_PAIRS = 200_000, 500_000
+#: Texts are encoded together up to about so many characters, a longer text in runs of so many pieces.
+BATCH_CHARS, RUN_PIECES = 2_000_000, 400_000
 
 
 class Vocabulary:
@@ -41,9 +44,29 @@ class Vocabulary:
             lengths.sort(reverse=True)
         # White space as the rank files' own library has it: U+001C to U+001F aren't.
         self.pieces = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})"))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.length = np.array([len(t) for t in self.tokens])
+        self.start = np.cumsum(self.length) - self.length
+        self._grow_tree()
+        self._halves: dict[int, tuple[int, int]] = {}
+        self._fits: dict[int, bool] = {}
         self._memo: dict[str, bytes] = {}
-        self._prefixes: dict[bytes, int] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _grow_tree(self) -> None:
+        """All tokens read backwards as a tree: sorted edges (node x 256 + byte), where they lead, and the token that a node ends, or -1."""
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for token, rank in self.ranks.items():
+            node = 0
+            for byte in reversed(token):
+                node = edges.setdefault(node << 8 | byte, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = rank
+        self.edges = np.sort(np.fromiter(edges, np.int64, len(edges)))
+        self.leads = np.array([edges[e] for e in self.edges.tolist()], np.int32)
+        self.ends = np.array(ends, np.int32)
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, the leftmost of equals, until none is a token."""
@@ -55,13 +78,48 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether b may follow a."""
-        known = self._fits.get((a, b))
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens that the last of a token's own merges joins."""
+        known = self._halves.get(token)
         if known is None:
-            if len(self._fits) > 300_000:
-                self._fits.clear()
-            known = self._fits[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            data, ranks = self.tokens[token], self.ranks
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                _, at = min((ranks.get(a + b, len(self.tokens)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known = self._halves[token] = ranks[parts[0]], ranks[parts[1]]
+        return known
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether b may follow a: no merge joins the two before those within them are done.
+
+        The tokens on either side of the border are followed back in time, the later merge undone first. Two that stand
+        there together are joined if their rank comes before that of the merge which takes one of them, and on equal
+        ranks if that merge is to the right.
+        """
+        key = a << 20 | b
+        known = self._fits.get(key)
+        if known is not None:
+            return known
+        tokens, rank_of = self.tokens, self.ranks.get
+        left, right, known = tokens[a], tokens[b], True
+        till_a = till_b = len(tokens)
+        while True:
+            rank = rank_of(left + right)
+            if rank is not None and rank < till_a and rank <= till_b:
+                known = False
+                break
+            if len(left) > 1 and (a > b or len(right) == 1):
+                till_a, a = a, self.halves(a)[1]
+                left = tokens[a]
+            elif len(right) > 1:
+                till_b, b = b, self.halves(b)[0]
+                right = tokens[b]
+            else:
+                break
+        if len(self._fits) >= MEMO_PAIRS:
+            self._fits.clear()
+        self._fits[key] = known
         return known
 
     def last_token(self, data: bytes, end: int, last: list[int]) -> int:
@@ -78,36 +136,60 @@ class Vocabulary:
             last.append(self.last_token(data, end, last))
         return last
 
-    def short(self, data: bytes) -> list[int]:
-        """The encoding of a short piece. Pieces share their beginnings, so every prefix's last token is kept for the next piece."""
-        known, fitting, ranks, tokens, ending, n = self._prefixes, self._fits, self.ranks, self.tokens, self.ending, len(data)
-        if len(known) > MEMO_PREFIXES:
-            known.clear()
-        low, high = 0, n  # the longest known prefix; those of a known prefix are known
-        while low < high:
-            middle = (low + high + 1) // 2
-            if data[:middle] in known:
-                low = middle
-            else:
-                high = middle - 1
-        for end in range(low + 1, n + 1):
-            for m in (*ending.get(data[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1):
-                if m <= end and (token := ranks.get(data[end - m : end])) is not None:
-                    if m < end:
-                        before = known[data[: end - m]]
-                        fits = fitting.get((before, token))
-                        if not (self.fits(before, token) if fits is None else fits):
-                            continue
-                    known[data[:end]] = token
+    def last_tokens(self, pieces: list[bytes]) -> np.ndarray:
+        """Row i, column e: the valid last token of pieces[i][:e]. The pieces come longest first."""
+        width = len(pieces[0])
+        data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(-1, width)
+        lengths = np.array([len(p) for p in pieces])
+        last = np.zeros((len(pieces), width + 1), np.int32)
+        for end in range(1, width + 1):
+            rows = np.arange(np.searchsorted(-lengths, -end, "right"))
+            open_, node, found = rows, np.zeros(len(rows), np.int64), []
+            for n in range(1, end + 1):
+                edge = node << 8 | data[open_, end - n]
+                at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                on = self.edges[at] == edge
+                open_, node = open_[on], self.leads[at[on]].astype(np.int64)
+                if not len(open_):
                     break
-            else:
-                raise ValueError(f"no token ends the prefix {data[:end]!r}")
-        out = []
-        while n:
-            token = known[data[:n]]
-            out.append(token)
-            n -= len(tokens[token])
-        return out[::-1]
+                token = self.ends[node]
+                is_token = token >= 0
+                found.append((n, open_[is_token], token[is_token]))
+            done = np.zeros(len(rows), bool)
+            for n, row, token in reversed(found):  # at most one is valid
+                left = ~done[row]
+                row, token = row[left], token[left]
+                if n < end:
+                    pair, which = np.unique(last[row, end - n].astype(np.int64) << 20 | token, return_inverse=True)
+                    pairs = pair.tolist()
+                    known = list(map(self._fits.get, pairs))
+                    fit = np.array([self.fits(p >> 20, p & 0xFFFFF) if k is None else k for p, k in zip(pairs, known, strict=True)], bool)[which]
+                    row, token = row[fit], token[fit]
+                last[row, end] = token
+                done[row] = True
+            if not done.all():
+                raise ValueError(f"no token ends the prefix {pieces[int(done.argmin())][:end]!r}")
+        return last
+
+    def short(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of short pieces, longest first, as little-endian unsigned 32-bit integers."""
+        last = self.last_tokens(pieces)
+        end, row = np.array([len(p) for p in pieces]), np.arange(len(pieces))
+        back = []
+        while len(row):
+            token = last[row, end[row]]
+            back.append((row, token))
+            end[row] -= self.length[token]
+            row = row[end[row] > 0]
+        count = np.zeros(len(pieces), np.int64)
+        for row, _ in back:
+            count[row] += 1
+        till = np.cumsum(count)
+        ids = np.empty(till[-1], "<u4")
+        for k, (row, token) in enumerate(back):
+            ids[till[row] - 1 - k] = token
+        packed, cuts = ids.tobytes(), [0, *(4 * till).tolist()]
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def walk(self, last: list[int]) -> list[int]:
         """The encoding that the last tokens of all prefixes spell, read backwards."""
@@ -117,26 +199,61 @@ class Vocabulary:
             end -= len(self.tokens[out[-1]])
         return out[::-1]
 
-    def piece_bytes(self, piece: str) -> bytes:
-        """A piece's ids as little-endian unsigned 32-bit integers."""
-        packed = self._memo.get(piece)
-        if packed is None:
-            data = piece.encode()
-            rank = self.ranks.get(data)
-            ids = [rank] if rank is not None else self.short(data) if len(data) <= PREFIX_BYTES else self.walk(self.extend(data, []))
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-            if len(data) <= MEMO_BYTES:
-                if len(self._memo) >= MEMO_PIECES:
-                    self._memo.clear()
-                self._memo[piece] = packed
-        return packed
+    def long(self, data: bytes) -> bytes:
+        rank = self.ranks.get(data)
+        return np.array([rank] if rank is not None else self.walk(self.extend(data, [])), "<u4").tobytes()
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of the pieces, from the memo or anew. Of two generations of short pieces the older is forgotten."""
+        if len(self._memo) >= MEMO_PIECES:
+            self._memo, self._older = {}, self._memo
+        memo, older = self._memo, self._older
+        new = pieces - memo.keys()
+        for piece in new & older.keys():
+            memo[piece] = older[piece]
+        new = sorted(((p.encode(), p) for p in new - older.keys()), key=lambda p: len(p[0]), reverse=True)
+        n_long = sum(len(data) > SHORT_BYTES for data, _ in new)
+        for i in range(n_long, len(new), 1 << 15):
+            block = new[i : i + (1 << 15)]
+            memo.update(zip((p for _, p in block), self.short([data for data, _ in block]), strict=True))
+        return memo | {p: self.long(data) for data, p in new[:n_long]} if n_long else memo
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            till, chars = at, 0
+            while till < len(texts) and (till == at or chars + len(texts[till]) <= BATCH_CHARS):
+                chars += len(texts[till])
+                till += 1
+            if chars > BATCH_CHARS:
+                out.append(self._in_runs(texts[at]))
+            else:
+                lists = [self.pieces.findall(t) for t in texts[at:till]]
+                ids = self.learn(set().union(*lists)).__getitem__
+                out += [b"".join(map(ids, pieces)) for pieces in lists]
+            at = till
+        return out
+
+    def _in_runs(self, text: str) -> bytes:
+        found, parts = self.pieces.finditer(text), []
+        while run := [m.group() for m in islice(found, RUN_PIECES)]:
+            parts.append(b"".join(map(self.learn(set(run)).__getitem__, run)))
+        return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
-        get = self._memo.get
-        return b"".join([get(p) or self.piece_bytes(p) for p in self.pieces.findall(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        """The tokens' bytes, gathered for some thousands of ids at once."""
+        ids, parts = np.frombuffer(packed, "<u4"), []
+        for i in range(0, len(ids), 1 << 18):
+            block = ids[i : i + (1 << 18)]
+            n = self.length[block]
+            at = np.repeat(self.start[block] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            parts.append(self.flat[at].tobytes())
+        return b"".join(parts)
 
 
 class Encoding:
@@ -195,6 +312,13 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _loaded[path, pattern]
 
 
+def runs(batch: pa.RecordBatch, most: int = 2 * BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` bytes at most, whole rows, so that their pieces fit in memory."""
+    per = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, per):
+        yield batch.slice(i, per)
+
+
 def encoded(text: Column, path: str, pattern: str) -> Column:
     """The ids of each whole text as little-endian unsigned 32-bit integers, binary; null is encoded as the empty text."""
     from pyspark.sql.types import BinaryType
@@ -203,7 +327,7 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path, pattern)
         for texts in batches:
-            yield pa.array([v.encode(t) if t else b"" for t in texts.to_pylist()], pa.binary())
+            yield pa.array(v.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
     return encode(text)
 
@@ -231,14 +355,11 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for batch in batches:
-            n, ids, back = [], [], []
-            for t in batch.column(1):
-                packed = v.encode(t.as_py() or "")
-                n.append(len(packed) // 4)
-                ids.append(sha(packed))
-                back.append(sha(v.decode(packed)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for batch in runs(whole):
+                packed = v.encode_all([t or "" for t in batch.column(1).to_pylist()])
+                n = pa.array([len(p) // 4 for p in packed], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([sha(p) for p in packed]), pa.array([sha(v.decode(p)) for p in packed])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), text).mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
