@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrack.llm.bpe import vocabulary
+from lumentrack.llm.bpe import runs, vocabulary
 
 ROW_TOKENS = 2048
 #: A window closes once it has so many tokens, which bounds a task's memory but for one document.
@@ -96,7 +96,7 @@ def packed(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, task, made = vocabulary(path, pattern), TaskContext.get().partitionId(), 0
-        segments, held, id_type = [], 0, pa.int64()
+        segments, held, id_type, end_bytes = [], 0, pa.int64(), np.uint32(end_id).tobytes()
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal made
@@ -110,15 +110,16 @@ def packed(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
                     names=["pack_id", "n_tokens", "ids", "positions", "cu_seqlens", "doc_ids", "parts", "starts"],
                 )
 
-        for batch in batches:
-            id_type = batch.column(0).type
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(np.frombuffer(v.encode(t.as_py() or ""), "<u4"), np.uint32(end_id))
-                segments += [(doc, k, at, ids[at : at + row_tokens]) for k, at in enumerate(range(0, len(ids), row_tokens))]
-                held += len(ids)
-                if held >= window_tokens:
-                    yield from close()
-                    segments, held = [], 0
+        for whole in batches:
+            id_type = whole.column(0).type
+            for batch in runs(whole):
+                for doc, packed_ids in zip(batch.column(0).to_pylist(), v.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                    ids = np.frombuffer(packed_ids + end_bytes, "<u4")
+                    segments += [(doc, k, at, ids[at : at + row_tokens]) for k, at in enumerate(range(0, len(ids), row_tokens))]
+                    held += len(ids)
+                    if held >= window_tokens:
+                        yield from close()
+                        segments, held = [], 0
         yield from close()
 
     return source.mapInArrow(run, f"pack_id long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{kind}>, parts array<int>, starts array<long>")
