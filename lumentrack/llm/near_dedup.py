@@ -6,9 +6,10 @@
    picks, so that two documents agree in a sample with the probability of their weighted Jaccard similarity.
 4. Documents that agree in a band of samples meet, and are candidates if enough of all samples agree.
 5. Candidates are verified by the weighted Jaccard similarity of their whole texts. Classes are the components of
-   the verified links. Where a bucket is too large for all its members to meet, a few stand for its largest component
-   in turns, which joins most of what is near; then every pair of different components meets that shares a shingle
-   without which it can't be similar enough. So no pair is left out.
+   the verified links. In a bucket too large for all its members to meet, each meets one of them at first. Then pairs
+   of different components meet that share a shingle without which they can't be similar enough: for some turns those
+   outside of a shingle's largest component meet some members of it, at last all do. So no pair is left out, and what
+   is joined before needs no pairs.
 """
 
 from __future__ import annotations
@@ -32,12 +33,10 @@ BANDS, BAND_ROWS = 16, 4
 #: A shingle in fewer than one of so many documents has the full weight; commoner ones weigh less. So the table of
 #: common shingles has at most IDF_CEILING x (mean shingles of a document) rows, however many documents there are.
 IDF_CEILING = 16
-#: All members of a bucket of at most so many meet each other. See ``further_meetings`` and ``last_meetings`` for larger ones.
+#: All members of a bucket of at most so many meet each other. See ``later_meetings`` for larger ones.
 SMALL_BUCKET = 24
-#: So many members stand for a component in a large bucket.
-STANDS = 16
-#: Turns end with the first that links so small a share of the members of large buckets; what is left is left to ``last_meetings``.
-TURN_YIELD = 0.002
+#: In each turn so many members of a shingle's largest component meet what is outside of it; after these turns all do.
+PARTNERS = (1, 8, 64, 512)
 #: Of the 64 samples so many agree in a candidate pair: five standard deviations below the mean of a pair at the threshold.
 LEAST_AGREE = 35
 _STEP = 0.02
@@ -75,7 +74,7 @@ def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """Weight of a shingle: its count x ln(1 + documents / documents with it), the ratio held at IDF_CEILING, on a logarithmic scale of steps of 2 %."""
+    """Weight of a shingle: its count x ln(1 + documents / documents with it), the ratio held at IDF_CEILING."""
 
     def __init__(self, n_docs: int, common: list[tuple[int, int]]):
         common = sorted(common)
@@ -84,13 +83,17 @@ class Weights:
         self.idf = np.log1p(np.minimum(ratio, IDF_CEILING))
         self.rare = float(np.log1p(IDF_CEILING))
 
-    def levels(self, s: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def of(self, s: np.ndarray, count: np.ndarray) -> np.ndarray:
         idf = np.full(len(s), self.rare)
         if len(self.keys):
             i = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
             hit = self.keys[i] == s
             idf[hit] = self.idf[i[hit]]
-        return np.round(np.log(count * idf) / _STEP).astype(np.int32)
+        return count * idf
+
+    def levels(self, s: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The weights on a logarithmic scale of steps of 2 %, which sampling takes; verification takes them as they are."""
+        return np.round(np.log(self.of(s, count)) / _STEP).astype(np.int32)
 
 
 def common_shingles(texts: DataFrame) -> list[tuple[int, int]]:
@@ -240,11 +243,11 @@ def banded(sketches: DataFrame) -> DataFrame:
 
 
 def _sized(bands: DataFrame) -> DataFrame:
-    """``bands`` within buckets of two or more, with the bucket's size and its first and last member.
+    """``bands`` within buckets of two or more, with the bucket's size and its first member.
 
     Joined on the key and a hash of it, so that both sides are exchanged for the join alone and hot keys can be split.
     """
-    buckets = bands.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high")).filter("n > 1")
+    buckets = bands.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("low")).filter("n > 1")
     return bands.join(buckets, (F.col("key") == F.col("key2")) & (F.hash("key") == F.hash("key2"))).drop("key2")
 
 
@@ -255,84 +258,84 @@ def _all_pairs(bands: DataFrame) -> DataFrame:
     return small.select("key", F.col("rid").alias("a")).join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b")
 
 
-def meetings(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+def first_meetings(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of documents that share a band, and the members (key, rid) of buckets too large to pair all of them.
 
-    Every member meets the first and the last of its bucket, and in small buckets every other.
+    In small buckets all members meet, in large ones each meets the first.
     """
     sized = written(_sized(bands))
-    star = sized.filter(F.col("n") > SMALL_BUCKET).select("rid", F.explode(F.array("low", "high")).alias("other")).filter("rid <> other")
-    star = star.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"))
+    star = sized.filter((F.col("n") > SMALL_BUCKET) & (F.col("rid") > F.col("low"))).select(F.col("low").alias("a"), F.col("rid").alias("b"))
     return star.unionByName(_all_pairs(sized)).distinct(), written(sized.filter(F.col("n") > SMALL_BUCKET).select("key", "rid"))
 
 
-def further_meetings(large: DataFrame, named: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of the largest component of each large bucket with the bucket's others.
-
-    Up to STANDS members stand for a component in each bucket, others in each turn. This only saves ``last_meetings``
-    work: components that are joined here don't meet there.
-    """
-    chance = F.xxhash64("rid", F.lit(turn))
-    stands = written(_in_components(large, named).groupBy("key", "c", F.pmod(chance, F.lit(STANDS)).alias("slot")).agg(F.min_by("rid", chance).alias("rid"), F.count(F.lit(1)).alias("m")))
-    parts = stands.groupBy("key", "c").agg(F.sum("m").alias("m"))
-    tops = parts.groupBy(F.col("key").alias("key2")).agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = written(stands.join(tops, (F.col("key") == F.col("key2")) & (F.hash("key") == F.hash("key2"))).drop("key2"))
-    largest = mixed.filter("c = top").select(F.col("key").alias("k"), F.col("rid").alias("other"))  # STANDS a bucket at most
-    met = mixed.filter("c <> top").join(largest, F.col("key") == F.col("k"))
-    return met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
+def _in_components(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` with the component ``c`` of each rid; one without a link is its own."""
+    return rows.join(named.select("node", "component"), F.col("rid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rid")).drop("node", "component")
 
 
-def _in_components(large: DataFrame, named: DataFrame) -> DataFrame:
-    """``large`` with the component ``c`` of each member; one without a link is its own."""
-    return large.join(named.select("node", "component"), F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("component", "rid").alias("c"))
+def parted(large: DataFrame, named: DataFrame) -> DataFrame:
+    """The members (rid) of large buckets that hold several components."""
+    members = _in_components(large, named)
+    several = members.groupBy(F.col("key").alias("key2")).agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("key2")
+    return members.join(several, (F.col("key") == F.col("key2")) & (F.hash("key") == F.hash("key2"))).select("rid").distinct()
 
 
 def prefixes(texts: DataFrame, weights: Callable[[], Weights], similarity: float) -> DataFrame:
-    """(h, rid, whole, light): the shingles of each text (rid, text) that similar texts must share one of.
+    """(h, rid, whole, rest): the shingles of each text (rid, text) that similar texts must share one of.
 
-    Shingles are ordered by the number of texts with them, rarest first. Two texts of weights x <= y that are similar
-    enough have s (x + y) / (1 + s) in common, which is at least 2 s x / (1 + s) and at least s y. The rarest shingle
-    that they share has all of it at or after its place, so in the lighter text it is ``light`` and in the other it is
-    among the rows. ``whole`` is the text's weight. Shingles of a single text are left out.
+    Shingles are ordered by the number of texts with them, rarest first. ``rest`` is the weight of the text's shared
+    shingles from this one on, ``whole`` that of all its shingles. Two texts of weights x and y that are similar
+    enough have s (x + y) / (1 + s) in common, s x or more, and all of it from the rarest shingle on that they share.
+    So in both texts that shingle has as much rest.
     """
     least = similarity - 1e-6
 
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            s, n = np.unique(counted(batch.column(1))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(n)], names=["h2", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights()
         for batch in _pieces(batches):
             s, n, at = counted(batch.column(1))
-            weight = np.exp(w.levels(s, n) * _STEP)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            weight, row = w.of(s, n), np.repeat(np.arange(batch.num_rows), np.diff(at))
             whole = np.bincount(row, weight, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(s.astype(np.int64)), pa.array(weight), pa.array(whole[row])], names=["rid", "h", "weight", "whole"])
 
-    each = written(texts.select("rid", "text").mapInArrow(run, "rid binary, h long, weight double, whole double"))
-    having = each.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Texts are spread evenly, as a row for each of their shingles follows. Shared shingles are few beside all of them: counted in each task first, and written, so that Spark knows their
+    # size and only beyond its broadcast threshold exchanges the texts' rows for the join.
+    texts = texts.select("rid", "text").repartition("rid")
+    having = written(texts.mapInArrow(counts, "h2 long, n long").groupBy("h2").agg(F.sum("n").alias("n")).filter("n > 1"))
+    each = texts.mapInArrow(run, "rid binary, h long, weight double, whole double")
     shared = each.join(having, (F.col("h") == F.col("h2")) & (F.hash("h") == F.hash("h2"))).drop("h2")
     rest = F.sum("weight").over(Window.partitionBy("rid").orderBy(F.desc("n"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = shared.withColumn("rest", rest).filter(F.col("rest") >= least * F.col("whole"))
-    return placed.select("h", "rid", "whole", (F.col("rest") >= 2 * least / (1 + least) * F.col("whole")).alias("light"))
+    return written(shared.withColumn("rest", rest).filter(F.col("rest") >= least * F.col("whole")).select("h", "rid", "whole", "rest"))
 
 
-def last_meetings(large: DataFrame, named: DataFrame, texts: DataFrame, weights: Callable[[], Weights], similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components among the members of large buckets that hold several, all that can be similar enough.
+def later_meetings(marks: DataFrame, named: DataFrame, similarity: float, partners: int | None, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar enough by their ``prefixes``.
 
-    The members meet by ``prefixes``. Within a shingle, those of its largest component meet only those outside of it.
+    Within a shingle what is outside of its largest component meets up to ``partners`` members of that, others in each
+    turn; without a number, it meets all the others.
     """
-    members = _in_components(large, named)
-    several = members.groupBy(F.col("key").alias("key2")).agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key2")
-    left = written(members.join(several, (F.col("key") == F.col("key2")) & (F.hash("key") == F.hash("key2"))).select(F.col("rid").alias("r"), "c").distinct())
-    found = prefixes(texts.join(left, F.col("rid") == F.col("r"), "left_semi"), weights, similarity)
-    marks = written(found.join(left, F.col("rid") == F.col("r")).select("h", "rid", "whole", "light", "c"))
+    least = similarity - 1e-6
+    marks = _in_components(marks, named)
     parts = marks.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"))
     tops = parts.groupBy(F.col("h").alias("h2")).agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    mixed = written(marks.join(tops, (F.col("h") == F.col("h2")) & (F.hash("h") == F.hash("h2"))).drop("h2"))
-    light = mixed.filter("light").select("h", F.col("rid").alias("a"), F.col("whole").alias("x"), F.col("c").alias("ca"), (F.col("c") == F.col("top")).alias("in_top"))
-    other = mixed.select(F.col("h").alias("k"), F.col("rid").alias("b"), F.col("whole").alias("y"), "c", (F.col("c") == F.col("top")).alias("top_too"))
-    fits = (F.col("h") == F.col("k")) & (F.col("ca") != F.col("c")) & (F.col("x") <= F.col("y") * (1 + 1e-9)) & (F.col("x") >= F.col("y") * (similarity - 1e-6))
-    pairs = light.filter("not in_top").join(other, fits).select("a", "b")
-    pairs = pairs.unionByName(light.filter("in_top").join(other.filter("not top_too"), fits).select("a", "b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mixed = written(marks.join(tops, (F.col("h") == F.col("h2")) & (F.hash("h") == F.hash("h2"))).drop("h2").withColumn("inside", F.col("c") == F.col("top")).drop("top"))
+    side = lambda df, x: df.select(F.col("h").alias(f"h{x}"), F.col("rid").alias(x), F.col("whole").alias(f"w{x}"), F.col("rest").alias(f"rest{x}"), F.col("c").alias(f"c{x}"), F.col("inside").alias(f"inside{x}"))
+    others = mixed
+    if partners is not None:
+        chance = F.xxhash64("rid", F.lit(turn))
+        held = mixed.filter("inside").withColumn("chance", chance).groupBy("h", F.pmod("chance", F.lit(partners)).alias("slot"))
+        others = held.agg(F.min_by(F.struct("rid", "whole", "rest", "c", "inside"), "chance").alias("one")).select("h", "one.*")
+    both = F.col("wa") + F.col("wb")
+    common = least / (1 + least) * both
+    fits = (F.col("ha") == F.col("hb")) & (F.col("ca") != F.col("cb")) & (F.least("resta", "restb") >= common) & (F.least("wa", "wb") >= least / (1 + least) * both)
+    # Of two outside of the largest component, the smaller is the one that meets.
+    met = side(mixed.filter("not inside"), "a").join(side(others, "b"), fits & (F.col("insideb") | (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -352,7 +355,7 @@ def jaccard(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
     for texts in (a, b):
         s, count, at = counted(texts)
         pair = np.repeat(np.arange(n, dtype=np.uint64), np.diff(at))
-        sides.append(((pair << np.uint64(_HASH_BITS)) | s, np.exp(weights.levels(s, count) * _STEP), pair.astype(np.int64)))
+        sides.append(((pair << np.uint64(_HASH_BITS)) | s, weights.of(s, count), pair.astype(np.int64)))
     (ka, wa, pa_), (kb, wb, pb) = sides
     total = np.bincount(pa_, wa, n) + np.bincount(pb, wb, n)
     if not len(kb):
@@ -364,7 +367,14 @@ def jaccard(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Callable[[], Weights], similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The pairs (a, b) whose texts are similar enough.
+
+    Pairs and the texts in them are written first, so that their sizes are known: where they are few, no text that
+    isn't in a pair moves.
+    """
+    pairs = written(pairs.select("a", "b"))
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct())
+    texts = written(texts.join(ends, F.col("rid") == F.col("r"), "left_semi").select("rid", "text"))
     ta, tb = (texts.select(F.col("rid").alias(f"r{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
     both = pairs.select("a", "b").join(ta, F.col("a") == F.col("ra")).join(tb, F.col("b") == F.col("rb")).select("a", "b", "ta", "tb")
 
@@ -411,27 +421,20 @@ def _judged(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataF
         return made[0]
 
     sketches = written(sketched(distinct, weights))
-    pairs, large = meetings(banded(sketches))
+    pairs, large = first_meetings(banded(sketches))
     candidates = written(alike(pairs, sketches))
     ends = candidates.select(F.explode(F.array("a", "b")).alias("r")).union(large.select("rid")).distinct()
     texts = written(distinct.join(ends, F.col("rid") == F.col("r"), "left_semi"))
 
     named = connected_components(written(verified(candidates, texts, weights, similarity)), "a", "b")
-    turn = 0
-    n_large = large.count()
-    while n_large:
-        turn += 1
-        more = written(verified(alike(further_meetings(large, named, turn), sketches), texts, weights, similarity))
-        n_more = more.count()
-        if n_more:
-            named = _joined(named, more)
-        if n_more <= TURN_YIELD * n_large:
-            break
-    if n_large:
-        last = last_meetings(large, named, texts, weights, similarity)
-        more = written(verified(alike(last, sketches), texts, weights, similarity))
-        if not more.isEmpty():
-            named = _joined(named, more)
+    left = written(parted(large, named))
+    if not left.isEmpty():
+        members = written(texts.join(left.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left_semi"))
+        marks = prefixes(members, weights, similarity)
+        for turn, partners in enumerate((*PARTNERS, None)):
+            more = written(verified(later_meetings(marks, named, similarity, partners, turn), texts, weights, similarity))
+            if not more.isEmpty():
+                named = _joined(named, more)
 
     classes = equal.join(named, F.col("rid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rid"))
     whole = classes.groupBy(F.col("component").alias("c")).agg(F.max("top").alias("class_id"), F.sum("n").alias("class_size")).filter("class_size > 1")
