@@ -14,17 +14,29 @@ from pyspark.sql import functions as F
 
 from lumentrack.session import cut, fresh, written
 
-#: A chunk has at least this many characters and ends after the next line feed, or at the longest after MAX_CHARS.
-MIN_CHARS, MAX_CHARS = 512, 2048
+#: A chunk ends after one word in so many, as a hash of it and the next one has it, and has at most MAX_WORDS.
+WORDS, MAX_WORDS = 96, 1024
+#: Java pattern whose matches tile a text: words with the white space after them. What runs on without white space is
+#: parted after the first vowel, low digit or punctuation mark, or where it has none of these, after 256 characters.
+WORD_PATTERN = r"(?s)\S{0,255}\s{1,256}|\S{1,255}\z|\S{0,255}?[aeiouAEIOU0-4\p{P}]|.{1,256}"
 
 
-def chunk_pattern(min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> str:
-    """Java pattern whose successive matches tile a text: the cuts depend on nearby content, not on offsets."""
-    return f"(?s).{{{min_chars}}}[^\\n]{{0,{max_chars - min_chars}}}\\n?|.+"
+def with_chunks(rows: DataFrame, name: str, *, text: str = "text", words: int = WORDS, max_words: int = MAX_WORDS) -> DataFrame:
+    """``rows`` with the array ``name`` of the text's chunks in order (null has none), in a chain of projections.
 
-
-def chunks_of(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(chunk_pattern(min_chars, max_chars)), F.lit(0))
+    Whether a chunk ends between two words depends on these two alone. So an edit changes the chunks about it, and
+    those before and after stay as they are; only stretches of more than ``max_words`` words without an end are
+    counted out from where they begin.
+    """
+    w, h, e = (fresh([*rows.columns, name], c) for c in ("_words", "_hashes", "_ends"))
+    step = rows.withColumn(w, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD_PATTERN), F.lit(0)))
+    step = step.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
+    ends = F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(words)) == 0)
+    step = step.withColumn(e, F.filter(F.transform(ends, lambda end, i: F.when(end & (i + 1 < F.size(w)), i + 1)), lambda i: i.isNotNull())).drop(h)
+    stretches = F.zip_with(F.concat(F.array(F.lit(0)), e), F.concat(e, F.array(F.size(w))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    parts = F.flatten(F.transform(stretches, lambda s: F.transform(F.sequence(s["a"], s["b"] - 1, F.lit(max_words)), lambda a: F.struct(a.alias("a"), F.least(a + max_words, s["b"]).alias("b")))))
+    chunks = F.transform(parts, lambda s: F.array_join(F.slice(w, s["a"] + 1, s["b"] - s["a"]), ""))
+    return step.withColumn(name, F.when(F.size(w) > 0, chunks).otherwise(F.array().cast("array<string>"))).drop(w, e)
 
 
 def identifier(chunk: Column) -> Column:
@@ -37,7 +49,7 @@ def shared_identifiers(docs: DataFrame, text: str = "text", identify: Callable[[
 
     Equal chunks are combined before the shuffle, so a passage that many documents share moves once per task.
     """
-    chunk = docs.select(F.explode(chunks_of(F.col(text))).alias("chunk"))
+    chunk = with_chunks(docs.select(F.col(text).alias("text")), "chunks").select(F.explode("chunks").alias("chunk"))
     entries = chunk.select(identify(F.col("chunk")).alias("id"), "chunk").distinct()
     return entries.groupBy("id").count().filter("count > 1").select("id")
 
@@ -55,15 +67,15 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     collisions = cut(shared_identifiers(rows, identify=identify))
-    recipe = F.transform(chunks_of(F.col("text")), identify)
-    listed = cut(rows.select("doc_id", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")))
+    recipe = F.transform("chunks", identify)
+    listed = cut(with_chunks(rows, "chunks").select("doc_id", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")))
     groups = listed.groupBy(F.col("recipe").alias("of")).agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Joined on length and list, both sides are exchanged for the join alone, so that a hot list can be split at run time.
     same = (F.size("recipe") == F.size("of")) & (F.col("recipe") == F.col("of"))
     out = listed.join(groups, same, "left").drop("of")
     if not collisions.isEmpty():
         doubtful = groups.select(F.col("of").alias("recipe"), F.explode("of").alias("id")).join(collisions, "id", "left_semi").select("recipe").distinct()
-        texts = rows.select("doc_id", "text", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")).join(doubtful, "recipe", "left_semi")
+        texts = with_chunks(rows, "chunks").select("doc_id", "text", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")).join(doubtful, "recipe", "left_semi")
         whole = texts.groupBy("recipe", "text").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
         again = texts.join(whole, ["recipe", "text"]).select("doc_id", "recipe", "text_sha256", "top", "n")
         out = out.join(doubtful, "recipe", "left_anti").unionByName(again)
