@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from lumentrack.llm.texts import flat
 
-#: The sample that the automata are built on: so many characters for each language, at most so many of a document.
+#: The sample that the automata are built on: so many characters for each language, of a document a window of at most so many.
 TRAIN_CHARS, DOC_CHARS = 40_000, 4_000
 UNKNOWN = "und"
 #: Symbols: 0 parts words, 1 to 26 are a to z, other letters share the rest by code point.
 SYMBOLS = 96
 _WEIGHT_BIT = 29
+#: Languages are parsed in groups whose tables have at most so many entries (4 bytes each) together.
+GROUP_ENTRIES = 1 << 26
 
 
 def _symbol_table() -> np.ndarray:
@@ -99,8 +101,9 @@ class Model:
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", train_chars: int = TRAIN_CHARS, doc_chars: int = DOC_CHARS) -> Model:
     """Builds each language's automaton, in a task of its own, on a sample of its documents in hash order.
 
-    Counts cover all rows; the sample's bound (``train_chars`` a language) doesn't grow with them. Rows without text
-    or language teach nothing.
+    Counts cover all rows; the sample's bound (``train_chars`` a language) doesn't grow with them. Of a longer text a
+    window of ``doc_chars`` is taken, at a place that a hash of id and text draws. Rows without text or language teach
+    nothing; repeated rows are drawn together.
     """
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("h"))
     n = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.least(F.length("text"), F.lit(doc_chars))).alias("chars"))
@@ -120,23 +123,43 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: st
         states, codes, to, size = suffix_automaton(sequence)
         return pd.DataFrame([{"lang": rows["lang"].iloc[0], "length": len(sequence), "states": states.tobytes(), "codes": codes.tobytes(), "to": to.tobytes(), "size": size}])
 
-    drawn = drawn.select("lang", F.substring("text", 1, doc_chars).alias("text"), "h")
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - doc_chars, F.lit(0)) + 1) + 1
+    drawn = drawn.select("lang", F.substring("text", start.cast("int"), F.lit(doc_chars)).alias("text"), "h")
     built = drawn.groupBy("lang").applyInPandas(build, "lang string, length long, states binary, codes binary, to binary, size long").collect()
     built = sorted((r for r in built if r["length"] > 1), key=lambda r: r["lang"].encode())
     return Model(tuple(r["lang"] for r in built), tuple(r["length"] for r in built), tuple((bytes(r["states"]), bytes(r["codes"]), bytes(r["to"]), r["size"]) for r in built))
 
 
 class Parser:
-    """All languages' automata as one table: row of a state, column of a symbol, in it the next row and the phrases that end."""
+    """The languages' automata as tables: row of a state, column of a symbol, in it the next row and the phrases that end.
 
-    def __init__(self, model: Model):
+    A group of languages shares one table. More than one group's tables aren't kept but made again for each batch, so
+    that memory doesn't grow with the number of languages.
+    """
+
+    def __init__(self, model: Model, group_entries: int = GROUP_ENTRIES):
         self.model = model
         used = np.unique(np.concatenate([np.frombuffer(a[1], np.uint8) for a in model.automata]))
         self.column = np.zeros(SYMBOLS, np.int32)  # column 0: in no language's text
         self.column[used] = np.arange(1, len(used) + 1)
-        width = len(used) + 1
-        tables, self.roots, base = [], [], 0
-        for states, codes, to, size in model.automata:
+        self.width = len(used) + 1
+        self.groups: list[list[int]] = []
+        room = 0
+        for i, (*_, size) in enumerate(model.automata):
+            if size * self.width >= 1 << _WEIGHT_BIT:
+                raise ValueError(f"the sample of {model.langs[i]!r} is too long: {size} states of {self.width} symbols")
+            if not self.groups or size * self.width > room:
+                self.groups.append([])
+                room = min(group_entries, 1 << _WEIGHT_BIT)
+            self.groups[-1].append(i)
+            room -= size * self.width
+        self.kept = self._table(self.groups[0]) if len(self.groups) == 1 else None
+
+    def _table(self, group: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """A group's table and where each language's begins."""
+        tables, roots, base, width = [], [], 0, self.width
+        for i in group:
+            states, codes, to, size = self.model.automata[i]
             s, c, t = np.frombuffer(states, np.int32), self.column[np.frombuffer(codes, np.uint8)], np.frombuffer(to, np.int32)
             # Where a path ends, a phrase does, and the symbol begins the next; one that the text lacks is a phrase alone.
             root = np.full(width, base * width | 2 << _WEIGHT_BIT, np.int32)
@@ -146,20 +169,24 @@ class Parser:
             table[0] = base * width | 1 << _WEIGHT_BIT
             table[s, c] = (base + t) * width
             tables.append(table.ravel())
-            self.roots.append(base * width)
+            roots.append(base * width)
             base += size
-        self.table = np.concatenate(tables)
+        return np.concatenate(tables), np.array(roots, np.int32)
 
     def phrases(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Phrases of each text (columns) by each language (rows). All texts take a step at a time, the longest first."""
+        """Phrases of each text (columns) by each language (rows)."""
+        return np.concatenate([self._phrases(s, at, *(self.kept or self._table(group))) for group in self.groups])
+
+    def _phrases(self, s: np.ndarray, at: np.ndarray, table: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        """All texts take a step at a time, the longest first."""
         order = np.argsort(-np.diff(at), kind="stable")
         lengths = np.diff(at)[order]
         codes = self.column[s]
         position = at[:-1][order].copy()
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(order), axis=1)
+        state = np.repeat(roots[:, None], len(order), axis=1)
         count = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
-        mask, table = (1 << _WEIGHT_BIT) - 1, self.table
+        mask = (1 << _WEIGHT_BIT) - 1
         for n in active.tolist():
             now = state[:, :n]
             step = table.take(now + codes.take(position[:n]))
@@ -168,7 +195,7 @@ class Parser:
             position[:n] += 1
         out = np.empty_like(count)
         # After a symbol that is a phrase alone, no other has begun.
-        out[:, order] = count + ((lengths > 0) & (state != np.array(self.roots, np.int32)[:, None]))
+        out[:, order] = count + ((lengths > 0) & (state != roots[:, None]))
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -190,7 +217,9 @@ _BATCH_BYTES = 8_000_000
 def identify(docs: DataFrame, model: Model, columns: list[Column], *, text: str = "text") -> DataFrame:
     """``columns`` of ``docs`` with lang_pred, score (0 where two languages are as near, towards 1 the clearer) and bits.
 
-    Null texts and texts without a letter are ``und`` with score 0 and infinite bits, as are all texts if no language was learnt.
+    Null texts and texts without a letter are ``und`` with score 0 and infinite bits, as are all texts if no language
+    was learnt. Where two languages need as few phrases, the first in code point order is named. Repeated rows are
+    judged alike. Long texts are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: about 20 bytes a character of it
     rows = docs.select(*columns, F.col(text).alias("_text"))
