@@ -25,6 +25,8 @@ CUTOFF = 0.3
 #: Texts are measured in pieces of a batch of about so many bytes; the arrays over its bytes take some forty times that.
 PIECE_BYTES = 2_000_000
 STEPS, RATE, DECAY = 500, 0.05, 1e-4
+#: The class prior is estimated with scorers of so many steps, each on all but one of so many folds of the samples.
+PRIOR_STEPS, PRIOR_FOLDS = 200, 2
 
 _CLASSES = ("other", "lower", "upper", "digit", "space", "line", "symbol", "exclaim", "stop", "comma", "beyond", "quote")
 _CLASS_OF = np.zeros(256, np.uint8)
@@ -173,24 +175,46 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Scorer(scorer.centre, scorer.spread, tuple(map(float, w[:-1])), float(w[-1]), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = PRIOR_STEPS, folds: int = PRIOR_FOLDS) -> float:
+    """The share of positives in the unlabelled rows, from the two samples alone.
+
+    Above any threshold of a score lie at least prior x (share of positives above it) of the unlabelled rows, and no
+    more than that where the score leaves all negatives below. So the prior is the least ratio of the two shares, over
+    thresholds that leave a fifth of the positives or more above. Rows are scored by what was fitted on the other folds.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    rows = [np.random.default_rng(seed).permutation(x[np.lexsort(x.T)]) for seed, x in enumerate((positive, unlabelled))]
+    fold_of = [np.arange(len(x)) % folds for x in rows]
+    scores = [np.zeros(len(x)) for x in rows]
+    for k in range(folds):
+        scorer = fit(*(x[f != k] for x, f in zip(rows, fold_of, strict=True)), 0.5, steps)
+        for x, f, out in zip(rows, fold_of, scores, strict=True):
+            out[f == k] = scorer.expand(x[f == k].astype(float)) @ np.array(scorer.weights) + scorer.bias
+    p, u = np.sort(scores[0]), np.sort(scores[1])
+    thresholds = np.quantile(p, np.linspace(0, 0.8, 41))
+    above = [1 - np.searchsorted(x, thresholds) / len(x) for x in (p, u)]
+    return float(np.clip((above[1] / np.maximum(above[0], 1e-9)).min(), 0.0, 1.0))
+
+
 def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out (fold 0 of 5, never learnt from), score, predicted.
 
-    Positives are the texts labelled 1; the prior is the share of label 1 among labelled rows, over all of them
-    (null labels aside; of several labels of one id the mean decides). Both samples are drawn by a hash, up to
-    ``sample_rows`` each. Null texts are scored as empty ones. Without labels every score is the middle prior.
+    Positives are the texts labelled 1 (of several labels of one id the mean decides; null labels are none); other
+    labels aren't used. Both samples are drawn by a hash, up to ``sample_rows`` each, and the prior is estimated from
+    them. Null texts are scored as empty ones, repeated rows alike. Without positives every score is the middle prior.
+    An empty table gives an empty result; other columns aren't read.
     """
     held_out = fold("doc_id", 5) == 0
     table = cut(feature_table(docs, id_col=id_col, text=text))
-    marks = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(label) >= 0.5).alias("good")).filter(~held_out)
-    marks = cut(marks)
-    n_good, n_marks = marks.agg(F.sum(F.col("good").cast("long")), F.count(F.lit(1))).first()
-    n_good, n_docs = n_good or 0, table.filter(~held_out).count()
+    marks = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(label).alias("mean")).filter(~held_out & (F.col("mean") >= 0.5))
+    good = cut(marks.select("doc_id"))
+    n_good, n_docs = good.count(), table.filter(~held_out).count()
     chance = F.xxhash64("doc_id", F.lit(5)) / float(2**64) + 0.5
     share = lambda n: min(1.0, sample_rows / max(n, 1))
     take = lambda df: np.array([r["f"] for r in df.select("f").limit(2 * sample_rows).collect()], float).reshape(-1, len(FEATURES))
-    positive = take(table.join(marks.filter("good").filter(chance <= share(n_good)).select("doc_id"), "doc_id"))
+    positive = take(table.join(good.filter(chance <= share(n_good)), "doc_id"))
     unlabelled = take(table.filter(~held_out & (chance <= share(n_docs))))
-    scorer = fit(positive, unlabelled, n_good / n_marks if n_marks else 0.5)
+    scorer = fit(positive, unlabelled, estimated_prior(positive, unlabelled))
     score = scorer.column()
     return table.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
