@@ -8,6 +8,7 @@ is put in random order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,27 +19,25 @@ from pyspark.sql import types as T
 
 from lumentrack.session import cut, fresh
 
-#: At most so many partitions are dealt from, which bounds the matrix: 8192 x 16 counts are 1 MB.
-MAX_PARTITIONS = 8192
+#: The driver deals to so many groups of neighbouring partitions at most; each task deals its own group's rows on.
+GROUPS = 1024
 #: A shard is put in order in buckets of about so many rows.
 BUCKET_ROWS = 4096
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of ``n`` drawn without replacement are good. numpy's sampler ends at 10^9; beyond, the mass around the mean is summed."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
+    """How many of ``n`` drawn without replacement are good, from the masses within twelve standard deviations of the mean: what lies beyond is below the last bit of their sum."""
     total = good + bad
     mean = n * good / total
-    spread = 12 * np.sqrt(mean * bad / total * (total - n) / (total - 1)) + 10
+    spread = 12 * np.sqrt(mean * bad / total * (total - n) / max(1, total - 1)) + 10
     k = np.arange(max(0, n - bad, int(mean - spread)), min(good, n, int(mean + spread)) + 1, dtype=np.float64)
     step = np.log((good - k[:-1]) * (n - k[:-1]) / (k[1:] * (bad - n + k[1:])))
     log_mass = np.concatenate([[0.0], np.cumsum(step)])
-    mass = np.exp(log_mass - log_mass.max())
-    return int(rng.choice(k, p=mass / mass.sum()))
+    mass = np.cumsum(np.exp(log_mass - log_mass.max()))
+    return int(k[min(np.searchsorted(mass, rng.random() * mass[-1], "right"), len(k) - 1)])
 
 
-def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
+def communication_matrix(counts: list[int], sizes: list[int], seed: int | list[int]) -> np.ndarray:
     """Rows of partition p that go to shard j, with row sums ``counts`` and column sums ``sizes``."""
     rng, left = np.random.default_rng(seed), [int(x) for x in sizes]
     out = np.zeros((len(counts), len(sizes)), np.int64)
@@ -52,15 +51,38 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
     return out
 
 
+@dataclass
+class Deal:
+    """The matrix as a tree: rows of the groups of partitions are drawn at once, those of one group's partitions where they are needed."""
+
+    counts: np.ndarray
+    sizes: list[int]
+    seed: int
+    per_group: int
+
+    def __post_init__(self):
+        starts = range(0, len(self.counts), self.per_group)
+        self.group_rows = communication_matrix([int(self.counts[i : i + self.per_group].sum()) for i in starts], self.sizes, [self.seed, 0, 3])
+        self.drawn: tuple[int, np.ndarray] | None = None
+
+    def row(self, p: int) -> np.ndarray:
+        """How many rows of partition p go to each shard; the same on every call, in every process."""
+        g = p // self.per_group
+        if self.drawn is None or self.drawn[0] != g:
+            members = self.counts[g * self.per_group : (g + 1) * self.per_group]
+            self.drawn = g, communication_matrix(members.tolist(), self.group_rows[g].tolist(), [self.seed, g, 2])
+        return self.drawn[1][p - g * self.per_group]
+
+
 def dealt(seed: int, p: int, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Partition p's shard for each of its rows in turn, and a random key for each: the same on every call."""
-    rng = np.random.default_rng([seed, p])
+    rng = np.random.default_rng([seed, p, 1])
     shards = np.repeat(np.arange(len(row), dtype=np.int32), row)
     rng.shuffle(shards)
     return shards, rng.integers(0, 2**63, len(shards))
 
 
-def shuffle_into_shards(df: DataFrame, n_shards: int = 16, *, seed: int = 1, stable: bool = False, bucket_rows: int = BUCKET_ROWS, max_partitions: int = MAX_PARTITIONS) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, n_shards: int = 16, *, seed: int = 1, stable: bool = False, bucket_rows: int = BUCKET_ROWS, groups: int = GROUPS) -> DataFrame:
     """All columns of ``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in its shard).
 
     Shard sizes are at most one apart. Columns of ``df`` that are named shard or slot give way to the new ones.
@@ -69,16 +91,18 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, *, seed: int = 1, sta
     other; an empty table gives an empty result.
     """
     df = df.drop("shard", "slot")
-    df = (df if stable else cut(df)).coalesce(max_partitions)
+    df = df if stable else cut(df)
     found = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
     total = sum(counts)
-    matrix = communication_matrix(counts, [total // n_shards + (j < total % n_shards) for j in range(n_shards)], seed)
+    deal = Deal(np.array(counts, np.int64), [total // n_shards + (j < total % n_shards) for j in range(n_shards)], seed, max(1, -(-len(counts) // groups)))
+    shared = df.sparkSession.sparkContext.broadcast(deal)  # a count for each partition and a row for each group
     key, part, at = (fresh(df.columns, c) for c in ("_key", "_part", "_at"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, done = TaskContext.get().partitionId(), 0
-        shards, keys = dealt(seed, p, matrix[p]) if p < len(matrix) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        known = p < len(shared.value.counts)
+        shards, keys = dealt(seed, p, shared.value.row(p)) if known else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         for batch in batches:
             till = done + batch.num_rows
             if till > len(shards):
@@ -102,7 +126,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, *, seed: int = 1, sta
         def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for p in batch.column(0).to_pylist():
-                    shards, keys = dealt(seed, p, matrix[p])
+                    shards, keys = dealt(seed, p, shared.value.row(p))
                     b = np.minimum(np.floor(keys / float(2**63) * n_buckets), n_buckets - 1).astype(np.int64)
                     n = np.bincount(shards * np.int64(n_buckets) + b)
                     cell = np.flatnonzero(n)
