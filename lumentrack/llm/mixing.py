@@ -20,7 +20,7 @@ WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 GRAIN = 2**20
 #: Documents of one source and size are ranked in buckets of about so many.
 BUCKET_ROWS = 4096
-TOLERANCE, MAX_STEPS = 1e-6, 60
+TOLERANCE, MAX_STEPS = 1e-6, 200
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -77,6 +77,8 @@ def balanced(cells: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
         state = cut(after)
         if state.filter("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"{state.filter('not done').count()} sources haven't met their targets after {MAX_STEPS} steps")
     full = F.col("target") >= cap * F.col("total") * (1 - 1e-12)
     found = sources.join(state.select("key", "scale", "lam"), "key", "left")
     rates = F.when(full, F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(rate(F.round("lam", 10)))
@@ -135,9 +137,22 @@ def row_key(id_col: str, source: str, text: str) -> Column:
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """``docs`` with all its columns, each row as often as the mix takes it. Rows alike in id, source and text share their copies evenly, rounded."""
-    key, n = fresh(docs.columns, "_key"), fresh(docs.columns, "_n")
+    """``docs`` with all its columns, each row as often as the mix takes it.
+
+    Rows alike in id, source and text get their copies together: each as many, and the first of them one more. They
+    are ranked by the task that holds them and within it, so that no task gets all of them.
+    """
+    key, n, more = (fresh(docs.columns, c) for c in ("_key", "_n", "_more"))
     picks = mix(docs, id_col=id_col, source=source, text=text, **options)
-    picks = picks.groupBy(F.col("row_key").alias("_picked")).agg(F.round(F.avg("copies")).cast("int").alias(n)).filter(F.col(n) > 0)
+    picks = picks.groupBy(F.col("row_key").alias("_picked")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_alike")).filter("_copies > 0")
+    picks = picks.select("_picked", F.floor(F.col("_copies") / F.col("_alike")).cast("long").alias(n), (F.col("_copies") % F.col("_alike")).alias(more))
     rows = docs.withColumn(key, row_key(id_col, source, text)).join(picks, F.col(key) == F.col("_picked")).drop("_picked")
-    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(key, n)
+    part, rank, before = (fresh(rows.columns, c) for c in ("_part", "_rank", "_before"))
+    some = cut(rows.filter(F.col(more) > 0).withColumn(part, F.spark_partition_id()))
+    held = some.groupBy(F.col(key).alias("_k"), F.col(part).alias("_p")).agg(F.count(F.lit(1)).alias("_m"))
+    held = held.withColumn(before, F.coalesce(F.sum("_m").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+    ranked = some.withColumn(rank, F.row_number().over(Window.partitionBy(key, part).orderBy(part)))
+    ranked = ranked.join(held, (F.col(key) == F.col("_k")) & (F.col(part) == F.col("_p"))).drop("_k", "_p")
+    ranked = ranked.withColumn(n, F.col(n) + (F.col(rank) + F.col(before) <= F.col(more)).cast("long")).drop(part, rank, before)
+    rows = rows.filter(F.col(more) == 0).unionByName(ranked).filter(F.col(n) > 0)
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(key, n, more)
