@@ -107,10 +107,11 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") ->
     step = step.select(*kept, F.sort_array(F.filter(marked, lambda i: i.isNotNull())).alias("p"))
     covered = F.transform("p", lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("p"), k + 1) - i, F.lit(WINDOW))))
     total = F.aggregate(covered, F.lit(0), lambda a, x: a + x)
-    # A term that is always 0 but isn't deterministic: without it a filter on the result would be pushed through all
-    # projections, and the arrays that they hold would be computed anew for each of their elements.
-    barrier = F.when(F.rand(1) < 0, 1).otherwise(0)
-    return step.select(*kept, (F.coalesce(total, F.lit(0)) + barrier).alias("n_repeat_words"))
+    measured = step.select(*kept, F.coalesce(total, F.lit(0)).alias("n_repeat_words"))
+    # One struct a row, unpacked: what is filtered or joined on above isn't pushed through the projections, where the
+    # arrays would be computed anew for each of their elements.
+    names = measured.columns[1:]
+    return measured.select("doc_id", F.inline(F.array(F.struct(*names))))
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
