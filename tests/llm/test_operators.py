@@ -1,8 +1,10 @@
 """Each operator against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -59,7 +61,22 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_chunks_tile_the_text(spark, odd):
-    assert odd.filter(F.array_join(exact_dedup.chunks_of(F.col("text")), "") != F.coalesce("text", F.lit(""))).count() == 0
+    assert exact_dedup.with_chunks(odd, "keep_id2").filter(F.array_join("keep_id2", "") != F.coalesce("text", F.lit(""))).count() == 0
+    long = spark.createDataFrame(rows_of("the " * 9000, "x" * 3000, " " * 3000, "\u00e9\U0001f600" * 700), SCHEMA)
+    got = exact_dedup.with_chunks(long, "chunks", max_words=3).collect()
+    assert all("".join(r.chunks) == r.text and len(r.chunks) > 1 for r in got)
+
+
+def test_chunks_are_the_same_again_after_an_insertion(spark):
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    prose = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(4000))
+    lines = prose.replace(" q", "\nq")
+    solid = "".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(40_000))
+    for t in (prose, lines, solid):
+        edited = ["x" + t, t[:9000] + " some words between " + t[9000:], t[:5000] + t[5001:]]
+        of, *others = (r.chunks for r in exact_dedup.with_chunks(spark.createDataFrame(rows_of(t, *edited), SCHEMA), "chunks").orderBy("doc_id").collect())
+        assert len(of) > 30 and all(len(set(of) & set(o)) >= len(of) - 3 for o in others)
 
 
 def brute_groups(rows):
@@ -142,6 +159,19 @@ def test_rates_are_exponentially_tilted(spark):
         assert len(tilt) == 1
 
 
+def test_alike_rows_share_their_copies(spark):
+    """Rows alike in id, source and text take the words of the mix, not a rounded mean of their copies."""
+    rows = [(1, "one two three four", "a", f"extra {i}") for i in range(50)] + [(2, "five six", "b", "x"), (None, None, None, None), (3, "a b c d e f g h", "b", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _n string").repartition(5)
+    taken = {r.source: r.n for r in mixing.mix(df).join(df.select("doc_id", "source").distinct(), "doc_id").groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    got = Counter()
+    for r in out.collect():
+        got[r.source] += len(WORD.findall(r.text or ""))
+    assert got["a"] == taken["a"] and got["b"] == taken["b"] and max(Counter(r._n for r in out.collect() if r.source == "a").values()) <= 2
+
+
 # --- revisits ---
 
 
@@ -197,13 +227,74 @@ def near_fixture():
     return [" ".join(t) for t in out] + ["one two", "one two", "", None, "one"]
 
 
+def plain_similarity(lines):
+    """Weighted Jaccard similarity of all pairs, from the definition: count x ln(1 + texts / texts with the shingle), the ratio 16 at most."""
+    bags = []
+    for t in lines:
+        w = WORD.findall(t)
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    texts_with = Counter(s for t in set(lines) for s in bags[lines.index(t)]) if len(lines) < 1000 else Counter(s for b in bags for s in b)
+    n = len(set(lines))
+    column = {s: i for i, s in enumerate(s for s, k in texts_with.items() if k > 1 or len(lines) < 1000)}
+    idf = {s: np.log1p(min(n / k, 16)) for s, k in texts_with.items()}
+    whole = np.array([sum(k * idf[s] for s, k in b.items()) for b in bags])
+    has = np.zeros((len(lines), max(1, len(column))))
+    for i, b in enumerate(bags):
+        for s, k in b.items():
+            if s in column:
+                has[i, column[s]] = k * idf[s]
+    common = np.zeros((len(lines), len(lines)))
+    if max((k for b in bags for k in b.values()), default=1) == 1:  # then the smaller of two weights is their root product
+        has = np.sqrt(has)
+        common = has @ has.T
+    else:
+        for i in range(len(lines)):
+            common[i] = np.minimum(has[i], has).sum(axis=1)
+    return common / np.maximum(whole[:, None] + whole[None, :] - common, 1e-12)
+
+
+def components_of(links):
+    np.fill_diagonal(links, True)
+    name = np.arange(len(links))
+    while True:
+        new = np.array([name[row].min() for row in links])
+        new = new[new]
+        if (new == name).all():
+            return name
+        name = new
+
+
+def test_five_thousand_near_copies(spark):
+    """A large group of copies with few to many edits, and chains whose ends aren't alike: no link is lost."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(400)]
+    body = []
+    for i in range(4600):
+        t = list(base)
+        for k in range(rng.choice((0, 0, 0, 1, 1, 2, 8))):
+            t[rng.randrange(len(t))] = f"e{i}x{k}"
+        body.append(" ".join(t) + f" end{i}")
+    for chain in range(20):  # each link moves on by a few words
+        for step in range(20):
+            body.append(" ".join(f"c{chain}w{k}" for k in range(4 * step, 4 * step + 80)))
+    body = list(dict.fromkeys(body))
+    name = components_of(plain_similarity(body) >= 0.8 - 1e-9)
+    got = np.array([r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows_of(*body), SCHEMA)).orderBy("doc_id").collect()])
+    sizes = np.bincount(name)
+    assert sizes.max() > 2000 and (sizes == 1).sum() > 300 and (sizes == 20).sum() == 20
+    want = {}
+    for i, c in enumerate(name.tolist()):
+        want[c] = max(want.get(c, 0), i)
+    assert got.tolist() == [want[c] for c in name.tolist()]
+
+
 def test_near_classes_against_brute_force(spark):
     body = near_fixture()
     df = spark.createDataFrame(rows_of(*body), SCHEMA)
     got = {r.doc_id: r for r in near_dedup.near_classes(df).collect()}
     assert len(got) == len(body)
     lines = [t or "" for t in body]
-    weights = near_dedup.Weights(len(set(lines)), near_dedup.common_shingles(df.select(F.coalesce("text", F.lit("")).alias("text"))))
+    sims = plain_similarity(lines)
     parent = list(range(len(body)))
 
     def find(i):
@@ -214,9 +305,8 @@ def test_near_classes_against_brute_force(spark):
     for i in range(len(body)):
         others = list(range(i + 1, len(body)))
         if others:
-            sims = near_dedup.jaccard(pa.array([lines[i]] * len(others)), pa.array([lines[j] for j in others]), weights)
-            for j, s in zip(others, sims, strict=True):
-                if s >= 0.8 or lines[i] == lines[j]:
+            for j in others:
+                if sims[i, j] >= 0.8 or lines[i] == lines[j]:
                     parent[max(find(i), find(j))] = min(find(i), find(j))
     groups = defaultdict(list)
     for i in range(len(body)):
@@ -352,6 +442,56 @@ def test_quality_scores_on_held_out_labels(spark):
     assert all(bool(r.held_out) == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows.limit(50).collect())
 
 
+def test_measures_against_plain_python():
+    lines = ["The quick, brown fox!", "", "a a a a b b\nÜber 12 'x' & y.", "one two three four one two three four five", "  \n\t "]
+    got = quality_pu.features(pa.array(lines))
+    assert (got[[1, 4]] == 0).all()
+    for t, row in zip(lines, got, strict=True):
+        w = WORD.findall(t)
+        if not w:
+            continue
+        raw = t.encode()
+        kind = lambda pred: sum(map(pred, raw))  # noqa: E731, B023
+        low, up, far = kind(lambda b: 97 <= b <= 122), kind(lambda b: 65 <= b <= 90), kind(lambda b: b >= 128)
+        runs = [tuple(w[i : i + 4]) for i in range(len(w) - 3)]
+        want = {
+            "log_words": np.log1p(len(w)), "word_length": sum(len(x.encode()) for x in w) / len(w), "upper_share": up / max(1, low + up + far), "digit_share": kind(lambda b: 48 <= b <= 57) / len(raw),
+            "beyond_share": far / max(1, low + up + far), "symbols_a_word": sum(t.count(c) for c in "#*$%&|<>") / len(w), "exclaims_a_word": t.count("!") / len(w),
+            "stops_a_word": (t.count(".") + t.count("?")) / len(w), "commas_a_word": sum(t.count(c) for c in ",;:") / len(w), "quotes_a_word": (t.count("'") + t.count('"')) / len(w),
+            "lines_a_word": t.count("\n") / len(w), "distinct_words": len(set(w)) / len(w), "distinct_runs": len(set(runs)) / max(1, len(w) - 3),
+            "same_as_before": sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w), "short_words": sum(len(x.encode()) <= 2 for x in w) / len(w), "long_words": sum(len(x.encode()) >= 12 for x in w) / len(w),
+        }
+        have = dict(zip(quality_pu.FEATURES, row.tolist(), strict=True))
+        assert all(abs(have[k] - v) < 1e-5 for k, v in want.items())
+
+
+def test_prior_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(1)
+    n = len(quality_pu.FEATURES)
+    for prior in (0.3, 0.6, 0.85):
+        positive = rng.normal(1, 1, (3000, n))
+        unlabelled = np.concatenate([rng.normal(1, 1, (int(6000 * prior), n)), rng.normal(-1, 1, (6000 - int(6000 * prior), n))])
+        assert abs(quality_pu.estimated_prior(positive, unlabelled) - prior) < 0.05
+
+
+def test_the_fitted_risk_is_least():
+    """The non-negative risk, written out plainly, rises in every direction from where ``fit`` ends."""
+    rng = np.random.default_rng(2)
+    n = len(quality_pu.FEATURES)
+    positive, unlabelled, prior = rng.normal(0.3, 1, (4000, n)), np.concatenate([rng.normal(0.3, 1, (3000, n)), rng.normal(-0.3, 1, (3000, n))]), 0.5
+    s = quality_pu.fit(positive, unlabelled, prior, steps=3000)
+
+    def risk(w, b):
+        loss = lambda x, sign: np.logaddexp(0, -sign * (s.expand(x) @ w + b)).mean()
+        return prior * loss(positive, 1) + max(0.0, loss(unlabelled, -1) - prior * loss(positive, -1)) + quality_pu.DECAY / 2 * (w @ w + b * b)
+
+    w = np.array(s.weights)
+    least = risk(w, s.bias)
+    for k in range(40):
+        d = rng.normal(size=len(w))
+        assert risk(w + 0.05 * d / np.linalg.norm(d), s.bias) > least - 1e-5 and risk(w, s.bias + 0.05 * (-1) ** k) > least - 1e-5
+
+
 def test_quality_edges(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (3, 1), (5, None), (None, 1), (6, 0)], "doc_id long, quality int")
     rows = quality_pu.scored(odd, labels).collect()
@@ -393,7 +533,7 @@ def test_every_prefix_has_the_encoding_of_the_merges():
         last = v.extend(data, [])
         for end in range(1, len(data) + 1):
             assert v.walk(last[:end]) == v.merged(data[:end])
-        assert v.short(data) == v.merged(data)
+        assert v.short([data]) == [np.array(v.merged(data), "<u4").tobytes()]
 
 
 def test_edits_and_appends_are_exact():
@@ -421,6 +561,16 @@ def test_matrix_has_its_sums_and_distribution():
     assert m.sum(axis=1).tolist() == [5, 0, 7, 4] and m.sum(axis=0).tolist() == [6, 5, 5]
     draws = np.array([sharding.communication_matrix([6, 6], [6, 6], s)[0, 0] for s in range(4000)])
     assert abs(draws.mean() - 3) < 0.06 and abs(draws.var() - 36 * 36 / (144 * 11)) < 0.06
+    # Small enough to list every deal of four labelled rows, two from each partition, to two shards of two.
+    ways = Counter(sum(r in (0, 1) for r in first) for first in itertools.combinations(range(4), 2))
+    seen = Counter(int(sharding.communication_matrix([2, 2], [2, 2], s)[0, 0]) for s in range(6000))
+    assert all(abs(seen[k] / 6000 - ways[k] / 6) < 0.02 for k in range(3))
+    # As a tree the law is the same: three partitions, a group of two and one of one.
+    tree = np.array([[sharding.Deal(np.array([2, 1, 3]), [3, 3], s, 2).row(p) for p in range(3)] for s in range(3000)])
+    assert (tree.sum(axis=1) == 3).all() and (tree.sum(axis=2) == [2, 1, 3]).all()
+    deals = Counter(tuple(sum(r in part for r in first) for part in ((0, 1), (2,), (3, 4, 5))) for first in itertools.combinations(range(6), 3))
+    drawn = Counter(map(tuple, tree[:, :, 0].tolist()))
+    assert set(drawn) == set(deals) and all(abs(drawn[k] / 3000 - deals[k] / 20) < 0.03 for k in deals)
     big = np.array([sharding.hypergeometric(np.random.default_rng(s), 2 * 10**9, 2 * 10**9, 10_000) for s in range(300)])
     assert abs(big.mean() - 5000) < 12 and abs(big.std() - 50) < 8
 
@@ -473,6 +623,8 @@ def test_phrases_against_brute_force():
     probes = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (0, 1, 5, 40, 200, 7)]
     s = [np.array([0 if c == " " else ord(c) - 96 for c in t], np.uint8) for t in probes]
     got = parser.phrases(np.concatenate(s), np.concatenate([[0], np.cumsum([len(x) for x in s])]))
+    parted = langid.Parser(parser.model, group_entries=1)  # a language at a time
+    assert len(parted.groups) == 2 and (parted.phrases(np.concatenate(s), np.concatenate([[0], np.cumsum([len(x) for x in s])])) == got).all()
     for k, t in enumerate(train):
         assert got[k].tolist() == [brute_phrases(p, t) for p in probes]
 
@@ -519,6 +671,20 @@ def test_rules_on_odd_texts(odd, none):
             assert (r.n_words, r.n_dup_lines, r.n_lines) == (3, 1, 3)
 
 
+def test_rules_filter_and_join_in_about_the_same_time(spark, docs):
+    def seconds(make):
+        make().collect()
+        start = time.monotonic()
+        rows = make().collect()
+        return time.monotonic() - start, rows
+
+    plain, rows = seconds(lambda: quality_rules.judged(docs))
+    kept, good = seconds(lambda: quality_rules.judged(docs).filter("kept"))
+    joined, _ = seconds(lambda: quality_rules.judged(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("kept and n_words > 30"))
+    assert good and sorted(r.doc_id for r in good) == sorted(r.doc_id for r in rows if r.kept)
+    assert kept < 2 * plain + 1 and joined < 2 * plain + 2
+
+
 def test_rules_keep_clean_documents(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     x = quality_rules.judged(docs).toPandas().merge(labels.toPandas(), on="doc_id")
