@@ -110,11 +110,15 @@ def started_by(df: DataFrame, frame_limit: int, *, track: str = "track", frame:
     return df.withColumn("_first", F.min(frame).over(Window.partitionBy(track))).filter(F.col("_first") <= frame_limit).drop("_first")
 
 
-def ends(df: DataFrame, *, track: str = "track", by: Sequence[str] = ("n",)) -> DataFrame:
-    """SE-7: first and last objects of tracks, with ``is_first`` and ``is_last``."""
-    w = _order(track, by)
-    out = df.withColumn("is_first", F.lag(F.lit(1)).over(w).isNull()).withColumn("is_last", F.lead(F.lit(1)).over(w).isNull())
-    return out.filter("is_first or is_last")
+def ends(objects: DataFrame, parents: DataFrame, parent: Sequence[str]) -> DataFrame:
+    """SE-7: objects where a track ends before or begins after its parent's.
+
+    Both tables have ``has_previous`` and ``has_next``; ``parent`` names the columns by which an object finds its
+    parent. An object stays if its parent has a next and it has none, or the parent a previous and it none.
+    """
+    of = parents.select(*parent, F.col("has_previous").alias("_p"), F.col("has_next").alias("_n"))
+    rows = objects.join(of, list(parent))
+    return rows.filter((F.col("_n") & ~F.col("has_next")) | (F.col("_p") & ~F.col("has_previous"))).drop("_p", "_n")
 
 
 def fill_gaps(df: DataFrame, *, track: str = "track", frame: str = "frame", value: str = "x") -> DataFrame:
@@ -174,10 +178,14 @@ def link_neighbours(objects: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def track_heads(objects: DataFrame, links: DataFrame) -> DataFrame:
-    """TR-2: ``track_head`` of every object. One-to-one links continue a track, others start a new one. Paths are shortened by doubling."""
-    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
-    into = links.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"))
-    single = links.join(out, "src").join(into, "dst").filter("n_out = 1 and n_in = 1").select(F.col("dst").alias("id"), F.col("src").alias("up"))
+    """TR-2: ``track_head`` of every object.
+
+    A link (src, dst, kind) of kind 'both' is the source's next and the target's previous, and continues the track. One
+    that is only the target's 'previous' (division) or the source's 'next' (merge) leaves the target the head of its
+    own. An object continues one track at most; of several 'both' links into it the smallest source counts. Paths are
+    shortened by doubling.
+    """
+    single = links.filter("kind = 'both'").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("up"))
     rows = written(objects.select("id").join(single, "id", "left").select("id", F.coalesce("up", "id").alias("head")))
     while True:
         up = rows.select(F.col("id").alias("_i"), F.col("head").alias("_h"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumentrack.functions import scalars as fn
@@ -12,6 +12,7 @@ from lumentrack.operators import histograms as H
 from lumentrack.operators import linking as L
 from lumentrack.operators import measures as M
 from lumentrack.operators import pixels as P
+from lumentrack.operators import populations as A
 from lumentrack.operators import selections as S
 from lumentrack.operators import spatial as J
 from lumentrack.operators import stencils as N
@@ -165,9 +166,19 @@ def se_06(s, d):
     return T.length_filter(D.tracks(s, d), 60, 70).select("track", "id")
 
 
-@query("se_07_track_ends", E + "SELECT track, id, n = 0 AS is_first, n = last AS is_last FROM (SELECT *, max(n) OVER (PARTITION BY track) AS last FROM e) WHERE n = 0 OR n = last")
+DAYS = E + """, g AS (SELECT *, secs // 86400 AS day, coalesce(secs - lag(secs) OVER w <= 36000, false) AS hp, coalesce(lead(secs) OVER w - secs <= 36000, false) AS hn FROM e WINDOW w AS (PARTITION BY track ORDER BY secs, id)),
+    d AS (SELECT track, day, lag(day) OVER w IS NOT NULL AS dp, lead(day) OVER w IS NOT NULL AS dn FROM (SELECT DISTINCT track, day FROM g) WINDOW w AS (PARTITION BY track ORDER BY day))
+    """
+
+
+@query("se_07_track_ends", DAYS + "SELECT track, day, id, hp AS has_previous, hn AS has_next FROM g JOIN d USING (track, day) WHERE (dn AND NOT hn) OR (dp AND NOT hp)")
 def se_07(s, d):
-    return T.ends(D.tracks(s, d)).select("track", "id", "is_first", "is_last")
+    """Objects of a track are linked within ten hours; their parents are its days, linked one to the next."""
+    w, by_day = Window.partitionBy("track").orderBy("secs", "id"), Window.partitionBy("track").orderBy("day")
+    near = lambda gap: F.coalesce(gap <= 36000, F.lit(False))
+    o = D.tracks(s, d).withColumns({"day": F.floor(F.col("secs") / 86400), "has_previous": near(F.col("secs") - F.lag("secs").over(w)), "has_next": near(F.lead("secs").over(w) - F.col("secs"))})
+    p = o.select("track", "day").distinct().withColumns({"has_previous": F.lag("day").over(by_day).isNotNull(), "has_next": F.lead("day").over(by_day).isNotNull()})
+    return T.ends(o, p, ["track", "day"]).select("track", "day", "id", "has_previous", "has_next")
 
 
 LINKS = E + ", l AS (SELECT a.id AS src, b.id AS dst FROM e a JOIN e b ON a.track = b.track AND b.n - a.n = CASE WHEN a.kind = 'purchase' THEN 2 ELSE 1 END)"
@@ -206,9 +217,9 @@ def se_14(s, d):
     return keyed(s, d).filter(S.predicate(tree)).select("position", "indices")
 
 
-@query("se_15_frames", O + "SELECT position, indices FROM k WHERE flag = 'R' AND frame BETWEEN 500 AND 900")
+@query("se_15_frames", O + "SELECT position, indices FROM k WHERE flag = 'R' AND frame BETWEEN 1500 AND 2500")
 def se_15(s, d):
-    return S.frames(sel(s, d, "a").select("position", "indices"), 500, 900)
+    return S.frames(sel(s, d, "a").select("position", "indices"), 1500, 2500)
 
 
 # --- tracks ---
@@ -259,11 +270,12 @@ def tr_14(s, d):
     return T.started_by(D.tracks(s, d), 400).select("track", "id")
 
 
-@query("tr_02_track_heads", LINKS + """, i AS (SELECT dst, count(*) AS c FROM l GROUP BY dst), q AS (SELECT src, count(*) AS c FROM l GROUP BY src),
-    u AS (SELECT l.src, l.dst FROM l JOIN i USING (dst) JOIN q USING (src) WHERE i.c = 1 AND q.c = 1), m AS (SELECT e.id, e.track, e.n, coalesce(u.src, -1) AS up FROM e LEFT JOIN u ON u.dst = e.id)
-    SELECT id, h AS track_head FROM (WITH RECURSIVE t AS (SELECT id, id AS h FROM m WHERE up = -1 UNION ALL SELECT m.id, t.h FROM m JOIN t ON m.up = t.id) SELECT id, h FROM t)""")
+@query("tr_02_track_heads", E + """, g AS (SELECT track, id, n, sum(CASE WHEN coalesce(up = 'purchase', true) THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY n) AS part
+    FROM (SELECT *, lag(kind) OVER (PARTITION BY track ORDER BY n) AS up FROM e)) SELECT id, first_value(id) OVER (PARTITION BY track, part ORDER BY n) AS track_head FROM g""")
 def tr_02(s, d):
-    return T.track_heads(D.tracks(s, d).select("id"), links(s, d))
+    """A purchase is linked to the object after the next, which it doesn't continue in; all others continue in the next."""
+    both = links(s, d).join(D.tracks(s, d).select(F.col("id").alias("src"), F.when(F.col("kind") == "purchase", "previous").otherwise("both").alias("kind")), "src")
+    return T.track_heads(D.tracks(s, d).select("id"), both)
 
 
 @query("tr_17_prune", LINKS + ", g AS (SELECT id FROM (WITH RECURSIVE t AS (SELECT id FROM e WHERE n = 55 AND kind = 'click' UNION SELECT l.dst FROM l JOIN t ON l.src = t.id) SELECT id FROM t)) SELECT id FROM e WHERE id NOT IN (SELECT id FROM g)")
@@ -775,3 +787,131 @@ def me_24(s, d):
 def cc_01(s, d):
     items = D.table(s, d, "lineitem")
     return L.clusters(items.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")))
+
+
+# --- populations: quarters of the mask (q), and strips of its bright pixels (c) ---
+
+PARTS = MASK + ", q AS (SELECT frame, y, x, value, ((y // 4) * 2 + x // 4)::INT AS object_id FROM m), c AS (SELECT frame, y, x, value, (x // 2)::INT AS object_id FROM p WHERE value > 0.2) "
+
+
+def quarters(s: SparkSession, d: str) -> DataFrame:
+    return mask(s, d).select("frame", "y", "x", "value", (F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)).cast("int").alias("object_id"))
+
+
+def strips(s: SparkSession, d: str) -> DataFrame:
+    return P.threshold(D.pixels(s, d), 0.2).select("frame", "y", "x", "value", F.floor(F.col("x") / 2).cast("int").alias("object_id"))
+
+
+@query("se_04_trim", PARTS + "SELECT DISTINCT q.frame, q.object_id FROM q JOIN c USING (frame, y, x)")
+def se_04(s, d):
+    return A.overlapping(quarters(s, d), strips(s, d))
+
+
+EDGE = PARTS + ", b AS (SELECT frame, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM q GROUP BY frame), t AS (SELECT c.frame, c.object_id, bool_or(x = x0 OR x = x1 OR y = y0 OR y = y1) AS touch FROM c JOIN b USING (frame) GROUP BY 1, 2) "
+
+
+@query("se_05_edge_contact", EDGE + "SELECT frame, object_id, touch FROM t")
+def se_05(s, d):
+    keep = lambda k: A.edge_contact(strips(s, d), mask(s, d), k).withColumn("touch", F.lit(k))
+    return keep(True).unionByName(keep(False))
+
+
+@query("se_13_pixel_difference", PARTS + "SELECT q.frame, q.object_id, q.y, q.x FROM q ANTI JOIN c ON q.frame = c.frame AND q.y = c.y AND q.x = c.x")
+def se_13(s, d):
+    return A.difference(quarters(s, d), strips(s, d))
+
+
+@query("fi_10_combined", PARTS + """, a AS (SELECT * FROM q WHERE object_id IN (0, 3)), hit AS (SELECT DISTINCT c.frame, c.object_id FROM c JOIN a USING (frame, y, x))
+    SELECT frame, 0 AS source, object_id, y, x FROM a UNION ALL SELECT c.frame, 1, c.object_id, c.y, c.x FROM c ANTI JOIN hit ON c.frame = hit.frame AND c.object_id = hit.object_id""")
+def fi_10(s, d):
+    return A.combined(quarters(s, d).filter("object_id in (0, 3)"), strips(s, d))
+
+
+@query("fi_11_erase_touching", PARTS + """, t AS (SELECT DISTINCT a.frame, a.y, a.x FROM q a JOIN q b ON a.frame = b.frame AND a.object_id <> b.object_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)
+    SELECT q.frame, q.object_id, q.y, q.x FROM q ANTI JOIN t ON q.frame = t.frame AND q.y = t.y AND q.x = t.x""")
+def fi_11(s, d):
+    return A.without_touching(quarters(s, d)).select("frame", "object_id", "y", "x")
+
+
+@query("fi_12_extended_boxes", PARTS + """, b AS (SELECT frame, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM q GROUP BY frame)
+    SELECT c.frame, c.object_id, greatest(min(x) - 1, any_value(x0)) AS xmin, greatest(min(y) - 1, any_value(y0)) AS ymin, least(max(x) + 1, any_value(x1)) AS xmax, least(max(y) + 1, any_value(y1)) AS ymax FROM c JOIN b USING (frame) GROUP BY 1, 2""")
+def fi_12(s, d):
+    return A.extended_boxes(strips(s, d), 1, mask(s, d))
+
+
+@query("fi_13_inverted", MASK + " SELECT p.frame, p.y, p.x FROM p ANTI JOIN m ON p.frame = m.frame AND p.y = m.y AND p.x = m.x")
+def fi_13(s, d):
+    return A.inverted(mask(s, d), D.pixels(s, d))
+
+
+@query("fi_14_gate", PARTS + """, bq AS (SELECT frame, object_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM q GROUP BY 1, 2), bc AS (SELECT frame, object_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c WHERE object_id < 2 GROUP BY 1, 2)
+    SELECT frame, object_id, EXISTS (SELECT 1 FROM bc WHERE bc.frame = bq.frame AND bq.x0 <= bc.x1 AND bc.x0 <= bq.x1 AND bq.y0 <= bc.y1 AND bc.y0 <= bq.y1) AS matched FROM bq""")
+def fi_14(s, d):
+    a, b = quarters(s, d), strips(s, d).filter("object_id < 2")
+    return A.gated(a, b, True).withColumn("matched", F.lit(True)).unionByName(A.gated(a, b, False).withColumn("matched", F.lit(False)))
+
+
+SHARED = PARTS + ", n AS (SELECT c.frame, c.object_id AS a, q.object_id AS b, count(*) AS n FROM c JOIN q USING (frame, y, x) GROUP BY 1, 2, 3), z AS (SELECT frame, object_id AS a, count(*) AS size FROM c GROUP BY 1, 2) "
+
+
+@query("fi_16_contained", SHARED + "SELECT n.frame, n.a, n.b FROM n JOIN z USING (frame, a) WHERE n = size")
+def fi_16(s, d):
+    return A.contained(strips(s, d), quarters(s, d))
+
+
+@query("me_34_match_table", SHARED + """SELECT z.frame, z.a AS object_id, any_value(size) AS size, coalesce(max(n), 0)::BIGINT AS overlap_max, coalesce(sum(n), 0)::BIGINT AS overlap_sum,
+    string_agg(b::VARCHAR, '-' ORDER BY b) AS matches FROM z LEFT JOIN n USING (frame, a) GROUP BY 1, 2""")
+def me_34(s, d):
+    return A.match_table(strips(s, d), quarters(s, d))
+
+
+@query("me_15_contour_statistics", PARTS + f""", i AS (SELECT a.frame, a.object_id, a.y, a.x, any_value(a.value) AS value, count(b.frame) AS k FROM q a LEFT JOIN q b ON a.frame = b.frame AND a.object_id = b.object_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2, 3, 4)
+    SELECT frame, object_id, {r('avg(value)', 'mean')}, {r('min(value)', 'min')}, {r('max(value)', 'max')}, count(*) AS n FROM i WHERE k < 4 GROUP BY 1, 2""")
+def me_15(s, d):
+    return rounded(A.contour_statistics(quarters(s, d)), "mean", "min", "max")
+
+
+@query("me_18_mean_excluding", PARTS + f""", g AS (SELECT DISTINCT frame, y + dy AS y, x + dx AS x FROM c, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS v(dx, dy) WHERE object_id < 2),
+    k AS (SELECT q.* FROM q ANTI JOIN g ON q.frame = g.frame AND q.y = g.y AND q.x = g.x)
+    SELECT a.frame, a.object_id, {r('avg(k.value)', 'mean')} FROM (SELECT DISTINCT frame, object_id FROM q) a LEFT JOIN k ON k.frame = a.frame AND k.object_id = a.object_id GROUP BY 1, 2""")
+def me_18(s, d):
+    return rounded(A.mean_excluding(quarters(s, d), strips(s, d).filter("object_id < 2"), grow=True), "mean")
+
+
+@query("me_08_relative_position", PARTS + f""", a AS (SELECT frame, object_id, avg(x) AS x, avg(y) AS y FROM q GROUP BY 1, 2), b AS (SELECT frame, avg(x) AS rx, avg(y) AS ry FROM c GROUP BY 1)
+    SELECT frame, object_id, {r('(x - rx) * 0.5', 'dx')}, {r('(y - ry) * 0.5', 'dy')} FROM a LEFT JOIN b USING (frame)""")
+def me_08(s, d):
+    centre = lambda df, *k: df.groupBy(*k).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return rounded(A.relative_to(centre(quarters(s, d), "frame", "object_id"), centre(strips(s, d), "frame"), scale=0.5), "dx", "dy")
+
+
+@query("jo_01_parent", O + ", f AS (SELECT DISTINCT position, frame || '-' || cust AS parent FROM k WHERE size > 25) SELECT k.position, k.indices, f.parent FROM k LEFT JOIN f ON f.position = k.position AND f.parent = k.frame || '-' || k.cust")
+def jo_01(s, d):
+    o = keyed(s, d)
+    return A.with_parent(o.select("position", "indices"), o.filter("size > 25").select("position", A.at_level("indices", 2).alias("indices")), 2)
+
+
+@query("jo_02_children", O + ", f AS (SELECT DISTINCT position, frame || '-' || cust AS indices FROM k) SELECT f.position, f.indices, count(k.idx) AS children FROM f LEFT JOIN k ON k.position = f.position AND k.frame || '-' || k.cust = f.indices AND k.flag = 'R' GROUP BY 1, 2")
+def jo_02(s, d):
+    o = keyed(s, d)
+    return A.child_counts(o.select("position", A.at_level("indices", 2).alias("indices")), sel(s, d, "a"), 2)
+
+
+@query("th_06_compared", PX + f", t AS (SELECT label, avg(value) * 1.5 AS a, avg(value) FILTER (value > 0) AS b FROM p GROUP BY label) SELECT label, {r('greatest(a, b)', 'high')}, {r('least(a, b)', 'low')} FROM t")
+def th_06(s, d):
+    p = D.pixels(s, d)
+    a, b = A.factor_of_mean(p, ["label"], 1.5), A.factor_of_mean(p.filter("value > 0"), ["label"], 1.0)
+    both = A.compared(a, b, ["label"]).withColumnRenamed("threshold", "high").join(A.compared(a, b, ["label"], largest=False).withColumnRenamed("threshold", "low"), "label")
+    return rounded(both, "high", "low")
+
+
+@query("tr_30_saturated_tracks", E + "SELECT track, id FROM e WHERE track NOT IN (SELECT track FROM e GROUP BY track HAVING avg((x >= 60)::INT) >= 0.25)")
+def tr_30(s, d):
+    return A.without_saturated(D.tracks(s, d), 60.0, 0.25).select("track", "id")
+
+
+@query("tr_36_edge_tracks", E + """, t AS (SELECT track % 7 AS lane, track, avg(x) AS m, avg(y) AS v FROM e GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY m, track) AS i, row_number() OVER (PARTITION BY lane ORDER BY m DESC, track DESC) AS j FROM t)
+    SELECT e.track, e.id FROM e JOIN k USING (track) WHERE NOT ((i = 1 OR j = 1) AND v < 60)""")
+def tr_36(s, d):
+    e = D.tracks(s, d).withColumn("lane", F.col("track") % 7)
+    return A.without_edge_tracks(e, 60.0, ["lane"]).select("track", "id")

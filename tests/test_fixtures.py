@@ -1,6 +1,7 @@
 """Hand-made cases, and brute force for what SQL can't say."""
 
 import math
+from collections import Counter
 import random
 
 import numpy as np
@@ -87,12 +88,15 @@ def test_global_rank(spark):
 
 def test_track_heads_of_merges_and_divisions(spark):
     key = lambda f, i: f * 10 + i
-    links = [(key(f, 0), key(f + 1, 0)) for f in range(4)] + [(key(f, 1), key(f + 1, 1)) for f in (1, 2, 3)]
-    links += [(key(0, 0), key(1, 1)), (key(2, 1), key(3, 2)), (key(3, 2), key(4, 2)), (key(0, 1), key(1, 2)), (key(1, 2), key(2, 2))]
+    both = [(key(f, 0), key(f + 1, 0)) for f in range(4)] + [(key(f, 1), key(f + 1, 1)) for f in (1, 2, 3)]
+    both += [(key(3, 2), key(4, 2)), (key(0, 1), key(1, 2)), (key(1, 2), key(2, 2))]
+    divided = [(key(0, 0), key(1, 1)), (key(2, 1), key(3, 2))]
+    links = [(*link, "both") for link in both] + [(*link, "previous") for link in divided]
     objects = spark.createDataFrame([(key(f, i),) for f in range(5) for i in range(3)], "id long")
-    heads = {r.id: r.track_head for r in T.track_heads(objects, spark.createDataFrame(links, "src long, dst long")).collect()}
-    # One-to-one links alone continue a track, so both ends of a division start new ones.
-    assert heads[key(2, 2)] == key(0, 1) and heads[key(1, 1)] == key(1, 1) and heads[key(4, 2)] == key(3, 2)
+    heads = {r.id: r.track_head for r in T.track_heads(objects, spark.createDataFrame(links, "src long, dst long, kind string")).collect()}
+    sizes = Counter(heads.values())
+    assert {h: sizes[h] for h in (key(0, 0), key(0, 1), key(0, 2), key(1, 1), key(3, 2))} == {key(0, 0): 5, key(0, 1): 3, key(0, 2): 1, key(1, 1): 4, key(3, 2): 2}
+    assert sum(sizes.values()) == 15 and len(sizes) == 5
 
 
 def test_regression_and_displacement(spark):
