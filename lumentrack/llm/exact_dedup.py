@@ -48,8 +48,10 @@ def shared_identifiers(docs: DataFrame, text: str = "text", identify: Callable[[
     """Identifiers (column ``id``) that stand for two or more different chunk texts: the dictionary's collisions.
 
     Equal chunks are combined before the shuffle, so a passage that many documents share moves once per task.
+    The outer form gives texts without chunks one null, which is no collision; the plain one would filter by the
+    array's size below the projections that make it, and so make it anew for each of its elements.
     """
-    chunk = with_chunks(docs.select(F.col(text).alias("text")), "chunks").select(F.explode("chunks").alias("chunk"))
+    chunk = with_chunks(docs.select(F.col(text).alias("text")), "chunks").select(F.explode_outer("chunks").alias("chunk"))
     entries = chunk.select(identify(F.col("chunk")).alias("id"), "chunk").distinct()
     return entries.groupBy("id").count().filter("count > 1").select("id")
 
