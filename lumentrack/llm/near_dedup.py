@@ -36,7 +36,7 @@ IDF_CEILING = 16
 #: All members of a bucket of at most so many meet each other. See ``later_meetings`` for larger ones.
 SMALL_BUCKET = 24
 #: In each turn so many members of a shingle's largest component meet what is outside of it; after these turns all do.
-PARTNERS = (1, 8, 64, 512)
+PARTNERS = (8, 128)
 #: Of the 64 samples so many agree in a candidate pair: five standard deviations below the mean of a pair at the threshold.
 LEAST_AGREE = 35
 _STEP = 0.02
