@@ -44,15 +44,12 @@ def identifier(chunk: Column) -> Column:
     return F.struct(F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit(7), chunk).alias("b"))
 
 
-def shared_identifiers(docs: DataFrame, text: str = "text", identify: Callable[[Column], Column] = identifier) -> DataFrame:
-    """Identifiers (column ``id``) that stand for two or more different chunk texts: the dictionary's collisions.
+def shared_identifiers(chunked: DataFrame, identify: Callable[[Column], Column] = identifier) -> DataFrame:
+    """Identifiers (column ``id``) that stand for two or more different texts in ``chunks``: the dictionary's collisions.
 
     Equal chunks are combined before the shuffle, so a passage that many documents share moves once per task.
-    The outer form gives texts without chunks one null, which is no collision; the plain one would filter by the
-    array's size below the projections that make it, and so make it anew for each of its elements.
     """
-    chunk = with_chunks(docs.select(F.col(text).alias("text")), "chunks").select(F.explode_outer("chunks").alias("chunk"))
-    entries = chunk.select(identify(F.col("chunk")).alias("id"), "chunk").distinct()
+    entries = chunked.select(F.explode("chunks").alias("chunk")).select(identify(F.col("chunk")).alias("id"), "chunk").distinct()
     return entries.groupBy("id").count().filter("count > 1").select("id")
 
 
@@ -68,16 +65,18 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     whose lists hold it are compared by their whole texts instead.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    collisions = cut(shared_identifiers(rows, identify=identify))
+    # Texts are cut once, and written: the dictionary and the lists are both made from that table.
+    chunked = written(with_chunks(rows, "chunks").select("doc_id", "chunks", F.sha2("text", 256).alias("text_sha256")))
+    collisions = cut(shared_identifiers(chunked, identify))
     recipe = F.transform("chunks", identify)
-    listed = cut(with_chunks(rows, "chunks").select("doc_id", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")))
+    listed = cut(chunked.select("doc_id", recipe.alias("recipe"), "text_sha256"))
     groups = listed.groupBy(F.col("recipe").alias("of")).agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Joined on length and list, both sides are exchanged for the join alone, so that a hot list can be split at run time.
     same = (F.size("recipe") == F.size("of")) & (F.col("recipe") == F.col("of"))
     out = listed.join(groups, same, "left").drop("of")
     if not collisions.isEmpty():
         doubtful = groups.select(F.col("of").alias("recipe"), F.explode("of").alias("id")).join(collisions, "id", "left_semi").select("recipe").distinct()
-        texts = with_chunks(rows, "chunks").select("doc_id", "text", recipe.alias("recipe"), F.sha2("text", 256).alias("text_sha256")).join(doubtful, "recipe", "left_semi")
+        texts = chunked.select("doc_id", F.array_join("chunks", "").alias("text"), recipe.alias("recipe"), "text_sha256").join(doubtful, "recipe", "left_semi")
         whole = texts.groupBy("recipe", "text").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
         again = texts.join(whole, ["recipe", "text"]).select("doc_id", "recipe", "text_sha256", "top", "n")
         out = out.join(doubtful, "recipe", "left_anti").unionByName(again)
