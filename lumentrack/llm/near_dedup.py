@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,9 @@ IDF_CEILING = 16
 SMALL_BUCKET = 24
 #: In each turn so many members of a shingle's largest component meet what is outside of it; after these turns all do.
 PARTNERS = (8, 128)
+#: Shingles are ordered by counts in a table of 2^ORDER_BITS slots. Where shingles are many more than slots the order
+#: says less of their rarity, and more pairs are tested, but any order that all texts share leaves no pair out.
+ORDER_BITS = 20
 #: Of the 64 samples so many agree in a candidate pair: five standard deviations below the mean of a pair at the threshold.
 LEAST_AGREE = 35
 _STEP = 0.02
@@ -280,37 +283,54 @@ def parted(large: DataFrame, named: DataFrame) -> DataFrame:
     return members.join(several, (F.col("key") == F.col("key2")) & (F.hash("key") == F.hash("key2"))).select("rid").distinct()
 
 
+def slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles, one for each text (rid, text) that has it, fall into each of 2^ORDER_BITS slots by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in _pieces(batches):
+            total += np.bincount(_slots(counted(batch.column(1))[0]), minlength=len(total))
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
+
+    sums = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    out[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(_HASH_BITS - ORDER_BITS)).astype(np.int64)
+
+
 def prefixes(texts: DataFrame, weights: Callable[[], Weights], similarity: float) -> DataFrame:
     """(h, rid, whole, rest): the shingles of each text (rid, text) that similar texts must share one of.
 
-    Shingles are ordered by the number of texts with them, rarest first. ``rest`` is the weight of the text's shared
-    shingles from this one on, ``whole`` that of all its shingles. Two texts of weights x and y that are similar
-    enough have s (x + y) / (1 + s) in common, s x or more, and all of it from the rarest shingle on that they share.
-    So in both texts that shingle has as much rest.
+    Shingles are ordered by the count of their slot, least first, then by their hash: one order for all texts, in which
+    rare shingles come early. One that is alone in its slot has no other text and is left out. ``rest`` is the weight
+    of the text's other shingles from this one on, ``whole`` that of all its shingles. Two texts of weights x and y that
+    are similar enough have s (x + y) / (1 + s) in common, s x or more, and all of it from the first shingle on that
+    they share. So in both texts that shingle has as much rest.
     """
     least = similarity - 1e-6
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            s, n = np.unique(counted(batch.column(1))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(n)], names=["h2", "n"])
+    shared = texts.sparkSession.sparkContext.broadcast(slot_counts(texts))  # of 2^ORDER_BITS slots, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights()
         for batch in _pieces(batches):
             s, n, at = counted(batch.column(1))
             weight, row = w.of(s, n), np.repeat(np.arange(batch.num_rows), np.diff(at))
-            whole = np.bincount(row, weight, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(s.astype(np.int64)), pa.array(weight), pa.array(whole[row])], names=["rid", "h", "weight", "whole"])
+            whole, count = np.bincount(row, weight, batch.num_rows), shared.value[_slots(s)]
+            order = np.lexsort((s, -count, row))  # the last shingle first, for sums from there
+            order = order[count[order] > 1]
+            s, row, weight = s[order], row[order], weight[order]
+            before = np.concatenate([[0.0], np.cumsum(weight)])
+            rest = before[1:] - before[np.searchsorted(row, row)]
+            kept = np.flatnonzero(rest >= least * whole[row])
+            rid = batch.column(0).take(pa.array(row[kept]))
+            yield pa.RecordBatch.from_arrays([pa.array(s[kept].astype(np.int64)), rid, pa.array(whole[row[kept]]), pa.array(rest[kept])], names=["h", "rid", "whole", "rest"])
 
-    # Texts are spread evenly, as a row for each of their shingles follows. Shared shingles are few beside all of them: counted in each task first, and written, so that Spark knows their
-    # size and only beyond its broadcast threshold exchanges the texts' rows for the join.
-    texts = texts.select("rid", "text").repartition("rid")
-    having = written(texts.mapInArrow(counts, "h2 long, n long").groupBy("h2").agg(F.sum("n").alias("n")).filter("n > 1"))
-    each = texts.mapInArrow(run, "rid binary, h long, weight double, whole double")
-    shared = each.join(having, (F.col("h") == F.col("h2")) & (F.hash("h") == F.hash("h2"))).drop("h2")
-    rest = F.sum("weight").over(Window.partitionBy("rid").orderBy(F.desc("n"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return written(shared.withColumn("rest", rest).filter(F.col("rest") >= least * F.col("whole")).select("h", "rid", "whole", "rest"))
+    return written(texts.select("rid", "text").mapInArrow(run, "h long, rid binary, whole double, rest double"))
 
 
 def later_meetings(marks: DataFrame, named: DataFrame, similarity: float, partners: int | None, turn: int) -> DataFrame:
@@ -429,7 +449,7 @@ def _judged(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataF
     named = connected_components(written(verified(candidates, texts, weights, similarity)), "a", "b")
     left = written(parted(large, named))
     if not left.isEmpty():
-        members = written(texts.join(left.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left_semi"))
+        members = written(texts.join(left.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left_semi").repartition("rid"))
         marks = prefixes(members, weights, similarity)
         for turn, partners in enumerate((*PARTNERS, None)):
             more = written(verified(later_meetings(marks, named, similarity, partners, turn), texts, weights, similarity))
