@@ -375,6 +375,32 @@ def test_agreement_estimates_weighted_jaccard():
     assert abs((x == y).mean() - near_dedup.jaccard(pair[:1], pair[1:], w)[0]) < 0.05
 
 
+@pytest.mark.parametrize("counts", [None, 5])
+def test_similar_texts_share_a_prefix_shingle(spark, monkeypatch, counts):
+    """Whatever the order is, here by counts of slots or, with all slots alike, by hash alone."""
+    if counts:
+        monkeypatch.setattr(near_dedup, "slot_counts", lambda texts: np.full(1 << near_dedup.ORDER_BITS, counts))
+    rng = np.random.default_rng(4)
+    body = []
+    for i in range(60):
+        words = [f"w{j}" for j in range(80)]
+        for j in rng.integers(0, 80, i % 5):
+            words[j] = f"x{rng.integers(3)}"
+        body.append(" ".join(words[: 80 - i % 3]))
+    body[7:9] = ["", body[3]]
+    w = near_dedup.Weights(len(body), [])
+    rows = [(bytes([i]), t) for i, t in enumerate(body)]
+    marks = {}
+    for r in near_dedup.prefixes(spark.createDataFrame(rows, "rid binary, text string"), lambda: w, 0.8).collect():
+        marks.setdefault(r.rid[0], {})[r.h] = (r.rest, r.whole)
+    a, b = (np.array(x) for x in zip(*itertools.combinations(range(len(body)), 2), strict=True))
+    near = near_dedup.jaccard(pa.array([body[i] for i in a]), pa.array([body[i] for i in b]), w) >= 0.8
+    assert 0 < near.sum() < len(near) and 7 not in marks
+    for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+        both = marks[i].keys() & marks[j].keys()
+        assert any(min(marks[i][h][0], marks[j][h][0]) >= (0.8 - 1e-6) / 1.8 * (marks[i][h][1] + marks[j][h][1]) for h in both)
+
+
 def test_near_edges(odd, none):
     rows = near_dedup.near_classes(odd).collect()
     assert len(rows) == odd.count()
