@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrack.llm import bpe, exact_dedup, langid, mixing, near_dedup, packing, quality_pu, quality_rules, sharding, warc
+from lumentrack.llm import alignment, bpe, exact_dedup, langid, mixing, near_dedup, packing, phrases, pieces, quality_pu, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.alignment_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -88,6 +101,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_langid": op9_langid,
     "op10_quality_rules": op10_quality_rules,
+    "op11_pieces": op11_pieces,
+    "op12_phrases": op12_phrases,
+    "op13_alignment": op13_alignment,
 }
 
 
@@ -166,4 +182,27 @@ ORACLE = {
                n_lines::BIGINT AS n_lines, n_stop_words::BIGINT AS n_stop_words, n_exclaims::BIGINT AS n_exclaims,
                n_ellipsis_lines::BIGINT AS n_ellipsis_lines, n_bullet_lines::BIGINT AS n_bullet_lines
         FROM b""",
+    "op12_phrases": r"""
+        WITH pieces AS (SELECT lang, row_number() OVER () AS pid, string_split_regex(p, '[\x20\x09]+') AS s FROM (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+        words AS (SELECT lang, pid, k, word FROM (
+            SELECT lang, pid, unnest(s) AS word, generate_subscripts(s, 1) AS k FROM pieces) WHERE word <> ''),
+        runs AS (SELECT lang, word AS w1, lead(word) OVER w AS w2, lead(word, 2) OVER w AS w3 FROM words WINDOW w AS (PARTITION BY pid ORDER BY k)),
+        f AS (SELECT lang, w1 AS phrase, 1 AS size, count(*) AS f FROM runs GROUP BY ALL
+            UNION ALL SELECT lang, w1 || ' ' || w2, 2, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL),
+        totals AS (SELECT lang, count(*) AS n FROM runs GROUP BY lang),
+        candidates AS (SELECT *, split_part(phrase, ' ', 1) AS w1, split_part(phrase, ' ', 2) AS w2, split_part(phrase, ' ', 3) AS w3 FROM f WHERE size > 1 AND f >= 10),
+        holders AS (SELECT lang, phrase, max(f) AS f_longer FROM (
+            SELECT lang, w1 || ' ' || w2 AS phrase, f FROM candidates WHERE size = 3
+            UNION ALL SELECT lang, w2 || ' ' || w3, f FROM candidates WHERE size = 3) GROUP BY ALL),
+        kept AS (SELECT candidates.* FROM candidates LEFT JOIN holders USING (lang, phrase) WHERE size = 3 OR coalesce(100 * f_longer < 50 * f, true)),
+        cuts AS (SELECT lang, phrase, f AS a, 1 AS k, w1 AS head, CASE WHEN size = 2 THEN w2 ELSE w2 || ' ' || w3 END AS rest FROM kept
+            UNION ALL SELECT lang, phrase, f, 2, w1 || ' ' || w2, w3 FROM kept WHERE size = 3),
+        scores AS (SELECT cuts.*, h.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (h.f::HUGEINT * r.f) AS score FROM cuts
+            JOIN f AS h ON h.lang = cuts.lang AND h.phrase = head JOIN f AS r ON r.lang = cuts.lang AND r.phrase = rest),
+        best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM best JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }
