@@ -32,11 +32,12 @@ from lumentrack.session import written
 #: Words in the longest group, and how often a phrase occurs at least.
 MOST_WORDS, FLOOR = 3, 10
 #: Bytes of text that are worked on at once; a longer piece is taken whole.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Bits of the table of frequent slots that tasks hold: 16 MB whatever the input.
 TABLE_BITS = 27
-#: Text of so many characters fills one part of the slots; at least so many parts; groups gathered in a task before it hands them on.
-PART_CHARS, LEAST_PARTS, GATHER = 1 << 27, 256, 1 << 22
+#: Bits of a slot's number within its part. Text of so many characters fills one part; at least so many parts; groups
+#: gathered in a task before it hands them on.
+SLOT_BITS, PART_CHARS, LEAST_PARTS, GATHER = 28, 1 << 27, 256, 1 << 21
 #: Share of a phrase's occurrences, in hundredths, that lie in one longer phrase and make it superfluous.
 WITHIN = 50
 
@@ -130,16 +131,25 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
                 yield Words(data[a:b], ends - a, salts), langs
 
 
+def _steps(slots: np.ndarray) -> bytes:
+    """Rising numbers as steps, all their low bytes first: the high ones are nearly all zero, which compresses."""
+    return np.diff(slots, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _slots(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
+
 def _counted_slots(texts: DataFrame, parts: int) -> DataFrame:
-    """(part, once, often, counts): slots of groups as each task met them, once, or more often with counts up to the floor."""
+    """(part, once, often, counts): slots of groups as each task met them, once, or more often with counts up to 255."""
     shift, gather = np.uint64(64 - int(math.log2(parts))), max(GATHER, 64 * parts)
 
     def handed(found: list[np.ndarray]) -> pa.RecordBatch:
         slot, count = np.unique(np.concatenate(found), return_counts=True)
         of = (slot >> np.uint64(32)).astype(np.int64)
         bounds = np.searchsorted(of, np.arange(parts + 1))
-        low, once, count = slot.astype("<u4"), count == 1, np.minimum(count, FLOOR).astype(np.uint8)
-        rows = [(p, low[a:b][once[a:b]].tobytes(), low[a:b][~once[a:b]].tobytes(), count[a:b][~once[a:b]].tobytes()) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+        low, once, count = slot.astype(np.uint32), count == 1, np.minimum(count, 255).astype(np.uint8)
+        rows = [(p, _steps(low[a:b][once[a:b]]), _steps(low[a:b][~once[a:b]]), count[a:b][~once[a:b]].tobytes()) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "once", "often", "counts"])
 
@@ -151,7 +161,7 @@ def _counted_slots(texts: DataFrame, parts: int) -> DataFrame:
                 for k, h in enumerate(words.hashes()):
                     h = h[words.room > k]
                     # The part in the upper half, its slot in the lower.
-                    found.append((h >> shift) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
+                    found.append((h >> shift) << np.uint64(32) | (h & np.uint64((1 << SLOT_BITS) - 1)))
                     size += len(h)
                 if size >= gather:
                     yield handed(found)
@@ -173,12 +183,11 @@ def frequent_slots(texts: DataFrame, floor: int = FLOOR, parts: int | None = Non
     per = max(3, TABLE_BITS - int(math.log2(parts)))
 
     def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        once = np.frombuffer(b"".join(rows["once"]), "<u4")
-        often = np.frombuffer(b"".join(rows["often"]), "<u4")
+        once, often = (np.concatenate([_slots(b) for b in rows[c]]) for c in ("once", "often"))
         slot, inverse = np.unique(np.concatenate([once, often]), return_inverse=True)
         count = np.bincount(inverse[: len(once)], minlength=len(slot)) + np.bincount(inverse[len(once) :], np.frombuffer(b"".join(rows["counts"]), np.uint8), minlength=len(slot)).astype(np.int64)
         bits = np.zeros(1 << per, np.uint8)
-        bits[slot[count >= floor] >> np.uint32(32 - per)] = 1
+        bits[slot[count >= floor] >> np.uint32(SLOT_BITS - per)] = 1
         return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
     table = np.zeros((parts, (1 << per) // 8), np.uint8)
@@ -196,7 +205,7 @@ def longest_groups(texts: DataFrame, table: Broadcast, parts: int) -> DataFrame:
     per = max(3, TABLE_BITS - int(math.log2(parts)))
 
     def passes(h: np.ndarray) -> np.ndarray:
-        place = (h & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - per)
+        place = (h & np.uint64((1 << SLOT_BITS) - 1)) >> np.uint64(SLOT_BITS - per)
         byte = table.value[(h >> shift).astype(np.int64), (place >> np.uint64(3)).astype(np.int64)]
         return (byte >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1
 

@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumentrack.llm.bpe import BATCH_CHARS, MEMO_PAIRS, MEMO_PIECES, RUN_PIECES, runs
+from lumentrack.llm.bpe import BATCH_CHARS, MEMO_PAIRS, RUN_PIECES, runs
 
 #: The sign that stands for a space within pieces.
 SPACE = "▁"
-#: Longer stretches aren't remembered.
-SHORT_CHARS = 48
+#: Longer stretches aren't remembered; of the others so many in each of two generations.
+SHORT_CHARS, MEMO_PIECES = 48, 500_000
 
 
 def _each_byte(error: UnicodeError) -> tuple[str, int]:
