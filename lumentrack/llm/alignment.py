@@ -10,6 +10,7 @@ groupings composes them; a text in one range is the product of one.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from lumentrack.session import written
 #: Texts of more characters are cut; bytes of a range; fragments composed in one step of the tree.
 LONG_CHARS, RANGE_BYTES, FAN = 1 << 16, 1 << 16, 8
 #: Characters of a batch that are encoded together.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
 _NONE = np.zeros(0, np.uint32)
 
 
@@ -37,9 +38,7 @@ class Pair:
 
     def __init__(self, ranks: str, pattern: str, model: str):
         self.a, self.b = bpe.vocabulary(ranks, pattern), pieces.loaded(model)
-        n = max(len(self.a.tokens), len(self.b.token))
-        #: What each id is written as, and what follows: another of its kind, or the end of its kind in the group.
-        self.text = [f"{i}{end}" for i in range(n) for end in (",", "|", ";")]
+        self.size = max(len(self.a.tokens), len(self.b.token))
 
     def most_links(self) -> int:
         """How many different pairs of ids can end on one byte: one's bytes end with the other's. No corpus has more."""
@@ -48,6 +47,12 @@ class Pair:
         return shorter_a + sum(n_b[t[i:]] for t in self.a.ranks for i in range(1, len(t)))
 
 
+@functools.cache
+def spelling(size: int) -> list[str]:
+    """What each id is written as, and what follows: another of its kind, or the end of its kind in the group."""
+    return [f"{i}{end}" for i in range(size) for end in (",", "|", ";")]
+
+
 @dataclass
 class Fragment:
     """``open_a``, ``open_b`` before the first common end, ``closed`` groups as written with their ``links``, ``rest_a``,
@@ -100,8 +105,8 @@ def _links(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Groups:
     """The groups of tokens with their ends, of one text or of many set end to end."""
 
-    def __init__(self, pair: Pair, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray):
-        self.pair, self.a, self.b = pair, a, b
+    def __init__(self, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray):
+        self.a, self.b = a, b
         at = np.minimum(np.searchsorted(ends_b, ends_a), max(0, len(ends_b) - 1))
         common = ends_b[at] == ends_a if len(ends_b) else np.zeros(len(ends_a), bool)
         #: The last token of each group in A and in B.
@@ -109,7 +114,7 @@ class Groups:
         self.links = _links(a[self.cut_a], b[self.cut_b])
 
     def codes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Entries of ``Pair.text`` of all closed groups in order, and where each group's end."""
+        """Entries of ``spelling`` of all closed groups in order, and where each group's end."""
         n_a, n_b = (int(c[-1]) + 1 if len(c) else 0 for c in (self.cut_a, self.cut_b))
         of_a = np.searchsorted(self.cut_a, np.arange(n_a))
         of_b = np.searchsorted(self.cut_b, np.arange(n_b))
@@ -121,12 +126,12 @@ class Groups:
         out[np.arange(n_b) + self.cut_a[of_b] + 1] = self.b[:n_b].astype(np.int64) * 3 + last_b
         return out, self.cut_a + self.cut_b + 2
 
-    def fragment(self, same: bool = True) -> Fragment:
+    def fragment(self, size: int, same: bool = True) -> Fragment:
         n_a, n_b = len(self.a), len(self.b)
         if not len(self.cut_a):
             return Fragment(False, self.a, self.b, n_a=n_a, n_b=n_b, same=same)
         codes, ends = self.codes()
-        closed = "".join(map(self.pair.text.__getitem__, codes[ends[0] :].tolist()))
+        closed = "".join(map(spelling(size).__getitem__, codes[ends[0] :].tolist()))
         first_a, first_b, last_a, last_b = self.cut_a[0] + 1, self.cut_b[0] + 1, self.cut_a[-1] + 1, self.cut_b[-1] + 1
         return Fragment(True, self.a[:first_a], self.b[:first_b], closed, self.links[1:], self.a[last_a:], self.b[last_b:], n_a, n_b, same)
 
@@ -165,9 +170,9 @@ def _short(pair: Pair, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
             same[i] = pair.a.decode(packed_a[i]) == data and pair.b.spelled_bytes(np.frombuffer(packed_b[i], "<u4")) == data
         packed_a, packed_b = ([p if s else b"" for p, s in zip(x, same, strict=True)] for x in (packed_a, packed_b))
     (a, at_a), (b, at_b) = _ids(packed_a), _ids(packed_b)
-    groups = Groups(pair, a, np.cumsum(pair.a.length[a]), b, np.cumsum(pair.b.length[b]))
+    groups = Groups(a, np.cumsum(pair.a.length[a]), b, np.cumsum(pair.b.length[b]))
     codes, _ = groups.codes()
-    text, cuts = pair.text.__getitem__, (at_a + at_b).tolist()
+    text, cuts = spelling(pair.size).__getitem__, (at_a + at_b).tolist()
     written_as = ["".join(map(text, codes[i:j].tolist()))[:-1] for i, j in zip(cuts, cuts[1:], strict=False)]
     n = np.searchsorted(groups.cut_a, at_a)
     links = [groups.links[i:j].tobytes() for i, j in zip(n.tolist(), n[1:].tolist(), strict=False)]
@@ -240,7 +245,7 @@ def _ranges(pair, size: int):  # noqa: ANN001, ANN202
     return run
 
 
-def _made(pair):  # noqa: ANN001, ANN202
+def _made(size: int):  # noqa: ANN202
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sides = []
         for side in "ab":
@@ -248,40 +253,42 @@ def _made(pair):  # noqa: ANN001, ANN202
             ids, ends = np.frombuffer(b"".join(mine["ids"]), "<u4"), np.frombuffer(b"".join(mine["ends"]), "<i8")
             order = np.argsort(ends, kind="stable")
             sides += [ids[order], ends[order]]
-        f = Groups(pair(), *sides).fragment(bool(rows["same"].all()))
+        f = Groups(*sides).fragment(size, bool(rows["same"].all()))
         return pd.DataFrame([_packed(int(key[0]), int(key[1]), f)], columns=[c.split()[0] for c in _FRAGMENT.split(", ")])
 
     return run
 
 
-def _composed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _product(rows: pd.DataFrame) -> Fragment:
     out = Fragment()
     for r in rows.sort_values("range").itertuples():
         out = out.then(_unpacked(r))
-    return pd.DataFrame([_packed(int(key[0]), int(key[1]), out)], columns=[c.split()[0] for c in _FRAGMENT.split(", ")])
+    return out
+
+
+def _composed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([_packed(int(key[0]), int(key[1]), _product(rows))], columns=[c.split()[0] for c in _FRAGMENT.split(", ")])
 
 
-def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pandas().itertuples():
-            f = _unpacked(r)
-            if not f.same:
-                f = Fragment()
-            groups, links = f.whole()
-            yield pa.RecordBatch.from_arrays([pa.array([r.doc_row]), pa.array([f.n_a], pa.int64()), pa.array([f.n_b], pa.int64()), pa.array([len(links)], pa.int64()), pa.array([_sha(groups)]), pa.array([links.tobytes()], pa.binary())], names=["doc_row", *_NAMES[1:]])
+def _finished(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    f = _product(rows)
+    if not f.same:
+        f = Fragment()
+    groups, links = f.whole()
+    return pd.DataFrame([[int(key[0]), f.n_a, f.n_b, len(links), _sha(groups), links.tobytes()]], columns=["doc_row", *_NAMES[1:]])
 
 
-def fragments(texts: DataFrame, pair, every: int, size: int) -> DataFrame:  # noqa: ANN001
-    """One fragment for each row of ``texts`` (doc_row, text), composed by a tree of groupings from those of its byte ranges."""
+def composed(texts: DataFrame, pair, ids: int, every: int, size: int) -> DataFrame:  # noqa: ANN001
+    """The alignment of each row of ``texts`` (doc_row, text), from the fragments of its byte ranges by a tree of groupings."""
     parts = texts.mapInArrow(_parts(every), "doc_row long, side string, start long, first boolean, text string")
     dealt = parts.repartition("doc_row", "side", "start").mapInArrow(_ranges(pair, size), "doc_row long, range long, side string, ids binary, ends binary, same boolean")
-    state = dealt.groupBy("doc_row", "range").applyInPandas(_made(pair), _FRAGMENT)
+    state = dealt.groupBy("doc_row", "range").applyInPandas(_made(ids), _FRAGMENT)
     longest = texts.agg(F.max(F.octet_length("text"))).first()[0] or 0
     ranges = longest // size + 1
-    while ranges > 1:
+    while ranges > FAN:
         state = state.groupBy("doc_row", F.floor(F.col("range") / FAN).alias("range_")).applyInPandas(_composed, _FRAGMENT)
         ranges = -(-ranges // FAN)
-    return state
+    return state.groupBy("doc_row").applyInPandas(_finished, "doc_row long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary")
 
 
 def aligned(docs: DataFrame, ranks: str, pattern: str, model: str, *, id_col: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -300,8 +307,7 @@ def aligned(docs: DataFrame, ranks: str, pattern: str, model: str, *, id_col: st
     long = written(rows.filter(F.length("text") > long_chars).withColumn("doc_row", F.monotonically_increasing_id()))
     if long.isEmpty():
         return short
-    whole = fragments(long.select("doc_row", "text"), pair, long_chars, range_bytes)
-    found = whole.mapInArrow(_finished, "doc_row long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary")
+    found = composed(long.select("doc_row", "text"), pair, pair().size, long_chars, range_bytes)
     return short.unionByName(long.select("doc_row", "doc").join(found, "doc_row").drop("doc_row"))
 
 

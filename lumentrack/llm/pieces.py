@@ -28,7 +28,7 @@ from lumentrack.llm.bpe import BATCH_CHARS, MEMO_PAIRS, RUN_PIECES, runs
 #: The sign that stands for a space within pieces.
 SPACE = "▁"
 #: Longer stretches aren't remembered; of the others so many in each of two generations.
-SHORT_CHARS, MEMO_PIECES = 48, 500_000
+SHORT_CHARS, MEMO_PIECES = 48, 250_000
 
 
 def _each_byte(error: UnicodeError) -> tuple[str, int]:
@@ -75,17 +75,30 @@ class Pieces:
         known = set("".join(self.ids))
         if lost := known - self.ids.keys():
             raise ValueError(f"characters without a piece of their own: {sorted(lost)[:5]}")
-        bound = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in bound)
-        # No piece has a space behind another character: a stretch ends where a space begins, and about lone characters.
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space within it")
-        self.stretches = re.compile(f"{SPACE}*+[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*+[^{SPACE}]+|{SPACE}+")
+        self.stretches = self._borders()
         self.unknown = re.compile("([^" + "".join(re.escape(c) for c in sorted(known)) + "]+)")
         self._fits: dict[int, bool] = {}
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
+    def _borders(self) -> re.Pattern:
+        """Cuts texts where no piece reaches across: before spaces, about characters that no longer piece has, and before
+        signs that in pieces follow none but such signs (a comma never follows a letter)."""
+        bound = {c for p in self.ids if len(p) > 1 for c in p}
+        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in bound)
+        before: dict[str, set[str]] = {c: set() for c in bound}
+        for p in self.ids:
+            for a, b in pairwise(p):
+                before[b].add(a)
+        signs = {c for c in bound if not c.isalpha() and c != SPACE}
+        while wrong := {c for c in signs if not before[c] <= signs | {SPACE}}:
+            signs -= wrong
+        sign = f"[{''.join(re.escape(c) for c in sorted(signs))}]" if signs else "(?!)"
+        other = f"[^{SPACE}{alone}{sign[1:-1] if signs else ''}]"
+        return re.compile(f"{SPACE}*+(?:{sign}++{other}*+|{other}++)|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+
     def _built(self, piece: str) -> bool:
         """Whether the merges, run on a piece's own characters, give it back; notes the two that its last merge joins."""
         parts = list(piece)

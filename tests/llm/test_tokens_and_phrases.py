@@ -233,13 +233,13 @@ def test_fragments_compose_associatively():
     text = "Unbelievably naïve 中国 internationalisation of the tokenizers' étude   of 12345 things"
     a, b = np.frombuffer(pair.a.encode(" " + text), "<u4"), np.frombuffer(pair.b.encode(text), "<u4")
     ends_a, ends_b = np.cumsum(pair.a.length[a]), np.cumsum(pair.b.length[b])
-    whole = alignment.Groups(pair, a, ends_a, b, ends_b).fragment().whole()
+    whole = alignment.Groups(a, ends_a, b, ends_b).fragment(pair.size).whole()
     for _ in range(50):
         cuts = [0, *sorted(draw.sample(range(1, int(ends_a[-1])), draw.randint(1, 12))), int(ends_a[-1])]
         parts = []
         for low, high in zip(cuts, cuts[1:], strict=False):
             of_a, of_b = (ends_a > low) & (ends_a <= high), (ends_b > low) & (ends_b <= high)
-            parts.append(alignment.Groups(pair, a[of_a], ends_a[of_a], b[of_b], ends_b[of_b]).fragment())
+            parts.append(alignment.Groups(a[of_a], ends_a[of_a], b[of_b], ends_b[of_b]).fragment(pair.size))
         while len(parts) > 1:
             i = draw.randrange(len(parts) - 1)
             parts[i : i + 2] = [parts[i].then(parts[i + 1])]
@@ -253,7 +253,7 @@ def test_bound_of_the_table_of_counts():
     for t in texts(500, 9):
         if t and "▁" not in t:
             a, b = np.frombuffer(pair.a.encode(" " + t), "<u4"), np.frombuffer(pair.b.encode(t), "<u4")
-            seen |= set(alignment.Groups(pair, a, np.cumsum(pair.a.length[a]), b, np.cumsum(pair.b.length[b])).links.tolist())
+            seen |= set(alignment.Groups(a, np.cumsum(pair.a.length[a]), b, np.cumsum(pair.b.length[b])).links.tolist())
     assert len(seen) < pair.most_links() < 1_000_000
     assert all(pair.a.tokens[x >> 32].endswith(pair.b.data[x & 0xFFFFFFFF]) or pair.b.data[x & 0xFFFFFFFF].endswith(pair.a.tokens[x >> 32]) for x in seen)
     assert bpe.vocabulary(RANKS, P.PATTERN) is pair.a
