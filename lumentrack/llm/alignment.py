@@ -30,6 +30,8 @@ from lumentrack.session import written
 LONG_CHARS, RANGE_BYTES, FAN = 1 << 16, 1 << 16, 8
 #: Characters of a batch that are encoded together.
 BATCH_CHARS = 1 << 19
+#: Bytes of links that are counted or looked up together.
+LINK_BYTES = 1 << 23
 _NONE = np.zeros(0, np.uint32)
 
 
@@ -315,7 +317,7 @@ def link_counts(rows: DataFrame) -> DataFrame:
     """(link, n): how many links of the corpus are of each pair of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bpe.runs(whole, LINK_BYTES)):
             links, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8"), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(links.astype(np.int64)), pa.array(n.astype(np.int64))], names=["link", "n"])
 
@@ -340,7 +342,7 @@ def alignment_digests(docs: DataFrame, ranks: str, pattern: str, model: str, **o
     shared = docs.sparkSession.sparkContext.broadcast((link, n, best))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bpe.runs(whole, LINK_BYTES)):
             known, n, best = shared.value
             packed = batch.column("links").to_pylist()
             at = np.cumsum([0, *(len(p) // 8 for p in packed)])

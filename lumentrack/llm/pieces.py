@@ -28,7 +28,7 @@ from lumentrack.llm.bpe import BATCH_CHARS, MEMO_PAIRS, RUN_PIECES, runs
 #: The sign that stands for a space within pieces.
 SPACE = "▁"
 #: Longer stretches aren't remembered; of the others so many in each of two generations.
-SHORT_CHARS, MEMO_PIECES = 48, 250_000
+SHORT_CHARS, MEMO_PIECES = 48, 180_000
 
 
 def _each_byte(error: UnicodeError) -> tuple[str, int]:
