@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,6 +21,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +36,29 @@ BATCH_CHARS = 1 << 19
 #: Bytes of links that are counted or looked up together.
 LINK_BYTES = 1 << 23
 _NONE = np.zeros(0, np.uint32)
+_LONG_PIECE = re.compile(r"\S{2048}|\s{2048}")
 
 
 class Pair:
-    """Both tokenizers: A byte-level, over a space and the text, B in pieces, over the text."""
+    """Both tokenizers: A byte-level, over a space and the text, B in pieces, over the text.
+
+    Whole texts are encoded by the tokenizers' own libraries; parts of texts, which B's can't take, and pieces of A that
+    are so long that its library's time grows with their square, by the encoders of this subpackage.
+    """
 
     def __init__(self, ranks: str, pattern: str, model: str):
         self.a, self.b = bpe.vocabulary(ranks, pattern), pieces.loaded(model)
+        self.library_a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=self.a.ranks, special_tokens={})
+        self.library_b = sentencepiece.SentencePieceProcessor(model_file=model)
         self.size = max(len(self.a.tokens), len(self.b.token))
+        if self.size > 1 << 16:
+            raise ValueError("links have 16 bits for an id of each side")
+
+    def ids_a(self, text: str) -> bytes:
+        return self.a.encode(text) if _LONG_PIECE.search(text) else np.array(self.library_a.encode_ordinary(text), "<u4").tobytes()
+
+    def ids_b(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in self.library_b.encode(texts, num_threads=1)]
 
     def most_links(self) -> int:
         """How many different pairs of ids can end on one byte: one's bytes end with the other's. No corpus has more."""
@@ -64,7 +82,7 @@ class Fragment:
     open_a: np.ndarray = field(default_factory=lambda: _NONE)
     open_b: np.ndarray = field(default_factory=lambda: _NONE)
     closed: str = ""
-    links: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    links: np.ndarray = field(default_factory=lambda: _NONE)
     rest_a: np.ndarray = field(default_factory=lambda: _NONE)
     rest_b: np.ndarray = field(default_factory=lambda: _NONE)
     n_a: int = 0
@@ -93,15 +111,11 @@ class Fragment:
 
 def group(a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
     """A group as written, and its link: of all pairs only the last tokens end together."""
-    return f"{','.join(map(str, a.tolist()))}|{','.join(map(str, b.tolist()))};", np.array([_link(int(a[-1]), int(b[-1]))], np.uint64)
-
-
-def _link(a: int, b: int) -> int:
-    return a << 32 | b
+    return f"{','.join(map(str, a.tolist()))}|{','.join(map(str, b.tolist()))};", _links(a[-1:], b[-1:])
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+    return a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
 
 
 class Groups:
@@ -163,7 +177,7 @@ def _sha(groups: str) -> str:
 
 def _short(pair: Pair, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
     """Each whole text as one range; all at once, as texts end on common ends."""
-    packed_a, packed_b = pair.a.encode_all([" " + t if t else "" for t in texts]), pair.b.encode_all(texts)
+    packed_a, packed_b = [pair.ids_a(" " + t) if t else b"" for t in texts], pair.ids_b(texts)
     same = np.ones(len(texts), bool)
     wanted = "".join([" " + t if t else "" for t in texts]).encode()
     if pair.a.decode(b"".join(packed_a)) != wanted or pair.b.spelled_bytes(_ids(packed_b)[0]) != wanted:
@@ -190,7 +204,7 @@ def _packed(row: int, at: int, f: Fragment) -> list:
 
 def _unpacked(r) -> Fragment:  # noqa: ANN001
     ids = lambda x: np.frombuffer(x, "<u4")
-    return Fragment(bool(r.cut), ids(r.open_a), ids(r.open_b), r.closed, np.frombuffer(r.links, "<u8"), ids(r.rest_a), ids(r.rest_b), int(r.n_a), int(r.n_b), bool(r.same))
+    return Fragment(bool(r.cut), ids(r.open_a), ids(r.open_b), r.closed, np.frombuffer(r.links, "<u4"), ids(r.rest_a), ids(r.rest_b), int(r.n_a), int(r.n_b), bool(r.same))
 
 
 #: Before white space that follows none, a piece of A begins whatever stands before; where the space is a plain one and follows no other space sign, B's too.
@@ -230,7 +244,7 @@ def _ranges(pair, size: int):  # noqa: ANN001, ANN202
         for batch in batches:
             for r in batch.to_pylist():
                 if r["side"] == "a":
-                    ids = np.frombuffer(p.a.encode(r["text"]), "<u4")
+                    ids = np.frombuffer(p.ids_a(r["text"]), "<u4")
                     ends, data = p.a.length[ids], p.a.decode(ids.tobytes())
                     wanted = r["text"].encode()
                 else:
@@ -294,7 +308,7 @@ def composed(texts: DataFrame, pair, ids: int, every: int, size: int) -> DataFra
 
 
 def aligned(docs: DataFrame, ranks: str, pattern: str, model: str, *, id_col: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc, n_a, n_b, n_groups, groups_sha256, links (of each group in order: A's id in the upper, B's in the lower half of 64 bits)."""
+    """Per row of ``docs``: doc, n_a, n_b, n_groups, groups_sha256, links (of each group in order: A's id in the upper, B's in the lower half of 32 bits)."""
     kind = docs.schema[id_col].dataType.simpleString()
     pair = lambda: pair_of(ranks, pattern, model)
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
@@ -318,7 +332,7 @@ def link_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bpe.runs(whole, LINK_BYTES)):
-            links, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8"), return_counts=True)
+            links, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(links.astype(np.int64)), pa.array(n.astype(np.int64))], names=["link", "n"])
 
     return rows.select("links").mapInArrow(run, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
@@ -337,16 +351,16 @@ def alignment_digests(docs: DataFrame, ranks: str, pattern: str, model: str, **o
     most = pair_of(ranks, pattern, model).most_links()
     if len(counts) > most:
         raise RuntimeError(f"{len(counts)} pairs of ids end together, where the vocabularies allow {most}")
-    link, n = counts["link"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-    best = n == counts.groupby(counts["link"] & 0xFFFFFFFF)["n"].transform("max").to_numpy(np.int64)
+    link, n = counts["link"].to_numpy(np.int64).astype(np.uint32), counts["n"].to_numpy(np.int64)
+    best = n == counts.groupby(counts["link"] & 0xFFFF)["n"].transform("max").to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((link, n, best))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bpe.runs(whole, LINK_BYTES)):
             known, n, best = shared.value
             packed = batch.column("links").to_pylist()
-            at = np.cumsum([0, *(len(p) // 8 for p in packed)])
-            place = np.searchsorted(known, np.frombuffer(b"".join(packed), "<i8"))
+            at = np.cumsum([0, *(len(p) // 4 for p in packed)])
+            place = np.searchsorted(known, np.frombuffer(b"".join(packed), "<u4"))
             sums = [np.concatenate([[0], np.cumsum(x[place], dtype=np.int64)])[at] for x in (best, n)]
             columns = [batch.column("doc"), batch.column("n_a"), batch.column("n_b"), batch.column("n_groups"), pa.array(np.diff(at)), *(pa.array(np.diff(s)) for s in sums), batch.column("groups_sha256")]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])

@@ -217,7 +217,7 @@ def plain_alignments(rows, both):
 @pytest.mark.parametrize("options", [{}, {"long_chars": 40, "range_bytes": 32}, {"long_chars": 25, "range_bytes": 7}])
 def test_alignments_equal_plain_grouping(spark, both, options):
     short = [t if t is None or len(t) < 3000 else t[:1500] for t in texts(120, 4)]
-    rows = [*enumerate(short), (5, "again and again"), (5, "again and again")]
+    rows = [*enumerate(short), (900, "y" * 5000 + " end"), (901, " " * 3000 + "z"), (5, "again and again"), (5, "again and again")]
     docs = table(spark, [(i, t, "x") for i, t in rows]).withColumnsRenamed({"lang": "links"})
     got = alignment.alignment_digests(docs, RANKS, P.PATTERN, MODEL, **options).collect()
     assert sorted(map(tuple, got)) == plain_alignments(rows, both)
@@ -255,5 +255,5 @@ def test_bound_of_the_table_of_counts():
             a, b = np.frombuffer(pair.a.encode(" " + t), "<u4"), np.frombuffer(pair.b.encode(t), "<u4")
             seen |= set(alignment.Groups(a, np.cumsum(pair.a.length[a]), b, np.cumsum(pair.b.length[b])).links.tolist())
     assert len(seen) < pair.most_links() < 1_000_000
-    assert all(pair.a.tokens[x >> 32].endswith(pair.b.data[x & 0xFFFFFFFF]) or pair.b.data[x & 0xFFFFFFFF].endswith(pair.a.tokens[x >> 32]) for x in seen)
+    assert all(pair.a.tokens[x >> 16].endswith(pair.b.data[x & 0xFFFF]) or pair.b.data[x & 0xFFFF].endswith(pair.a.tokens[x >> 16]) for x in seen)
     assert bpe.vocabulary(RANKS, P.PATTERN) is pair.a
