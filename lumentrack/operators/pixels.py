@@ -183,7 +183,7 @@ def components(mask: DataFrame, keys: Sequence[str] = ("frame",), low: bool = Fa
     w = Window.partitionBy(*keys, "y").orderBy("x")
     runs = mask.select(*keys, "y", "x").distinct().withColumn("_g", F.col("x") - F.row_number().over(w))
     runs = runs.groupBy(*keys, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = runs.withColumn("run", F.concat_ws("|", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in keys], F.lpad("y", 8, "0"), F.lpad("x0", 8, "0")))
+    runs = runs.withColumn("run", F.struct(*keys, "y", "x0"))
     slack = 0 if low else 1
     up = runs.select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("dst"))
     edges = runs.join(up, [*keys, "y"]).filter((F.col("x0") - slack <= F.col("u1")) & (F.col("u0") - slack <= F.col("x1"))).select(F.col("run").alias("src"), "dst")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrack.operators.histograms import otsu
 from lumentrack.operators.pixels import contour
+from lumentrack.operators.spatial import box_pairs, container
 
 KEYS, OBJECT = ("frame",), "object_id"
 #: Neighbours of a pixel: the four beside it, and the four at its corners.
@@ -78,13 +80,24 @@ def contained(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
     return shared(a, b, keys).filter("n = size_a").select(*keys, "a", "b")
 
 
-def gated(a: DataFrame, b: DataFrame, keep_matched: bool, keys: Sequence[str] = KEYS) -> DataFrame:
-    """FI-14: the objects of ``a`` with (or without) a match in ``b``, whose boxes overlap."""
-    box = lambda df, p: df.groupBy(*keys, F.col(OBJECT).alias(f"{p}o")).agg(*[f(c).alias(f"{p}{n}{c}") for c in ("x", "y") for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    cells = lambda df, p: df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col(f"{p}lox") / 16), F.floor(F.col(f"{p}hix") / 16)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col(f"{p}loy") / 16), F.floor(F.col(f"{p}hiy") / 16))))
-    meet = (F.col("alox") <= F.col("bhix")) & (F.col("blox") <= F.col("ahix")) & (F.col("aloy") <= F.col("bhiy")) & (F.col("bloy") <= F.col("ahiy"))
-    matched = cells(box(a, "a"), "a").join(cells(box(b, "b"), "b"), [*keys, "_cx", "_cy"]).filter(meet).select(*keys, F.col("ao").alias(OBJECT)).distinct()
-    return a.select(*keys, OBJECT).distinct().join(matched, [*keys, OBJECT], "left_semi" if keep_matched else "left_anti")
+def gated(a: DataFrame, b: DataFrame, gate: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """FI-14: the pixels of each object of ``a`` together with ('a+b') or less ('a-b') those of the object of ``b`` whose box overlaps its box most, or that object's less its own ('b-a').
+
+    Of equal overlaps the smallest id of ``b`` counts. Without an overlapping box an object stays as it is, and goes for
+    'b-a'. Each object is worked on by itself, so one of ``b`` can serve several; objects without pixels left are gone.
+    """
+    box = lambda df: df.groupBy(*keys, OBJECT).agg(*[f(c).cast("long").alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, "min"), (F.max, "max"))])
+    partner = container(box_pairs(box(a), box(b), keys, name=OBJECT), keys).select(*keys, F.col("a").alias(OBJECT), F.col("b").alias("_b"))
+    own = a.select(*keys, OBJECT, "y", "x")
+    theirs = partner.join(b.select(*keys, F.col(OBJECT).alias("_b"), "y", "x"), [*keys, "_b"]).select(*keys, OBJECT, "y", "x")
+    at = [*keys, OBJECT, "y", "x"]
+    if gate == "a+b":
+        return own.unionByName(theirs).distinct()
+    if gate == "a-b":
+        return own.join(theirs, at, "left_anti")
+    if gate == "b-a":
+        return theirs.join(own, at, "left_anti")
+    raise ValueError(f"no such gate: {gate}")
 
 
 def match_table(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -148,10 +161,24 @@ def compared(a: DataFrame, b: DataFrame, keys: Sequence[str], largest: bool = Tr
     return both.select(*keys, (F.greatest if largest else F.least)("threshold", "_t").alias("threshold"))
 
 
-def without_saturated(df: DataFrame, level: float, share: float, *, track: str = "track", value: str = "x") -> DataFrame:
-    """TR-30: tracks go of whose objects at least ``share`` have a value of ``level`` or more."""
-    full = df.groupBy(F.col(track).alias("_t")).agg(F.avg((F.col(value) >= level).cast("double")).alias("_s")).filter(F.col("_s") >= share)
-    return df.join(full, F.col(track) == F.col("_t"), "left_anti")
+def saturated_tracks(hist: DataFrame, pixel_share: float, object_share: float, *, keys: Sequence[str] = ("track", "object_id")) -> DataFrame:
+    """TR-30: the tracks (first of ``keys``) with at least ``object_share`` of their objects saturated, from histograms (keys, bin, count).
+
+    An object is saturated if more than ``pixel_share`` of its foreground, the pixels in bins above Otsu's, is in its last
+    bin with any. An object of one value has no foreground and isn't saturated.
+    """
+    track = keys[0]
+    used = hist.filter("count > 0")
+    rows = used.join(otsu(hist, keys), list(keys), "left")
+    top = F.max_by("count", "bin")
+    over = F.sum(F.when(F.col("bin") > F.col("threshold_bin"), F.col("count")))
+    objects = rows.groupBy(*keys).agg(F.coalesce(top > pixel_share * over, F.lit(False)).alias("_full"))
+    return objects.groupBy(track).agg(F.count_if("_full").alias("_k"), F.count(F.lit(1)).alias("_n")).filter((F.col("_k") >= object_share * F.col("_n")) & (F.col("_k") > 0)).select(track)
+
+
+def without_saturated(df: DataFrame, hist: DataFrame, pixel_share: float, object_share: float, *, keys: Sequence[str] = ("track", "object_id")) -> DataFrame:
+    """TR-30: ``df`` less the rows of saturated tracks."""
+    return df.join(saturated_tracks(hist, pixel_share, object_share, keys=keys), keys[0], "left_anti")
 
 
 def without_edge_tracks(df: DataFrame, level: float, keys: Sequence[str], *, track: str = "track", at: str = "x", value: str = "y") -> DataFrame:

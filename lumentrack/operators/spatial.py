@@ -58,15 +58,69 @@ def best_both_ways(overlaps: DataFrame, keys: Sequence[str] = ("frame",)) -> Dat
 
 
 def nearest(points: DataFrame, others: DataFrame, keys: Sequence[str], same: bool = True) -> DataFrame:
-    """JO-9, ME-21, ME-22: for each point (id, x, y) the nearest other of its group, the first id of equals, with distance and vector."""
-    b = others.select(*keys, F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    pairs = points.select(*keys, "id", "x", "y").join(b, list(keys))
-    if same:
-        pairs = pairs.filter("id <> nid")
-    d2 = (F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2
-    near = F.struct("nid", "nx", "ny", F.sqrt(d2).alias("d"))
-    found = pairs.groupBy(*keys, "id", "x", "y").agg(F.min_by(near, F.struct(d2, "nid")).alias("n"))
-    return found.select(*keys, "id", F.col("n.nid").alias("nearest_id"), F.col("n.d").alias("distance"), (F.col("n.nx") - F.col("x")).alias("dx"), (F.col("n.ny") - F.col("y")).alias("dy"))
+    """JO-9, ME-21, ME-22: for each point (id, x, y) the nearest other of its group, the first id of equals, with distance and vector.
+
+    ``others`` may have several rows of an id, as the pixels of an object's contour: then it is the distance to its edge.
+    Points look about them in the nine cells around their own. What they find is settled if it is no farther than a
+    cell's side, as nothing outside of these cells is nearer; the rest looks again with cells of twice the side, until
+    the nine cells have the whole group. Sides begin so that a cell has two others on average. Places are compared, not
+    rows: of the others at one place only the first two ids are kept, so repeated places don't multiply.
+    """
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    places = _places(others, keys)
+    extent = places.groupBy(*keys).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), (F.max("x") - F.min("x")).alias("_w"), (F.max("y") - F.min("y")).alias("_h"), F.count(F.lit(1)).alias("_n"))
+    side = F.greatest(F.sqrt(2 * F.col("_w") * F.col("_h") / F.col("_n")), F.greatest("_w", "_h") / F.col("_n"))
+    extent = extent.select(*keys, "_x0", "_y0", F.greatest("_w", "_h").alias("_span"), F.when(side > 0, side).otherwise(1.0).alias("_side"))
+    left = written(points.select(*keys, "id", "x", "y").filter("x is not null and y is not null").join(extent, list(keys)))
+    places = written(places.join(extent, list(keys)))
+    parts, wider = [], 1
+    while not left.isEmpty():
+        side = F.col("_side") * wider
+        cell = lambda c, side=side: F.floor((F.col(c) - F.col(f"_{c}0")) / side).cast("long")
+        theirs = places.select(*keys, F.col("x").alias("nx"), F.col("y").alias("ny"), "_first", "_second", cell("x").alias("_cx"), cell("y").alias("_cy"))
+        asked = left.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).withColumns({"_cx": cell("x") + F.col("_i"), "_cy": cell("y") + F.col("_j")}).drop("_i", "_j")
+        nid = F.when(F.col("_first") != F.col("id"), F.col("_first")).otherwise(F.col("_second")) if same else F.col("_first")
+        met = asked.join(theirs, [*keys, "_cx", "_cy"]).withColumn("nid", nid).filter("nid is not null")
+        d2 = (F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2
+        best = met.groupBy(*keys, "id", "x", "y").agg(F.min_by(F.struct("nid", "nx", "ny", d2.alias("d2")), F.struct(d2, "nid")).alias("n"))
+        seen = written(left.join(best, [*keys, "id", "x", "y"], "left"))
+        # The nine cells have all others if a side is longer than the way to the far end of their box.
+        beyond = F.greatest(F.lit(0.0), *[d for c in ("x", "y") for d in (F.col(f"_{c}0") - F.col(c), F.col(c) - F.col(f"_{c}0") - F.col("_span"))])
+        settled = F.coalesce(F.col("n.d2") <= side * side, F.lit(False)) | (side > beyond + F.col("_span"))
+        parts.append(seen.filter(settled & F.col("n").isNotNull()).select(*keys, "id", "x", "y", "n"))
+        left = written(seen.filter(~settled).drop("n"))
+        wider *= 2
+    if not parts:
+        parts = [left.withColumn("n", F.lit(None).cast("struct<nid:long,nx:double,ny:double,d2:double>")).select(*keys, "id", "x", "y", "n")]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.select(*keys, "id", F.col("n.nid").alias("nearest_id"), F.sqrt("n.d2").alias("distance"), (F.col("n.nx") - F.col("x")).alias("dx"), (F.col("n.ny") - F.col("y")).alias("dy"))
+
+
+def _places(others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each place of a group once, with the first and the second id there."""
+    rows = others.select(*keys, "x", "y", "id").filter("x is not null and y is not null")
+    first = rows.groupBy(*keys, "x", "y").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
+    between = rows.join(first, [*keys, "x", "y"]).filter("id > _first").groupBy(*keys, "x", "y").agg(F.min("id").alias("_second"))
+    return first.drop("_last").join(between, [*keys, "x", "y"], "left")
+
+
+def edge_distances(sources: DataFrame, targets: DataFrame, keys: Sequence[str], mode: str = "ee", same: bool = False, name: str = "object_id") -> DataFrame:
+    """ME-21: for each object its distance to the nearest one of ``targets``: centre to centre ('cc'), centre to edge ('ce'), edge to centre or edge to edge ('ec', 'ee').
+
+    Both tables are pixels (keys, object_id, y, x); a centre is the mean of an object's pixels, an edge its contour. Of
+    equal distances the smaller target counts, then the first place of the source in y and x.
+    """
+    from lumentrack.operators.pixels import contour
+
+    def side(df: DataFrame, kind: str) -> DataFrame:
+        ends = df.groupBy(*keys, name).agg(F.avg("x").alias("x"), F.avg("y").alias("y")) if kind == "c" else contour(df, [*keys, name])
+        return ends.select(*keys, F.col(name).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    found = nearest(side(sources, mode[0]), side(targets, mode[1]), keys, same)
+    best = found.groupBy(*keys, F.col("id").alias(name)).agg(F.min_by(F.struct("nearest_id", "distance"), F.struct("distance", "nearest_id")).alias("n"))
+    return best.select(*keys, name, "n.nearest_id", "n.distance")
 
 
 def close_pairs(points: DataFrame, d: float, keys: Sequence[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,23 +128,67 @@ def hessian(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return rows.select(*keys, "y", "x", (half + root).alias("large"), (half - root).alias("small"), (F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")).alias("determinant"), (2 * half).alias("laplacian"))
 
 
-def distance_transform(mask: DataFrame, width: int, height: int, keys: Sequence[str] = KEYS, scale: float = 1.0) -> DataFrame:
-    """ST-1: distance of each mask pixel to the nearest pixel outside of the mask; what is beyond the image is outside.
-
-    Separable and exact: nearest gap along the row first, then the least d^2 + dy^2 down each column.
+def lower_envelope(f: np.ndarray, step: float) -> np.ndarray:
+    """For each place i the least f[j] + (step (i - j))^2, by the parabolas that are lowest somewhere; infinite ones are left out."""
+    at = np.flatnonzero(np.isfinite(f)).tolist()
+    if not at:
+        return np.full(len(f), np.inf)
+    unit = step * step
+    low, till = [at[0]], [-math.inf]
+    for j in at[1:]:
+        while True:
+            i = low[-1]
+            cross = ((f[j] - f[i]) / unit + j * j - i * i) / (2 * (j - i))
+            if cross > till[-1]:
+                break
+            low.pop()
+            till.pop()
+        low.append(j)
+        till.append(cross)
+    places = np.arange(len(f))
+    mine = np.array(low)[np.searchsorted(np.array(till), places, "left") - 1]
+    return f[mine] + unit * (places - mine) ** 2
+
+
+def _along(df: DataFrame, axis: str, group: Sequence[str], step: float, borders: tuple[int, int] | None) -> DataFrame:
+    """One pass of the transform: ``_d2`` along an axis, run by run of pixels without a gap; both ends of a run are outside, but where ``borders`` of the image say that nothing is known beyond."""
+    w = Window.partitionBy(*group).orderBy(axis)
+    runs = df.withColumn("_run", F.col(axis) - F.row_number().over(w)).groupBy(*group, "_run").agg(F.array_sort(F.collect_list(F.struct(axis, "_d2"))).alias("_c"))
+    first, last = F.col("_c")[0][axis], F.element_at("_c", -1)[axis]
+    beyond = lambda at, border: F.lit(0.0) if border is None else F.when(at == border, F.lit(float("inf"))).otherwise(0.0)
+    ends = F.array(beyond(first, None if borders is None else borders[0]), beyond(last, None if borders is None else borders[1]))
+
+    @F.pandas_udf("array<double>")
+    def lowest(values: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([lower_envelope(np.concatenate([e[:1], v, e[1:]]), step)[1:-1] for v, e in zip(values, ends, strict=True)])
+
+    done = runs.withColumn("_v", lowest(F.transform("_c", lambda c: c["_d2"]), ends))
+    return done.select(*group, F.explode(F.arrays_zip(F.transform("_c", lambda c: c[axis]).alias(axis), F.col("_v").alias("_d2"))).alias("_e")).select(*group, F.col(f"_e.{axis}").alias(axis), F.col("_e._d2").alias("_d2"))
+
+
+def distance_transform(
+    mask: DataFrame, width: int, height: int, keys: Sequence[str] = KEYS, scale: float = 1.0, *, depth: int | None = None, scale_z: float | None = None, inside: bool = True, border: bool = True
+) -> DataFrame:
+    """ST-1: distance of each mask pixel to the nearest pixel outside of the mask, or with ``inside`` false of each other pixel of the image to the mask.
+
+    With ``depth`` pixels have a plane ``z`` too, whose step is ``scale_z``. With ``border`` what is beyond the image
+    counts as the nearest other pixel could; without it as nothing, and where there is no other pixel the distance is
+    null. Exact: an envelope of parabolas for each run of pixels along x, then y, then z, each in one pass over its
+    pixels. A task holds runs, no more than an image's side.
     """
-    rows = mask.select(*keys, "y", "x").distinct()
-    w = Window.partitionBy(*keys, "y").orderBy("x")
-    run = F.col("x") - F.row_number().over(w)
-    rows = rows.withColumn("_run", run)
-    span = Window.partitionBy(*keys, "y", "_run")
-    rows = rows.withColumn("_d", F.least(F.col("x") - F.min("x").over(span) + 1, F.max("x").over(span) - F.col("x") + 1))
-    column = rows.groupBy(*keys, "x").agg(F.map_from_entries(F.collect_list(F.struct("y", "_d"))).alias("_c"))  # at most ``height`` entries
-    lines = F.sequence(F.lit(-1), F.lit(height))
-    found = rows.join(column, [*keys, "x"])
-    gap = lambda y2: F.when((y2 < 0) | (y2 >= height), 0).otherwise(F.coalesce(F.try_element_at("_c", y2), F.lit(0)))
-    least = F.array_min(F.transform(lines, lambda y2: gap(y2) * gap(y2) + (F.col("y") - y2) * (F.col("y") - y2)))
-    return found.select(*keys, "y", "x", (F.sqrt(least.cast("double")) * scale).alias("distance"))
+    axes = [("x", width, scale), ("y", height, scale), *([("z", depth, scale if scale_z is None else scale_z)] if depth is not None else [])]
+    at = [*keys, *(a for a, _, _ in axes)]
+    rows = mask.select(*at).distinct()
+    if not inside:
+        grid = mask.select(*keys).distinct()
+        for axis, n, _ in axes:
+            grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        rows = grid.join(rows, at, "left_anti")
+    rows = rows.withColumn("_d2", F.lit(float("inf")))
+    for axis, n, step in axes:
+        rows = _along(rows, axis, [c for c in at if c != axis], step, None if border and inside else (0, n - 1))
+    distance = F.when(F.col("_d2") < float("inf"), F.sqrt("_d2"))
+    return rows.select(*at, distance.alias("distance"))
 
 
 def destriped(df: DataFrame, foreground: Column, keys: Sequence[str] = KEYS, add_back: bool = True) -> DataFrame:

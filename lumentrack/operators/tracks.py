@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrack.functions.ranking import global_rank
 from lumentrack.session import written
 
 
@@ -203,3 +204,52 @@ def pruned(objects: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
         front = written(links.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(gone, "id", "left_anti"))
         gone = written(gone.union(front))
     return objects.join(gone, "id", "left_anti")
+
+
+#: Letters of the third and further daughters of a division, by their place among them, and the sign beyond.
+DAUGHTERS = "IJKLMNOPQRS"
+MORE_DAUGHTERS = "-"
+
+
+def lineage_labels(tracks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """TR-9, FN-9: ``lineage`` of each track (keys, track, parent, start, y), its ancestor's name and a letter for each division.
+
+    Tracks without a parent in the table are named in order of start, y and track within ``keys``: letters without H and
+    T, then letters with a count. Of a division's daughters, in order of y and track, the first adds H, the last T,
+    those between I to S and then a dash, so that labels of many daughters can repeat; an only daughter adds H. A track is named after its
+    ancestors by doubling: each round a track puts the letters that its ancestor has gathered before its own and takes
+    over the ancestor's ancestor, so depth costs its logarithm in rounds. Parents that form a ring raise ValueError.
+    """
+    from lumentrack.functions.scalars import letter
+
+    rows = tracks.select(*keys, "track", "parent", "start", "y")
+    known = rows.select(*keys, F.col("track").alias("parent"), F.lit(True).alias("_known"))
+    rows = rows.join(known, [*keys, "parent"], "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known")
+    born = Window.partitionBy(*keys, "parent")
+    place, n = F.row_number().over(born.orderBy("y", "track")), F.count(F.lit(1)).over(born)
+    middle = F.when(F.col("_i") - 1 <= len(DAUGHTERS), F.substring(F.lit(DAUGHTERS), F.col("_i") - 1, F.lit(1))).otherwise(MORE_DAUGHTERS)
+    daughters = rows.filter("parent is not null").withColumns({"_i": place, "_n": n})
+    daughters = daughters.select(*keys, "track", F.col("parent").alias("up"), F.when(F.col("_i") == 1, "H").when(F.col("_i") == F.col("_n"), "T").otherwise(middle).alias("letters"))
+    roots = rows.filter("parent is null")
+    if keys:
+        roots = roots.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("start", "y", "track")) - 1)
+    else:
+        roots = global_rank(roots, F.struct("start", "y", "track"), "_k")
+    roots = roots.select(*keys, "track", letter(F.col("_k")).alias("name"))
+    state = written(roots.select(*keys, "track", F.lit(None).cast(tracks.schema["track"].dataType).alias("up"), F.lit("").alias("letters")).unionByName(daughters))
+    open_ = state.filter("up is not null").count()
+    # Where all have an ancestor, ``up`` of a finished track is its root, told by the root's own null.
+    while True:
+        above = state.select(*keys, F.col("track").alias("up"), F.col("up").alias("_up"), F.col("letters").alias("_letters"))
+        moved = state.join(above, [*keys, "up"], "left")
+        further = F.col("_up").isNotNull()
+        state = written(moved.select(*keys, "track", F.when(further, F.col("_up")).otherwise(F.col("up")).alias("up"), F.when(further, F.concat("_letters", "letters")).otherwise(F.col("letters")).alias("letters"), further.alias("_moved")))
+        left = state.filter("_moved").count()
+        state = state.drop("_moved")
+        if left == 0:
+            break
+        if left >= open_:
+            raise ValueError("tracks are their own ancestors")
+        open_ = left
+    named = roots.select(*keys, F.col("track").alias("up"), "name")
+    return state.withColumn("up", F.coalesce("up", "track")).join(named, [*keys, "up"]).select(*keys, "track", F.concat("name", "letters").alias("lineage"))

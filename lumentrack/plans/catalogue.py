@@ -493,7 +493,8 @@ def px_13(s, d):
     return rounded(P.merged_tiles(P.tiles(D.pixels(s, d), 4, 1)), "value")
 
 
-@query("px_14_components")
+@query("px_14_components", MASK.replace("WITH", "WITH RECURSIVE", 1) + """, met AS (SELECT frame, y, x, y AS ry, x AS rx FROM m UNION SELECT met.frame, met.y, met.x, m.y, m.x FROM met JOIN m ON m.frame = met.frame AND abs(m.y - ry) <= 1 AND abs(m.x - rx) <= 1), c AS (SELECT frame, y, x, min(ry * 8 + rx) AS root FROM met GROUP BY 1, 2, 3)
+    SELECT frame, dense_rank() OVER (PARTITION BY frame ORDER BY root) AS object_id, y, x FROM c""")
 def px_14(s, d):
     return P.components(mask(s, d))
 
@@ -680,7 +681,9 @@ def fi_09(s, d):
     return M.merged_touching(halves)
 
 
-@query("st_13_fill_holes")
+@query("st_13_fill_holes", MASK.replace("WITH", "WITH RECURSIVE", 1) + """, out AS (SELECT p.frame, p.y, p.x FROM p ANTI JOIN m ON p.frame = m.frame AND p.y = m.y AND p.x = m.x WHERE p.frame IN (SELECT frame FROM m)),
+    open AS (SELECT * FROM out WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT out.frame, out.y, out.x FROM open JOIN out ON out.frame = open.frame AND abs(out.y - open.y) + abs(out.x - open.x) = 1)
+    SELECT frame, y, x FROM p WHERE frame IN (SELECT frame FROM m) EXCEPT SELECT frame, y, x FROM open""")
 def st_13(s, d):
     return N.filled_holes(mask(s, d), 8, 8)
 
@@ -844,11 +847,18 @@ def fi_13(s, d):
     return A.inverted(mask(s, d), D.pixels(s, d))
 
 
-@query("fi_14_gate", PARTS + """, bq AS (SELECT frame, object_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM q GROUP BY 1, 2), bc AS (SELECT frame, object_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c WHERE object_id < 2 GROUP BY 1, 2)
-    SELECT frame, object_id, EXISTS (SELECT 1 FROM bc WHERE bc.frame = bq.frame AND bq.x0 <= bc.x1 AND bc.x0 <= bq.x1 AND bq.y0 <= bc.y1 AND bc.y0 <= bq.y1) AS matched FROM bq""")
+BOUNDS = "frame, object_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1"
+
+
+@query("fi_14_gate", PARTS + f""", b AS (SELECT * FROM c WHERE object_id < 2), bq AS (SELECT {BOUNDS} FROM q GROUP BY 1, 2), bb AS (SELECT {BOUNDS} FROM b GROUP BY 1, 2),
+    t AS (SELECT bq.frame, bq.object_id, bb.object_id AS partner FROM bq JOIN bb ON bq.frame = bb.frame AND bq.x0 <= bb.x1 AND bb.x0 <= bq.x1 AND bq.y0 <= bb.y1 AND bb.y0 <= bq.y1
+        QUALIFY row_number() OVER (PARTITION BY bq.frame, bq.object_id ORDER BY (least(bq.x1, bb.x1) - greatest(bq.x0, bb.x0) + 1) * (least(bq.y1, bb.y1) - greatest(bq.y0, bb.y0) + 1) DESC, bb.object_id) = 1),
+    o AS (SELECT frame, object_id, y, x FROM q), z AS (SELECT t.frame, t.object_id, b.y, b.x FROM t JOIN b ON b.frame = t.frame AND b.object_id = t.partner)
+    SELECT 'a+b' AS gate, * FROM (SELECT * FROM o UNION SELECT * FROM z) UNION ALL SELECT 'a-b', * FROM (SELECT * FROM o EXCEPT SELECT * FROM z) UNION ALL SELECT 'b-a', * FROM (SELECT * FROM z EXCEPT SELECT * FROM o)""")
 def fi_14(s, d):
     a, b = quarters(s, d), strips(s, d).filter("object_id < 2")
-    return A.gated(a, b, True).withColumn("matched", F.lit(True)).unionByName(A.gated(a, b, False).withColumn("matched", F.lit(False)))
+    plus, less, rest = (A.gated(a, b, gate).withColumn("gate", F.lit(gate)) for gate in ("a+b", "a-b", "b-a"))
+    return plus.unionByName(less).unionByName(rest)
 
 
 SHARED = PARTS + ", n AS (SELECT c.frame, c.object_id AS a, q.object_id AS b, count(*) AS n FROM c JOIN q USING (frame, y, x) GROUP BY 1, 2, 3), z AS (SELECT frame, object_id AS a, count(*) AS size FROM c GROUP BY 1, 2) "
@@ -905,9 +915,17 @@ def th_06(s, d):
     return rounded(both, "high", "low")
 
 
-@query("tr_30_saturated_tracks", E + "SELECT track, id FROM e WHERE track NOT IN (SELECT track FROM e GROUP BY track HAVING avg((x >= 60)::INT) >= 0.25)")
+@query("tr_30_saturated_tracks", PX + """, z AS (SELECT label, frame, min(value) AS low, (max(value) - min(value)) / 16 AS size FROM p GROUP BY 1, 2),
+    h AS (SELECT label, frame, coalesce(least(floor((value - low) / nullif(size, 0)), 15), 0)::INT AS bin, count(*) AS count FROM p JOIN z USING (label, frame) GROUP BY 1, 2, 3),
+    c AS (SELECT label, frame, bin, sum(count) OVER w AS n0, sum(bin * count) OVER w AS m0, sum(count) OVER t AS n, sum(bin * count) OVER t AS m FROM h WINDOW t AS (PARTITION BY label, frame), w AS (PARTITION BY label, frame ORDER BY bin)),
+    o AS (SELECT label, frame, bin AS level FROM c WHERE n0 < n QUALIFY row_number() OVER (PARTITION BY label, frame ORDER BY round((m0::DOUBLE / n0 - (m - m0)::DOUBLE / (n - n0)) ** 2 * n0 * (n - n0) / n::DOUBLE ** 2, 6) DESC, bin) = 1),
+    f AS (SELECT label, frame, coalesce(max_by(count, bin) > 0.06 * sum(count) FILTER (bin > level), false) AS is_full FROM h LEFT JOIN o USING (label, frame) GROUP BY 1, 2),
+    gone AS (SELECT label FROM f GROUP BY label HAVING count(*) FILTER (is_full) >= 0.3 * count(*) AND count(*) FILTER (is_full) > 0)
+    SELECT label, frame FROM z WHERE label NOT IN (SELECT label FROM gone)""")
 def tr_30(s, d):
-    return A.without_saturated(D.tracks(s, d), 60.0, 0.25).select("track", "id")
+    p = D.pixels(s, d)
+    hist = H.grouped_bins(p, ["label", "frame"], 16)
+    return A.without_saturated(p.select("label", "frame").distinct(), hist, 0.06, 0.3, keys=("label", "frame"))
 
 
 @query("tr_36_edge_tracks", E + """, t AS (SELECT track % 7 AS lane, track, avg(x) AS m, avg(y) AS v FROM e GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY m, track) AS i, row_number() OVER (PARTITION BY lane ORDER BY m DESC, track DESC) AS j FROM t)
@@ -915,3 +933,46 @@ def tr_30(s, d):
 def tr_36(s, d):
     e = D.tracks(s, d).withColumn("lane", F.col("track") % 7)
     return A.without_edge_tracks(e, 60.0, ["lane"]).select("track", "id")
+
+
+# --- distances, assignments, lineages ---
+
+EDGES = PARTS + """, k AS (SELECT frame, object_id, y, x FROM q a WHERE 4 > (SELECT count(*) FROM q b WHERE b.frame = a.frame AND b.object_id = a.object_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1)),
+    l AS (SELECT frame, object_id, y, x FROM c a WHERE 4 > (SELECT count(*) FROM c b WHERE b.frame = a.frame AND b.object_id = a.object_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1))"""
+
+
+@query("me_21_edge_to_edge", EDGES + f"SELECT k.frame, k.object_id, l.object_id AS nearest_id, {r('sqrt((k.x - l.x)**2 + (k.y - l.y)**2)', 'distance')} FROM k JOIN l USING (frame) QUALIFY row_number() OVER (PARTITION BY k.frame, k.object_id ORDER BY (k.x - l.x)**2 + (k.y - l.y)**2, l.object_id) = 1")
+def me_21(s, d):
+    return rounded(J.edge_distances(quarters(s, d), strips(s, d), ["frame"], "ee"), "distance")
+
+
+@query("me_21_centre_to_edge", EDGES + f", g AS (SELECT frame, object_id, avg(x) AS x, avg(y) AS y FROM q GROUP BY 1, 2) SELECT g.frame, g.object_id, {r('min(sqrt((g.x - l.x)**2 + (g.y - l.y)**2))', 'distance')} FROM g JOIN l USING (frame) GROUP BY 1, 2")
+def me_21c(s, d):
+    return rounded(J.edge_distances(quarters(s, d), strips(s, d), ["frame"], "ce"), "distance").drop("nearest_id")
+
+
+@query("st_01_edt_3d", MASK + f""", s AS (SELECT frame // 4 AS stack, frame % 4 AS z, y, x FROM m), g AS (SELECT * FROM range(-1, 9) a(x) CROSS JOIN range(-1, 9) b(y) CROSS JOIN range(-1, 5) c(z)),
+    o AS (SELECT stack, x, y, z FROM (SELECT DISTINCT stack FROM s) CROSS JOIN g EXCEPT SELECT stack, x, y, z FROM s)
+    SELECT s.stack, s.z, s.y, s.x, {r('sqrt(min((s.x - o.x)**2 + (s.y - o.y)**2 + 2.25 * (s.z - o.z)**2))', 'distance')} FROM s JOIN o USING (stack) GROUP BY 1, 2, 3, 4""")
+def st_01z(s, d):
+    stacks = mask(s, d).select(F.floor(F.col("frame") / 4).cast("int").alias("stack"), (F.col("frame") % 4).alias("z"), "y", "x")
+    return rounded(N.distance_transform(stacks, 8, 8, ["stack"], depth=4, scale_z=1.5), "distance")
+
+
+@query("tr_09_lineage", E.replace("WITH", "WITH RECURSIVE", 1) + """, t AS (SELECT track, min(frame) AS start, track % 5 AS y, CASE WHEN track >= 3 AND track % 7 >= 2 THEN track // 3 END AS parent FROM e GROUP BY track),
+    u AS (SELECT t.track, t.start, t.y, v.track AS parent FROM t LEFT JOIN t AS v ON v.track = t.parent),
+    b AS (SELECT track, parent, row_number() OVER w AS i, count(*) OVER (PARTITION BY parent) AS n FROM u WHERE parent IS NOT NULL WINDOW w AS (PARTITION BY parent ORDER BY y, track)),
+    a AS (SELECT track, row_number() OVER (ORDER BY start, y, track) - 1 AS k FROM u WHERE parent IS NULL),
+    l AS (SELECT track, 'ABCDEFGIJKLMNOPQRSUVWXYZ'[k % 24 + 1] || CASE WHEN k >= 24 THEN (k // 24)::VARCHAR ELSE '' END AS lineage FROM a
+        UNION ALL SELECT b.track, l.lineage || CASE WHEN i = 1 THEN 'H' WHEN i = n THEN 'T' WHEN i <= 12 THEN 'IJKLMNOPQRS'[i - 1] ELSE '-' END FROM l JOIN b ON b.parent = l.track)
+    SELECT track, lineage FROM l""")
+def tr_09(s, d):
+    t = D.tracks(s, d).groupBy("track").agg(F.min("frame").alias("start"))
+    parent = F.when((F.col("track") >= 3) & (F.col("track") % 7 >= 2), F.floor(F.col("track") / 3))
+    return T.lineage_labels(t.withColumns({"y": F.col("track") % 5, "parent": parent.cast("long")}))
+
+
+@query("tr_19_linked")
+def tr_19l(s, d):
+    """From hour to hour, with gaps of an hour, splits and merges."""
+    return rounded(L.linked(hourly(s, d), 8.0, max_gap=1, splits=True, merges=True), "cost")
