@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lumentrack.functions.scalars import box_common, boxes_meet
 from lumentrack.session import written
 
+#: Others in a cell on average when a search begins.
+PER_CELL = 4
 BOX = ("xmin", "xmax", "ymin", "ymax")
 
 
@@ -62,36 +64,38 @@ def nearest(points: DataFrame, others: DataFrame, keys: Sequence[str], same: boo
 
     ``others`` may have several rows of an id, as the pixels of an object's contour: then it is the distance to its edge.
     Points look about them in the nine cells around their own. What they find is settled if it is no farther than a
-    cell's side, as nothing outside of these cells is nearer; the rest looks again with cells of twice the side, until
-    the nine cells have the whole group. Sides begin so that a cell has two others on average. Places are compared, not
+    cell's side, as nothing outside of these cells is nearer; the rest looks again with cells of four times the side, until
+    the nine cells have the whole group. Sides begin so that a cell has ``PER_CELL`` others on average. Places are compared, not
     rows: of the others at one place only the first two ids are kept, so repeated places don't multiply.
     """
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     places = _places(others, keys)
     extent = places.groupBy(*keys).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), (F.max("x") - F.min("x")).alias("_w"), (F.max("y") - F.min("y")).alias("_h"), F.count(F.lit(1)).alias("_n"))
-    side = F.greatest(F.sqrt(2 * F.col("_w") * F.col("_h") / F.col("_n")), F.greatest("_w", "_h") / F.col("_n"))
+    side = F.greatest(F.sqrt(PER_CELL * F.col("_w") * F.col("_h") / F.col("_n")), PER_CELL * F.greatest("_w", "_h") / F.col("_n"))
+    side = F.when(F.col("_n") <= 4 * PER_CELL, 2 * F.greatest("_w", "_h")).otherwise(side)
     extent = extent.select(*keys, "_x0", "_y0", F.greatest("_w", "_h").alias("_span"), F.when(side > 0, side).otherwise(1.0).alias("_side"))
-    left = written(points.select(*keys, "id", "x", "y").filter("x is not null and y is not null").join(extent, list(keys)))
+    kept = [*keys, "id", "x", "y", "_x0", "_y0", "_span", "_side"]
+    left = points.select(*keys, "id", "x", "y").filter("x is not null and y is not null").join(extent, list(keys)).select(*kept)
     places = written(places.join(extent, list(keys)))
     parts, wider = [], 1
-    while not left.isEmpty():
+    while True:
         side = F.col("_side") * wider
         cell = lambda c, side=side: F.floor((F.col(c) - F.col(f"_{c}0")) / side).cast("long")
         theirs = places.select(*keys, F.col("x").alias("nx"), F.col("y").alias("ny"), "_first", "_second", cell("x").alias("_cx"), cell("y").alias("_cy"))
         asked = left.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).withColumns({"_cx": cell("x") + F.col("_i"), "_cy": cell("y") + F.col("_j")}).drop("_i", "_j")
         nid = F.when(F.col("_first") != F.col("id"), F.col("_first")).otherwise(F.col("_second")) if same else F.col("_first")
-        met = asked.join(theirs, [*keys, "_cx", "_cy"]).withColumn("nid", nid).filter("nid is not null")
         d2 = (F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2
-        best = met.groupBy(*keys, "id", "x", "y").agg(F.min_by(F.struct("nid", "nx", "ny", d2.alias("d2")), F.struct(d2, "nid")).alias("n"))
-        seen = written(left.join(best, [*keys, "id", "x", "y"], "left"))
+        met = asked.join(theirs, [*keys, "_cx", "_cy"], "left").withColumn("n", F.when(nid.isNotNull(), F.struct(d2.alias("d2"), nid.alias("nid"), "nx", "ny")))
+        best = met.groupBy(*kept).agg(F.min("n").alias("n"))
         # The nine cells have all others if a side is longer than the way to the far end of their box.
         beyond = F.greatest(F.lit(0.0), *[d for c in ("x", "y") for d in (F.col(f"_{c}0") - F.col(c), F.col(c) - F.col(f"_{c}0") - F.col("_span"))])
         settled = F.coalesce(F.col("n.d2") <= side * side, F.lit(False)) | (side > beyond + F.col("_span"))
-        parts.append(seen.filter(settled & F.col("n").isNotNull()).select(*keys, "id", "x", "y", "n"))
-        left = written(seen.filter(~settled).drop("n"))
-        wider *= 2
-    if not parts:
-        parts = [left.withColumn("n", F.lit(None).cast("struct<nid:long,nx:double,ny:double,d2:double>")).select(*keys, "id", "x", "y", "n")]
+        seen = written(best.withColumn("_settled", settled))
+        parts.append(seen.filter("_settled and n is not null").select(*keys, "id", "x", "y", "n"))
+        left = seen.filter("not _settled").select(*kept)
+        if left.isEmpty():
+            break
+        wider *= 4
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
