@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrack.session import cut
+from lumentrack.functions.forests import spanning_forest
+from lumentrack.session import cut, written
 
 
 def fixed_bins(df: DataFrame, keys: Sequence[str], low: float, size: float, n: int, value: str = "value") -> DataFrame:
@@ -192,3 +193,74 @@ def filtered_statistic(df: DataFrame, limits: DataFrame, keys: Sequence[str], st
     """TH-7, TH-9: a statistic of the values over (or under) thresholds found for the same keys or for their ancestors."""
     rows = df.join(limits, list(keys)).filter(F.col(value) > F.col("threshold") if over else F.col(value) < F.col("threshold"))
     return rows.groupBy(*keys).agg(statistic.alias("statistic"))
+
+
+# --- thresholds by number of objects, exact percentiles of any group ---
+
+
+def object_counts(df: DataFrame, keys: Sequence[str] = ("frame",), low: bool = False) -> DataFrame:
+    """TH-11: for every value of each image the number of ``objects`` among the pixels that are as bright or brighter, 8 or (``low``) 4 neighbours joined.
+
+    All thresholds are answered at once: neighbours are joined from the darker one's value on, and of these joints only
+    those of a maximum spanning forest lessen the number of objects, each by one. So an image has as many objects at a
+    threshold as pixels less joints from there up.
+    """
+    steps = [(0, 1), (1, 0)] if low else [(0, 1), (1, 0), (1, 1), (1, -1)]
+    place = lambda y, x: F.struct(*keys, y.alias("y"), x.alias("x"))
+    px = df.filter("value is not null").groupBy(*keys, "y", "x").agg(F.max("value").alias("value"))
+    near = px.select(*keys, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("value").alias("v0"), F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])).alias("d"))
+    near = near.select(*keys, "y0", "x0", "v0", (F.col("y0") + F.col("d.dy")).alias("y"), (F.col("x0") + F.col("d.dx")).alias("x"))
+    edges = near.join(px, [*keys, "y", "x"]).select(place(F.col("y0"), F.col("x0")).alias("a"), place(F.col("y"), F.col("x")).alias("b"), F.least("v0", "value").alias("weight"))
+    joints = spanning_forest(edges).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("weight").alias("value"), F.lit(-1).alias("_n"))
+    steps_ = px.select(*keys, "value", F.lit(1).alias("_n")).unionByName(joints).groupBy(*keys, "value").agg(F.sum("_n").alias("_n"))
+    return steps_.select(*keys, "value", F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc("value"))).alias("objects"))
+
+
+def threshold_by_objects(df: DataFrame, most: int, keys: Sequence[str] = ("frame",), low: bool = False) -> DataFrame:
+    """TH-11: the lowest value of each image from which on up no threshold gives more than ``most`` objects, with the number that it gives. Images whose brightest pixels are more already have none."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("value"))
+    rows = object_counts(df, keys, low).withColumn("_worst", F.max("objects").over(w)).filter(F.col("_worst") <= most)
+    return rows.groupBy(*keys).agg(F.min("value").alias("threshold"), F.min_by("objects", "value").alias("objects"))
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], qs: Sequence[float], value: str = "value", few: int = 4096, bins: int = 256) -> DataFrame:
+    """HI-3: (keys, q, percentile) exactly, linear between ranks, however many rows a group has.
+
+    Each rank asked for has a bracket of values. In each round the rows within a bracket are counted in ``bins`` equal
+    parts with their least and greatest value, which map-side sums make small; the part with the rank becomes the
+    bracket. At ``few`` rows, or one value, what is left is ranked. So no task has more than its share of a group. Null and
+    NaN values are left out.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    rows = rows if keys else rows.withColumn("_all", F.lit(0))
+    by = list(keys) or ["_all"]
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    asked = whole.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("_at", F.col("q") * (F.col("n") - 1))
+    asked = written(asked.select(*by, "q", "_at", "lo", "hi", "n"))
+    ranks = asked.select(*by, F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("rank"), "lo", "hi", "n").distinct()
+    # rank: how many values within the bracket are before; of: the rank in the group.
+    open_, found = written(ranks.withColumn("of", F.col("rank"))), []
+    while True:
+        same = F.col("lo") == F.col("hi")
+        found.append(open_.filter(same).select(*by, "of", F.col("lo").alias("v")))
+        brackets = open_.filter(~same & (F.col("n") <= few)).select(*by, "lo", "hi", "rank", "of")
+        inner = rows.join(brackets.select(*by, "lo", "hi").distinct(), by).filter("v between lo and hi")
+        last = inner.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "lo", "hi").orderBy("v")) - 1)
+        found.append(last.join(brackets, [*by, "lo", "hi"]).filter("_r = rank").select(*by, "of", "v"))
+        open_ = open_.filter(~same & (F.col("n") > few))
+        if open_.isEmpty():
+            break
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
+        inner = rows.join(open_.select(*by, "lo", "hi").distinct(), by).filter("v between lo and hi")
+        counts = inner.groupBy(*by, "lo", "hi", part.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+        before = F.sum("_n").over(Window.partitionBy(*by, "lo", "hi").orderBy("_b")) - F.col("_n")
+        counts = counts.withColumn("_before", before)
+        narrowed = open_.drop("n").join(counts, [*by, "lo", "hi"]).filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n")))
+        open_ = written(narrowed.select(*by, (F.col("rank") - F.col("_before")).alias("rank"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_n").alias("n"), "of"))
+    values = found[0]
+    for part in found[1:]:
+        values = values.unionByName(part)
+    values = written(values)
+    low, high = values.withColumnsRenamed({"of": "_f", "v": "_v0"}), values.withColumnsRenamed({"of": "_c", "v": "_v1"})
+    both = asked.withColumns({"_f": F.floor("_at"), "_c": F.ceil("_at")}).join(low, [*by, "_f"]).join(high, [*by, "_c"])
+    return both.select(*keys, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.col("_f"))).alias("percentile"))

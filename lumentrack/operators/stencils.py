@@ -221,3 +221,25 @@ def filled_holes(mask: DataFrame, width: int, height: int, keys: Sequence[str] =
     edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == width - 1) | (F.col("y") == height - 1)
     open_ = parts.filter(edge).select(*keys, "object_id").distinct()
     return mask.select(*keys, "y", "x").unionByName(parts.join(open_, [*keys, "object_id"], "left_anti").select(*keys, "y", "x")).distinct()
+
+
+def local_thickness(mask: DataFrame, width: int, height: int, keys: Sequence[str] = KEYS, scale: float = 1.0) -> DataFrame:
+    """ME-20: for each mask pixel the diameter (``thickness``) of the largest ball within the mask that has the pixel.
+
+    Balls are centred on pixels and reach to the nearest pixel outside. Those that lie within a neighbour's ball can't
+    be the largest and are left out first, which leaves the ridge of the distances. Each of the rest is then dealt to
+    the rows of pixels that it crosses, and each pixel takes the largest; a ball's pixels are bounded by its object.
+    """
+    d = distance_transform(mask, width, height, keys).withColumn("_r2", F.round(F.col("distance") * F.col("distance")).cast("long"))
+    near = dealt(d.select(*keys, "y", "x", "distance"), [o for o in square(1) if o != (0, 0)], keys, ["distance"])
+    # The neighbour stands at x + dx, y + dy: its ball has this one's if its radius is greater by the way between them.
+    way = F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double"))
+    cover = near.groupBy(*keys, "y", "x").agg(F.max(F.col("distance") - way).alias("_cover"))
+    ridge = d.join(cover, [*keys, "y", "x"], "left").filter(F.col("_cover").isNull() | (F.col("_cover") < F.col("distance")))
+    reach = F.ceil("distance") - 1
+    lines = ridge.withColumn("_dy", F.explode(F.sequence(-reach, reach))).withColumn("_left", F.col("_r2") - F.col("_dy") * F.col("_dy")).filter("_left > 0")
+    # Whole steps h with h^2 < what is left of the squared radius.
+    half = F.ceil(F.sqrt(F.col("_left").cast("double"))) - 1
+    balls = lines.withColumn("x", F.explode(F.sequence(F.col("x") - half, F.col("x") + half))).withColumn("y", F.col("y") + F.col("_dy"))
+    best = balls.groupBy(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).agg(F.max("distance").alias("_d"))
+    return d.select(*keys, "y", "x").join(best, [*keys, "y", "x"]).select(*keys, "y", "x", (2 * scale * F.col("_d")).alias("thickness"))

@@ -976,3 +976,19 @@ def tr_09(s, d):
 def tr_19l(s, d):
     """From hour to hour, with gaps of an hour, splits and merges."""
     return rounded(L.linked(hourly(s, d), 8.0, max_gap=1, splits=True, merges=True), "cost")
+
+
+@query("me_20_local_thickness", MASK + """, g AS (SELECT x, y FROM range(-1, 9) a(x) CROSS JOIN range(-1, 9) b(y)),
+    e AS (SELECT m.frame, m.y, m.x, min((m.x - g.x)**2 + (m.y - g.y)**2) AS d2 FROM m JOIN g ON NOT EXISTS (SELECT 1 FROM m b WHERE b.frame = m.frame AND b.x = g.x AND b.y = g.y) GROUP BY 1, 2, 3) """ + f"SELECT m.frame, m.y, m.x, {r('2 * sqrt(max(d2))', 'thickness')} FROM m JOIN e ON e.frame = m.frame AND (m.x - e.x)**2 + (m.y - e.y)**2 < d2 GROUP BY 1, 2, 3")
+def me_20(s, d):
+    return rounded(N.local_thickness(mask(s, d), 8, 8), "thickness")
+
+
+@query("hi_03_exact_percentiles", E + f", k AS (SELECT unnest([0.05, 0.5, 0.95]) AS q) SELECT kind, q, {r('quantile_cont(x, 0.05)', 'percentile')} FROM e, k WHERE q = 0.05 GROUP BY 1, 2 UNION ALL SELECT kind, q, {r('quantile_cont(x, 0.5)', 'percentile')} FROM e, k WHERE q = 0.5 GROUP BY 1, 2 UNION ALL SELECT kind, q, {r('quantile_cont(x, 0.95)', 'percentile')} FROM e, k WHERE q = 0.95 GROUP BY 1, 2")
+def hi_03(s, d):
+    return rounded(H.exact_percentiles(D.tracks(s, d), ["kind"], [0.05, 0.5, 0.95], "x", few=256), "percentile")
+
+
+@query("th_11_object_count")
+def th_11(s, d):
+    return rounded(H.threshold_by_objects(D.pixels(s, d), 5), "threshold")

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from lumentrack.operators import histograms as H
 from lumentrack.operators import linking as L
 from lumentrack.operators import pixels as P
 from lumentrack.operators import populations as A
@@ -148,3 +149,61 @@ def test_ancestors_in_a_ring_are_an_error(spark):
     rows = [(1, None, 0, 0.0), (2, 3, 0, 0.0), (3, 2, 0, 0.0)]
     with pytest.raises(ValueError, match="own ancestors"):
         T.lineage_labels(spark.createDataFrame(rows, "track int, parent int, start int, y double"))
+
+
+def flood(cells, low):
+    left, n = set(cells), 0
+    while left:
+        n += 1
+        front = [left.pop()]
+        while front:
+            x, y = front.pop()
+            for dx, dy in itertools.product((-1, 0, 1), repeat=2):
+                if (not low or dx * dy == 0) and (x + dx, y + dy) in left:
+                    left.remove((x + dx, y + dy))
+                    front.append((x + dx, y + dy))
+    return n
+
+
+@pytest.mark.parametrize("low", [True, False])
+def test_objects_at_every_threshold(spark, low):
+    rng = random.Random(11)
+    images = {f: {(x, y): float(rng.randint(0, 6)) for x in range(9) for y in range(7) if rng.random() < 0.9} for f in range(3)} | {9: {(0, 0): 1.0}}
+    df = spark.createDataFrame([(f, y, x, v) for f, cells in images.items() for (x, y), v in cells.items()], "frame int, y int, x int, value double")
+    got = {(r.frame, r.value): r.objects for r in H.object_counts(df, low=low).collect()}
+    want = {(f, t): flood([c for c, v in cells.items() if v >= t], low) for f, cells in images.items() for t in set(cells.values())}
+    assert got == want
+    for most in (1, 4):
+        limits = {r.frame: (r.threshold, r.objects) for r in H.threshold_by_objects(df, most, low=low).collect()}
+        for f, cells in images.items():
+            fine = None
+            for t in sorted(set(cells.values()), reverse=True):
+                if want[f, t] > most:
+                    break
+                fine = t
+            assert limits.get(f) == (None if fine is None else (fine, want[f, fine]))
+
+
+def test_percentiles_of_one_large_group_and_of_ties(spark):
+    rng = random.Random(12)
+    values = {"large": [math.exp(rng.gauss(0, 4)) for _ in range(3000)], "ties": [1.0] * 500 + [2.0] * 500, "one": [3.0], "two": [1.0, 2.0], "wide": [-1e308, 0.0, 1e308]}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("large", None), ("none", None), ("large", float("nan"))]
+    qs = [0.0, 0.31, 0.5, 0.999, 1.0]
+    got = {(r.k, r.q): r.percentile for r in H.exact_percentiles(spark.createDataFrame(rows, "k string, value double"), ["k"], qs, few=16, bins=8).collect()}
+    assert {k for k, _ in got} == set(values)
+    for (k, q), v in got.items():
+        if k != "wide":
+            assert math.isclose(v, np.quantile(values[k], q), rel_tol=1e-12)
+    assert got["wide", 0.5] == 0.0 and got["wide", 1.0] == 1e308
+    assert H.exact_percentiles(spark.createDataFrame(rows, "k string, value double").filter("k = 'two'"), [], [0.25]).collect()[0].percentile == 1.25
+
+
+def test_local_thickness_is_the_largest_ball_over_each_pixel(spark):
+    rng = random.Random(13)
+    cells = {(x, y) for x in range(14) for y in range(12) if rng.random() < 0.93 or 4 < x < 10}
+    df = spark.createDataFrame([(0, y, x) for x, y in cells], "frame int, y int, x int")
+    out = {(x, y) for x in range(-1, 15) for y in range(-1, 13)} - cells
+    r2 = {c: min((c[0] - o[0]) ** 2 + (c[1] - o[1]) ** 2 for o in out) for c in cells}
+    want = {p: 2 * math.sqrt(max(r for c, r in r2.items() if (c[0] - p[0]) ** 2 + (c[1] - p[1]) ** 2 < r)) for p in cells}
+    got = {(r.x, r.y): r.thickness for r in N.local_thickness(df, 14, 12).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p]) for p in want)
