@@ -176,8 +176,8 @@ def isodata(hist: DataFrame, keys: Sequence[str], most: int = 100) -> DataFrame:
         new = cut(new)
         level = new.drop("_old")
         if new.filter(F.abs(F.col("level") - F.col("_old")) > 1e-6).isEmpty():
-            break
-    return level
+            return level
+    raise RuntimeError(f"no level after {most} rounds")
 
 
 def background_fit(hist: DataFrame, keys: Sequence[str], k: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +53,28 @@ def autocorrelation(df: DataFrame, lag: int, at: Sequence[str] = ("y", "x"), ord
     return d.groupBy(*at).agg((F.avg(F.col("_d") * F.col("_e")) / F.nullif(F.avg(F.col("_d") * F.col("_d")), F.lit(0.0))).alias("autocorrelation"))
 
 
+def planes(df: DataFrame, which: str, keys: Sequence[str] = ("frame",), first: int | None = None, last: int | None = None) -> DataFrame:
+    """PX-16: of each stack (``z`` within ``keys``) the 'top', 'bottom' or 'middle' plane (the upper of two), those from ``first`` to ``last`` ('interval'), 'all', or their 'average' (``z`` is null then)."""
+    if which == "all":
+        return df
+    if which == "interval":
+        return df.filter(F.col("z").between(first, last))
+    if which == "average":
+        return df.groupBy(*keys, "y", "x").agg(F.avg("value").alias("value")).withColumn("z", F.lit(None).cast(df.schema["z"].dataType))
+    ends = df.groupBy(*keys).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    place = {"top": F.col("_lo"), "bottom": F.col("_hi"), "middle": F.floor((F.col("_lo") + F.col("_hi") + 1) / 2)}[which]
+    return df.join(ends, list(keys)).filter(F.col("z") == place).drop("_lo", "_hi")
+
+
+def mixed(channels: Sequence[tuple[DataFrame, float]], how: str = "sum", at: Sequence[str] = AT) -> DataFrame:
+    """PX-17: channels, scaled beforehand or not, put together by their weighted 'sum', or the 'max' or 'average' of weighted values; places that a channel lacks go."""
+    rows = [df.select(*at, (F.col("value") * w).alias("value")) for df, w in channels]
+    for other in rows[1:]:
+        rows[0] = rows[0].unionByName(other)
+    f = {"sum": F.sum, "max": F.max, "average": F.avg}[how]
+    return rows[0].groupBy(*at).agg(f("value").alias("value"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(channels)).drop("_n")
+
+
 def binned(df: DataFrame, fx: int, fy: int) -> DataFrame:
     """PX-11: spatial binning, mean and maximum."""
     cells = df.select("frame", F.floor(F.col("y") / fy).cast("int").alias("y"), F.floor(F.col("x") / fx).cast("int").alias("x"), "value")
@@ -142,6 +165,44 @@ def resampled(df: DataFrame, width: int, height: int, to_width: int, to_height:
     return grid.join(df, ["frame", "y", "x"]).select("frame", F.col("ny").alias("y"), F.col("nx").alias("x"), "value")
 
 
+def interpolated(grid: DataFrame, df: DataFrame, outside: float | None = None, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """Values of ``df`` between pixels: each row of ``grid`` (keys, y, x, sy, sx) takes the four pixels about (sy, sx), weighed by nearness.
+
+    Pixels that aren't there count as ``outside``, or, if that is None, not at all, and the weights of the others are
+    scaled up; a place with no pixel about it has none then.
+    """
+    y0, x0 = F.floor("sy"), F.floor("sx")
+    fy, fx = F.col("sy") - y0, F.col("sx") - x0
+    corner = lambda dy, dx: F.struct((y0 + dy).cast("int").alias("y"), (x0 + dx).cast("int").alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w"))
+    asked = grid.select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)])).alias("c"))
+    asked = asked.filter("c.w > 0").select(*keys, "_y", "_x", F.col("c.y").alias("y"), F.col("c.x").alias("x"), F.col("c.w").alias("_w"))
+    met = asked.join(df.select(*keys, "y", "x", "value"), [*keys, "y", "x"], "left").groupBy(*keys, F.col("_y").alias("y"), F.col("_x").alias("x"))
+    v = F.col("value") if outside is None else F.coalesce("value", F.lit(outside))
+    out = met.agg((F.sum(F.col("_w") * v) / F.sum(F.when(v.isNotNull(), F.col("_w")))).alias("value"))
+    return out.filter("value is not null") if outside is None else out
+
+
+def _grid(df: DataFrame, width: int, height: int, keys: Sequence[str]) -> DataFrame:
+    return df.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+
+
+def resampled_linear(df: DataFrame, width: int, height: int, to_width: int, to_height: int, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """PX-23: linear interpolation onto a new grid; pixels are taken at their middles, and border pixels go on outwards."""
+    place = lambda c, n, m: F.least(F.greatest((F.col(c) + 0.5) * (n / m) - 0.5, F.lit(0.0)), F.lit(float(n - 1)))
+    grid = _grid(df, to_width, to_height, keys).withColumns({"sy": place("y", height, to_height), "sx": place("x", width, to_width)})
+    return interpolated(grid, df, None, keys)
+
+
+def rotated(df: DataFrame, width: int, height: int, degrees: float, outside: float = 0.0, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """PX-28: the image turned about its middle by an angle (from x towards y), interpolated linearly; what comes from beyond the image is ``outside``. Sizes stay."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    mx, my = (width - 1) / 2, (height - 1) / 2
+    dx, dy = F.col("x") - mx, F.col("y") - my
+    # Rounded, so that quarter turns fall on pixels.
+    grid = _grid(df, width, height, keys).withColumns({"sx": F.round(mx + dx * c + dy * s, 9), "sy": F.round(my - dx * s + dy * c, 9)})
+    return interpolated(grid, df, outside, keys)
+
+
 def pasted(target: DataFrame, source: DataFrame) -> DataFrame:
     """PX-24: source over target."""
     return target.select(*AT, F.col("value").alias("_t")).join(source.select(*AT, F.col("value").alias("_s")), list(AT), "full").select(*AT, F.coalesce("_s", "_t").alias("value"))

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumentrack.operators.histograms import otsu
-from lumentrack.operators.pixels import contour
+from lumentrack.functions.components import connected_components
+from lumentrack.operators.histograms import exact_percentiles, otsu
+from lumentrack.operators.pixels import components, contour
 from lumentrack.operators.spatial import box_pairs, container
+from lumentrack.session import written
 
 KEYS, OBJECT = ("frame",), "object_id"
 #: Neighbours of a pixel: the four beside it, and the four at its corners.
@@ -67,6 +69,38 @@ def difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
     return a.select(*keys, OBJECT, "y", "x").join(b.select(*keys, "y", "x").distinct(), [*keys, "y", "x"], "left_anti")
 
 
+def intersection(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """SE-13: each object of ``a`` cut to the pixels of all of ``b``; objects with none left are gone."""
+    return a.select(*keys, OBJECT, "y", "x").join(b.select(*keys, "y", "x").distinct(), [*keys, "y", "x"], "left_semi")
+
+
+def united(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """SE-13: objects of both, those that share pixels made one, through others too: (keys, source, object_id, y, x).
+
+    An object that one of ``a`` is part of has source 0 and the smallest of their ids, one of ``b`` alone source 1 and its own.
+    """
+    node = lambda side, c: F.struct(*keys, F.lit(side).alias("source"), F.col(c).alias(OBJECT))
+    edges = shared(a, b, keys).select(node(0, "a").alias("src"), node(1, "b").alias("dst"))
+    named = connected_components(edges).select(*[F.col(f"node.{k}").alias(k) for k in (*keys, "source", OBJECT)], F.col("component.source").alias("_s"), F.col(f"component.{OBJECT}").alias("_o"))
+    both = a.select(*keys, F.lit(0).alias("source"), OBJECT, "y", "x").unionByName(b.select(*keys, F.lit(1).alias("source"), OBJECT, "y", "x"))
+    rows = both.join(named, [*keys, "source", OBJECT], "left")
+    return rows.select(*keys, F.coalesce("_s", "source").alias("source"), F.coalesce("_o", OBJECT).alias(OBJECT), "y", "x").distinct()
+
+
+def spatial_children(parents: DataFrame, objects: DataFrame, least: float = 0.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """JO-2, SR-7: (keys, parent, object_id, overlap): each object (pixels) with the parent (pixels) that it shares most pixels with, the smallest of equals; more than the share ``least`` of its own."""
+    pairs = shared(objects, parents, keys).withColumnRenamed("n", "overlap")
+    best = container(pairs, keys).filter(F.col("overlap") > least * F.col("size_a"))
+    return best.select(*keys, F.col("b").alias("parent"), F.col("a").alias(OBJECT), "overlap")
+
+
+def parents_or_overlapping(parents: DataFrame, objects: DataFrame, own: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """JO-1: (keys, object_id, parent): the parent that ``own`` (keys, object_id, parent) names, and for other objects that of largest overlap; null without either."""
+    found = spatial_children(parents, objects, keys=keys).select(*keys, OBJECT, F.col("parent").alias("_p"))
+    rows = objects.select(*keys, OBJECT).distinct().join(own.select(*keys, OBJECT, "parent"), [*keys, OBJECT], "left").join(found, [*keys, OBJECT], "left")
+    return rows.select(*keys, OBJECT, F.coalesce("parent", "_p").alias("parent"))
+
+
 def shared(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Common pixels (``n``) of each pair of objects (a, b) that has any, with both sizes."""
     size = lambda df, as_, n: df.groupBy(*keys, F.col(OBJECT).alias(as_)).agg(F.count(F.lit(1)).alias(n))
@@ -155,6 +189,11 @@ def factor_of_mean(df: DataFrame, keys: Sequence[str], k: float) -> DataFrame:
     return df.groupBy(*keys).agg((F.avg("value") * k).alias("threshold"))
 
 
+def percentile_threshold(df: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
+    """TH-1: the exact percentile of each group's values."""
+    return exact_percentiles(df, keys, [q]).select(*keys, F.col("percentile").alias("threshold"))
+
+
 def compared(a: DataFrame, b: DataFrame, keys: Sequence[str], largest: bool = True) -> DataFrame:
     """TH-6: the larger (or smaller) of two thresholds of each group."""
     both = a.join(b.withColumnRenamed("threshold", "_t"), list(keys))
@@ -181,9 +220,34 @@ def without_saturated(df: DataFrame, hist: DataFrame, pixel_share: float, object
     return df.join(saturated_tracks(hist, pixel_share, object_share, keys=keys), keys[0], "left_anti")
 
 
-def without_edge_tracks(df: DataFrame, level: float, keys: Sequence[str], *, track: str = "track", at: str = "x", value: str = "y") -> DataFrame:
-    """TR-36: the first and the last track of each group, by mean position, go where their mean value is below ``level``."""
-    tracks = df.groupBy(*keys, track).agg(F.avg(at).alias("_at"), F.avg(value).alias("_v"))
-    ends = tracks.groupBy(*keys).agg(*[f(F.struct(F.col(track).alias("t"), F.col("_v").alias("v")), F.struct("_at", track)).alias(n) for f, n in ((F.min_by, "a"), (F.max_by, "b"))])
-    gone = ends.select(*keys, F.explode(F.array("a", "b")).alias("e")).filter(F.col("e.v") < level).select(*keys, F.col("e.t").alias(track)).distinct()
-    return df.join(gone, [*keys, track], "left_anti")
+def border_background(image: DataFrame, corners: DataFrame, keys: Sequence[str], more_than: int = 10) -> DataFrame:
+    """TR-36: (keys, y, x) of the parts of each image that have the value of one of its ``corners`` (keys, y, x) and hang together with it by sides, of more than ``more_than`` pixels."""
+    seed = corners.join(image.select(*keys, "y", "x", "value"), [*keys, "y", "x"]).select(*keys, F.col("y").alias("_sy"), F.col("x").alias("_sx"), "value")
+    like = image.join(seed, [*keys, "value"]).select(*keys, "_sy", "_sx", "y", "x")
+    parts = written(components(like, [*keys, "_sy", "_sx"], low=True))
+    own = parts.filter("y = _sy and x = _sx").select(*keys, "_sy", "_sx", OBJECT)
+    size = parts.groupBy(*keys, "_sy", "_sx", OBJECT).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > more_than).drop("_n")
+    return parts.join(own.join(size, [*keys, "_sy", "_sx", OBJECT]), [*keys, "_sy", "_sx", OBJECT], "left_semi").select(*keys, "y", "x").distinct()
+
+
+def without_edge_tracks(tracks: DataFrame, image: DataFrame, width: int, height: int, keys: Sequence[str], *, margin: int = 0) -> DataFrame:
+    """TR-36: the pixels of ``tracks`` (keys, track, frame, y, x) less the first and the last track of each group along x that meet the background at their side.
+
+    Tracks stand where the box of their first object has its middle, equal ones in order of track. The background is
+    that of the image (keys, frame, y, x, value) of that object's frame, from its two corners on the track's side. Of objects higher
+    than twice ``margin`` so much is left out at either end. One track alone is only tested on the left.
+    """
+    rows = tracks.select(*keys, "track", "frame", "y", "x")
+    first = rows.groupBy(*keys, "track").agg(F.min("frame").alias("frame"))
+    heads = rows.join(first, [*keys, "track", "frame"])
+    box = heads.groupBy(*keys, "track", "frame").agg(((F.min("x") + F.max("x")) / 2).alias("_m"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    one = F.struct("track", "frame", "_y0", "_y1")
+    ends = box.groupBy(*keys).agg(F.min_by(one, F.struct("_m", "track")).alias("_l"), F.max_by(one, F.struct("_m", "track")).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    sides = F.array_compact(F.array(F.struct(F.lit(0).alias("side"), F.col("_l").alias("t")), F.when(F.col("_n") > 1, F.struct(F.lit(width - 1).alias("side"), F.col("_r").alias("t")))))
+    asked = written(ends.select(*keys, F.explode(sides).alias("e")).select(*keys, "e.side", "e.t.*"))
+    corners = asked.select(*keys, "frame", "side", F.col("side").alias("x"), F.explode(F.array(F.lit(0), F.lit(height - 1))).alias("y")).distinct()
+    views = asked.select(*keys, "frame", "side").distinct().join(image, [*keys, "frame"])
+    back = border_background(views, corners, [*keys, "frame", "side"])
+    cut = (F.col("_y1") - F.col("_y0") + 1 <= 2 * margin) | F.col("y").between(F.col("_y0") + margin, F.col("_y1") - margin)
+    gone = heads.join(asked, [*keys, "track", "frame"]).filter(cut).join(back, [*keys, "frame", "side", "y", "x"], "left_semi").select(*keys, "track").distinct()
+    return tracks.join(gone, [*keys, "track"], "left_anti")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrack.functions.ranking import global_rank
+
 KEY = ["position", "indices"]
 
 
@@ -70,6 +72,14 @@ def with_child(parents_: DataFrame, children: DataFrame, keys: Sequence[str]) ->
     return parents_.join(children.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def with_any_child(parents_: DataFrame, classes: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """SE-8: objects that have a child in at least one of the tested classes; none tested, none stays."""
+    found = [c.select(*keys) for c in classes] or [parents_.select(*keys).limit(0)]
+    for c in found[1:]:
+        found[0] = found[0].union(c)
+    return with_child(parents_, found[0], keys)
+
+
 def frames(selection: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
     """SE-15: members within frames, both ends included."""
     f = F.split_part("indices", F.lit("-"), F.lit(1)).cast("int")
@@ -80,9 +90,10 @@ def frames(selection: DataFrame, first: int | None = None, last: int | None = No
 
 
 def neighbours(positions: DataFrame) -> DataFrame:
-    """SE-11: each position with the one before and after it in order of name. One row a position."""
-    order = Window.orderBy("position")
-    return positions.select("position").distinct().select("position", F.lag("position").over(order).alias("previous"), F.lead("position").over(order).alias("next"))
+    """SE-11: each position with the one before and after it in order of name, by global rank."""
+    ranked = global_rank(positions.select("position").distinct(), F.col("position"), "_k")
+    beside = lambda by, name: ranked.select((F.col("_k") + by).alias("_k"), F.col("position").alias(name))
+    return ranked.join(beside(1, "previous"), "_k", "left").join(beside(-1, "next"), "_k", "left").select("position", "previous", "next")
 
 
 def predicate(tree: dict[str, Any]) -> Column:

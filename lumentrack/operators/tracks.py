@@ -178,6 +178,13 @@ def link_neighbours(objects: DataFrame, links: DataFrame) -> DataFrame:
     return both.fillna(0, ["n_next", "n_prev"]).withColumn("division", F.col("n_next") > 1).withColumn("merge", F.col("n_prev") > 1)
 
 
+def connected(objects: DataFrame, links: DataFrame, merges: bool) -> DataFrame:
+    """SE-9: the objects where tracks merge (more than one link into them), or else divide (more than one out of them)."""
+    end = "dst" if merges else "src"
+    several = links.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id")
+    return objects.join(several, "id", "left_semi")
+
+
 def track_heads(objects: DataFrame, links: DataFrame) -> DataFrame:
     """TR-2: ``track_head`` of every object.
 

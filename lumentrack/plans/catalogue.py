@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumentrack.functions import scalars as fn
+from lumentrack.operators import editing as G
 from lumentrack.operators import histograms as H
 from lumentrack.operators import linking as L
 from lumentrack.operators import measures as M
@@ -928,11 +929,20 @@ def tr_30(s, d):
     return A.without_saturated(p.select("label", "frame").distinct(), hist, 0.06, 0.3, keys=("label", "frame"))
 
 
-@query("tr_36_edge_tracks", E + """, t AS (SELECT track % 7 AS lane, track, avg(x) AS m, avg(y) AS v FROM e GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY m, track) AS i, row_number() OVER (PARTITION BY lane ORDER BY m DESC, track DESC) AS j FROM t)
-    SELECT e.track, e.id FROM e JOIN k USING (track) WHERE NOT ((i = 1 OR j = 1) AND v < 60)""")
+@query("tr_36_edge_tracks", PARTS.replace("WITH", "WITH RECURSIVE", 1) + """, i AS (SELECT label, frame, y, x, (value > 0)::INT AS v FROM p), t AS (SELECT DISTINCT p.label, c.object_id AS track, c.frame, c.y, c.x FROM c JOIN p USING (frame, y, x)),
+    h AS (SELECT * FROM t QUALIFY frame = min(frame) OVER (PARTITION BY label, track)), b AS (SELECT label, track, frame, (min(x) + max(x)) / 2.0 AS m FROM h GROUP BY 1, 2, 3),
+    ends AS (SELECT label, track, frame, 0 AS side FROM b QUALIFY row_number() OVER (PARTITION BY label ORDER BY m, track) = 1
+        UNION ALL SELECT label, track, frame, 7 FROM b QUALIFY row_number() OVER (PARTITION BY label ORDER BY m DESC, track DESC) = 1 AND count(*) OVER (PARTITION BY label) > 1),
+    f AS (SELECT ends.label, track, side, ends.frame, i.y AS cy, i.y, i.x, i.v FROM ends JOIN i ON i.label = ends.label AND i.frame = ends.frame AND i.x = side AND i.y IN (0, 7)
+        UNION SELECT f.label, track, side, f.frame, cy, i.y, i.x, i.v FROM f JOIN i ON i.label = f.label AND i.frame = f.frame AND i.v = f.v AND abs(i.y - f.y) + abs(i.x - f.x) = 1),
+    large AS (SELECT label, track, side, cy FROM f GROUP BY ALL HAVING count(*) > 10), gone AS (SELECT DISTINCT f.label, f.track FROM f JOIN large USING (label, track, side, cy) JOIN h ON h.label = f.label AND h.track = f.track AND h.y = f.y AND h.x = f.x)
+    SELECT DISTINCT label, track, frame FROM t WHERE (label, track) NOT IN (SELECT label, track FROM gone)""")
 def tr_36(s, d):
-    e = D.tracks(s, d).withColumn("lane", F.col("track") % 7)
-    return A.without_edge_tracks(e, 60.0, ["lane"]).select("track", "id")
+    """The strips of one number are a track of their frames' label; the background is where values are 0 or less, or above."""
+    p = D.pixels(s, d)
+    tracks = strips(s, d).join(p.select("frame", "y", "x", "label"), ["frame", "y", "x"]).withColumnRenamed("object_id", "track")
+    flat = p.select("label", "frame", "y", "x", (F.col("value") > 0).cast("int").alias("value"))
+    return A.without_edge_tracks(tracks, flat, 8, 8, ["label"]).select("label", "track", "frame").distinct()
 
 
 # --- distances, assignments, lineages ---
@@ -992,3 +1002,123 @@ def hi_03(s, d):
 @query("th_11_object_count")
 def th_11(s, d):
     return rounded(H.threshold_by_objects(D.pixels(s, d), 5), "threshold")
+
+
+# --- editing, unions, interpolation ---
+
+KINDS = LINKS + ", k AS (SELECT l.*, CASE WHEN e.kind = 'purchase' THEN 'previous' ELSE 'both' END AS kind FROM l JOIN e ON e.id = src), o AS (SELECT id, track || '-' || (frame // 1440) AS parent, n::INT AS idx FROM e)"
+
+
+def kinds(s: SparkSession, d: str) -> DataFrame:
+    return links(s, d).join(D.tracks(s, d).select(F.col("id").alias("src"), F.when(F.col("kind") == "purchase", "previous").otherwise("both").alias("kind")), "src")
+
+
+def days(s: SparkSession, d: str) -> DataFrame:
+    return D.tracks(s, d).select("id", F.concat_ws("-", F.col("track").cast("string"), F.floor(F.col("frame") / 1440).cast("string")).alias("parent"), F.col("n").cast("int").alias("idx"))
+
+
+def pairs_of(s: SparkSession, d: str) -> DataFrame:
+    """Two of ten, and the next two, of a track's objects."""
+    return D.tracks(s, d).filter("n % 10 < 4").select("id", F.concat_ws("-", F.col("track").cast("string"), F.floor(F.col("n") / 2).cast("string")).alias("group"))
+
+
+@query("tr_16_deleted", KINDS + ", g AS (SELECT id FROM o WHERE id % 7 = 0), t AS (SELECT DISTINCT parent FROM o JOIN g USING (id)) SELECT id, parent, CASE WHEN parent IN (SELECT parent FROM t) THEN row_number() OVER (PARTITION BY parent ORDER BY idx, id) - 1 ELSE idx END::INT AS idx FROM o WHERE id % 7 <> 0")
+def tr_16(s, d):
+    o = days(s, d)
+    return G.without_objects(o, o.filter("id % 7 = 0"))
+
+
+@query("tr_16_links", KINDS + """, h AS (SELECT * FROM k WHERE src % 7 <> 0 AND dst % 7 <> 0)
+    SELECT src, dst, CASE WHEN count(*) OVER (PARTITION BY src) = 1 AND count(*) OVER (PARTITION BY dst) = 1 AND (src IN (SELECT src FROM k WHERE dst % 7 = 0) OR dst IN (SELECT dst FROM k WHERE src % 7 = 0)) THEN 'both' ELSE kind END AS kind FROM h""")
+def tr_16l(s, d):
+    return G.without_links_of(kinds(s, d), days(s, d).filter("id % 7 = 0"))
+
+
+MERGED = KINDS + """, a AS (SELECT o.id, o.parent, idx, first_value(o.id) OVER (PARTITION BY track, n // 2, parent ORDER BY n, id) AS new_id FROM o JOIN e USING (id) WHERE n % 10 < 4), b AS (SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY new_id) > 1)"""
+
+
+@query("tr_18_merged", MERGED + ", g AS (SELECT id, parent FROM b WHERE id <> new_id) SELECT id, parent, CASE WHEN parent IN (SELECT parent FROM g) THEN row_number() OVER (PARTITION BY parent ORDER BY idx, id) - 1 ELSE idx END::INT AS idx FROM o WHERE id NOT IN (SELECT id FROM g)")
+def tr_18(s, d):
+    return G.merged_objects(days(s, d), pairs_of(s, d))
+
+
+@query("tr_18_links", MERGED + """, m AS (SELECT coalesce(u.new_id, src) AS src, coalesce(v.new_id, dst) AS dst, kind, u.id IS NOT NULL AS f, v.id IS NOT NULL AS t FROM k LEFT JOIN b AS u ON u.id = src LEFT JOIN b AS v ON v.id = dst),
+    w AS (SELECT src, dst, min(kind) AS kind, bool_or(f) AS f, bool_or(t) AS t FROM m WHERE src <> dst GROUP BY 1, 2)
+    SELECT src, dst, CASE WHEN t AND count(*) OVER (PARTITION BY dst) > 1 THEN 'next' WHEN f AND count(*) OVER (PARTITION BY src) > 1 THEN 'previous' WHEN t OR f THEN 'both' ELSE kind END AS kind FROM w""")
+def tr_18l(s, d):
+    return G.merged_links(kinds(s, d), days(s, d), pairs_of(s, d))
+
+
+@query("se_13_pixel_intersection", PARTS + "SELECT q.frame, q.object_id, q.y, q.x FROM q SEMI JOIN c ON q.frame = c.frame AND q.y = c.y AND q.x = c.x")
+def se_13i(s, d):
+    return A.intersection(quarters(s, d), strips(s, d))
+
+
+@query("se_13_pixel_union", PARTS.replace("WITH", "WITH RECURSIVE", 1) + """, v AS (SELECT DISTINCT q.frame, q.object_id AS a, 10 + c.object_id AS b FROM q JOIN c USING (frame, y, x)), w AS (SELECT frame, a, b FROM v UNION SELECT frame, b, a FROM v),
+    met AS (SELECT frame, a AS n, a AS r FROM w UNION SELECT met.frame, met.n, w.b FROM met JOIN w ON w.frame = met.frame AND w.a = met.r), z AS (SELECT frame, n, min(r) AS root FROM met GROUP BY 1, 2),
+    u AS (SELECT frame, object_id AS n, y, x FROM q UNION ALL SELECT frame, 10 + object_id, y, x FROM c)
+    SELECT DISTINCT u.frame, (coalesce(root, u.n) // 10)::INT AS source, (coalesce(root, u.n) % 10)::INT AS object_id, y, x FROM u LEFT JOIN z ON z.frame = u.frame AND z.n = u.n""")
+def se_13u(s, d):
+    return A.united(quarters(s, d), strips(s, d))
+
+
+@query("jo_02_spatial_children", SHARED + "SELECT frame, parent, object_id, overlap FROM (SELECT frame, b AS parent, a AS object_id, n AS overlap, size FROM n JOIN z USING (frame, a) QUALIFY row_number() OVER (PARTITION BY frame, a ORDER BY n DESC, b) = 1) WHERE overlap > 0.6 * size")
+def jo_02s(s, d):
+    return A.spatial_children(quarters(s, d), strips(s, d), 0.6)
+
+
+FOUR = "f AS (SELECT frame, y, x, floor(sy) + dy AS py, floor(sx) + dx AS px, (CASE dy WHEN 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END) * (CASE dx WHEN 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END) AS w FROM g CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(dy, dx))"
+
+
+@query("px_23_linear", PX + f""", g AS (SELECT frame, y::INT AS y, x::INT AS x, least(greatest((y + 0.5) * 8.0 / 11 - 0.5, 0), 7) AS sy, least(greatest((x + 0.5) * 8.0 / 5 - 0.5, 0), 7) AS sx FROM (SELECT DISTINCT frame FROM p) CROSS JOIN range(11) AS a(y) CROSS JOIN range(5) AS b(x)), {FOUR}
+    SELECT f.frame, f.y, f.x, {r('sum(w * value) / sum(w)', 'value')} FROM f JOIN p ON p.frame = f.frame AND p.y = py AND p.x = px GROUP BY 1, 2, 3""")
+def px_23l(s, d):
+    return rounded(P.resampled_linear(D.pixels(s, d), 8, 8, 5, 11), "value")
+
+
+@query("px_28_rotated", PX + f""", g AS (SELECT frame, y::INT AS y, x::INT AS x, round(3.5 + (x - 3.5) * cos(radians(30)) + (y - 3.5) * sin(radians(30)), 9) AS sx, round(3.5 - (x - 3.5) * sin(radians(30)) + (y - 3.5) * cos(radians(30)), 9) AS sy FROM (SELECT DISTINCT frame FROM p) CROSS JOIN range(8) AS a(y) CROSS JOIN range(8) AS b(x)), {FOUR}
+    SELECT f.frame, f.y, f.x, {r('sum(w * coalesce(value, 0)) / sum(w)', 'value')} FROM f LEFT JOIN p ON p.frame = f.frame AND p.y = py AND p.x = px GROUP BY 1, 2, 3""")
+def px_28(s, d):
+    return rounded(P.rotated(D.pixels(s, d), 8, 8, 30.0), "value")
+
+
+@query("th_01_percentile", PX + f" SELECT label, {r('quantile_cont(value, 0.9)', 'threshold')} FROM p GROUP BY label")
+def th_01(s, d):
+    return rounded(A.percentile_threshold(D.pixels(s, d), ["label"], 0.9), "threshold")
+
+
+@query("sk_08_percentiles", PX + f", q AS (SELECT label, quantile_cont(value, list_transform(range(101), lambda i: i / 100.0)) AS v FROM p GROUP BY label), u AS (SELECT label, unnest(v) AS percentile, unnest(range(101)) AS rank FROM q) SELECT label, rank::INT AS rank, {r('percentile')} FROM u")
+def sk_08(s, d):
+    """The 101 percentiles that go beside an extracted dataset."""
+    found = H.exact_percentiles(D.pixels(s, d), ["label"], [i / 100 for i in range(101)])
+    return rounded(found.select("label", F.round(F.col("q") * 100).cast("int").alias("rank"), "percentile"), "percentile")
+
+
+@query("se_08_with_any_child", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def se_08a(s, d):
+    o = D.table(s, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return S.with_any_child(D.table(s, d, "customer").select("c_custkey"), [o.filter("o_totalprice > 300000"), o.filter("o_orderpriority = '1-URGENT'")], ["c_custkey"])
+
+
+@query("se_09_members", LINKS + ", m AS (SELECT dst FROM l GROUP BY dst HAVING count(*) > 1) SELECT id, 'merge' AS at FROM e WHERE id IN (SELECT dst FROM m) UNION ALL SELECT id, 'division' FROM e WHERE id IN (SELECT src FROM l GROUP BY src HAVING count(*) > 1)")
+def se_09m(s, d):
+    o, ls = D.tracks(s, d).select("id"), links(s, d)
+    return T.connected(o, ls, merges=True).withColumn("at", F.lit("merge")).unionByName(T.connected(o, ls, merges=False).withColumn("at", F.lit("division")))
+
+
+STACKS = PX + ", s AS (SELECT frame // 5 AS stack, frame % 5 AS z, y, x, value FROM p)"
+
+
+@query("px_16_planes", STACKS + f""", b AS (SELECT stack, min(z) AS lo, max(z) AS hi FROM s GROUP BY stack), t AS (SELECT * FROM s JOIN b USING (stack))
+    SELECT 'top' AS which, stack, z, y, x, {r('value')} FROM t WHERE z = lo UNION ALL SELECT 'bottom', stack, z, y, x, {r('value')} FROM t WHERE z = hi UNION ALL SELECT 'middle', stack, z, y, x, {r('value')} FROM t WHERE z = (lo + hi + 1) // 2
+    UNION ALL SELECT 'average', stack, NULL, y, x, {r('avg(value)', 'value')} FROM s GROUP BY stack, y, x""")
+def px_16(s, d):
+    stacks = D.pixels(s, d).select(F.floor(F.col("frame") / 5).cast("int").alias("stack"), (F.col("frame") % 5).alias("z"), "y", "x", "value")
+    parts = [P.planes(stacks, which, ["stack"]).withColumn("which", F.lit(which)).select("which", "stack", "z", "y", "x", "value") for which in ("top", "bottom", "middle", "average")]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), "value")
+
+
+@query("px_17_mixed", PX + f", z AS (SELECT frame, avg(value) AS c, stddev_pop(value) AS w FROM p GROUP BY frame), b AS (SELECT frame, y, 7 - x AS x, value FROM p) SELECT p.frame, p.y, p.x, {r('0.75 * (p.value - z.c) / nullif(z.w, 0) + 0.25 * b.value', 'value')} FROM p JOIN b USING (frame, y, x) JOIN z ON z.frame = p.frame")
+def px_17(s, d):
+    p = D.pixels(s, d)
+    return rounded(P.mixed([(H.z_score(p, ["frame"]).select("frame", "y", "x", F.col("scaled").alias("value")), 0.75), (P.flipped(p, 8), 0.25)]), "value")

@@ -15,8 +15,8 @@ def catalogue(paths: DataFrame, position: str = r"xy(\d+)", frame: str = r"t(\d+
 
 def incomplete(files: DataFrame) -> DataFrame:
     """SR-1: (position, channel, frame) that a full grid of each position's frames by all channels lacks."""
-    channels = files.select("channel").distinct()  # a handful
-    wanted = files.select("position", "frame").distinct().crossJoin(F.broadcast(channels))
+    channels = files.agg(F.collect_set("channel").alias("channel"))  # one row
+    wanted = files.select("position", "frame").distinct().crossJoin(channels).withColumn("channel", F.explode("channel"))
     return wanted.join(files, ["position", "frame", "channel"], "left_anti")
 
 

@@ -25,8 +25,9 @@ def measurement_table(objects: DataFrame, ancestors: Sequence[tuple[DataFrame, i
 
 
 def write_table(table: DataFrame, path: str, by_position: bool = False, order: Sequence[str] = ("position", "Indices")) -> None:
-    """SK-1, SK-4: CSV with ';' and NA, sorted; one folder a position if asked for."""
-    writer = table.orderBy(*order).write.option("sep", ";").option("header", "true").option("nullValue", "NA")
+    """SK-1, SK-4: CSV with ';' and NA, sorted; one folder a position if asked for, each sorted by itself."""
+    rows = table.repartition("position").sortWithinPartitions(*order) if by_position else table.orderBy(*order)
+    writer = rows.write.option("sep", ";").option("header", "true").option("nullValue", "NA")
     (writer.partitionBy("position") if by_position else writer).csv(path)
 
 
