@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrack.session import written
+
 
 def intensity(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """ME-1, ME-3, PX-26: mean, population sigma, sigma over mean, extremes, median, sum."""
@@ -100,6 +102,70 @@ def cross_correlation(df: DataFrame, keys: Sequence[str], a: str, b: str, shifts
     return left.join(right, [*keys, "frame", "y", "x"]).groupBy(*keys, "shift").agg(F.corr("_a", "_b").alias("correlation"))
 
 
+def costes_threshold(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """ME-29: thresholds of two channels of whole numbers (0 to 65,535) by Costes: going down the regression line b = slope a + intercept, those with the least correlation of the pixels below both.
+
+    Columns: keys, slope, intercept, threshold_a, threshold_b, pearson (of pixels at or above both), pearson_below, m1, m2 (each
+    channel's share above its threshold). A pixel is below from one step of the line on, so counts and sums are taken by
+    that step and summed up along the line: one pass, whatever the number of steps. Of equal correlations (to 12 digits) the lowest
+    step counts; where none is as low as the first step's, or the line doesn't rise, the thresholds are the largest values.
+    Pixels without either value are left out.
+    """
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, F.col(a).cast("long").alias("_a"), F.col(b).cast("long").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = written(cells)
+    exact = lambda e: F.sum(e.cast("decimal(28,0)"))
+    A, B, N = F.col("_a"), F.col("_b"), F.col("_n")
+    parts = {"n": N, "sa": N * A, "sb": N * B, "saa": N * A * A, "sbb": N * B * B, "sab": N * A * B}
+    sums = [exact(e).alias(c) for c, e in parts.items()]
+    n, sa, sb, saa, sbb, sab = (F.col(c).cast("double") for c in parts)
+    r = F.round((n * sab - sa * sb) / F.nullif(F.sqrt(F.greatest((n * saa - sa * sa) * (n * sbb - sb * sb), F.lit(0.0))), F.lit(0.0)), 12)
+    below = F.nullif(n * saa - sa * sa, F.lit(0.0))
+    line = cells.groupBy(*keys).agg(*sums, F.min("_a").alias("_a0"), F.max("_a").alias("_a1"), F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
+    line = line.select(*keys, ((n * sab - sa * sb) / below).alias("slope"), ((saa * sb - sa * sab) / below).alias("intercept"), "_a0", "_a1", "_b0", "_b1", F.col("sa").alias("_sa"), F.col("sb").alias("_sb"))
+    slope, intercept = F.col("slope"), F.col("intercept")
+    line = line.withColumns({"_lo": F.greatest(F.col("_a0").cast("double"), (F.col("_b0") - intercept) / F.nullif(slope, F.lit(0.0))).cast("long"), "_hi": F.least(F.col("_a1").cast("double"), (F.col("_b1") - intercept) / F.nullif(slope, F.lit(0.0))).cast("long")})
+    line = written(line)
+    on_line = lambda i: (slope * i + intercept).cast("long")
+    guess = F.ceil((B + 1 - intercept) / slope)
+    over_b = F.when(on_line(guess - 1) > B, guess - 1).when(on_line(guess) > B, guess).otherwise(guess + 1)
+    steps = cells.join(line.filter("slope > 0"), [*keys]).withColumn("_step", F.greatest(A + 1, over_b, F.col("_lo"))).filter(F.col("_step") <= F.col("_hi"))
+    steps = steps.groupBy(*keys, "_step", "_hi").agg(*sums)
+    up = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.select(*keys, "_step", "_hi", *[F.sum(c).over(up).alias(c) for c in parts]).select(*keys, "_step", "_hi", r.alias("_r"))
+    first = F.coalesce(F.max_by("_r", "_step"), F.lit(1.0))
+    best = F.min(F.when((F.col("_step") < F.col("_hi")) & F.col("_r").isNotNull(), F.struct("_r", "_step")))
+    found = steps.groupBy(*keys).agg(first.alias("_first"), best.alias("_best")).filter("_best._r <= _first").select(*keys, F.col("_best._step").alias("_t"), F.col("_best._r").alias("pearson_below"))
+    line = line.join(found, [*keys], "left").withColumns({"threshold_a": F.coalesce("_t", "_a1"), "threshold_b": F.when(F.col("_t").isNotNull(), on_line(F.col("_t"))).otherwise(F.col("_b1"))})
+    above = cells.join(line.select(*keys, "threshold_a", "threshold_b"), [*keys])
+    both = (A >= F.col("threshold_a")) & (B >= F.col("threshold_b"))
+    above = above.groupBy(*keys).agg(*[exact(F.when(both, e)).alias(c) for c, e in parts.items()], exact(F.when(A > F.col("threshold_a"), N * A)).alias("_ma"), exact(F.when(B > F.col("threshold_b"), N * B)).alias("_mb"))
+    above = above.select(*keys, r.alias("pearson"), "_ma", "_mb")
+    share = lambda part, whole: F.coalesce(F.col(part).cast("double"), F.lit(0.0)) / F.nullif(F.col(whole).cast("double"), F.lit(0.0))
+    return line.join(above, [*keys]).select(*keys, "slope", "intercept", "threshold_a", "threshold_b", "pearson", "pearson_below", share("_ma", "_sa").alias("m1"), share("_mb", "_sb").alias("m2"))
+
+
+def costes_randomised(df: DataFrame, keys: Sequence[str], a: str, b: str, width: int, height: int, block: int, rounds: int, seed: int = 0) -> DataFrame:
+    """ME-29: (keys, pearson, mean, sd, below) of an image's correlation and those after shifting ``b`` about ``rounds`` times; ``below`` is the share of them below the image's own.
+
+    In a round each row of blocks moves along x by some whole number of blocks, what goes out coming in at the other side, then each
+    column of blocks along y. How far is told by a hash of seed, group, round and block, so reruns agree. Pixels beyond the
+    last whole block are left out; where a moved pixel meets an absent one the pair is, too.
+    """
+    w, h = width // block * block, height // block * block
+    if w == 0 or h == 0:
+        raise ValueError("the block is larger than the image")
+    rows = df.filter((F.col("x") < w) & (F.col("y") < h))
+    moved = rows.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(b).alias("_b")).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    far = lambda axis, of, n: F.when(F.col("_round") > 0, F.pmod(F.xxhash64(F.lit(seed), F.lit(axis), *keys, "_round", F.floor(F.col(of) / block)), F.lit(n // block)) * block).otherwise(0)
+    moved = moved.withColumn("x", (F.col("x") + far("x", "y", w)) % w)
+    moved = moved.withColumn("y", (F.col("y") + far("y", "x", h)) % h)
+    pairs = rows.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(a).alias("_a")).join(moved, [*keys, "y", "x"])
+    each = pairs.groupBy(*keys, "_round").agg(F.corr("_a", "_b").alias("_r"))
+    own, others = F.when(F.col("_round") == 0, F.col("_r")), F.when(F.col("_round") > 0, F.col("_r"))
+    done = each.groupBy(*keys).agg(F.max(own).alias("pearson"), F.avg(others).alias("mean"), F.stddev_samp(others).alias("sd"), F.array_compact(F.collect_list(others)).alias("_rs"))
+    return done.select(*keys, "pearson", "mean", "sd", (F.size(F.filter("_rs", lambda v: v < F.col("pearson"))) / F.nullif(F.size("_rs"), F.lit(0))).alias("below"))
+
+
 def distance_index(df: DataFrame, keys: Sequence[str], distance: str = "distance") -> DataFrame:
     """ME-30: rank of each pixel's distance over the number of pixels, equal distances sharing their mean rank: near 0 at the edge, 1 at the centre."""
     w, ties, whole = Window.partitionBy(*keys).orderBy(distance), Window.partitionBy(*keys, distance), Window.partitionBy(*keys)

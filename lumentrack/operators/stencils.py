@@ -150,7 +150,7 @@ def lower_envelope(f: np.ndarray, step: float) -> np.ndarray:
     return f[mine] + unit * (places - mine) ** 2
 
 
-def _along(df: DataFrame, axis: str, group: Sequence[str], step: float, borders: tuple[int, int] | None) -> DataFrame:
+def _along(df: DataFrame, axis: str, group: Sequence[str], step: float, borders: tuple[int, int | Column] | None) -> DataFrame:
     """One pass of the transform: ``_d2`` along an axis, run by run of pixels without a gap; both ends of a run are outside, but where ``borders`` of the image say that nothing is known beyond."""
     w = Window.partitionBy(*group).orderBy(axis)
     runs = df.withColumn("_run", F.col(axis) - F.row_number().over(w)).groupBy(*group, "_run").agg(F.array_sort(F.collect_list(F.struct(axis, "_d2"))).alias("_c"))
@@ -191,6 +191,24 @@ def distance_transform(
     return rows.select(*at, distance.alias("distance"))
 
 
+def distance_fields(points: DataFrame, reach: int, keys: Sequence[str]) -> DataFrame:
+    """ST-1: (keys, y, x, distance) to the nearest of a group's points, at every place of its box widened by ``reach`` on all sides.
+
+    Each group has a window of its own, so the work grows with the objects' boxes and not with the image. Repeated points
+    count once; without points there is no field.
+    """
+    points = points.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+    box = points.groupBy(*keys).agg(*[e for c in "yx" for e in ((F.min(c) - reach).alias(f"_{c}0"), (F.max(c) - F.min(c) + 2 * reach).alias(f"_{c}1"))])
+    group = [*keys, "_y0", "_y1", "_x0", "_x1"]
+    inner = points.join(box, [*keys]).select(*group, (F.col("y") - F.col("_y0")).alias("y"), (F.col("x") - F.col("_x0")).alias("x"))
+    grid = box.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), "_y1"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), "_x1")))
+    rows = grid.join(inner, [*keys, "y", "x"], "left_anti").withColumn("_d2", F.lit(float("inf")))
+    for axis, other in (("x", "y"), ("y", "x")):
+        rows = _along(rows, axis, [*group, other], 1.0, (0, F.col(f"_{axis}1")))
+    field = rows.select(*group, "y", "x", F.sqrt("_d2").alias("distance")).unionByName(inner.withColumn("distance", F.lit(0.0)))
+    return field.select(*keys, (F.col("y") + F.col("_y0")).alias("y"), (F.col("x") + F.col("_x0")).alias("x"), "distance")
+
+
 def destriped(df: DataFrame, foreground: Column, keys: Sequence[str] = KEYS, add_back: bool = True) -> DataFrame:
     """ST-9: each row less the mean of its background pixels, with the frame's background mean added back."""
     back = F.when(~foreground, F.col("value"))

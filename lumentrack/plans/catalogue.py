@@ -1122,3 +1122,66 @@ def px_16(s, d):
 def px_17(s, d):
     p = D.pixels(s, d)
     return rounded(P.mixed([(H.z_score(p, ["frame"]).select("frame", "y", "x", F.col("scaled").alias("value")), 0.75), (P.flipped(p, 8), 0.25)]), "value")
+
+
+# --- linking by shape and along an axis, thresholds by colocalisation ---
+
+DRIFTING = MASK + ", s AS (SELECT frame, y, x, ((y + frame % 3) // 3)::INT AS o FROM m), z AS (SELECT frame, o, count(*) AS n FROM s GROUP BY 1, 2)"
+
+
+def drifting(s: SparkSession, d: str) -> DataFrame:
+    """Stripes of the mask that move on from frame to frame."""
+    return mask(s, d).select("frame", "y", "x", F.floor((F.col("y") + F.col("frame") % 3) / 3).cast("int").alias("object_id"))
+
+
+@query("tr_20_overlap", DRIFTING + f""", n AS (SELECT b.frame, a.o AS src, b.o AS dst, count(*) AS overlap FROM s a JOIN s b ON b.frame = a.frame + 1 AND a.y = b.y AND a.x = b.x GROUP BY 1, 2, 3),
+    w AS (SELECT n.*, u.n AS na, v.n AS nb FROM n JOIN z u ON u.frame = n.frame - 1 AND u.o = src JOIN z v ON v.frame = n.frame AND v.o = dst), k(mode) AS (VALUES ('link'), ('split'), ('merge'))
+    SELECT mode, frame, src, dst, overlap, {r("1 - overlap / CASE WHEN mode = 'split' AND nb < na THEN nb WHEN mode = 'merge' AND na < nb THEN na ELSE na + nb - overlap END", 'cost')} FROM w CROSS JOIN k""")
+def tr_20o(s, d):
+    o = drifting(s, d)
+    parts = [L.overlap_costs(o, mode=m).withColumn("mode", F.lit(m)) for m in ("link", "split", "merge")]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "cost")
+
+
+@query("tr_20_hausdorff", DRIFTING + f""", t AS (SELECT b.frame, a.o AS src, b.o AS dst, a.y, a.x, min((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM s a JOIN s b ON b.frame = a.frame + 1 GROUP BY 1, 2, 3, 4, 5),
+    u AS (SELECT b.frame, a.o AS src, b.o AS dst, b.y, b.x, min((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM s a JOIN s b ON b.frame = a.frame + 1 GROUP BY 1, 2, 3, 4, 5),
+    w AS (SELECT frame, src, dst, max(d) AS d, avg(d) AS m FROM t GROUP BY 1, 2, 3 UNION ALL SELECT frame, src, dst, max(d), avg(d) FROM u GROUP BY 1, 2, 3)
+    SELECT frame, src, dst, {r('max(d)', 'cost')}, {r('max(m)', 'mean_cost')} FROM w GROUP BY 1, 2, 3 HAVING max(d) <= 12.25""")
+def tr_20h(s, d):
+    o = drifting(s, d)
+    mean = L.hausdorff_costs(o, 3.5, average=True).withColumnRenamed("cost", "mean_cost")
+    return rounded(L.hausdorff_costs(o, 3.5).join(mean, ["frame", "src", "dst"]), "cost", "mean_cost")
+
+
+@query("tr_23_uncrossed")
+def tr_23u(s, d):
+    """The heaviest links from hour to hour that keep their order along x, with gaps of up to two hours."""
+    return rounded(L.linked_on_axis(hourly(s, d).drop("y"), 8.0, max_gap=2), "cost")
+
+
+INTEGRAL = COLOC + ", v AS (SELECT label, frame, y, x, floor(a * 50)::BIGINT AS a, floor((a + b / 2) * 50)::BIGINT AS b FROM c)"
+SUMS = "count(*)::DOUBLE AS n, sum(a)::DOUBLE AS sa, sum(b)::DOUBLE AS sb, sum(a * a)::DOUBLE AS saa, sum(b * b)::DOUBLE AS sbb, sum(a * b)::DOUBLE AS sab"
+PEARSON = "round((n * sab - sa * sb) / nullif(sqrt(greatest((n * saa - sa * sa) * (n * sbb - sb * sb), 0)), 0), 12)"
+
+
+def integral(s: SparkSession, d: str) -> DataFrame:
+    return channels(s, d).select("label", "frame", "y", "x", F.floor(F.col("a") * 50).alias("a"), F.floor((F.col("a") + F.col("b") / 2) * 50).alias("b"))
+
+
+@query("me_29_costes_threshold", INTEGRAL + f""", g AS (SELECT label, {SUMS}, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM v GROUP BY label),
+    l AS (SELECT *, (n * sab - sa * sb) / nullif(n * saa - sa * sa, 0) AS slope, (saa * sb - sa * sab) / nullif(n * saa - sa * sa, 0) AS intercept FROM g),
+    k AS (SELECT *, trunc(greatest(a0, (b0 - intercept) / slope))::BIGINT AS lo, trunc(least(a1, (b1 - intercept) / slope))::BIGINT AS hi FROM l),
+    i AS (SELECT label, hi, unnest(range(lo, hi + 1)) AS i, slope, intercept FROM k WHERE slope > 0),
+    q AS (SELECT label, i, hi, {SUMS} FROM i JOIN v USING (label) WHERE a < i AND b < trunc(slope * i + intercept) GROUP BY 1, 2, 3), w AS (SELECT label, i, hi, {PEARSON} AS r FROM q),
+    f AS (SELECT label, coalesce(max(r) FILTER (i = hi), 1) AS r0 FROM w GROUP BY label), t AS (SELECT label, i, r FROM w JOIN f USING (label) WHERE i < hi AND r <= r0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY r, i) = 1),
+    u AS (SELECT k.label, slope, intercept, coalesce(i, a1) AS ta, CASE WHEN i IS NULL THEN b1 ELSE trunc(slope * i + intercept)::BIGINT END AS tb, r AS below FROM k LEFT JOIN t USING (label)),
+    h AS (SELECT label, {SUMS} FROM v JOIN u USING (label) WHERE a >= ta AND b >= tb GROUP BY label), hp AS (SELECT label, {PEARSON} AS above FROM h),
+    j AS (SELECT label, sum(CASE WHEN a > ta THEN a ELSE 0 END) / sum(a) AS m1, sum(CASE WHEN b > tb THEN b ELSE 0 END) / sum(b) AS m2 FROM v JOIN u USING (label) GROUP BY label)
+    SELECT u.label, {r('slope')}, {r('intercept')}, ta AS threshold_a, tb AS threshold_b, {r('above', 'pearson')}, {r('below', 'pearson_below')}, {r('m1')}, {r('m2')} FROM u JOIN j USING (label) LEFT JOIN hp USING (label)""")
+def me_29t(s, d):
+    return rounded(M.costes_threshold(integral(s, d), ["label"], "a", "b"), "slope", "intercept", "pearson", "pearson_below", "m1", "m2")
+
+
+@query("me_29_costes_randomised")
+def me_29r(s, d):
+    return rounded(M.costes_randomised(channels(s, d), ["label", "frame"], "a", "b", 8, 8, 2, 20), "pearson", "mean", "sd", "below")
