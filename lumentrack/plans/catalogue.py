@@ -1185,3 +1185,16 @@ def me_29t(s, d):
 @query("me_29_costes_randomised")
 def me_29r(s, d):
     return rounded(M.costes_randomised(channels(s, d), ["label", "frame"], "a", "b", 8, 8, 2, 20), "pearson", "mean", "sd", "below")
+
+
+@query("tr_27_merged_in_contact")
+def tr_27(s, d):
+    """Tracks from hour to hour that run into one and are never farther apart than 6 become one."""
+    points = hourly(s, d)
+    ls = L.linked(points, 8.0, splits=True, merges=True)
+    kind = F.when(F.col("kind") == "split", "previous").when(F.col("kind") == "merge", "next").otherwise("both")
+    heads = T.track_heads(points, ls.select("src", "dst", kind.alias("kind")))
+    of = lambda c: heads.select(F.col("id").alias(c), F.col("track_head").alias(f"_{c}"))
+    spans = points.join(heads, "id").groupBy(F.col("track_head").alias("track")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    near = J.close_pairs(points, 6.0, ["frame"]).join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "frame")
+    return G.tracks_in_contact_merged(spans, L.track_graph(heads, ls.select("src", "dst")), near)[0]
