@@ -18,7 +18,7 @@ from lumentrack.operators import selections as S
 from lumentrack.operators import spatial as J
 from lumentrack.operators import stencils as N
 from lumentrack.operators import tracks as T
-from lumentrack.sources import readers, sinks
+from lumentrack.sources import datasets, readers, sinks
 from lumentrack.sources import tables as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1198,3 +1198,44 @@ def tr_27(s, d):
     spans = points.join(heads, "id").groupBy(F.col("track_head").alias("track")).agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
     near = J.close_pairs(points, 6.0, ["frame"]).join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "frame")
     return G.tracks_in_contact_merged(spans, L.track_graph(heads, ls.select("src", "dst")), near)[0]
+
+
+# --- training datasets ---
+
+TILED = PARTS + ", b AS (SELECT frame, object_id, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM q GROUP BY 1, 2)"
+
+
+def tiles(s: SparkSession, d: str, width: int, height: int, mode: str) -> DataFrame:
+    """The quarters' tiles of values and strips, unrolled."""
+    labelled = strips(s, d).select("frame", "y", "x", (F.col("object_id") + 1).alias("label"))
+    both = D.pixels(s, d).select("frame", "y", "x", F.col("value").alias("raw")).join(labelled, ["frame", "y", "x"], "left")
+    found = datasets.tensors(datasets.bounding_boxes(quarters(s, d)), both, width, height, ["raw"], ["label"], mode=mode)
+    return rounded(found.select("frame", "object_id", F.posexplode(F.arrays_zip("raw", "label")).alias("place", "_v")).select("frame", "object_id", "place", "_v.raw", "_v.label"), "raw")
+
+
+@query("sk_06_padded", TILED + f""", g AS (SELECT b.*, i, j, i - floor((6 - h) / 2) AS sy, j - floor((3 - w) / 2) AS sx FROM b CROSS JOIN range(6) AS u(i) CROSS JOIN range(3) AS v(j)),
+    t AS (SELECT frame, object_id, (i * 3 + j)::INT AS place, y0 + least(greatest(sy, 0), h - 1) AS y, x0 + least(greatest(sx, 0), w - 1) AS x, sy >= 0 AND sy < h AND sx >= 0 AND sx < w AS inside FROM g)
+    SELECT t.frame, t.object_id, place, {r('p.value', 'raw')}, (CASE WHEN inside THEN coalesce(c.object_id + 1, 0) ELSE 0 END)::INT AS label FROM t LEFT JOIN p ON p.frame = t.frame AND p.y = t.y AND p.x = t.x LEFT JOIN c ON c.frame = t.frame AND c.y = t.y AND c.x = t.x""")
+def sk_06p(s, d):
+    return tiles(s, d, 3, 6, "pad")
+
+
+@query("sk_06_resampled", TILED + f""", g AS (SELECT frame, object_id, x0, y0, w, h, (i * 5 + j)::INT AS place, least(greatest((i + 0.5::DOUBLE) * h / 3 - 0.5, 0), h - 1) AS sy, least(greatest((j + 0.5::DOUBLE) * w / 5 - 0.5, 0), w - 1) AS sx FROM b CROSS JOIN range(3) AS u(i) CROSS JOIN range(5) AS v(j)),
+    f AS (SELECT *, least(floor(sy) + dy, h - 1) AS py, least(floor(sx) + dx, w - 1) AS px, (CASE dy WHEN 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END) * (CASE dx WHEN 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END) AS k FROM g CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(dy, dx)),
+    r AS (SELECT f.frame, f.object_id, place, sum(k * value) / sum(k) AS raw FROM f JOIN p ON p.frame = f.frame AND p.y = y0 + py AND p.x = x0 + px GROUP BY 1, 2, 3)
+    SELECT r.frame, r.object_id, r.place, {r('raw')}, coalesce(c.object_id + 1, 0)::INT AS label FROM r JOIN g USING (frame, object_id, place) LEFT JOIN c ON c.frame = r.frame AND c.y = y0 + floor(sy + 0.5) AND c.x = x0 + floor(sx + 0.5)""")
+def sk_06r(s, d):
+    return tiles(s, d, 5, 3, "resample")
+
+
+@query("sk_06_segments", LINKS + """, b AS (SELECT e.id, track, n AS frame, l.src IS NULL OR lag(n) OVER (PARTITION BY track ORDER BY n) <> n - 1 AS cut FROM (SELECT *, lag(id) OVER (PARTITION BY track ORDER BY n) AS before FROM e) AS e LEFT JOIN l ON l.src = before AND l.dst = e.id),
+    g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY track ORDER BY frame)::BIGINT AS segment FROM b) SELECT id, track, frame, segment, row_number() OVER (PARTITION BY track, segment ORDER BY frame)::INT AS place FROM g""")
+def sk_06s(s, d):
+    return datasets.track_segments(D.tracks(s, d).select("id", "track", F.col("n").alias("frame")), links(s, d))
+
+
+@query("sk_12_border_weights", PARTS + f""", n AS (SELECT frame, count(*) AS n FROM q GROUP BY frame), g AS (SELECT frame, y::INT AS y, x::INT AS x, n FROM n CROSS JOIN range(8) AS u(y) CROSS JOIN range(8) AS v(x)),
+    o AS (SELECT g.frame, g.y, g.x, object_id, min(sqrt((g.y - q.y) ** 2 + (g.x - q.x) ** 2)) AS d FROM g JOIN q ON q.frame = g.frame GROUP BY 1, 2, 3, 4), t AS (SELECT frame, y, x, list_sort(list(d)) AS ds FROM o GROUP BY 1, 2, 3)
+    SELECT frame, y, x, {r('CASE WHEN ds[1] = 0 THEN (64 - n) / n WHEN len(ds) > 1 THEN 1 + 10 * exp(-((ds[1] + ds[2]) ** 2) / 8.0) ELSE 1 END', 'weight')} FROM g JOIN t USING (frame, y, x)""")
+def sk_12w(s, d):
+    return rounded(datasets.border_weights(quarters(s, d), 8, 8, 2.0, 10.0), "weight")
