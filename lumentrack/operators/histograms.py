@@ -165,6 +165,98 @@ def triangle(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by("bin", F.struct("below", -F.col("bin"))).alias("threshold_bin"))
 
 
+def _classes(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shares of each bin that has pixels: ``p`` its own, ``p0`` up to it, and for later use the sums up to it and in all of p's root and square."""
+    whole, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    rows = hist.filter("count > 0").select(*keys, "bin", (F.col("count") / F.sum("count").over(whole)).alias("p"), (F.sum("count").over(w) / F.sum("count").over(whole)).alias("p0"))
+    parts = {"r": F.sqrt("p"), "s": F.col("p") * F.col("p"), "e": F.col("p") * F.log("p")}
+    return rows.withColumns({f"{c}{n}": F.sum(e).over(o) for c, e in parts.items() for n, o in (("0", w), ("", whole))})
+
+
+def _best(rows: DataFrame, keys: Sequence[str], score: Column, name: str = "threshold_bin") -> DataFrame:
+    """The lowest of the bins of the highest score, of those below the last one, to 6 digits."""
+    rows = rows.filter("p0 < 1").withColumn("_score", F.round(score, 6)).filter("_score is not null")
+    return rows.groupBy(*keys).agg(F.max_by("bin", F.struct("_score", -F.col("bin"))).alias(name))
+
+
+def yen(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """TH-5: the bin after which the two classes' correlation is highest: twice the log of the product of their shares, less that of their sums of squared shares. A group of one bin has no row."""
+    return _best(_classes(hist, keys), keys, 2 * F.log(F.col("p0") * (1 - F.col("p0"))) - F.log(F.col("s0") * (F.col("s") - F.col("s0"))))
+
+
+def mean_level(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """TH-5: the bin of the mean."""
+    return hist.groupBy(*keys).agg(F.floor(F.sum(F.col("bin") * F.col("count")) / F.nullif(F.sum("count"), F.lit(0))).alias("threshold_bin"))
+
+
+def half_level(hist: DataFrame, keys: Sequence[str], share: float = 0.5) -> DataFrame:
+    """TH-5: the bin up to which there is as near as can be to ``share`` of the pixels, the lowest of equals."""
+    return _classes(hist, keys).withColumn("_far", F.round(F.abs(F.col("p0") - share), 9)).groupBy(*keys).agg(F.min_by("bin", F.struct("_far", "bin")).alias("threshold_bin"))
+
+
+def moments(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """TH-5: the first bin up to which there is more than the share that the lower of two levels must have, if these two are to keep the first three moments. Null where all pixels are in one bin."""
+    m = [F.sum(F.pow(F.col("bin").cast("double"), F.lit(k)) * F.col("p")) for k in (1, 2, 3)]
+    rows = _classes(hist, keys)
+    found = rows.groupBy(*keys).agg(*[F.round(e, 12).alias(f"_m{k}") for k, e in enumerate(m, 1)])
+    m1, m2, m3 = F.col("_m1"), F.col("_m2"), F.col("_m3")
+    spread = F.nullif(F.round(m2 - m1 * m1, 9), F.lit(0.0))
+    found = found.withColumns({"_c0": (m1 * m3 - m2 * m2) / spread, "_c1": (m1 * m2 - m3) / spread})
+    root = F.sqrt(F.greatest(F.col("_c1") * F.col("_c1") - 4 * F.col("_c0"), F.lit(0.0)))
+    found = found.withColumns({"_z0": (-F.col("_c1") - root) / 2, "_z1": (-F.col("_c1") + root) / 2})
+    found = found.select(*keys, F.round((F.col("_z1") - m1) / F.nullif(F.col("_z1") - F.col("_z0"), F.lit(0.0)), 9).alias("_share"))
+    return rows.join(found, list(keys)).groupBy(*keys).agg(F.min(F.when(F.round("p0", 9) > F.col("_share"), F.col("bin"))).alias("threshold_bin"))
+
+
+def renyi_entropy(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """TH-5: a mean of the bins after which the Rényi entropies of order 1/2, 1 and 2 of both classes add up to most, weighed by the pixels between them.
+
+    Bins within 5 of each other share the middle's weight: 1, 2, 1 where both gaps or neither are that small, else 3 for
+    the one apart (as 0, 1, 3 or 3, 1, 0). A group of one bin has no row.
+    """
+    rows = written(_classes(hist, keys))
+    p0, p1 = F.col("p0"), 1 - F.col("p0")
+    scores = {
+        "_half": 2 * F.log(F.col("r0") * (F.col("r") - F.col("r0")) / F.sqrt(p0 * p1)),
+        "_one": F.log(p0 * p1) - F.col("e0") / p0 - (F.col("e") - F.col("e0")) / p1,
+        "_two": -F.log(F.col("s0") / (p0 * p0) * (F.col("s") - F.col("s0")) / (p1 * p1)),
+    }
+    best = [_best(rows, keys, e, name) for name, e in scores.items()]
+    three = best[0].join(best[1], list(keys)).join(best[2], list(keys)).withColumn("_t", F.array_sort(F.array(*scores)))
+    low, high = (F.col("_t")[1] - F.col("_t")[0]) <= 5, (F.col("_t")[2] - F.col("_t")[1]) <= 5
+    weights = lambda *n: F.array(*[F.lit(k / 4) for k in n])
+    three = three.select(*keys, "_t", F.when(low & ~high, weights(0, 1, 3)).when(~low & high, weights(3, 1, 0)).otherwise(weights(1, 2, 1)).alias("_w"))
+    shares = rows.join(three, list(keys)).groupBy(*keys, "_t", "_w").agg(*[F.max(F.when(F.col("bin") == F.col("_t")[k], F.col("p0"))).alias(f"_p{k}") for k in (0, 2)])
+    t, w, between = (lambda k: F.col("_t")[k]), (lambda k: F.col("_w")[k]), F.col("_p2") - F.col("_p0")
+    level = t(0) * (F.col("_p0") + between * w(0)) + t(1) * between * w(1) + t(2) * (1 - F.col("_p2") + between * w(2))
+    return shares.select(*keys, F.floor(F.round(level, 6)).alias("threshold_bin"))
+
+
+def li(hist: DataFrame, keys: Sequence[str], most: int = 1000) -> DataFrame:
+    """TH-5: the level of least cross entropy between the image and its two classes' means, found by repetition from the mean of all.
+
+    Each round goes to (m0 - m1) / (ln m0 - ln m1) of the means up to the level and above, rounded, and a group ends where that moves by
+    half a bin at most; bins count from 0 on. Raises if a group moves on after ``most`` rounds.
+    """
+    hist = written(hist.filter("count > 0").select(*keys, "bin", "count"))
+    moving = written(hist.groupBy(*keys).agg((F.sum(F.col("bin") * F.col("count")) / F.sum("count")).alias("level")))
+    done = moving.select(*keys, F.lit(0).cast("long").alias("threshold_bin")).limit(0)
+    for _ in range(most):
+        at = F.floor(F.col("level") + 0.5)
+        m = F.col("bin") * F.col("count")
+        mean = lambda c: F.coalesce(F.sum(F.when(c, m)) / F.sum(F.when(c, F.col("count"))), F.lit(0.0))
+        sides = hist.join(moving, list(keys)).groupBy(*keys, "level").agg(mean(F.col("bin") <= at).alias("_m0"), mean(F.col("bin") > at).alias("_m1"))
+        # The log of a mean of 0 has no bound, which makes the next level 0.
+        level = F.when((F.col("_m0") > 0) & (F.col("_m1") > 0), (F.col("_m0") - F.col("_m1")) / (F.log("_m0") - F.log("_m1"))).otherwise(0.0)
+        sides = written(sides.select(*keys, at.alias("threshold_bin"), "level", F.floor(F.round(level, 9) + 0.5).cast("double").alias("_new")))
+        rests = F.abs(F.col("_new") - F.col("level")) <= 0.5
+        done = done.unionByName(sides.filter(rests).select(*keys, "threshold_bin"))
+        moving = sides.filter(~rests).select(*keys, F.col("_new").alias("level"))
+        if moving.isEmpty():
+            return done
+    raise RuntimeError(f"no level after {most} rounds")
+
+
 def isodata(hist: DataFrame, keys: Sequence[str], most: int = 100) -> DataFrame:
     """TH-5: the level midway between the means of the two sides, found by repetition (``most`` rounds at the longest)."""
     level = cut(hist.groupBy(*keys).agg((F.sum(F.col("bin") * F.col("count")) / F.sum("count")).alias("level")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentrack.functions.ranking import global_rank
+from lumentrack.operators.histograms import exact_percentiles
 from lumentrack.session import written
 
 
@@ -150,8 +151,10 @@ def extended(df: DataFrame, n: int, *, track: str = "track", frame: str = "frame
 
 def over_expression(df: DataFrame, k: float, limit: int = 3, *, track: str = "track", value: str = "x", by: Sequence[str] = ("n",)) -> DataFrame:
     """TR-34: rows of each track up to the one with its ``limit``-th value above median + k IQR of all values (the count is cumulative)."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    rows = df.crossJoin(F.broadcast(q)).withColumn("_over", (F.col(value) > F.col("q")[1] + k * (F.col("q")[2] - F.col("q")[0])).cast("int"))  # one row
+    quarters = exact_percentiles(df, [], [0.25, 0.5, 0.75], value)
+    q = quarters.agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "percentile"))), lambda s: s["percentile"]).alias("q"))
+    at = lambda i: F.get("q", F.lit(i))
+    rows = df.crossJoin(F.broadcast(q)).withColumn("_over", (F.col(value) > at(1) + k * (at(2) - at(0))).cast("int"))  # one row
     before = F.sum("_over").over(_order(track, by).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_n", before).filter(F.col("_n") < limit).drop("q", "_over", "_n")
 

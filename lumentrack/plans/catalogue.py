@@ -1239,3 +1239,54 @@ def sk_06s(s, d):
     SELECT frame, y, x, {r('CASE WHEN ds[1] = 0 THEN (64 - n) / n WHEN len(ds) > 1 THEN 1 + 10 * exp(-((ds[1] + ds[2]) ** 2) / 8.0) ELSE 1 END', 'weight')} FROM g JOIN t USING (frame, y, x)""")
 def sk_12w(s, d):
     return rounded(datasets.border_weights(quarters(s, d), 8, 8, 2.0, 10.0), "weight")
+
+
+# --- further automatic thresholds ---
+
+CLASSES = BINS + """, q AS (SELECT label, bin, count, count / sum(count) OVER (PARTITION BY label) AS p, sum(count) OVER (PARTITION BY label ORDER BY bin) / sum(count) OVER (PARTITION BY label) AS p0 FROM h),
+    k AS (SELECT label, bin, p, p0, sum(sqrt(p)) OVER w AS r0, sum(sqrt(p)) OVER t AS r, sum(p * p) OVER w AS s0, sum(p * p) OVER t AS s, sum(p * ln(p)) OVER w AS e0, sum(p * ln(p)) OVER t AS e FROM q WINDOW t AS (PARTITION BY label), w AS (PARTITION BY label ORDER BY bin))"""
+
+
+def best(score: str) -> str:
+    return f"SELECT label, bin AS threshold_bin FROM k WHERE p0 < 1 QUALIFY row_number() OVER (PARTITION BY label ORDER BY round({score}, 6) DESC, bin) = 1"
+
+
+@query("th_05_yen", CLASSES + best("2 * ln(p0 * (1 - p0)) - ln(s0 * (s - s0))"))
+def th_05y(s, d):
+    return H.yen(bins(s, d), ["label"])
+
+
+@query("th_05_mean", BINS + " SELECT label, floor(sum(bin * count) / sum(count))::BIGINT AS threshold_bin FROM h GROUP BY label")
+def th_05m(s, d):
+    return H.mean_level(bins(s, d), ["label"])
+
+
+@query("th_05_percentile", CLASSES + "SELECT label, bin AS threshold_bin FROM k QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(abs(p0 - 0.5), 9), bin) = 1")
+def th_05p(s, d):
+    return H.half_level(bins(s, d), ["label"])
+
+
+@query("th_05_moments", CLASSES + """, a AS (SELECT label, round(sum(bin * p), 12) AS m1, round(sum(bin::DOUBLE ** 2 * p), 12) AS m2, round(sum(bin::DOUBLE ** 3 * p), 12) AS m3 FROM k GROUP BY label),
+    b AS (SELECT *, (m1 * m3 - m2 * m2) / nullif(round(m2 - m1 * m1, 9), 0) AS c0, (m1 * m2 - m3) / nullif(round(m2 - m1 * m1, 9), 0) AS c1 FROM a), c AS (SELECT *, sqrt(greatest(c1 * c1 - 4 * c0, 0)) AS root FROM b)
+    SELECT label, min(bin) FILTER (round(p0, 9) > round(((root - c1) / 2 - m1) / nullif(root, 0), 9)) AS threshold_bin FROM k JOIN c USING (label) GROUP BY label""")
+def th_05o(s, d):
+    return H.moments(bins(s, d), ["label"])
+
+
+RENYI = [best(x).replace("threshold_bin", "bin") for x in ("2 * ln(r0 * (r - r0) / sqrt(p0 * (1 - p0)))", "ln(p0 * (1 - p0)) - e0 / p0 - (e - e0) / (1 - p0)", "-ln(s0 / (p0 * p0) * (s - s0) / ((1 - p0) * (1 - p0)))")]
+
+
+@query("th_05_renyi_entropy", CLASSES + f""", a AS (({RENYI[0]}) UNION ALL ({RENYI[1]}) UNION ALL ({RENYI[2]})), b AS (SELECT label, list_sort(list(bin)) AS t FROM a GROUP BY label),
+    c AS (SELECT label, t, CASE WHEN t[2] - t[1] <= 5 AND t[3] - t[2] > 5 THEN [0, 0.25, 0.75] WHEN t[2] - t[1] > 5 AND t[3] - t[2] <= 5 THEN [0.75, 0.25, 0] ELSE [0.25, 0.5, 0.25] END AS w FROM b),
+    z AS (SELECT c.*, u.p0 AS lo, v.p0 AS hi FROM c JOIN k u ON u.label = c.label AND u.bin = t[1] JOIN k v ON v.label = c.label AND v.bin = t[3])
+    SELECT label, floor(round(t[1] * (lo + (hi - lo) * w[1]) + t[2] * (hi - lo) * w[2] + t[3] * (1 - hi + (hi - lo) * w[3]), 6))::BIGINT AS threshold_bin FROM z""")
+def th_05r(s, d):
+    return H.renyi_entropy(bins(s, d), ["label"])
+
+
+@query("th_05_li", BINS.replace("WITH", "WITH RECURSIVE", 1) + """, l AS (SELECT label, sum(bin * count)::DOUBLE / sum(count) AS level, NULL::DOUBLE AS old, 0 AS k FROM h GROUP BY label
+    UNION ALL SELECT label, coalesce(floor(round(CASE WHEN m0 > 0 AND m1 > 0 THEN (m0 - m1) / (ln(m0) - ln(m1)) ELSE 0 END, 9) + 0.5), 0)::DOUBLE AS level, level AS old, k + 1 AS k FROM (
+        SELECT l.label, level, k, coalesce(sum(bin * count) FILTER (bin <= floor(level + 0.5)) / sum(count) FILTER (bin <= floor(level + 0.5)), 0) AS m0, coalesce(sum(bin * count) FILTER (bin > floor(level + 0.5)) / sum(count) FILTER (bin > floor(level + 0.5)), 0) AS m1
+        FROM l JOIN h USING (label) WHERE old IS NULL OR abs(level - old) > 0.5 GROUP BY 1, 2, 3)) SELECT label, floor(old + 0.5)::BIGINT AS threshold_bin FROM l WHERE abs(level - old) <= 0.5""")
+def th_05l(s, d):
+    return H.li(bins(s, d), ["label"])
