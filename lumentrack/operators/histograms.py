@@ -30,9 +30,9 @@ def bin_widths(df: DataFrame, keys: Sequence[str], value: str = "value") -> Data
 
 
 def grouped_bins(df: DataFrame, keys: Sequence[str], n: int = 256, value: str = "value") -> DataFrame:
-    """HI-8: each group's histogram of ``n`` bins from its minimum to its maximum, with ``min`` and ``bin_size``."""
+    """HI-8: each group's histogram of ``n`` bins from its minimum to its maximum, with ``min`` and ``bin_size``; values that are all equal are in the first."""
     limits = df.groupBy(*keys).agg(F.min(value).alias("min"), ((F.max(value) - F.min(value)) / n).alias("bin_size"))
-    b = F.coalesce(F.least(F.floor((F.col(value) - F.col("min")) / F.nullif(F.col("bin_size"), F.lit(0.0))), F.lit(n - 1)), F.lit(0)).cast("int")
+    b = F.when(F.col("bin_size") > 0, F.least(F.floor((F.col(value) - F.col("min")) / F.nullif(F.col("bin_size"), F.lit(0.0))), F.lit(n - 1))).otherwise(0).cast("int")
     return df.join(limits, list(keys)).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"), F.first("min").alias("min"), F.first("bin_size").alias("bin_size"))
 
 

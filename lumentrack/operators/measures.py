@@ -212,6 +212,28 @@ def border_contact(mask: DataFrame, width: int, height: int, keys: Sequence[str]
     return mask.groupBy(*keys).agg(at(F.col("x") == 0).alias("x_low"), at(F.col("x") == width - 1).alias("x_high"), at(F.col("y") == 0).alias("y_low"), at(F.col("y") == height - 1).alias("y_high"))
 
 
+def trimmed_at_end(mask: DataFrame, parents: DataFrame, keys: Sequence[str], *, share: float = 0.25, size: int = 300, side_share: float = 0.0, keep_only: bool = True) -> DataFrame:
+    """FI-15: (keys, object_id) of the objects that the open end of their parent cuts off: the parents' largest y.
+
+    An object's width is its size over its Feret diameter. One that touches the end goes if it has fewer than ``size`` pixels, or if
+    its pixels there are ``share`` of its width or more; likewise with ``side_share`` at the parent's least and largest x. A
+    share of 0 leaves its test out. With ``keep_only`` the only object of a parent stays. ``parents`` are pixels (keys, y, x) of boxes.
+    """
+    box = parents.groupBy(*keys).agg(F.max("y").alias("_end"), F.min("x").alias("_left"), F.max("x").alias("_right"))
+    by = [*keys, "object_id"]
+    at = mask.join(box, list(keys)).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("y") == F.col("_end")).alias("_e"), F.count_if((F.col("x") == F.col("_left")) | (F.col("x") == F.col("_right"))).alias("_s"))
+    # Only objects in touch are measured.
+    touch = at.filter((F.lit(share > 0) & (F.col("_e") > 0)) | (F.lit(side_share > 0) & (F.col("_s") > 0)))
+    long = feret(mask.join(touch.select(*by), by, "left_semi"), by)
+    width = F.col("_n") / F.nullif(F.col("feret"), F.lit(0.0))
+    cut = lambda c, part: F.lit(part > 0) & (F.col(c) > 0) & ((F.lit(size > 0) & (F.col("_n") < size)) | (F.coalesce(F.col(c) / width, F.lit(0.0)) >= part))
+    gone = touch.join(long, by).filter(cut("_e", share) | cut("_s", side_share)).select(*by)
+    if not keep_only:
+        return gone
+    several = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(*keys)
+    return gone.join(several, list(keys), "left_semi")
+
+
 def measured(base: DataFrame, keys: Sequence[str], *tables: DataFrame) -> DataFrame:
     """ME-13, PL-5: measurement tables side by side on the object's key."""
     for t in tables:

@@ -230,6 +230,37 @@ def focus(df: DataFrame, plane: str = "z", keys: Sequence[str] = KEYS) -> DataFr
     return score.groupBy(*keys).agg(F.max_by(plane, F.struct("score", -F.col(plane))).alias(plane), F.max("score").alias("score"))
 
 
+def around_focus(df: DataFrame, first: int, last: int, plane: str = "z", keys: Sequence[str] = KEYS) -> DataFrame:
+    """ST-12: of each stack the planes from ``first`` to ``last`` places beyond the sharpest one (below it if negative), as far as there are any, counted anew from 0. Planes are whole numbers."""
+    sharp = focus(df, plane, keys).select(*keys, F.col(plane).alias("_f"))
+    rows = df.join(sharp, list(keys)).filter(F.col(plane).between(F.col("_f") + first, F.col("_f") + last))
+    low = rows.groupBy(*keys).agg(F.min(plane).alias("_low"))
+    return rows.join(low, list(keys)).withColumn(plane, F.col(plane) - F.col("_low")).drop("_f", "_low")
+
+
+def half_shell(radius: float) -> list[tuple[int, int]]:
+    """Offsets (dx, dy) of a ring one pixel wide up to ``radius``, one of each opposite pair; for radii that aren't whole, both of those that lie in the row and one short of the rounded radius."""
+    reach = int(radius + 0.5)
+    inner = (radius - 1) ** 2 if radius >= 1 else 0.0
+    rows = [(dx, 0) for dx in range(1 - reach, reach + 1)] + [(dx, dy) for dy in range(1, reach + 1) for dx in range(-reach, reach + 1)]
+    return [(dx, dy) for dx, dy in rows if inner < dx * dx + dy * dy <= radius * radius]
+
+
+def radial_autocorrelation(df: DataFrame, radii: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """ST-14: (keys, radius, pairs, correlation): the mean of (v - m)(v' - m) over pairs of pixels of one object (``keys``) at each radius, over the object's variance.
+
+    Objects without any such pair have 0 pairs; the correlation is 0 then, and where all values are equal. All radii share one join.
+    """
+    stats = df.groupBy(*keys).agg(F.avg("value").alias("_m"), F.var_pop("value").alias("_v"))
+    px = df.join(stats, list(keys)).select(*keys, "y", "x", (F.col("value") - F.col("_m")).alias("_d"))
+    steps = F.array(*[F.struct(F.lit(float(r)).alias("r"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for r in radii for dx, dy in half_shell(r)])
+    moved = px.select(*keys, "y", "x", F.col("_d").alias("_e"), F.explode(steps).alias("s"))
+    moved = moved.select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "_e", F.col("s.r").alias("radius"))
+    found = moved.join(px, [*keys, "y", "x"]).groupBy(*keys, "radius").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("_e") * F.col("_d")).alias("_c"))
+    rows = stats.withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii]))).join(found, [*keys, "radius"], "left")
+    return rows.select(*keys, "radius", F.coalesce("_n", F.lit(0).cast("long")).alias("pairs"), F.coalesce(F.when(F.col("_v") > 0, F.col("_c") / F.col("_v")), F.lit(0.0)).alias("correlation"))
+
+
 def filled_holes(mask: DataFrame, width: int, height: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """ST-13: the mask with the parts of its outside that don't reach the image's border."""
     from lumentrack.operators.pixels import components

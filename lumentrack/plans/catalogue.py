@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumentrack.functions import scalars as fn
+from lumentrack.operators import automatic as U
 from lumentrack.operators import editing as G
 from lumentrack.operators import histograms as H
 from lumentrack.operators import linking as L
 from lumentrack.operators import measures as M
 from lumentrack.operators import pixels as P
 from lumentrack.operators import populations as A
+from lumentrack.operators import scalers as C
 from lumentrack.operators import selections as S
 from lumentrack.operators import spatial as J
 from lumentrack.operators import stencils as N
 from lumentrack.operators import tracks as T
+from lumentrack.session import written
 from lumentrack.sources import datasets, readers, sinks
+from lumentrack.sources import interchange as X
 from lumentrack.sources import tables as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1290,3 +1294,262 @@ def th_05r(s, d):
         FROM l JOIN h USING (label) WHERE old IS NULL OR abs(level - old) > 0.5 GROUP BY 1, 2, 3)) SELECT label, floor(old + 0.5)::BIGINT AS threshold_bin FROM l WHERE abs(level - old) <= 0.5""")
 def th_05l(s, d):
     return H.li(bins(s, d), ["label"])
+
+
+# --- scalers fitted once, histograms of each group's own range ---
+
+GROUPED = PX + """, g AS (SELECT label, min(value) AS lo, (max(value) - min(value)) / 64 AS w FROM p GROUP BY label),
+    h AS (SELECT label, (CASE WHEN w > 0 THEN least(floor((value - lo) / w), 63) ELSE 0 END)::INT AS bin, count(*) AS count, any_value(lo) AS lo, any_value(w) AS w FROM p JOIN g USING (label) GROUP BY 1, 2),
+    m AS (SELECT label, lo + w * bin AS centre FROM h WHERE bin >= 2 AND bin < 63 QUALIFY row_number() OVER (PARTITION BY label ORDER BY count DESC, bin) = 1)"""
+
+
+def grouped(s: SparkSession, d: str) -> DataFrame:
+    return written(H.grouped_bins(D.pixels(s, d), ["label"], 64))
+
+
+def scaled_by(s: SparkSession, d: str, fits: DataFrame, power: float | None = None) -> DataFrame:
+    return rounded(C.applied(D.pixels(s, d), written(fits), ["label"], power=power).select("frame", "y", "x", "scaled"), "scaled")
+
+
+@query("hi_08_grouped_bins", GROUPED + f"SELECT label, bin, count, {r('lo', 'min')}, {r('w', 'bin_size')} FROM h")
+def hi_08(s, d):
+    return rounded(grouped(s, d), "min", "bin_size")
+
+
+@query("sc_05_mode_range", GROUPED + f"SELECT frame, y, x, {r('(value - centre) / 0.25::DOUBLE', 'scaled')} FROM p JOIN m USING (label)")
+def sc_05r(s, d):
+    return scaled_by(s, d, C.mode_range(grouped(s, d), ["label"], 0.25, 64, 2, 1))
+
+
+@query("sc_05_mode_sd", GROUPED + f", v AS (SELECT label, sqrt(sum(bin::DOUBLE ** 2 * count) / sum(count) - (sum(bin::DOUBLE * count) / sum(count)) ** 2) * any_value(w) AS sd FROM h GROUP BY label) SELECT frame, y, x, {r('(value - centre) / sd', 'scaled')} FROM p JOIN m USING (label) JOIN v USING (label)")
+def sc_05s(s, d):
+    return scaled_by(s, d, C.mode_sd(grouped(s, d), ["label"], 64, 2, 1))
+
+
+@query("sc_05_mode_percentile", GROUPED + f""", c AS (SELECT *, sum(count) OVER (PARTITION BY label ORDER BY bin DESC) AS above, sum(count) OVER (PARTITION BY label) * (1 - 0.9::DOUBLE) AS want FROM h),
+    v AS (SELECT label, max(lo + w * (bin + (above - want) / count)) AS top FROM c WHERE above >= want AND above - count < want GROUP BY label), z AS (SELECT frame, y, x, CASE WHEN top > centre THEN (value - centre) / (top - centre) END AS v FROM p JOIN m USING (label) JOIN v USING (label))
+    SELECT frame, y, x, {r('CASE WHEN v > 1 THEN sqrt(v) ELSE v END', 'scaled')} FROM z""")
+def sc_05p(s, d):
+    return scaled_by(s, d, C.mode_percentile(grouped(s, d), ["label"], 0.9, 64, 2, 1), 0.5)
+
+
+@query("sc_10_scaler_steps", PX + f", c AS (SELECT label, avg(value) AS mid, stddev_pop(value) AS sd FROM p GROUP BY label), i AS (SELECT frame, min(value) AS lo, max(value) - min(value) AS span FROM p GROUP BY frame) SELECT frame, y, x, {r('(value - mid) / sd', 'by_channel')}, {r('((value - mid) / sd - (lo - mid) / sd) / (span / sd)', 'by_image')}, {r('value', 'back')} FROM p JOIN c USING (label) JOIN i USING (frame)")
+def sc_10(s, d):
+    """A scaler configured once on a whole channel (label), then one of each image's own, then the first undone."""
+    px = D.pixels(s, d)
+    channel = written(C.fit(px, ["label"], F.avg("value"), F.stddev_pop("value")))
+    once = C.applied(px, channel, ["label"], name="by_channel")
+    image = written(C.fit(once, ["frame"], F.min("by_channel"), F.max("by_channel") - F.min("by_channel")))
+    both = C.restored(C.applied(once, image, ["frame"], "by_channel", name="by_image"), channel, ["label"], "by_channel", "back")
+    return rounded(both.select("frame", "y", "x", "by_channel", "by_image", "back"), "by_channel", "by_image", "back")
+
+
+@query("px_27_saturated", PX + f", l AS (SELECT label, avg(value) AS t, avg(value) + stddev_pop(value) AS m, max(value) AS top FROM p GROUP BY label) SELECT frame, y, x, {r('CASE WHEN top > m AND top > t AND value > t THEN t + (value - t) * (m - t) / (top - t) ELSE value END', 'value')} FROM p JOIN l USING (label)")
+def px_27(s, d):
+    px = D.pixels(s, d)
+    limits = px.groupBy("label").agg(F.avg("value").alias("threshold"), (F.avg("value") + F.stddev_pop("value")).alias("most"))
+    return rounded(C.saturated(px, written(limits), ["label"]).select("frame", "y", "x", "value"), "value")
+
+
+# --- thresholds of whole histograms ---
+
+
+def kappa_round(i: int, factor: float, bins: int = 64) -> str:
+    part = f"CASE WHEN t <= 0 THEN (bin = 0)::INT::DOUBLE WHEN t >= {bins - 1} THEN (bin = {bins - 1})::INT::DOUBLE WHEN bin = floor(t) THEN 1 - (t - floor(t)) WHEN bin = floor(t) + 1 THEN t - floor(t) ELSE 0 END * count"
+    at, to = "(bin + 0.245::DOUBLE)", "(greatest(floor(t), 0) + 0.245::DOUBLE)"
+    return f""", k{i} AS (SELECT label, any_value(t) AS t, any_value(rests) AS rests, sum(b + q) AS n, sum(b * {at} + q * {to}) AS m, sum(b * {at} * {at} + q * {to} * {to}) AS s FROM (SELECT t{i}.*, bin, CASE WHEN bin < t THEN count ELSE 0 END AS b, {part} AS q FROM h JOIN t{i} USING (label)) GROUP BY label),
+    n{i} AS (SELECT label, t, rests, round(least({bins - 1}::DOUBLE, coalesce(m / nullif(n, 0), 0) + {factor}::DOUBLE * sqrt(greatest(coalesce(s / nullif(n, 0), 0) - coalesce(m / nullif(n, 0), 0) ** 2, 0))), 9) AS new FROM k{i}),
+    t{i + 1} AS (SELECT label, CASE WHEN rests OR new = t THEN t ELSE new END AS t, rests OR new = t AS rests FROM n{i})"""
+
+
+@query("th_03_kappa_sigma_bins", GROUPED + ", t0 AS (SELECT label, 63::DOUBLE AS t, false AS rests FROM g)" + kappa_round(0, 2.0) + kappa_round(1, 2.0) + kappa_round(2, 1.5) + f"SELECT label, {r('lo + w * t', 'threshold')} FROM t3 JOIN g USING (label)")
+def th_03(s, d):
+    return rounded(U.kappa_sigma_of_bins(grouped(s, d), ["label"], 2.0, 1.5, 3, 64), "threshold")
+
+
+@query("th_05_huang", BINS + """, f AS (SELECT label, min(bin) AS b0, max(bin) AS b1, sum(count) AS n, sum((bin - b) * count) AS m FROM h JOIN (SELECT label, min(bin) AS b FROM h GROUP BY label) USING (label) GROUP BY label),
+    t AS (SELECT label, unnest(range(b0, greatest(b1, b0 + 1))) AS t, b0, b1, n, m FROM f),
+    a AS (SELECT t.label, t, b0, b1, sum(count) FILTER (bin <= t) AS n0, sum((bin - b0) * count) FILTER (bin <= t) AS m0, any_value(n) AS n, any_value(m) AS m FROM t JOIN h USING (label) GROUP BY 1, 2, 3, 4),
+    c AS (SELECT *, floor(m0 / n0 + 0.5::DOUBLE) AS low, floor((m - m0) / nullif(n - n0, 0) + 0.5::DOUBLE) AS high FROM a),
+    e AS (SELECT c.label, t, count, 1 / (1 + abs(bin - b0 - CASE WHEN bin <= t THEN low ELSE high END) / (b1 - b0)::DOUBLE) AS u FROM c JOIN h USING (label) WHERE b1 > b0),
+    z AS (SELECT label, t, round(sum(CASE WHEN u < 1 THEN (-u * ln(u) - (1 - u) * ln(1 - u)) * count ELSE 0 END), 6) AS s FROM e GROUP BY 1, 2)
+    SELECT label, t::INT AS threshold_bin FROM z QUALIFY row_number() OVER (PARTITION BY label ORDER BY s, t) = 1""")
+def th_05h(s, d):
+    return U.automatic(bins(s, d), ["label"], "Huang", 24)
+
+
+@query("th_05_shanbhag", BINS + """, d AS (SELECT DISTINCT label FROM h), f AS (SELECT d.label, i::INT AS bin, coalesce(h.count, 0)::DOUBLE AS n FROM d CROSS JOIN range(24) AS u(i) LEFT JOIN h ON h.label = d.label AND h.bin = i),
+    p1 AS (SELECT label, bin, n / sum(n) OVER (PARTITION BY label) AS p, sum(n) OVER (PARTITION BY label ORDER BY bin) / sum(n) OVER (PARTITION BY label) AS c FROM f), pp AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY label ORDER BY bin), 0) AS before FROM p1),
+    z AS (SELECT a.label, a.bin, abs(0.5::DOUBLE / a.c * coalesce(sum(b.p * ln(1 - 0.5::DOUBLE / a.c * b.before)) FILTER (b.bin BETWEEN 1 AND a.bin), 0) - 0.5::DOUBLE / (1 - a.c) * coalesce(sum(b.p * ln(1 - 0.5::DOUBLE / (1 - a.c) * greatest(1 - b.c, 0))) FILTER (b.bin > a.bin), 0)) AS s FROM pp a JOIN pp b USING (label) WHERE a.c > 1e-12 AND 1 - a.c > 1e-12 GROUP BY a.label, a.bin, a.c)
+    SELECT label, bin AS threshold_bin FROM z QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(s, 6), bin) = 1""")
+def th_05s(s, d):
+    return U.automatic(bins(s, d), ["label"], "Shanbhag", 24)
+
+
+@query("th_05_intermodes")
+def th_05i(s, d):
+    return U.automatic(bins(s, d), ["label"], "Intermodes", 24)
+
+
+@query("th_05_minimum")
+def th_05n(s, d):
+    return U.automatic(bins(s, d), ["label"], "Minimum", 24)
+
+
+@query("th_05_min_error")
+def th_05e(s, d):
+    return U.automatic(bins(s, d), ["label"], "MinError", 24)
+
+
+E1 = "exp(-0.5::DOUBLE)"
+
+
+@query("th_08_local_contrast", PX + f""", a AS (SELECT *, value + {E1} * (coalesce(lag(value) OVER w, 0) + coalesce(lead(value) OVER w, 0)) AS n, 1 + {E1} * ((x > 0)::INT + (x < 7)::INT) AS d FROM p WINDOW w AS (PARTITION BY frame, y ORDER BY x)),
+    b AS (SELECT frame, label, y, x, value, (n + {E1} * (coalesce(lag(n) OVER w, 0) + coalesce(lead(n) OVER w, 0))) / (d + {E1} * (coalesce(lag(d) OVER w, 0) + coalesce(lead(d) OVER w, 0))) AS v FROM a WINDOW w AS (PARTITION BY frame, x ORDER BY y)),
+    c AS (SELECT *, (coalesce(lead(v) OVER i, v) - coalesce(lag(v) OVER i, v)) / ((x > 0)::INT + (x < 7)::INT) AS gx, (coalesce(lead(v) OVER j, v) - coalesce(lag(v) OVER j, v)) / ((y > 0)::INT + (y < 7)::INT) AS gy FROM b WINDOW i AS (PARTITION BY frame, y ORDER BY x), j AS (PARTITION BY frame, x ORDER BY y))
+    SELECT label, {r('avg(value) FILTER (sqrt(gx * gx + gy * gy) >= 0.05)', 'threshold')} FROM c GROUP BY label""")
+def th_08(s, d):
+    return rounded(U.local_contrast(D.pixels(s, d), ["label"], 0.05, 1.0, 1), "threshold")
+
+
+# --- sharpest planes of stacks, a label's frames being its planes; correlation about pixels; objects cut off ---
+
+STACK = PX + """, c AS (SELECT *, (coalesce(lead(value) OVER i, value) - coalesce(lag(value) OVER i, value)) / ((x > 0)::INT + (x < 7)::INT) AS gx, (coalesce(lead(value) OVER j, value) - coalesce(lag(value) OVER j, value)) / ((y > 0)::INT + (y < 7)::INT) AS gy FROM p WINDOW i AS (PARTITION BY frame, y ORDER BY x), j AS (PARTITION BY frame, x ORDER BY y)),
+    f AS (SELECT label, frame AS z, round(avg(sqrt(gx * gx + gy * gy)), 9) AS score FROM c GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, z) = 1)"""
+
+
+def stacks(s: SparkSession, d: str) -> DataFrame:
+    return D.pixels(s, d).withColumnRenamed("frame", "z")
+
+
+@query("st_11_focus", STACK + f"SELECT label, z, {r('score')} FROM f")
+def st_11(s, d):
+    return rounded(N.focus(stacks(s, d), keys=["label"]), "score")
+
+
+@query("st_12_around_focus", STACK + f", k AS (SELECT p.*, min(frame) OVER (PARTITION BY label) AS low FROM p JOIN f USING (label) WHERE frame BETWEEN z - 15 AND z + 25) SELECT label, frame - low AS z, y, x, {r('value')} FROM k")
+def st_12(s, d):
+    return rounded(N.around_focus(stacks(s, d), -15, 25, keys=["label"]).select("label", "z", "y", "x", "value"), "value")
+
+
+@query("st_14_radial_autocorrelation", PARTS + f""", t AS (SELECT frame, object_id, avg(value) AS m, var_pop(value) AS v FROM q GROUP BY 1, 2), o AS (SELECT * FROM (VALUES (1.0::DOUBLE, 1, 0), (1.0, 0, 1), (2.0, 2, 0), (2.0, 1, 1), (2.0, -1, 1), (2.0, 0, 2)) AS o(radius, dx, dy)),
+    e AS (SELECT a.frame, a.object_id, radius, count(*) AS n, avg((a.value - m) * (b.value - m)) AS c FROM q a JOIN t USING (frame, object_id) CROSS JOIN o JOIN q b ON b.frame = a.frame AND b.object_id = a.object_id AND b.x = a.x + dx AND b.y = a.y + dy GROUP BY 1, 2, 3)
+    SELECT frame, object_id, radius, coalesce(n, 0) AS pairs, {r('coalesce(CASE WHEN v > 0 THEN c / v END, 0)', 'correlation')} FROM t CROSS JOIN (SELECT DISTINCT radius FROM o) LEFT JOIN e USING (frame, object_id, radius)""")
+def st_14(s, d):
+    return rounded(N.radial_autocorrelation(quarters(s, d), [1.0, 2.0], ["frame", "object_id"]), "correlation")
+
+
+@query("fi_15_trimmed_at_end", PARTS + """, w AS (SELECT a.frame, a.object_id, sqrt(max((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS feret FROM c a JOIN c b USING (frame, object_id) GROUP BY 1, 2),
+    t AS (SELECT frame, object_id, count(*) AS n, count(*) FILTER (y = 7) AS e, count(*) FILTER (x = 0 OR x = 7) AS s FROM c GROUP BY 1, 2), u AS (SELECT *, count(*) OVER (PARTITION BY frame) AS k FROM t JOIN w USING (frame, object_id))
+    SELECT frame, object_id FROM u WHERE k > 1 AND (e > 0 AND (n < 3 OR coalesce(e / (n / nullif(feret, 0)), 0) >= 0.6) OR s > 0 AND (n < 3 OR coalesce(s / (n / nullif(feret, 0)), 0) >= 2.5))""")
+def fi_15(s, d):
+    return M.trimmed_at_end(strips(s, d), D.pixels(s, d), ["frame"], share=0.6, size=3, side_share=2.5)
+
+
+# --- filters of single frames in tracks ---
+
+KEPT = KINDS + ", u AS (SELECT o.*, x AS size FROM o JOIN e USING (id)), "
+
+
+def sized(s: SparkSession, d: str) -> DataFrame:
+    return days(s, d).join(D.tracks(s, d).select("id", F.col("x").alias("size")), "id")
+
+
+ANEW = "CASE WHEN parent IN (SELECT parent FROM u JOIN g USING (id)) THEN row_number() OVER (PARTITION BY parent ORDER BY idx, id) - 1 ELSE idx END::INT AS idx"
+
+
+@query("tr_15_by_size", KEPT + """h AS (SELECT k.*, a.size AS before, b.size AS after FROM k JOIN u a ON a.id = src JOIN u b ON b.id = dst WHERE src % 7 <> 0 AND dst % 7 <> 0)
+    SELECT src, dst, CASE WHEN count(*) OVER (PARTITION BY src) = 1 AND count(*) OVER (PARTITION BY dst) = 1 AND (src IN (SELECT src FROM k WHERE dst % 7 = 0) OR dst IN (SELECT dst FROM k WHERE src % 7 = 0)) AND after > before * 0.8::DOUBLE THEN 'both' ELSE kind END AS kind FROM h""")
+def tr_15(s, d):
+    o = sized(s, d)
+    return G.post_filtered(o, kinds(s, d), o.filter("id % 7 = 0"), merge="size")[1]
+
+
+@query("tr_15_pruned", KEPT + f"g AS (WITH RECURSIVE t AS (SELECT id FROM e WHERE n = 55 AND kind = 'click' UNION SELECT dst AS id FROM l JOIN t ON src = t.id) SELECT id FROM t) SELECT id, parent, {ANEW}, size FROM u WHERE id NOT IN (SELECT id FROM g)")
+def tr_15p(s, d):
+    gone = D.tracks(s, d).filter("n = 55 and kind = 'click'")
+    return G.post_filtered(sized(s, d), kinds(s, d), gone, "prune", "never")[0]
+
+
+@query("tr_15_whole_tracks", KEPT + f"g AS (SELECT id FROM e WHERE track IN (SELECT track FROM e WHERE n = 3 AND kind = 'purchase')) SELECT id, parent, {ANEW}, size FROM u WHERE id NOT IN (SELECT id FROM g)")
+def tr_15t(s, d):
+    e = D.tracks(s, d)
+    return G.post_filtered(sized(s, d), kinds(s, d), e.filter("n = 3 and kind = 'purchase'"), "track", heads=e.select("id", F.col("track").alias("track_head")))[0]
+
+
+# --- to and from other programs ---
+
+
+@query("sr_02_metadata", E + "SELECT id, unnest(['kind', 'k']) AS name, unnest([kind, json_extract_string(props, '$.k')]) AS entry FROM e JOIN events ON event_id = id")
+def sr_02(s, d):
+    own = D.tracks(s, d).select("id", F.create_map(F.lit("kind"), "kind", F.lit("k"), F.lit("unknown")).alias("attributes"))
+    texts = D.table(s, d, "events").select(F.col("event_id").alias("id"), "props")
+    return X.with_metadata(own.join(texts, "id"), "props").select("id", F.explode("attributes").alias("name", "entry"))
+
+
+@query("fn_07_attributes_json", E + """SELECT id, '{"kind":"' || kind || '","n":"' || n || '"}' AS json, kind AS kind_back, n::VARCHAR AS n_back FROM e""")
+def fn_07(s, d):
+    rows = D.tracks(s, d).select("id", F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("kind"), "kind").alias("a")).select("id", X.attributes_json("a").alias("json"))
+    back = X.attributes_of("json")
+    return rows.select("id", "json", back["kind"].alias("kind_back"), back["n"].alias("n_back"))
+
+
+SPOTS = HOURLY + """, i AS (SELECT 'p' || frame AS parent, frame, id AS spot, x / 0.5::DOUBLE + frame % 5 AS x, y / 0.5::DOUBLE + 1 AS y FROM v WHERE frame % 4 <> 0),
+    ob AS (SELECT id, 'p' || frame AS parent, frame, x / 0.5::DOUBLE + frame % 5 + 0.75 AS x, y / 0.5::DOUBLE + 1 AS y FROM v WHERE id % 3 = 0 OR frame % 4 = 0),
+    nn AS (SELECT parent, i.spot, ob.id AS object, (i.x - ob.x) ** 2 + (i.y - ob.y) ** 2 AS far FROM i JOIN ob USING (parent) WHERE far < 4 QUALIFY row_number() OVER (PARTITION BY spot ORDER BY far, object) = 1),
+    tk AS (SELECT spot, object FROM nn QUALIFY row_number() OVER (PARTITION BY parent, object ORDER BY far, spot) = 1),
+    im AS (SELECT coalesce(object::VARCHAR, 's' || i.spot) AS id, i.parent, i.frame, i.x, i.y, i.spot FROM i LEFT JOIN tk USING (spot) UNION ALL SELECT id::VARCHAR, parent, frame, x, y, NULL FROM ob WHERE id NOT IN (SELECT object FROM tk) AND parent IN (SELECT parent FROM i))"""
+
+
+def parent_track(s: SparkSession, d: str) -> DataFrame:
+    frames = hourly(s, d).select("frame").distinct()
+    return frames.select(F.concat(F.lit("p"), "frame").alias("parent"), "frame", (F.col("frame") % 5).alias("ox"), F.lit(1).alias("oy"))
+
+
+def spots_imported(s: SparkSession, d: str) -> DataFrame:
+    """The hours' points as spots of half a unit a pixel, matched with every third of them (moved a little) as objects."""
+    v, parents = hourly(s, d), parent_track(s, d)
+    spots = v.filter("frame % 4 <> 0").withColumns({"z": F.lit(0.0), "radius": F.lit(1.0), "quality": F.lit(1.0)})
+    found = X.imported_spots(spots, parents, 0.5)
+    objects = v.filter("id % 3 = 0 or frame % 4 = 0").join(parents, "frame").select("id", "parent", "frame", (F.col("x") / 0.5 + F.col("ox") + 0.75).alias("x"), (F.col("y") / 0.5 + F.col("oy")).alias("y"))
+    return written(X.imported_objects(found, objects, written(X.matched_spots(found, objects, 4.0))))
+
+
+@query("sr_09_spots", SPOTS + f" SELECT id, parent, frame, {r('x')}, {r('y')}, spot FROM im")
+def sr_09(s, d):
+    return rounded(spots_imported(s, d), "x", "y")
+
+
+@query("sr_09_links", SPOTS + """, g AS (SELECT e.id AS a, lead(e.id) OVER (PARTITION BY track ORDER BY n) AS b, lead(e.id, 2) OVER (PARTITION BY track ORDER BY n) AS c, n FROM e), ed AS (SELECT b AS a, a AS b FROM g WHERE b IS NOT NULL UNION ALL SELECT a, c FROM g WHERE n % 10 = 0 AND c IS NOT NULL),
+    f AS (SELECT DISTINCT CASE WHEN p.frame < q.frame THEN p.id ELSE q.id END AS src, CASE WHEN p.frame < q.frame THEN q.id ELSE p.id END AS dst FROM ed JOIN im p ON p.spot = a JOIN im q ON q.spot = b WHERE p.frame <> q.frame)
+    SELECT src, dst, CASE WHEN n > 1 AND m > 1 THEN 'neither' WHEN n > 1 THEN 'previous' WHEN m > 1 THEN 'next' ELSE 'both' END AS kind FROM (SELECT *, count(*) OVER (PARTITION BY src) AS n, count(*) OVER (PARTITION BY dst) AS m FROM f)""")
+def sr_09l(s, d):
+    """Edges from each point of a track to the one before, and from every tenth to the second after."""
+    w = Window.partitionBy("track").orderBy("n")
+    e = D.tracks(s, d).select("id", "n", F.lead("id").over(w).alias("b"), F.lead("id", 2).over(w).alias("c"))
+    edges = e.filter("b is not null").select(F.col("b").alias("a"), F.col("id").alias("b")).unionByName(e.filter("n % 10 = 0 and c is not null").select(F.col("id").alias("a"), F.col("c").alias("b")))
+    return X.imported_links(edges, spots_imported(s, d))
+
+
+@query("sr_11_outlines", B + """, c AS (SELECT frame, key, xmin, xmax, ymin, ymax, (xmin + xmax + 1) / 2 AS xm, (ymin + ymax + 1) / 2 AS ym FROM b), ol AS (SELECT frame, key, unnest([xmin, xm, xmax + 1, xm]) AS x0, unnest([ym, ymin, ym, ymax + 1]) AS y0, unnest([xm, xmax + 1, xm, xmin]) AS x1, unnest([ymin, ym, ymax + 1, ym]) AS y1 FROM c),
+    g AS (SELECT frame, key, y, unnest(range(xmin, xmax + 1)) AS x FROM (SELECT *, unnest(range(ymin, ymax + 1)) AS y FROM c)),
+    i AS (SELECT g.frame, g.key, g.y, g.x FROM g JOIN ol USING (frame, key) WHERE y + 0.5 >= least(y0, y1) AND y + 0.5 < greatest(y0, y1) AND x0 + (y + 0.5 - y0) * (x1 - x0) / (y1 - y0) <= x + 0.5 GROUP BY 1, 2, 3, 4 HAVING count(*) % 2 = 1)
+    SELECT frame, key, count(*) AS n, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y FROM i GROUP BY 1, 2""")
+def sr_11(s, d):
+    """A rhombus in each box."""
+    v = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    xm, ym = "(xmin + xmax + 1) / 2", "(ymin + ymax + 1) / 2"
+    shapes = D.boxes(s, d).select("frame", "key", F.array(v("xmin", ym), v(xm, "ymin"), v("xmax + 1", ym), v(xm, "ymax + 1")).alias("vertices"))
+    return X.outlined(shapes, ["frame", "key"]).groupBy("frame", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+@query("sk_10_spots", HOURLY + f"SELECT id, frame, {r('frame * 3600.0::DOUBLE', 'time')}, {r('(x - frame % 5) * 0.5', 'x')}, {r('(y - 1) * 0.5', 'y')}, {r('0.0::DOUBLE', 'z')}, {r('sqrt((1 + id % 9) / pi()) * 0.5', 'radius')}, {r('1.0::DOUBLE', 'quality')} FROM v")
+def sk_10(s, d):
+    v, parents = hourly(s, d), parent_track(s, d)
+    objects = v.withColumns({"z": F.lit(0.0), "size": 1 + F.col("id") % 9, "quality": F.lit(1.0)}).join(parents.select("parent", "frame"), "frame")
+    return rounded(X.exported_spots(objects, parents, 0.5, 1.0, 3600.0), "time", "x", "y", "z", "radius", "quality")
+
+
+@query("sk_10_edges", LINKS + " SELECT DISTINCT src AS a, dst AS b FROM l WHERE src % 5 <> 0 AND dst % 5 <> 0")
+def sk_10e(s, d):
+    return X.exported_edges(links(s, d), D.tracks(s, d).filter("id % 5 <> 0"))
