@@ -21,12 +21,13 @@ def fixed_bins(df: DataFrame, keys: Sequence[str], low: float, size: float, n: i
 def bin_widths(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """HI-2: minimum, maximum, bin width by Scott and by Freedman and Diaconis (Scott where the quartiles meet), and the number of bins, 32 to 65,535."""
     v = F.col(value)
-    stats = df.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("_s"), F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    stats = df.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("_s"), F.count(v).alias("n"))
+    stats = stats.join(percentile_columns(df, keys, {"_q1": 0.25, "_q3": 0.75}, value), list(keys), "left")
     root = F.pow("n", F.lit(-1.0 / 3))
-    scott, iqr = 3.49 * F.col("_s") * root, F.col("_q")[1] - F.col("_q")[0]
+    scott, iqr = 3.49 * F.col("_s") * root, F.col("_q3") - F.col("_q1")
     out = stats.withColumn("scott", scott).withColumn("freedman", F.when(iqr > 0, 2 * iqr * root).otherwise(scott))
     bins = F.least(F.greatest(F.ceil((F.col("max") - F.col("min")) / F.nullif(F.col("freedman"), F.lit(0.0))), F.lit(32)), F.lit(65535))
-    return out.withColumn("n_bins", bins.cast("long")).drop("_s", "_q")
+    return out.withColumn("n_bins", bins.cast("long")).drop("_s", "_q1", "_q3")
 
 
 def grouped_bins(df: DataFrame, keys: Sequence[str], n: int = 256, value: str = "value") -> DataFrame:
@@ -61,9 +62,31 @@ def mode(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     return hist.groupBy(*keys).agg(b.alias("mode"), (F.sum(F.col("bin") * F.col("count")) / F.sum("count")).alias("mean_bin"), F.sum("count").alias("total"))
 
 
-def unsaturated(hist: DataFrame, keys: Sequence[str], factor: float) -> DataFrame:
-    """HI-7: less the last bin where it is ``factor`` times fuller than the one before it."""
-    w = Window.partitionBy(*keys).orderBy("bin")
+def trimmed(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """HI-6: less the empty bins before the first and after the last that has pixels; a group without pixels goes."""
+    used = hist.filter("count > 0").groupBy(*keys).agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"))
+    return hist.join(used, list(keys)).filter("bin between _lo and _hi").drop("_lo", "_hi")
+
+
+def erased(hist: DataFrame, first: int, end: int) -> DataFrame:
+    """HI-6: no pixels in the bins from ``first`` up to before ``end``."""
+    return hist.withColumn("count", F.when((F.col("bin") >= first) & (F.col("bin") < end), 0).otherwise(F.col("count")).cast("long"))
+
+
+def interpolated_counts(hist: DataFrame, places: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    """HI-6: ``places`` (keys, at) with the count at each place between bins, linear; that of the first or last of ``bins`` beyond them. Bins without a row are empty."""
+    low = F.least(F.greatest(F.floor("at"), F.lit(0)), F.lit(bins - 1)).cast("int")
+    part = F.when((F.col("at") <= 0) | (F.col("at") >= bins - 1), 0.0).otherwise(F.col("at") - F.floor("at"))
+    rows = places.withColumns({"bin": low, "_p": part})
+    at = lambda name, c: hist.select(*keys, (F.col("bin") - c).alias("bin"), F.col("count").alias(name))
+    rows = rows.join(at("_n0", 0), [*keys, "bin"], "left").join(at("_n1", 1), [*keys, "bin"], "left")
+    n0, n1 = (F.coalesce(c, F.lit(0)) for c in ("_n0", "_n1"))
+    return rows.withColumn("count", n0 + (n1 - n0) * F.col("_p")).drop("bin", "_p", "_n0", "_n1")
+
+
+def unsaturated(hist: DataFrame, keys: Sequence[str], factor: float, low: bool = False) -> DataFrame:
+    """HI-7: less the last bin (or with ``low`` the first) where it is ``factor`` times fuller than the one next to it."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("bin") if low else "bin")
     last = F.lead("bin").over(w).isNull()
     return hist.withColumn("_d", last & (F.col("count") > F.coalesce(F.lag("count").over(w), F.lit(0)) * factor)).filter(~F.col("_d")).drop("_d")
 
@@ -93,19 +116,22 @@ def min_max(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFra
     return scaled(df, keys, F.min(value), F.max(value) - F.min(value), value)
 
 
+def _scaled_between(df: DataFrame, keys: Sequence[str], centre: float, low: float, high: float, value: str) -> DataFrame:
+    p = percentile_columns(df, keys, {"_c": centre, "_lo": low, "_hi": high}, value)
+    return df.join(p, list(keys), "left").withColumn("scaled", (F.col(value) - F.col("_c")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))).drop("_c", "_lo", "_hi")
+
+
 def iqr(df: DataFrame, keys: Sequence[str], low: float = 0.25, high: float = 0.75, value: str = "value") -> DataFrame:
     """SC-2."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return scaled(df, keys, p(0.5), p(high) - p(low), value)
+    return _scaled_between(df, keys, 0.5, low, high, value)
 
 
 def percentile_range(df: DataFrame, keys: Sequence[str], low: float, high: float, power: float | None = None, value: str = "value") -> DataFrame:
     """SC-6, SC-9: between two quantiles to 0 and 1; beyond them cut off, or with ``power`` bent."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    out = scaled(df, keys, p(low), p(high) - p(low), value)
+    out = _scaled_between(df, keys, low, low, high, value)
     s = F.col("scaled")
     if power is None:
-        return out.withColumn("scaled", F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
+        return out.withColumn("scaled", F.when(s.isNotNull(), F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))))
     return out.withColumn("scaled", F.when(s > 1, F.pow(s, F.lit(power))).when(s < 0, -F.pow(-s, F.lit(power))).otherwise(s))
 
 
@@ -114,6 +140,12 @@ def relative(df: DataFrame, keys: Sequence[str], centre: Column, value: str = "v
     return scaled(df, keys, F.lit(0.0) * F.count(F.lit(1)), centre, value)
 
 
+def relative_to_percentile(df: DataFrame, keys: Sequence[str], q: float, value: str = "value") -> DataFrame:
+    """SC-7: value over the group's quantile; null where that is 0."""
+    p = percentile_columns(df, keys, {"_c": q}, value)
+    return df.join(p, list(keys), "left").withColumn("scaled", F.col(value) / F.nullif(F.col("_c"), F.lit(0.0))).drop("_c")
+
+
 def unscaled(value: Column, centre: Column, scale: Column) -> Column:
     """SC-8."""
     return value * scale + centre
@@ -283,8 +315,17 @@ def background_fit(hist: DataFrame, keys: Sequence[str], k: float) -> DataFrame:
 
 def filtered_statistic(df: DataFrame, limits: DataFrame, keys: Sequence[str], statistic: Column, over: bool = True, value: str = "value") -> DataFrame:
     """TH-7, TH-9: a statistic of the values over (or under) thresholds found for the same keys or for their ancestors."""
-    rows = df.join(limits, list(keys)).filter(F.col(value) > F.col("threshold") if over else F.col(value) < F.col("threshold"))
-    return rows.groupBy(*keys).agg(statistic.alias("statistic"))
+    return _beyond(df, limits, keys, over, value).groupBy(*keys).agg(statistic.alias("statistic"))
+
+
+def _beyond(df: DataFrame, limits: DataFrame, keys: Sequence[str], over: bool, value: str) -> DataFrame:
+    return df.join(limits, list(keys)).filter(F.col(value) > F.col("threshold") if over else F.col(value) < F.col("threshold"))
+
+
+def filtered_percentile(df: DataFrame, limits: DataFrame, keys: Sequence[str], q: float, over: bool = True, value: str = "value") -> DataFrame:
+    """TH-7: likewise the exact quantile of these values, with no group in one task."""
+    found = exact_percentiles(written(_beyond(df, limits, keys, over, value).select(*keys, value)), keys, [q], value)
+    return found.select(*keys, F.col("percentile").alias("statistic"))
 
 
 # --- thresholds by number of objects, exact percentiles of any group ---
@@ -356,3 +397,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], qs: Sequence[float], v
     low, high = values.withColumnsRenamed({"of": "_f", "v": "_v0"}), values.withColumnsRenamed({"of": "_c", "v": "_v1"})
     both = asked.withColumns({"_f": F.floor("_at"), "_c": F.ceil("_at")}).join(low, [*by, "_f"]).join(high, [*by, "_c"])
     return both.select(*keys, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_at") - F.col("_f"))).alias("percentile"))
+
+
+def percentile_columns(df: DataFrame, keys: Sequence[str], names: dict[str, float], value: str = "value") -> DataFrame:
+    """HI-3: a row for each group with the exact percentiles as columns. Groups without values have none."""
+    rows = exact_percentiles(df, keys, sorted(set(names.values())), value)
+    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == float(q), F.col("percentile"))).alias(n) for n, q in names.items()])

@@ -129,6 +129,22 @@ def shading_corrected(df: DataFrame, flat: DataFrame, dark: float = 0.0) -> Data
     return df.join(field, ["y", "x"]).withColumn("value", (F.col("value") - dark) / F.nullif(F.col("_f") / F.col("_m"), F.lit(0.0))).drop("_f", "_m")
 
 
+def reference_image(df: DataFrame) -> DataFrame:
+    """PX-18: (y, x, value): the mean over all images of ``df``."""
+    return df.groupBy("y", "x").agg(F.avg("value").alias("value"))
+
+
+def background_corrected(df: DataFrame, flat: DataFrame | None = None, dark: DataFrame | None = None, centre: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """PX-18: (value - dark - centre) / (scale * flat), with the images ``flat`` and ``dark`` (y, x, value) where they are given. Null where an image given has no pixel, or flat is 0."""
+    top, below = F.col("value") - centre, F.lit(float(scale))
+    for image, name in ((dark, "_dark"), (flat, "_flat")):
+        if image is not None:
+            df = df.join(image.select("y", "x", F.col("value").alias(name)), ["y", "x"], "left")
+    top = top if dark is None else top - F.col("_dark")
+    below = below if flat is None else below * F.col("_flat")
+    return df.withColumn("value", top / F.nullif(below, F.lit(0.0))).drop("_dark", "_flat")
+
+
 def inverted(df: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """PX-19: the group's maximum less each value."""
     return df.withColumn("value", F.max("value").over(Window.partitionBy(*keys)) - F.col("value"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrack.operators.histograms import exact_percentiles
+
 KEYS = ("frame",)
 
 
@@ -230,6 +232,12 @@ def focus(df: DataFrame, plane: str = "z", keys: Sequence[str] = KEYS) -> DataFr
     return score.groupBy(*keys).agg(F.max_by(plane, F.struct("score", -F.col(plane))).alias(plane), F.max("score").alias("score"))
 
 
+def without_line_background(df: DataFrame, q: float, keys: Sequence[str], line: str = "y") -> DataFrame:
+    """TR-33: each value less a low quantile of its row (or with ``line`` x its column) over all images of the group, such as a track. A line of a long track is never in one task."""
+    low = exact_percentiles(df, [*keys, line], [q]).select(*keys, line, F.col("percentile").alias("_low"))
+    return df.join(low, [*keys, line], "left").withColumn("value", F.col("value") - F.col("_low")).drop("_low")
+
+
 def around_focus(df: DataFrame, first: int, last: int, plane: str = "z", keys: Sequence[str] = KEYS) -> DataFrame:
     """ST-12: of each stack the planes from ``first`` to ``last`` places beyond the sharpest one (below it if negative), as far as there are any, counted anew from 0. Planes are whole numbers."""
     sharp = focus(df, plane, keys).select(*keys, F.col(plane).alias("_f"))

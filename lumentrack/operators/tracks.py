@@ -207,13 +207,35 @@ def track_heads(objects: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def pruned(objects: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """TR-17: objects less ``roots`` (id) and all that descends from them in time. Rounds end when nothing more is reached."""
+    """TR-17: objects less ``roots`` (id) and all that descends from them in time.
+
+    Each object hangs on its first predecessor, and whether one of its ancestors goes is found by doubling, so that depth costs
+    its logarithm in rounds. Further predecessors of merged objects are looked at after that; where one of these goes and
+    the object doesn't yet, the doubling is done once more. Links that form a ring raise ValueError.
+    """
+    edges = written(links.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    first = edges.groupBy("dst").agg(F.min("src").alias("src"))
+    others = written(edges.join(first, ["src", "dst"], "left_anti"))
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    forest = written(nodes.join(first.select(F.col("dst").alias("id"), F.col("src").alias("up")), "id", "left"))
     gone = written(roots.select("id").distinct())
-    front = gone
-    while not front.isEmpty():
-        front = written(links.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(gone, "id", "left_anti"))
-        gone = written(gone.union(front))
-    return objects.join(gone, "id", "left_anti")
+    while True:
+        state = written(forest.join(gone.withColumn("_g", F.lit(True)), "id", "left").select("id", "up", F.coalesce("_g", F.lit(False)).alias("gone")))
+        for _ in range(64):
+            climbing = state.filter("up is not null and not gone")
+            if climbing.isEmpty():
+                break
+            above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("gone").alias("_gone"))
+            moved = climbing.join(above, "up").select("id", F.col("_up").alias("up"), F.col("_gone").alias("gone"))
+            state = written(state.filter("up is null or gone").unionByName(moved))
+        else:
+            raise ValueError("links form a ring")
+        reached = state.filter("gone").select("id")
+        more = others.join(reached.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(reached, "id", "left_anti")
+        more = written(more)
+        gone = written(gone.union(reached).union(more).distinct())
+        if more.isEmpty():
+            return objects.join(gone, "id", "left_anti")
 
 
 #: Letters of the third and further daughters of a division, by their place among them, and the sign beyond.

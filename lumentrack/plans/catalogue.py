@@ -405,7 +405,7 @@ scaler("sc_03_z_score", "avg(value)", "stddev_pop(value)", lambda p: H.z_score(p
 scaler("sc_04_min_max", "min(value)", "max(value) - min(value)", lambda p: H.min_max(p, ["label"]))
 scaler("sc_06_percentile", "quantile_cont(value, 0.1)", "quantile_cont(value, 0.9) - quantile_cont(value, 0.1)", lambda p: H.percentile_range(p, ["label"], 0.1, 0.9), "least(greatest(v, 0), 1)")
 scaler("sc_06_percentile_bent", "quantile_cont(value, 0.1)", "quantile_cont(value, 0.9) - quantile_cont(value, 0.1)", lambda p: H.percentile_range(p, ["label"], 0.1, 0.9, 0.5), "CASE WHEN v > 1 THEN sqrt(v) WHEN v < 0 THEN -sqrt(-v) ELSE v END")
-scaler("sc_07_relative", "0", "quantile_cont(value, 0.9)", lambda p: H.relative(p, ["label"], F.percentile("value", F.lit(0.9))))
+scaler("sc_07_relative", "0", "quantile_cont(value, 0.9)", lambda p: H.relative_to_percentile(p, ["label"], 0.9))
 
 
 @query("th_02_kappa_sigma", PX + f", a AS (SELECT label, avg(value) + 2 * stddev_pop(value) AS t FROM p GROUP BY label), b AS (SELECT p.label, avg(value) + 2 * stddev_pop(value) AS t FROM p JOIN a USING (label) WHERE value < t GROUP BY p.label) SELECT p.label, {r('avg(value) + 3 * stddev_pop(value)', 'threshold')} FROM p JOIN b USING (label) WHERE value < t GROUP BY p.label")
@@ -445,7 +445,7 @@ def th_04(s, d):
 def th_07(s, d):
     p = D.pixels(s, d)
     limits = p.filter("value > 0").groupBy("label").agg((F.avg("value") * 1.5).alias("threshold"))
-    return rounded(H.filtered_statistic(p, limits, ["label"], F.percentile("value", F.lit(0.5))), "statistic")
+    return rounded(H.filtered_percentile(p, limits, ["label"], 0.5), "statistic")
 
 
 # --- pixels ---
@@ -1553,3 +1553,43 @@ def sk_10(s, d):
 @query("sk_10_edges", LINKS + " SELECT DISTINCT src AS a, dst AS b FROM l WHERE src % 5 <> 0 AND dst % 5 <> 0")
 def sk_10e(s, d):
     return X.exported_edges(links(s, d), D.tracks(s, d).filter("id % 5 <> 0"))
+
+
+@query("hi_06_trimmed", GROUPED + ", z AS (SELECT label, bin, CASE WHEN bin < 6 OR bin >= 50 AND bin < 70 THEN 0 ELSE count END AS count FROM h), u AS (SELECT label, min(bin) FILTER (count > 0) AS a, max(bin) FILTER (count > 0) AS b FROM z GROUP BY label) SELECT label, bin, count::BIGINT AS count FROM z JOIN u USING (label) WHERE bin BETWEEN a AND b")
+def hi_06t(s, d):
+    return H.trimmed(H.erased(H.erased(grouped(s, d), 0, 6), 50, 70), ["label"]).select("label", "bin", "count")
+
+
+@query("hi_06_interpolated", GROUPED + f""", a AS (SELECT label, unnest([-1.5, 0.25, 20.5, 40.75, 63.0, 70.0])::DOUBLE AS t FROM g), z AS (SELECT a.*, CASE WHEN t <= 0 THEN 0 WHEN t >= 63 THEN 63 ELSE floor(t) END AS b, CASE WHEN t <= 0 OR t >= 63 THEN 0 ELSE t - floor(t) END AS p FROM a)
+    SELECT z.label, t AS place, {r('coalesce(u.count, 0) + (coalesce(v.count, 0) - coalesce(u.count, 0)) * p', 'count')} FROM z LEFT JOIN h u ON u.label = z.label AND u.bin = b LEFT JOIN h v ON v.label = z.label AND v.bin = b + 1""")
+def hi_06i(s, d):
+    h = grouped(s, d)
+    places = h.select("label").distinct().withColumn("at", F.explode(F.array(*[F.lit(x) for x in (-1.5, 0.25, 20.5, 40.75, 63.0, 70.0)])))
+    return rounded(H.interpolated_counts(h, places, ["label"], 64).withColumnRenamed("at", "place"), "count")
+
+
+@query("hi_07_unsaturated_low", GROUPED + "SELECT label, bin, count FROM h WINDOW w AS (PARTITION BY label ORDER BY bin) QUALIFY NOT (lag(bin) OVER w IS NULL AND count > 1.5 * coalesce(lead(count) OVER w, 0))")
+def hi_07l(s, d):
+    return H.unsaturated(grouped(s, d), ["label"], 1.5, low=True).select("label", "bin", "count")
+
+
+@query("px_18_dark_and_flat", PX + f", f AS (SELECT y, x, avg(value) FILTER (frame % 5 = 0) AS k, avg(value) FILTER (frame % 5 = 1) + 2 AS a FROM p GROUP BY 1, 2) SELECT frame, y, x, {r('(value - k - 0.1::DOUBLE) / (3.0::DOUBLE * a)', 'value')} FROM p JOIN f USING (y, x)")
+def px_18d(s, d):
+    px = D.pixels(s, d)
+    flat = P.reference_image(px.filter("frame % 5 = 1")).withColumn("value", F.col("value") + 2)
+    return rounded(P.background_corrected(px, flat, P.reference_image(px.filter("frame % 5 = 0")), 0.1, 3.0).select("frame", "y", "x", "value"), "value")
+
+
+@query("tr_33_row_background", PX + f", b AS (SELECT label, y, quantile_cont(value, 0.1) AS low FROM p GROUP BY 1, 2) SELECT frame, y, x, {r('value - low', 'value')} FROM p JOIN b USING (label, y)")
+def tr_33(s, d):
+    return rounded(N.without_line_background(D.pixels(s, d), 0.1, ["label"]).select("frame", "y", "x", "value"), "value")
+
+
+@query("sk_07_raw_dataset", PX + """, c AS (SELECT *, 0 AS channel FROM p UNION ALL SELECT frame, label, y, x, value * 2 AS value, 1 AS channel FROM p UNION ALL SELECT frame, label, y, x, value * 3 AS value, 2 AS channel FROM p)
+    SELECT label, frame, channel, y - label % 3 AS y, x - 1 AS x, """ + r("value") + " FROM c WHERE frame % 3 = 0 AND channel IN (0, 2) AND x BETWEEN 1 AND 4 AND y BETWEEN label % 3 AND 5")
+def sk_07(s, d):
+    px = D.pixels(s, d)
+    several = px.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("value", F.col("value") * (F.col("channel") + 1))
+    frames = px.filter("frame % 3 = 0").select("label", "frame").distinct()
+    bounds = px.select("label", (F.col("label") % 3).alias("ymin"), F.lit(5).alias("ymax"), F.lit(1).alias("xmin"), F.lit(4).alias("xmax")).distinct()
+    return rounded(datasets.raw_dataset(several, frames, bounds, [0, 2], "label"), "value")

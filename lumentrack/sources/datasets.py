@@ -105,3 +105,14 @@ def track_segments(objects: DataFrame, links: DataFrame) -> DataFrame:
     starts = ~F.coalesce(F.col("_linked") & (F.col("_step") == 1), F.lit(False))
     rows = rows.withColumn("segment", F.sum(starts.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("track", "segment").orderBy("frame", "id"))).select(*objects.columns, "segment", "place")
+
+
+def raw_dataset(pixels: DataFrame, frames: DataFrame, bounds: DataFrame, channels: Sequence[int], position: str = "position") -> DataFrame:
+    """SK-7: (position, frame, channel, y, x, value) of the ``channels`` of the ``frames`` (position, frame) asked for, cut to each position's ``bounds`` (position, ymin, ymax, xmin, xmax, all included) and placed from there.
+
+    Positions without bounds are left whole. Frames asked for twice come once.
+    """
+    rows = pixels.filter(F.col("channel").isin(list(channels))).join(frames.select(position, "frame").distinct(), [position, "frame"], "left_semi").join(bounds, position, "left")
+    inside = lambda c: F.coalesce(F.col(c).between(F.col(f"{c}min"), F.col(f"{c}max")), F.lit(True))
+    at = lambda c: (F.col(c) - F.coalesce(f"{c}min", F.lit(0))).alias(c)
+    return rows.filter(inside("y") & inside("x")).select(position, "frame", "channel", at("y"), at("x"), "value")

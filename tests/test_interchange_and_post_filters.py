@@ -6,7 +6,9 @@ import pytest
 
 from lumentrack.operators import editing as G
 from lumentrack.operators import measures as M
+from lumentrack.operators import pixels as P
 from lumentrack.operators import stencils as N
+from lumentrack.operators import tracks as T
 from lumentrack.sources import interchange as X
 
 
@@ -175,3 +177,36 @@ def test_objects_cut_off_at_the_open_end(spark):
     assert run(size=5) == [(0, 2)] and run(size=0, share=9.0) == [] and run(size=5, keep_only=False) == [(0, 2), (1, 1)]
     assert run(size=0, side_share=2.0) == [(0, 2), (0, 3)] and run(share=0) == []
     assert run(size=0, share=0, side_share=2.0) == [(0, 3)]
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_pruning_goes_through_merges_and_long_tracks(spark, seed):
+    rng = random.Random(seed)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(k, k + rng.randrange(1, 30)) for k in rng.sample(range(60, 160), 70)] * 2
+    edges += [(rng.randrange(41), rng.randrange(170, 180)) for _ in range(3)] + [(k, k + 1) for k in range(180, 183)]
+    roots = [rng.randrange(20, 40), rng.randrange(60, 120), 181, 999]
+    gone, front = set(roots), list(roots)
+    while front:
+        x = front.pop()
+        for a, b in edges:
+            if a == x and b not in gone:
+                gone.add(b)
+                front.append(b)
+    ids = lambda v: spark.createDataFrame([(k,) for k in v], "id int")
+    links = spark.createDataFrame(edges, "src int, dst int")
+    assert {r.id for r in T.pruned(ids(range(200)), links, ids(roots)).collect()} == set(range(200)) - gone
+    assert T.pruned(ids(range(9)), links.filter("false"), ids([3])).count() == 8
+
+
+def test_pruning_raises_on_rings(spark):
+    with pytest.raises(ValueError):
+        ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src int, dst int")
+        T.pruned(ring.selectExpr("src AS id"), ring, spark.createDataFrame([(9,)], "id int"))
+
+
+def test_correction_needs_the_images_given(spark):
+    px = spark.createDataFrame([(0, 0, 0, 7.0), (0, 0, 1, 9.0)], "frame int, y int, x int, value double")
+    flat = spark.createDataFrame([(0, 0, 2.0)], "y int, x int, value double")
+    run = lambda *o: [r.value for r in P.background_corrected(px, *o).orderBy("x").collect()]
+    assert run() == [7.0, 9.0] and run(flat) == [3.5, None] and run(None, flat, 1.0, 2.0) == [2.0, None]
+    assert run(flat.withColumn("value", P.F.lit(0.0))) == [None, None]
