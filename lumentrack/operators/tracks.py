@@ -206,6 +206,12 @@ def track_heads(objects: DataFrame, links: DataFrame) -> DataFrame:
         rows = rows.drop("moved")
 
 
+def split_by(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """TR-4: objects split by frame, position, parent, class or track (``by``): each with its ``place`` in its part, from 0 in order of ``order``, and the part's ``members``. Null is a part of its own."""
+    part = Window.partitionBy(*by)
+    return df.withColumns({"place": F.row_number().over(part.orderBy(*order)) - 1, "members": F.count(F.lit(1)).over(part)})
+
+
 def pruned(objects: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     """TR-17: objects less ``roots`` (id) and all that descends from them in time.
 

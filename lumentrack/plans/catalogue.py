@@ -1593,3 +1593,14 @@ def sk_07(s, d):
     frames = px.filter("frame % 3 = 0").select("label", "frame").distinct()
     bounds = px.select("label", (F.col("label") % 3).alias("ymin"), F.lit(5).alias("ymax"), F.lit(1).alias("xmin"), F.lit(4).alias("xmax")).distinct()
     return rounded(datasets.raw_dataset(several, frames, bounds, [0, 2], "label"), "value")
+
+
+@query("sr_06_measurements", "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, NULL::DOUBLE AS roundness FROM lineitem WHERE l_returnflag = 'R'")
+def sr_06(s, d):
+    return readers.measurements(s, f"{d}/lineitem.parquet", "l_returnflag = 'R'", ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_quantity", "roundness"])
+
+
+@query("tr_04_split", E + "SELECT id, kind, floor(frame / 1440)::INT AS day, (row_number() OVER (PARTITION BY kind, floor(frame / 1440) ORDER BY secs, id) - 1)::INT AS place, count(*) OVER (PARTITION BY kind, floor(frame / 1440)) AS members FROM e")
+def tr_04(s, d):
+    e = D.tracks(s, d).withColumn("day", F.floor(F.col("frame") / 1440).cast("int"))
+    return T.split_by(e, ["kind", "day"], ["secs", "id"]).select("id", "kind", "day", "place", "members")

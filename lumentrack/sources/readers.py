@@ -20,6 +20,13 @@ def incomplete(files: DataFrame) -> DataFrame:
     return wanted.join(files, ["position", "frame", "channel"], "left_anti")
 
 
+def measurements(spark: SparkSession, path: str, where: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """SR-6: the objects of one class (``where``, as SQL) from a Parquet store with some of their measurements; both reach the scan. Measurements that the store lacks are null, and those named twice or among the keys come once."""
+    rows = spark.read.parquet(path).filter(where)
+    names = [*dict.fromkeys([*keys, *columns])]
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in names])
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths, sizes and times of the files below a folder; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
