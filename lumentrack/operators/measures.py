@@ -184,6 +184,11 @@ def segmentation_metrics(truth: DataFrame, predicted: DataFrame, matches: DataFr
     """ME-25: per frame the objects of both sides, those without a match, and the surplus of matches of each side (over- and under-segmentation); intersection and union."""
     of_truth = matches.groupBy(*keys, F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("o"))
     of_pred = matches.groupBy(*keys, F.col("b").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return segmentation_totals(truth, predicted, of_truth, of_pred, keys)
+
+
+def segmentation_totals(truth: DataFrame, predicted: DataFrame, of_truth: DataFrame, of_pred: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """ME-25: ``segmentation_metrics`` from the number of matches ``n`` of each object (keys, key) that has any, and its common pixels ``o`` (of the truth)."""
     n = F.coalesce(F.col("n"), F.lit(0))
     t = truth.join(of_truth, [*keys, "key"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("gt_count"), F.count_if(n == 0).alias("false_negative"), F.sum(F.greatest(n - 1, F.lit(0))).alias("over_segmentation"), F.coalesce(F.sum("o"), F.lit(0)).alias("intersection"))
     p = predicted.join(of_pred, [*keys, "key"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("prediction_count"), F.count_if(n == 0).alias("false_positive"), F.sum(F.greatest(n - 1, F.lit(0))).alias("under_segmentation"))
