@@ -175,10 +175,16 @@ def rasterised(shapes: DataFrame) -> DataFrame:
 
 
 def resampled(df: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
-    """PX-23: nearest pixel of a width x height image for each of the new grid."""
-    grid = df.select("frame").distinct().withColumn("nx", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1)))).withColumn("ny", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1))))
-    grid = grid.withColumns({"x": F.floor((F.col("nx") + 0.5) * width / to_width).cast("int"), "y": F.floor((F.col("ny") + 0.5) * height / to_height).cast("int")})
-    return grid.join(df, ["frame", "y", "x"]).select("frame", F.col("ny").alias("y"), F.col("nx").alias("x"), "value")
+    """PX-23: nearest pixel of a width x height image for each of the new grid. Each pixel is dealt to the new ones that take it, so nothing is joined."""
+
+    def dealt(rows: DataFrame, c: str, n: int, m: int) -> DataFrame:
+        # Where takers begin and end is widened by one on both sides, and the rule itself decides.
+        first, last = F.greatest(F.ceil(F.col(c) * m / n - 0.5) - 1, F.lit(0)), F.least(F.ceil((F.col(c) + 1) * m / n - 0.5), F.lit(m - 1))
+        rows = rows.withColumn(f"_{c}", F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))))
+        return rows.filter(F.floor((F.col(f"_{c}") + 0.5) * n / m) == F.col(c))
+
+    rows = dealt(dealt(df.filter("frame is not null"), "y", height, to_height), "x", width, to_width)
+    return rows.select("frame", F.col("_y").alias("y"), F.col("_x").alias("x"), "value")
 
 
 def interpolated(grid: DataFrame, df: DataFrame, outside: float | None = None, keys: Sequence[str] = ("frame",)) -> DataFrame:
