@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentrack.operators.pixels import contour
-from lumentrack.operators.stencils import distance_fields
 from lumentrack.session import written
 
 #: What is less than this of a weight is left out of ``border_weights``.
@@ -69,26 +70,73 @@ def tensors(
     return rows.join(tiles, "_tile").select(*own, *[array(c) for c in (*images, *labels)])
 
 
+def _lines(ys: np.ndarray, xs: np.ndarray, reach: int, width: int, height: int) -> list[tuple[int, int, np.ndarray]]:
+    """The rows (y, first x, squared distances) of the image's places in an object's box widened by ``reach``: to its nearest pixel, as far as it is no farther than that."""
+    if len(ys) == 0:
+        return []
+    y0, x0 = (min(v.min(), max(v.min() - reach, 0)) for v in (ys, xs))
+    y1, x1 = (max(v.max(), min(v.max() + reach, n - 1)) for v, n in ((ys, height), (xs, width)))
+    far, at = 2 * reach + 2, np.arange(x1 - x0 + 1)
+    last, following = np.full((y1 - y0 + 1, len(at)), -far), np.full((y1 - y0 + 1, len(at)), len(at) + far)
+    last[ys - y0, xs - x0] = following[ys - y0, xs - x0] = xs - x0
+    last, following = np.maximum.accumulate(last, axis=1), np.minimum.accumulate(following[:, ::-1], axis=1)[:, ::-1]
+    along = np.minimum(np.minimum(at - last, following - at), far).astype(np.int64) ** 2
+    d2 = along.copy()
+    for k in range(1, min(reach, len(along) - 1) + 1):
+        d2[k:] = np.minimum(d2[k:], along[:-k] + k * k)
+        d2[:-k] = np.minimum(d2[:-k], along[k:] + k * k)
+    lo, hi = max(x0, 0), min(x1, width - 1)
+    rows = range(max(y0, 0), min(y1, height - 1) + 1) if lo <= hi else ()
+    return [(y, lo, d2[y - y0, lo - x0 : hi - x0 + 1].astype(np.int32)) for y in rows if d2[y - y0, lo - x0 : hi - x0 + 1].min() <= reach * reach]
+
+
+def _nearest_two(starts: np.ndarray, lines: np.ndarray, reach: int, width: int) -> np.ndarray:
+    """Of several objects' squared distances along a row the least at each place, then the second ones; -1 for those beyond ``reach``."""
+    none = reach * reach + 1
+    first, second = np.full(width, none), np.full(width, none)
+    for x, d in zip(starts, lines, strict=True):
+        a, b, d = first[x : x + len(d)], second[x : x + len(d)], np.minimum(d, none)
+        np.minimum(b, np.maximum(a, d), out=b)
+        np.minimum(a, d, out=a)
+    both = np.concatenate([first, second])
+    return np.where(both < none, both, -1).astype(np.int32)
+
+
 def border_weights(labels: DataFrame, width: int, height: int, sigma: float, border: float, keys: Sequence[str] = ("frame",), *, object_weight: float = 0.0, erase_contours: bool = False) -> DataFrame:
     """SK-12: ``weight`` of each pixel of the images that have objects (keys, object_id, y, x), for training on their outlines.
 
     Pixels of objects weigh the number of other pixels over theirs, or ``object_weight`` if above 0; with
     ``erase_contours`` those at an object's edge weigh nothing. Others weigh 1, and between objects
     border exp(-(d1 + d2)^2 / (2 sigma^2)) more, by the distances to the two nearest ones; less than ``LEAST_WEIGHT``
-    of it is left out, so that each object is looked at from its neighbourhood alone. An image of one object has no such part.
+    of it is left out, so that each object is looked at from its neighbourhood alone. An image of one object has no such part. An
+    object is a row here, and of what lies about it only what is in the image is looked at; a row of the image is put together from the objects near it.
     """
-    pixels = labels.select(*keys, "object_id", "y", "x").distinct()
-    grid = pixels.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    pixels = labels.select(*keys, "object_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    objects = written(pixels.groupBy(*keys, "object_id").agg(F.collect_set(F.struct("y", "x")).alias("_p")))
+    grid = objects.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
     # As many pixels as the objects have together: one of two objects counts twice.
-    n = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    inside = pixels.select(*keys, "y", "x").distinct().withColumn("_in", F.lit(True))
+    n = objects.groupBy(*keys).agg(F.sum(F.size("_p")).alias("_n"))
     reach = math.ceil(sigma * math.sqrt(2 * math.log(border / LEAST_WEIGHT))) if border > LEAST_WEIGHT else 0
-    near = distance_fields(pixels, reach, [*keys, "object_id"]).filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1) & (F.col("distance") <= reach))
-    two = near.groupBy(*keys, "y", "x").agg(F.min("distance").alias("_d1"), F.count(F.lit(1)).alias("_k"), F.try_element_at(F.sort_array(F.collect_list("distance")), F.lit(2)).alias("_d2"))
-    extra = F.when(F.col("_k") > 1, border * F.exp(-F.pow(F.col("_d1") + F.col("_d2"), F.lit(2)) / (2 * sigma * sigma))).otherwise(0.0)
+    of = lambda c: F.transform(F.filter("_p", lambda v: v["y"].isNotNull() & v["x"].isNotNull()), lambda v: v[c])
+
+    @F.pandas_udf("array<struct<y:int,x:int,d:array<int>>>")
+    def lines(ys: pd.Series, xs: pd.Series) -> pd.Series:
+        return pd.Series([_lines(y, x, reach, width, height) for y, x in zip(ys, xs, strict=True)])
+
+    @F.pandas_udf("array<int>")
+    def nearest_two(x0: pd.Series, far: pd.Series) -> pd.Series:
+        return pd.Series([_nearest_two(x, d, reach, width) for x, d in zip(x0, far, strict=True)])
+
+    near = objects.select(*keys, F.explode(lines(of("y"), of("x"))).alias("l")).select(*keys, "l.y", "l.x", "l.d")
+    near = near.groupBy(*keys, "y").agg(F.collect_list(F.struct("x", "d")).alias("_l"))
+    near = near.select(*keys, "y", nearest_two(F.transform("_l", lambda v: v["x"]), F.transform("_l", lambda v: v["d"])).alias("_two"))
+    # First all least distances, then all second ones, squared; -1 where there is none.
+    rows = grid.join(near, [*keys, "y"], "left").join(n, [*keys]).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    d2 = [F.get("_two", F.col("x") + k * width) for k in (0, 1)]
+    rows = rows.select(*keys, "y", "x", "_n", *[F.when(d >= 0, F.sqrt(d)).alias(f"_d{k}") for k, d in enumerate(d2, 1)])
+    extra = F.when(F.col("_d2").isNotNull(), border * F.exp(-F.pow(F.col("_d1") + F.col("_d2"), F.lit(2)) / (2 * sigma * sigma))).otherwise(0.0)
     whole = F.lit(object_weight) if object_weight > 0 else (width * height - F.col("_n")) / F.col("_n")
-    rows = grid.join(n, [*keys]).join(inside, [*keys, "y", "x"], "left").join(two, [*keys, "y", "x"], "left")
-    weight = F.when(F.col("_in"), whole).otherwise(1 + F.coalesce(extra, F.lit(0.0)))
+    weight = F.when(F.col("_d1") == 0, whole).otherwise(1 + F.coalesce(extra, F.lit(0.0)))
     if erase_contours:
         edge = contour(pixels, [*keys, "object_id"]).select(*keys, "y", "x").distinct().withColumn("_edge", F.lit(True))
         rows = rows.join(edge, [*keys, "y", "x"], "left")
