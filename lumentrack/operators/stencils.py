@@ -67,10 +67,15 @@ def top_hat(df: DataFrame, offsets: Sequence[tuple[int, int]]) -> DataFrame:
 
 
 def entropy(df: DataFrame, offsets: Sequence[tuple[int, int]], width: float) -> DataFrame:
-    """ST-7: entropy of the neighbourhood's values in bins of a width."""
-    counts = dealt(df, offsets).groupBy(*KEYS, "y", "x", F.floor(F.col("value") / width).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    p = F.col("_n") / F.sum("_n").over(Window.partitionBy(*KEYS, "y", "x"))
-    return counts.withColumn("_p", p).groupBy(*KEYS, "y", "x").agg(F.sum(-F.col("_p") * F.log("_p")).alias("value"))
+    """ST-7: entropy of the neighbourhood's values in bins of a width: the logarithm of their number less the mean of those of the bins' counts. A pixel deals its bin, and to its own place that there is one, so places aren't looked up."""
+    own = (0, 0)
+    near = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(int((dx, dy) in offsets)).alias("n")) for dx, dy in dict.fromkeys([*offsets, own])]))
+    rows = df.filter(" and ".join(f"`{c}` is not null" for c in (*KEYS, "y", "x"))).select(*KEYS, "y", "x", F.floor(F.col("value") / width).alias("_b"), near.alias("d"))
+    rows = rows.select(*KEYS, (F.col("y") - F.col("d.dy")).alias("y"), (F.col("x") - F.col("d.dx")).alias("x"), "_b", F.col("d.n").alias("_n"), ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("_own"))
+    # Dealt by place before anything is counted: both groupings then have their rows, and no task counts those of a whole split of the input.
+    counts = rows.repartition(*KEYS, "y", "x").groupBy(*KEYS, "y", "x", "_b").agg(F.sum("_n").alias("_n"), F.max("_own").alias("_own"))
+    sums = counts.groupBy(*KEYS, "y", "x").agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col("_n") > 0, F.col("_n") * F.log("_n"))).alias("_s"), F.max("_own").alias("_own"))
+    return sums.filter("_own and _all > 0").select(*KEYS, "y", "x", (F.log("_all") - F.col("_s") / F.col("_all")).alias("value"))
 
 
 def local_extrema(df: DataFrame, offsets: Sequence[tuple[int, int]], over: float | None = None) -> DataFrame:
