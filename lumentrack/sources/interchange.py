@@ -108,14 +108,23 @@ def outlined(outlines: DataFrame, keys: list[str]) -> DataFrame:
 
     A pixel's middle is half a pixel beyond its place. Each row of pixels has its crossings with the outline's edges in order,
     and a stretch from each odd one to the next; a middle on a left or upper edge is inside, on a right or lower one
-    outside. Outlines of fewer than three vertices have no pixels. Slices of one object are rows with a key for the plane.
+    outside. Outlines of fewer than three vertices have no pixels. Slices of one object are rows with a key for the plane; each
+    row is an outline of its own, worked off where it is.
     """
-    after = lambda i: F.element_at("vertices", (i + 1) % F.size("vertices") + 1)
-    edges = outlines.select(*keys, F.explode(F.transform("vertices", lambda v, i: F.struct(v["x"].cast("double").alias("x0"), v["y"].cast("double").alias("y0"), after(i)["x"].cast("double").alias("x1"), after(i)["y"].cast("double").alias("y1")))).alias("e")).select(*keys, "e.*").filter("y0 <> y1")
-    first, last = F.ceil(F.least("y0", "y1") - 0.5), F.ceil(F.greatest("y0", "y1") - 0.5) - 1
-    rows = edges.withColumns({"_f": first, "_l": last}).filter("_f <= _l").withColumn("y", F.explode(F.sequence("_f", "_l")))
-    cross = F.col("x0") + (F.col("y") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    lines = rows.groupBy(*keys, F.col("y").cast("int").alias("y")).agg(F.array_sort(F.collect_list(cross)).alias("_x"))
-    pairs = lines.select(*keys, "y", "_x", F.explode(F.sequence(F.lit(0), F.size("_x") - 2, F.lit(2))).alias("_i"))
-    ends = pairs.select(*keys, "y", F.ceil(F.col("_x")[F.col("_i")] - 0.5).alias("_f"), (F.ceil(F.col("_x")[F.col("_i") + 1] - 0.5) - 1).alias("_l")).filter("_f <= _l")
+
+    def crossings(e: Column) -> Column:
+        first, last = F.ceil(F.least(e["y0"], e["y1"]) - 0.5), F.ceil(F.greatest(e["y0"], e["y1"]) - 0.5) - 1
+        at = lambda y: F.struct(y.cast("int").alias("y"), (e["x0"] + (y + 0.5 - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"])).alias("x"))
+        return F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), at)
+
+    def stretches(v: Column) -> Column:
+        edges = F.transform(v, lambda p, i: F.struct(p["x"].cast("double").alias("x0"), p["y"].cast("double").alias("y0"), F.element_at(v, (i + 1) % F.size(v) + 1)["x"].cast("double").alias("x1"), F.element_at(v, (i + 1) % F.size(v) + 1)["y"].cast("double").alias("y1")))
+        whole = F.filter(edges, lambda e: (e["y0"] != e["y1"]) & e["x0"].isNotNull() & e["x1"].isNotNull())
+        # An outline crosses each row an even number of times, so in order of row and place odd and even ones are pairs.
+        lines = F.filter(F.array(F.sort_array(F.flatten(F.transform(whole, crossings)))), lambda c: F.size(c) > 1)
+        return F.flatten(F.transform(lines, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2, F.lit(2)), lambda i: F.struct(F.get(c, i).alias("a"), F.get(c, i + 1).alias("b")))))
+
+    # In lists of one, so that what is named within is worked out once.
+    pairs = outlines.select(*keys, F.explode(F.flatten(F.transform(F.filter(F.array("vertices"), lambda v: v.isNotNull()), stretches))).alias("_p"))
+    ends = pairs.select(*keys, F.col("_p.a.y").alias("y"), F.ceil(F.col("_p.a.x") - 0.5).alias("_f"), (F.ceil(F.col("_p.b.x") - 0.5) - 1).alias("_l")).filter("_p.a.y = _p.b.y and _f <= _l")
     return ends.select(*keys, "y", F.explode(F.sequence(F.col("_f").cast("int"), F.col("_l").cast("int"))).alias("x"))
