@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumentrack.functions.ranking import global_rank
 from lumentrack.llm.texts import word_count
-from lumentrack.session import cut, fresh
+from lumentrack.session import cut, fresh, written
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Rates are summed as whole multiples of 2^-20, so that the order of adding changes nothing.
@@ -140,19 +140,23 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source: str = "s
     """``docs`` with all its columns, each row as often as the mix takes it.
 
     Rows alike in id, source and text get their copies together: each as many, and the first of them one more. They
-    are ranked by the task that holds them and within it, so that no task gets all of them.
+    are ranked by the task that holds them and within it, so that no task gets all of them. Such rows are looked up apart from
+    the others, so that texts are shuffled once (where few rows are alike Spark broadcasts these keys).
     """
     key, n, more = (fresh(docs.columns, c) for c in ("_key", "_n", "_more"))
     picks = mix(docs, id_col=id_col, source=source, text=text, **options)
     picks = picks.groupBy(F.col("row_key").alias("_picked")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_alike")).filter("_copies > 0")
-    picks = picks.select("_picked", F.floor(F.col("_copies") / F.col("_alike")).cast("long").alias(n), (F.col("_copies") % F.col("_alike")).alias(more))
-    rows = docs.withColumn(key, row_key(id_col, source, text)).join(picks, F.col(key) == F.col("_picked")).drop("_picked")
-    part, rank, before = (fresh(rows.columns, c) for c in ("_part", "_rank", "_before"))
-    some = cut(rows.filter(F.col(more) > 0).withColumn(part, F.spark_partition_id()))
-    held = some.groupBy(F.col(key).alias("_k"), F.col(part).alias("_p")).agg(F.count(F.lit(1)).alias("_m"))
-    held = held.withColumn(before, F.coalesce(F.sum("_m").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
-    ranked = some.withColumn(rank, F.row_number().over(Window.partitionBy(key, part).orderBy(part)))
-    ranked = ranked.join(held, (F.col(key) == F.col("_k")) & (F.col(part) == F.col("_p"))).drop("_k", "_p")
-    ranked = ranked.withColumn(n, F.col(n) + (F.col(rank) + F.col(before) <= F.col(more)).cast("long")).drop(part, rank, before)
-    rows = rows.filter(F.col(more) == 0).unionByName(ranked).filter(F.col(n) > 0)
+    picks = written(picks.select("_picked", F.floor(F.col("_copies") / F.col("_alike")).cast("long").alias(n), (F.col("_copies") % F.col("_alike")).alias(more)))
+    picked = lambda some: docs.withColumn(key, row_key(id_col, source, text)).join(some, F.col(key) == F.col("_picked")).drop("_picked")
+    rows, uneven = picked(picks.filter(F.col(more) == 0)), written(picks.filter(F.col(more) > 0))
+    if not uneven.isEmpty():
+        part, rank, before = (fresh(rows.columns, c) for c in ("_part", "_rank", "_before"))
+        some = cut(picked(uneven).withColumn(part, F.spark_partition_id()))
+        held = some.groupBy(F.col(key).alias("_k"), F.col(part).alias("_p")).agg(F.count(F.lit(1)).alias("_m"))
+        held = held.withColumn(before, F.coalesce(F.sum("_m").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+        ranked = some.withColumn(rank, F.row_number().over(Window.partitionBy(key, part).orderBy(part)))
+        ranked = ranked.join(held, (F.col(key) == F.col("_k")) & (F.col(part) == F.col("_p"))).drop("_k", "_p")
+        ranked = ranked.withColumn(n, F.col(n) + (F.col(rank) + F.col(before) <= F.col(more)).cast("long")).drop(part, rank, before)
+        rows = rows.unionByName(ranked)
+    rows = rows.filter(F.col(n) > 0)
     return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(key, n, more)
