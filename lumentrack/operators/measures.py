@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,16 +156,53 @@ def costes_randomised(df: DataFrame, keys: Sequence[str], a: str, b: str, width:
     w, h = width // block * block, height // block * block
     if w == 0 or h == 0:
         raise ValueError("the block is larger than the image")
-    rows = df.filter((F.col("x") < w) & (F.col("y") < h))
-    moved = rows.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(b).alias("_b")).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    far = lambda axis, of, n: F.when(F.col("_round") > 0, F.pmod(F.xxhash64(F.lit(seed), F.lit(axis), *keys, "_round", F.floor(F.col(of) / block)), F.lit(n // block)) * block).otherwise(0)
-    moved = moved.withColumn("x", (F.col("x") + far("x", "y", w)) % w)
-    moved = moved.withColumn("y", (F.col("y") + far("y", "x", h)) % h)
-    pairs = rows.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(a).alias("_a")).join(moved, [*keys, "y", "x"])
-    each = pairs.groupBy(*keys, "_round").agg(F.corr("_a", "_b").alias("_r"))
-    own, others = F.when(F.col("_round") == 0, F.col("_r")), F.when(F.col("_round") > 0, F.col("_r"))
-    done = each.groupBy(*keys).agg(F.max(own).alias("pearson"), F.avg(others).alias("mean"), F.stddev_samp(others).alias("sd"), F.array_compact(F.collect_list(others)).alias("_rs"))
-    return done.select(*keys, "pearson", "mean", "sd", (F.size(F.filter("_rs", lambda v: v < F.col("pearson"))) / F.nullif(F.size("_rs"), F.lit(0))).alias("below"))
+    rows = df.filter((F.col("x") < w) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("y") >= 0)).dropna(subset=list(keys))
+    pixel = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    images = rows.groupBy(*keys).agg(F.collect_list(pixel).alias("_p"))
+    # Where each block moves in each round; blocks are numbered by whole numbers of 64 bits, rounds of 32.
+
+    def far(axis: str, n: int, m: int) -> Column:
+        at = F.sequence(F.lit(0).cast("long"), F.lit(rounds * n - 1).cast("long")) if rounds else F.array().cast("array<bigint>")
+        return F.transform(at, lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(axis), *keys, (F.floor(i / n) + 1).cast("int"), i % n), F.lit(m)) * block).cast("int"))
+
+    of = lambda c: F.transform("_p", lambda v: v[c])
+
+    @F.pandas_udf("pearson double, mean double, sd double, below double")
+    def compared(y: pd.Series, x: pd.Series, a: pd.Series, b: pd.Series, along: pd.Series, across: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_shifted(*image, w, h, block, rounds) for image in zip(y, x, a, b, along, across, strict=True)], columns=["pearson", "mean", "sd", "below"])
+
+    done = images.select(*keys, compared(of("y"), of("x"), of("a"), of("b"), far("x", h // block, w // block), far("y", w // block, h // block)).alias("_r"))
+    return done.select(*keys, "_r.*")
+
+
+def _shifted(y: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, along: np.ndarray, across: np.ndarray, w: int, h: int, block: int, rounds: int) -> tuple[float, float, float, float]:
+    """Of one image the correlation, mean and deviation of those after each round of shifts, and the share of them below it."""
+    along, across = along.reshape(rounds, -1), across.reshape(rounds, -1)
+    places, at = y.astype(np.int64) * w + x, np.argsort(y.astype(np.int64) * w + x, kind="stable")
+    order = places[at]
+    found = np.empty(rounds + 1)
+    for k in range(rounds + 1):
+        if k == 0:
+            to = places
+        else:
+            x1 = (x + along[k - 1, y // block]) % w
+            to = (y + across[k - 1, x1 // block]).astype(np.int64) % h * w + x1
+        first, n = np.searchsorted(order, to), np.searchsorted(order, to, "right") - np.searchsorted(order, to)
+        mine = np.repeat(np.arange(len(to)), n)
+        p, q = a[at[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(mine))]], b[mine]
+        known = ~(np.isnan(p) | np.isnan(q))
+        p, q = p[known], q[known]
+        if len(p) > 1:
+            # Sums in order of a's place, so that a round that moves nothing has the same.
+            s = np.argsort(to[mine][known], kind="stable")
+            p, q = p[s] - p[s].mean(), q[s] - q[s].mean()
+            spread = np.sqrt((p * p).sum() * (q * q).sum())
+            found[k] = (p * q).sum() / spread if spread > 0 else np.nan
+        else:
+            found[k] = np.nan
+    own, others = found[0], found[1:][~np.isnan(found[1:])]
+    n = len(others)
+    return own, others.mean() if n else np.nan, others.std(ddof=1) if n > 1 else np.nan, (others < own).mean() if n else np.nan
 
 
 def distance_index(df: DataFrame, keys: Sequence[str], distance: str = "distance") -> DataFrame:
