@@ -224,27 +224,29 @@ def pruned(objects: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     its logarithm in rounds. Further predecessors of merged objects are looked at after that; where one of these goes and
     the object doesn't yet, the doubling is done once more. Links that form a ring raise ValueError.
     """
-    edges = written(links.select("src", "dst").filter("src is not null and dst is not null").distinct())
-    first = edges.groupBy("dst").agg(F.min("src").alias("src"))
-    others = written(edges.join(first, ["src", "dst"], "left_anti"))
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    forest = written(nodes.join(first.select(F.col("dst").alias("id"), F.col("src").alias("up")), "id", "left"))
+    edges = links.select("src", "dst").filter("src is not null and dst is not null")
+    up = written(edges.groupBy(F.col("dst").alias("id")).agg(F.collect_set("src").alias("ups")).withColumn("up", F.array_min("ups")))
+    others = up.filter("size(ups) > 1").select("id", F.explode(F.array_except("ups", F.array("up"))).alias("src"))
     gone = written(roots.select("id").distinct())
     while True:
-        state = written(forest.join(gone.withColumn("_g", F.lit(True)), "id", "left").select("id", "up", F.coalesce("_g", F.lit(False)).alias("gone")))
+        # Only objects that still climb are written again; one that climbs to where there is neither such an object nor one that goes has reached its first ancestor.
+        climbing, reached = written(up.select("id", "up").join(gone, "id", "left_anti")), [gone]
         for _ in range(64):
-            climbing = state.filter("up is not null and not gone")
             if climbing.isEmpty():
                 break
-            above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("gone").alias("_gone"))
-            moved = climbing.join(above, "up").select("id", F.col("_up").alias("up"), F.col("_gone").alias("gone"))
-            state = written(state.filter("up is null or gone").unionByName(moved))
+            above = climbing.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.lit(False).alias("_gone"))
+            for part in reached:
+                above = above.unionByName(part.select(F.col("id").alias("up"), F.lit(None).cast(up.schema["up"].dataType).alias("_up"), F.lit(True).alias("_gone")))
+            moved = written(climbing.join(above, "up").select("id", F.col("_up").alias("up"), F.col("_gone").alias("gone")))
+            reached.append(moved.filter("gone").select("id"))
+            climbing = moved.filter("not gone").select("id", "up")
         else:
             raise ValueError("links form a ring")
-        reached = state.filter("gone").select("id")
-        more = others.join(reached.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(reached, "id", "left_anti")
-        more = written(more)
-        gone = written(gone.union(reached).union(more).distinct())
+        found = reached[0]
+        for part in reached[1:]:
+            found = found.unionByName(part)
+        more = written(others.join(found.withColumnRenamed("id", "src"), "src", "left_semi").select("id").distinct().join(found, "id", "left_anti"))
+        gone = written(found.unionByName(more))
         if more.isEmpty():
             return objects.join(gone, "id", "left_anti")
 
