@@ -41,10 +41,22 @@ def _symbol_table() -> np.ndarray:
 _tables: dict[str, np.ndarray] = {}
 
 
+#: So many bytes of text are made symbols at once, which takes some twenty-five times as much memory.
+SYMBOL_BYTES = 1_000_000
+
+
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' symbols in a row and their n + 1 offsets: letters without case, with one 0 for what stands between words."""
     if "symbols" not in _tables:
         _tables["symbols"] = _symbol_table()
+    per = max(1, int(len(texts) * SYMBOL_BYTES / max(1, texts.nbytes)))
+    parts = [_symbols(texts.slice(i, per)) for i in range(0, len(texts), per)]
+    if not parts:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    return np.concatenate([s for s, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for _, at in parts]))])
+
+
+def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat(texts)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -140,7 +152,7 @@ class Parser:
     def __init__(self, model: Model, group_entries: int = GROUP_ENTRIES):
         self.model = model
         used = np.unique(np.concatenate([np.frombuffer(a[1], np.uint8) for a in model.automata]))
-        self.column = np.zeros(SYMBOLS, np.int32)  # column 0: in no language's text
+        self.column = np.zeros(SYMBOLS, np.uint8)  # column 0: in no language's text
         self.column[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
         self.groups: list[list[int]] = []
@@ -160,7 +172,7 @@ class Parser:
         tables, roots, base, width = [], [], 0, self.width
         for i in group:
             states, codes, to, size = self.model.automata[i]
-            s, c, t = np.frombuffer(states, np.int32), self.column[np.frombuffer(codes, np.uint8)], np.frombuffer(to, np.int32)
+            s, c, t = np.frombuffer(states, np.int32), self.column[np.frombuffer(codes, np.uint8)].astype(np.int32), np.frombuffer(to, np.int32)
             # Where a path ends, a phrase does, and the symbol begins the next; one that the text lacks is a phrase alone.
             root = np.full(width, base * width | 2 << _WEIGHT_BIT, np.int32)
             first = s == 0
