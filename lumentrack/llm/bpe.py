@@ -43,7 +43,10 @@ class Vocabulary:
         for lengths in self.ending.values():
             lengths.sort(reverse=True)
         # White space as the rank files' own library has it: U+001C to U+001F aren't.
-        self.pieces = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})"))
+        pattern = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})")
+        # No word or number begins as an ending does, so the commonest alternatives may be tried first.
+        endings, words = "'s|'t|'re|'ve|'m|'ll|'d|", r" ?\p{L}+| ?\p{N}+|"
+        self.pieces = regex.compile(words + endings + pattern[len(endings + words) :] if pattern.startswith(endings + words) else pattern)
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.length = np.array([len(t) for t in self.tokens])
         self.start = np.cumsum(self.length) - self.length
@@ -67,6 +70,11 @@ class Vocabulary:
         self.edges = np.sort(np.fromiter(edges, np.int64, len(edges)))
         self.leads = np.array([edges[e] for e in self.edges.tolist()], np.int32)
         self.ends = np.array(ends, np.int32)
+        # The first two steps are the commonest by far: nodes by last byte, and by the last two, or -1.
+        ways = np.arange(1 << 16)
+        self.first = np.array([edges.get(b, -1) for b in range(256)], np.int64)
+        at = np.minimum(np.searchsorted(self.edges, edge := self.first[ways >> 8] << 8 | ways & 255), len(self.edges) - 1)
+        self.second = np.where((self.first[ways >> 8] >= 0) & (self.edges[at] == edge), self.leads[at], -1).astype(np.int64)
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, the leftmost of equals, until none is a token."""
@@ -146,10 +154,16 @@ class Vocabulary:
             rows = np.arange(np.searchsorted(-lengths, -end, "right"))
             open_, node, found = rows, np.zeros(len(rows), np.int64), []
             for n in range(1, end + 1):
-                edge = node << 8 | data[open_, end - n]
-                at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
-                on = self.edges[at] == edge
-                open_, node = open_[on], self.leads[at[on]].astype(np.int64)
+                if n <= 2:
+                    byte = data[: len(rows), end - 1].astype(np.int64)
+                    to = self.first[byte] if n == 1 else self.second[byte[open_] << 8 | data[open_, end - 2]]
+                    on = to >= 0
+                    open_, node = open_[on], to[on]
+                else:
+                    edge = node << 8 | data[open_, end - n]
+                    at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                    on = self.edges[at] == edge
+                    open_, node = open_[on], self.leads[at[on]].astype(np.int64)
                 if not len(open_):
                     break
                 token = self.ends[node]
@@ -208,15 +222,17 @@ class Vocabulary:
         if len(self._memo) >= MEMO_PIECES:
             self._memo, self._older = {}, self._memo
         memo, older = self._memo, self._older
-        new = pieces - memo.keys()
-        for piece in new & older.keys():
-            memo[piece] = older[piece]
-        new = sorted(((p.encode(), p) for p in new - older.keys()), key=lambda p: len(p[0]), reverse=True)
-        n_long = sum(len(data) > SHORT_BYTES for data, _ in new)
-        for i in range(n_long, len(new), 1 << 15):
-            block = new[i : i + (1 << 15)]
-            memo.update(zip((p for _, p in block), self.short([data for data, _ in block]), strict=True))
-        return memo | {p: self.long(data) for data, p in new[:n_long]} if n_long else memo
+        new = pieces.difference(memo)  # unlike a difference of key views, this looks the pieces up and doesn't go through the memo
+        memo.update({p: older[p] for p in new if p in older})
+        names = list(new.difference(older))
+        coded = [p.encode() for p in names]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        order = np.argsort(-lengths, kind="stable")
+        n_long = int((lengths > SHORT_BYTES).sum())
+        for i in range(n_long, len(order), 1 << 15):
+            block = order[i : i + (1 << 15)].tolist()
+            memo.update(zip([names[k] for k in block], self.short([coded[k] for k in block]), strict=True))
+        return memo | {names[k]: self.long(coded[k]) for k in order[:n_long].tolist()} if n_long else memo
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
