@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -331,22 +334,135 @@ def filtered_percentile(df: DataFrame, limits: DataFrame, keys: Sequence[str], q
 # --- thresholds by number of objects, exact percentiles of any group ---
 
 
+#: Side of the tiles of an image within which one task joins pixels.
+TILE = 64
+
+
+def forest_of_tiles(tile: np.ndarray, y: np.ndarray, x: np.ndarray, value: np.ndarray, steps: Sequence[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pixels of many tiles (numbered, ``y`` and ``x`` from 0 within each) that count, of repeated ones the brightest; and places of both ends of the joints of a maximum spanning forest of each tile, with their weights.
+
+    In each round every component takes its heaviest joint, all tiles' at once; joints have one order, so no ring arises.
+    """
+    side = TILE + 2
+    code = (tile * side + y + 1) * side + x + 1
+    order = np.lexsort((value, code))
+    order = order[np.concatenate([code[order][1:] != code[order][:-1], [True]])]
+    code, v, a, b = code[order], value[order], [], []
+    for dy, dx in steps:
+        at = np.minimum(np.searchsorted(code, code + dy * side + dx), len(code) - 1)
+        here = np.flatnonzero(code[at] == code + dy * side + dx)
+        a.append(here)
+        b.append(at[here])
+    a, b = np.concatenate(a), np.concatenate(b)
+    weight = (np.fmin if v.dtype.kind == "f" else np.minimum)(v[a], v[b])
+    rising = np.argsort(weight, kind="stable")
+    a, b, weight = a[rising], b[rising], weight[rising]
+    of, chosen, left = np.arange(len(v)), np.zeros(len(a), bool), np.arange(len(a))
+    while True:
+        left = left[of[a[left]] != of[b[left]]]
+        if not len(left):
+            break
+        best = np.full((2, len(v)), -1)
+        best[0, of[a[left]]], best[1, of[b[left]]] = left, left  # the last one written, the heaviest, stays
+        best = best.max(axis=0)
+        has = np.flatnonzero(best >= 0)
+        chosen[best[has]] = True
+        up = np.arange(len(v))
+        up[has] = of[a[best[has]]] + of[b[best[has]]] - has
+        root = (up[up] == np.arange(len(v))) & (np.arange(len(v)) < up)
+        up[root] = np.flatnonzero(root)
+        while (up[up] != up).any():
+            up = up[up]
+        of = up[of]
+    return order, order[a[chosen]], order[b[chosen]], weight[chosen]
+
+
+def _by_tile(px: DataFrame, keys: Sequence[str], steps: Sequence[tuple[int, int]], counted: bool) -> DataFrame:
+    """Of pixels (keys, y, x, value) the forest's joints (keys, y0, x0, y, x, value) of each tile; or ``counted`` the number of ``objects`` in each at each value.
+
+    Pixels are dealt by tile once; a task reads its tiles in order, some at a time.
+    """
+    corner = lambda c: (F.floor(F.col(c) / TILE) * TILE).alias(f"_{c}")
+    tile = [*keys, "_y", "_x"]
+    rows = px.select(*keys, corner("y"), corner("x"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "value").repartition(*tile).sortWithinPartitions(*tile)
+    n = len(tile)
+
+    def work(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        y0, x0, y, x, v = (batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(5))
+        number = np.cumsum(np.bincount(starts, minlength=len(v))) - 1
+        kept, a, b, weight = forest_of_tiles(number, y - y0, x - x0, v, steps)
+        if not counted:
+            ends = [pa.array(c) for c in (y[a], x[a], y[b], x[b], weight)]
+            return pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(a)) for i in range(len(keys))], *ends], names=names)
+        g, values = number[np.concatenate([kept, a])], np.concatenate([v[kept], weight])
+        order = np.lexsort((values, -g))[::-1]
+        g, values = g[order], values[order]
+        total = np.cumsum(np.where(order < len(kept), 1, -1))
+        total -= np.concatenate([[0], total])[np.searchsorted(g, g)]
+        same = (g[1:] == g[:-1]) & ((values[1:] == values[:-1]) | (values[1:] != values[1:]) & (values[:-1] != values[:-1]))
+        last = np.concatenate([~same, [True]])
+        at = pa.array(starts[g[last]])
+        return pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keys))], pa.array(values[last]), pa.array(total[last])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            starts = _starts(whole := pa.Table.from_batches(held).combine_chunks().to_batches()[0], n) if sum(b.num_rows for b in held) else []
+            if len(starts) > 1:  # the last tile may go on in the next batch
+                yield work(whole.slice(0, starts[-1]), starts[:-1])
+                held = [whole.slice(starts[-1])]
+        if sum(b.num_rows for b in held):
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield work(whole, _starts(whole, n))
+
+    of = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    columns = [*[(k, of[k]) for k in keys], *([("value", of["value"]), ("objects", "long")] if counted else [*[(c, "long") for c in ("y0", "x0", "y", "x")], ("value", of["value"])])]
+    names = [c for c, _ in columns]
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in columns))
+
+
+def _starts(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """Where another value of the first ``n`` columns begins than in the row before."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for i in range(n):
+        c = batch.column(i)
+        a, b = c[:-1], c[1:]
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= other.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def object_counts(df: DataFrame, keys: Sequence[str] = ("frame",), low: bool = False) -> DataFrame:
     """TH-11: for every value of each image the number of ``objects`` among the pixels that are as bright or brighter, 8 or (``low``) 4 neighbours joined.
 
     All thresholds are answered at once: neighbours are joined from the darker one's value on, and of these joints only
     those of a maximum spanning forest lessen the number of objects, each by one. So an image has as many objects at a
-    threshold as pixels less joints from there up.
+    threshold as pixels less joints from there up. An image within one tile is settled where its pixels were dealt to; of
+    larger ones each tile's forest, and what joins tiles, goes on to rounds over all images. Pixels without a value or place are left out.
     """
     steps = [(0, 1), (1, 0)] if low else [(0, 1), (1, 0), (1, 1), (1, -1)]
-    place = lambda y, x: F.struct(*keys, y.alias("y"), x.alias("x"))
-    px = df.filter("value is not null").groupBy(*keys, "y", "x").agg(F.max("value").alias("value"))
-    near = px.select(*keys, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("value").alias("v0"), F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])).alias("d"))
-    near = near.select(*keys, "y0", "x0", "v0", (F.col("y0") + F.col("d.dy")).alias("y"), (F.col("x0") + F.col("d.dx")).alias("x"))
-    edges = near.join(px, [*keys, "y", "x"]).select(place(F.col("y0"), F.col("x0")).alias("a"), place(F.col("y"), F.col("x")).alias("b"), F.least("v0", "value").alias("weight"))
-    joints = spanning_forest(edges).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("weight").alias("value"), F.lit(-1).alias("_n"))
-    steps_ = px.select(*keys, "value", F.lit(1).alias("_n")).unionByName(joints).groupBy(*keys, "value").agg(F.sum("_n").alias("_n"))
-    return steps_.select(*keys, "value", F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc("value"))).alias("objects"))
+    by = list(keys) or ["_all"]
+    px = df.filter("value is not null and y is not null and x is not null").withColumns({} if keys else {"_all": F.lit(0)}).select(*by, "y", "x", "value")
+    tile = lambda c: F.floor(F.col(c) / TILE)
+    limits = px.groupBy(*by).agg(*[f(tile(c)).alias(f"_{n}{c}") for c in "yx" for f, n in ((F.min, 0), (F.max, 1))])
+    wide = written(limits.filter("_0y <> _1y or _0x <> _1x").select(*by))
+    if wide.isEmpty():
+        return _by_tile(px, by, steps, counted=True).select(*keys, "value", "objects")
+    small = _by_tile(px.join(wide, by, "left_anti"), by, steps, counted=True)
+    large = written(px.join(wide, by, "left_semi").groupBy(*by, "y", "x").agg(F.max("value").alias("value")))
+    place = lambda y, x: F.struct(*by, y.cast("long").alias("y"), x.cast("long").alias("x"))
+    edge = lambda c: F.pmod(F.col(c), F.lit(TILE)).isin(0, TILE - 1)
+    rim = large.filter(edge("y") | edge("x"))
+    near = rim.select(*by, F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("value").alias("v0"), F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])).alias("d"))
+    near = near.select(*by, "y0", "x0", "v0", (F.col("y0") + F.col("d.dy")).alias("y"), (F.col("x0") + F.col("d.dx")).alias("x")).filter((tile("y0") != tile("y")) | (tile("x0") != tile("x")))
+    across = near.join(rim, [*by, "y", "x"]).select(*by, "y0", "x0", "y", "x", F.least("v0", "value").alias("value"))
+    edges = _by_tile(large, by, steps, counted=False).unionByName(across).select(place(F.col("y0"), F.col("x0")).alias("a"), place(F.col("y"), F.col("x")).alias("b"), F.col("value").alias("weight"))
+    joints = spanning_forest(edges).select(*[F.col(f"a.{k}").alias(k) for k in by], F.col("weight").alias("value"), F.lit(-1).alias("_n"))
+    steps_ = large.select(*by, "value", F.lit(1).alias("_n")).unionByName(joints).groupBy(*by, "value").agg(F.sum("_n").alias("_n"))
+    counts = steps_.select(*by, "value", F.sum("_n").over(Window.partitionBy(*by).orderBy(F.desc("value"))).alias("objects"))
+    return small.unionByName(counts).select(*keys, "value", "objects")
 
 
 def threshold_by_objects(df: DataFrame, most: int, keys: Sequence[str] = ("frame",), low: bool = False) -> DataFrame:
