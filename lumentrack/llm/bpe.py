@@ -173,7 +173,7 @@ class Vocabulary:
             for n, row, token in reversed(found):  # at most one is valid
                 left = ~done[row]
                 row, token = row[left], token[left]
-                if n < end:
+                if 1 < n < end:  # where none is valid but the last byte alone, that is, as each prefix has one
                     pair, which = np.unique(last[row, end - n].astype(np.int64) << 20 | token, return_inverse=True)
                     pairs = pair.tolist()
                     known = list(map(self._fits.get, pairs))

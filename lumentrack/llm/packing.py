@@ -58,7 +58,7 @@ class Rooms:
 def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     """Rows of indices into ``lengths`` (none above ``capacity``). Of equal lengths the first index goes first."""
     rooms, rows = Rooms(capacity), []
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
         found = rooms.take(lengths[i])
         if found is None:
             found = len(rows), capacity
@@ -80,6 +80,8 @@ def packed(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     task's number and a count, so it is the same again where the input is a scan of the same files.
     """
 
+    ramp = np.arange(row_tokens, dtype="<i4")
+
     def rows_of(segments: list[tuple[object, int, int, np.ndarray]]) -> Iterator[tuple]:
         for row in best_fit_decreasing([len(s[3]) for s in segments], row_tokens):
             ids, positions = np.full(row_tokens, end_id, "<u4"), np.zeros(row_tokens, "<i4")
@@ -87,7 +89,7 @@ def packed(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
             for i in row:
                 part = segments[i][3]
                 ids[cuts[-1] : cuts[-1] + len(part)] = part
-                positions[cuts[-1] : cuts[-1] + len(part)] = np.arange(len(part))
+                positions[cuts[-1] : cuts[-1] + len(part)] = ramp[: len(part)]
                 cuts.append(cuts[-1] + len(part))
             yield cuts[-1], ids.tobytes(), positions.tobytes(), cuts, *([segments[i][k] for i in row] for k in range(3))
 
