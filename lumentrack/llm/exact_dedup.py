@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrack.functions.slots import marked, slots
 from lumentrack.session import cut, fresh, written
 
 #: A chunk ends after one word in so many, as a hash of it and the next one has it, and has at most MAX_WORDS.
@@ -93,12 +94,13 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all its columns, less the rows whose text a row with a larger id repeats.
 
-    Rows that repeat both id and text all stay, as do null ids of a group that has no other. Only ids move: the
-    dropped ids and text digests are few, and ``docs`` is read once more against them.
+    Rows that repeat both id and text all stay, as do null ids of a group that has no other. ``docs`` is read once more
+    against the dropped ids and text digests: rows whose id isn't in a dropped one's slot stay where they are, only the others move.
     """
-    digest = fresh(docs.columns, "_digest")
+    digest, may = fresh(docs.columns, "_digest"), fresh(docs.columns, "_may")
     dropped = exact_groups(docs, id_col=id_col, text=text).filter(~F.col("kept"))
     dropped = written(dropped.select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_digest")).distinct())
-    rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    split = marked(docs, slots(dropped, "_drop_id"), id_col, may)
+    rows = split.filter(may).drop(may).withColumn(digest, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     gone = rows[id_col].eqNullSafe(dropped["_drop_id"]) & (rows[digest] == dropped["_drop_digest"])
-    return rows.join(dropped, gone, "left_anti").drop(digest)
+    return split.filter(~F.col(may)).drop(may).union(rows.join(dropped, gone, "left_anti").drop(digest))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumentrack.functions.components import connected_components
+from lumentrack.functions.slots import marked, slots
 from lumentrack.llm.quality_pu import word_hashes
 from lumentrack.llm.texts import flat, word_bounds
 from lumentrack.session import fresh, written
@@ -358,8 +359,15 @@ def later_meetings(marks: DataFrame, named: DataFrame, similarity: float, partne
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without those whose rid has no slot of ``keys`` (r); a few more than those with a key are left."""
+    return marked(rows, slots(keys, "r"), "rid", "_may").filter("_may").drop("_may")
+
+
 def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sketches agree in enough samples."""
+    """The pairs whose sketches agree in enough samples. Sketches that aren't in a pair don't move."""
+    pairs = written(pairs)
+    sketches = _among(sketches, pairs.select(F.explode(F.array("a", "b")).alias("r")))
     a, b = (sketches.select(F.col("rid").alias(f"r{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("ra")).join(b, F.col("b") == F.col("rb"))
     return both.filter(agreement("sa", "sb") >= LEAST_AGREE).drop("ra", "rb", "sa", "sb")
@@ -389,12 +397,12 @@ def jaccard(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
 def verified(pairs: DataFrame, texts: DataFrame, weights: Callable[[], Weights], similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough.
 
-    Pairs and the texts in them are written first, so that their sizes are known: where they are few, no text that
-    isn't in a pair moves.
+    Pairs and the texts in them are written first, so that their sizes are known. Hardly a text that isn't in a pair
+    moves.
     """
     pairs = written(pairs.select("a", "b"))
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct())
-    texts = written(texts.join(ends, F.col("rid") == F.col("r"), "left_semi").select("rid", "text"))
+    texts = written(_among(texts, ends).join(ends, F.col("rid") == F.col("r"), "left_semi").select("rid", "text"))
     ta, tb = (texts.select(F.col("rid").alias(f"r{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
     both = pairs.select("a", "b").join(ta, F.col("a") == F.col("ra")).join(tb, F.col("b") == F.col("rb")).select("a", "b", "ta", "tb")
 
@@ -430,7 +438,11 @@ def _judged(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataF
     equal = written(rows.groupBy("rid").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")))
 
     # From here on there is one document for each text, so that copies don't make a text's shingles common.
-    distinct = written(source.select("rid", "text").dropDuplicates(["rid"]))
+    # Texts without a copy are read from ``docs`` each time they are needed: only the others, and few more, move and are written.
+    several = _among(rows, equal.filter("n > 1").select(F.col("rid").alias("r")))
+    split = marked(source, slots(several, "doc_id"), "doc_id", "_may")
+    copies = written(split.filter("_may").select("rid", "text").dropDuplicates(["rid"]))
+    distinct = split.filter("not _may").select("rid", "text").unionByName(copies)
     common = common_shingles(distinct.select("text"))
     shared = docs.sparkSession.sparkContext.broadcast((equal.count(), common))  # bounded by IDF_CEILING x mean shingles
     made: list[Weights] = []
@@ -443,8 +455,8 @@ def _judged(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataF
     sketches = written(sketched(distinct, weights))
     pairs, large = first_meetings(banded(sketches))
     candidates = written(alike(pairs, sketches))
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("r")).union(large.select("rid")).distinct()
-    texts = written(distinct.join(ends, F.col("rid") == F.col("r"), "left_semi"))
+    ends = written(candidates.select(F.explode(F.array("a", "b")).alias("r")).union(large.select("rid")).distinct())
+    texts = written(_among(distinct, ends).join(ends, F.col("rid") == F.col("r"), "left_semi"))
 
     named = connected_components(written(verified(candidates, texts, weights, similarity)), "a", "b")
     left = written(parted(large, named))
@@ -481,12 +493,13 @@ def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with all its columns, less the rows that aren't the kept ones of their classes.
 
-    Rows that repeat both id and text all stay if one does. Only ids and text keys move: what goes is named by both, so
-    other texts of the same id, or without one, stay.
+    Rows that repeat both id and text all stay if one does. What goes is named by id and text key, so other texts of the
+    same id, or without one, stay; rows whose id isn't in the slot of one that goes stay where they are.
     """
-    key = fresh(docs.columns, "_key")
+    key, may = fresh(docs.columns, "_key"), fresh(docs.columns, "_may")
     dropped = _judged(docs, id_col, text, similarity).filter("not kept")
     dropped = written(dropped.select(F.col("doc_id").alias("_drop_id"), F.col("rid").alias("_drop_rid")).distinct())
-    rows = docs.withColumn(key, text_key(F.col(text)))
+    split = marked(docs, slots(dropped, "_drop_id"), id_col, may)
+    rows = split.filter(may).drop(may).withColumn(key, text_key(F.col(text)))
     gone = rows[id_col].eqNullSafe(dropped["_drop_id"]) & (rows[key] == dropped["_drop_rid"])
-    return rows.join(dropped, gone, "left_anti").drop(key)
+    return split.filter(~F.col(may)).drop(may).union(rows.join(dropped, gone, "left_anti").drop(key))
