@@ -226,15 +226,16 @@ _parsers: dict[int, Parser] = {}
 _BATCH_BYTES = 8_000_000
 
 
-def identify(docs: DataFrame, model: Model, columns: list[Column], *, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, columns: list[Column], *, text: str = "text", at: int | None = None) -> DataFrame:
     """``columns`` of ``docs`` with lang_pred, score (0 where two languages are as near, towards 1 the clearer) and bits.
 
     Null texts and texts without a letter are ``und`` with score 0 and infinite bits, as are all texts if no language
     was learnt. Where two languages need as few phrases, the first in code point order is named. Repeated rows are
-    judged alike. Long texts are read whole.
+    judged alike. Long texts are read whole. With ``at`` the texts are the column of that place in ``columns``, so that they
+    aren't passed to the workers twice.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: about 20 bytes a character of it
-    rows = docs.select(*columns, F.col(text).alias("_text"))
+    rows = docs.select(*columns, *([F.col(text).alias("_text")] if at is None else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
@@ -246,13 +247,14 @@ def identify(docs: DataFrame, model: Model, columns: list[Column], *, text: str
             for i in range(0, whole.num_rows, per):
                 batch = whole.slice(i, per)
                 if found.langs:
-                    langs, score, bits = _parsers[id(found)].predict(batch.column(batch.num_columns - 1))
+                    langs, score, bits = _parsers[id(found)].predict(batch.column(batch.num_columns - 1 if at is None else at))
                 else:
                     langs, score, bits = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.full(batch.num_rows, np.inf)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], names=[*names, "lang_pred", "score", "bits"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], names=[*names, "lang_pred", "score", "bits"])
 
-    names = rows.columns[:-1]
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("bits", "double")
+    out = rows.drop("_text") if at is None else rows.select("*")
+    names = out.columns
+    schema = out.schema.add("lang_pred", "string").add("score", "double").add("bits", "double")
     return rows.mapInArrow(run, schema)
 
 
@@ -277,5 +279,5 @@ def accepted(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lan
     model = train(docs.filter(fold(id_col, 3) != 1), text=text, lang=lang, id_col=id_col)
     kept = ["lang_pred", "score", "bits"]
     inside = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    found = identify(docs, model, inside, text=text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits") < reject_bits)).drop(*kept)
+    found = identify(docs, model, inside, text=text, at=[c.lower() for c in docs.columns].index(text.lower())).filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits") < reject_bits)).drop(*kept)
     return found.toDF(*docs.columns)
